@@ -132,3 +132,20 @@ def distinct_by_row(hashes: np.ndarray, rows: np.ndarray, n_rows: int) -> tuple[
     keep[1:] = (h[1:] != h[:-1]) | (r[1:] != r[:-1])
     h, r = h[keep], r[keep]
     return h, np.searchsorted(r, np.arange(n_rows + 1))
+
+
+def span_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hashes of byte ranges inside words, folded as words are; a whole word's equals ``word_hashes``'."""
+    if len(starts) == 0:
+        return np.zeros(0, np.uint64)
+    powers, inverses = _tables(len(raw) + 1)
+    with np.errstate(over="ignore"):
+        total = np.cumsum(_code[_fold[raw]] * powers[: len(raw)])
+        before = np.where(starts > 0, total[starts - 1], np.uint64(0))
+        return mix((total[ends - 1] - before) * inverses[starts])
+
+
+def row_sums(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Sums of consecutive ranges of values; empty ranges sum to 0."""
+    total = np.r_[np.zeros(1, values.dtype if values.dtype.kind == "f" else np.int64), np.cumsum(values)]
+    return total[offsets[1:]] - total[offsets[:-1]]
