@@ -1,7 +1,7 @@
 """The queries of this subpackage and, where SQL can express them, their DuckDB SQL."""
 
-from . import exact_dedup, jaccard_join, mixing, quality, sharding, toxicity
+from . import decontamination, exact_dedup, html_extraction, jaccard_join, merkle_audit, mixing, quality, sharding, toxicity
 
-_MODULES = (exact_dedup, jaccard_join, mixing, toxicity, sharding, quality)
+_MODULES = (decontamination, exact_dedup, html_extraction, jaccard_join, mixing, toxicity, sharding, merkle_audit, quality)
 QUERIES = {name: query for m in _MODULES for name, query in m.QUERIES.items()}
 ORACLE_SQL = {name: sql for m in _MODULES for name, sql in m.ORACLE_SQL.items()}
