@@ -127,7 +127,7 @@ class Mix:
 
     def taken(self) -> DataFrame:
         """``(row_no, epoch, start, words)``: every piece of a document that the mix takes, once for each time."""
-        return self.slots.select("rank", "block", "epoch").join(self.pieces, ["rank", "block"]).select("row_no", "epoch", "start", "words")
+        return self.slots.select("rank", "block", "epoch").hint("merge").join(self.pieces, ["rank", "block"]).select("row_no", "epoch", "start", "words")
 
 
 def _key_columns() -> dict:
