@@ -1,7 +1,10 @@
-"""Registered queries of the engine, by operator id."""
+"""Registered queries of the engine, by operator id, and their DuckDB SQL."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
-FLAGSHIP = "g1"
+from . import geometry_queries
+
+_MODULES = (geometry_queries,)
+QUERIES = {name: query for m in _MODULES for name, query in m.REGISTER.queries.items()}
+ORACLE_SQL = {name: sql for m in _MODULES for name, sql in m.REGISTER.sql.items()}
+FLAGSHIP = "f7_route_limits"
