@@ -1 +1 @@
-
+"""An incremental mode over the batch operators."""
