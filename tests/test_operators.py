@@ -27,8 +27,7 @@ def test_distances(spark):
 
 
 def test_projection_keeps_short_distances(spark):
-    x, y = geo.utm_xy(F.col("lat"), F.col("lon"), F.lit(32637))
-    a, b = spark.createDataFrame([(51.67, 39.2), (51.67, 39.21)], "lat double, lon double").select(x.alias("x"), y.alias("y")).collect()
+    a, b = geo.with_utm_xy(spark.createDataFrame([(51.67, 39.2, 32637), (51.67, 39.21, 32637)], "lat double, lon double, epsg int")).collect()
     # WGS84 ellipsoid: one hundredth of a degree of longitude at this latitude, times the zone's scale
     n = 6378137 / math.sqrt(1 - 0.00669437999014 * math.sin(math.radians(51.67)) ** 2)
     metres = math.radians(0.01) * n * math.cos(math.radians(51.67)) * 0.9996

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Earth diameter, and lengths below which a base line counts as a point.
@@ -78,8 +78,11 @@ def utm_epsg(lat: Column, lon: Column) -> Column:
     return F.when(lat >= 0, zone + 32600).otherwise(zone + 32700)
 
 
-def utm_xy(lat: Column, lon: Column, epsg: Column) -> tuple[Column, Column]:
-    """Easting and northing in metres (WGS84): transverse Mercator by the Krueger series to the sixth order."""
+def with_utm_xy(points: DataFrame, epsg: str = "epsg") -> DataFrame:
+    """Points with easting x and northing y in metres (WGS84): transverse Mercator by the Krueger series to the sixth order.
+
+    Steps are columns of their own, so that no expression is evaluated or copied more than once.
+    """
     # The ellipsoid and the series in its third flattening n.
     a, f, k0 = 6378137.0, 1 / 298.257223563, 0.9996
     n = f / (2 - f)
@@ -93,13 +96,18 @@ def utm_xy(lat: Column, lon: Column, epsg: Column) -> tuple[Column, Column]:
         34729 * n**5 / 80640 - 3418889 * n**6 / 1995840,
         212378941 * n**6 / 319334400,
     ]
-    middle = (epsg % 100) * 6 - 183
-    s = F.sin(F.radians(lat))
     atanh = lambda x: 0.5 * F.log((1 + x) / (1 - x))
-    t = F.sinh(atanh(s) - e * atanh(e * s))
-    d = F.radians(lon - middle)
-    xi, eta = F.atan2(t, F.cos(d)), atanh(F.sin(d) / F.sqrt(1 + t * t))
-    x = eta + sum(c * F.cos(2 * j * xi) * F.sinh(2 * j * eta) for j, c in enumerate(alpha, 1))
-    y = xi + sum(c * F.sin(2 * j * xi) * F.cosh(2 * j * eta) for j, c in enumerate(alpha, 1))
-    south = F.when(epsg >= 32700, 10_000_000.0).otherwise(0.0)
-    return k0 * radius * x + 500_000.0, k0 * radius * y + south
+    c = F.col
+    steps = [
+        {"utm_s": F.sin(F.radians("lat")), "utm_d": F.radians(c("lon") - ((c(epsg) % 100) * 6 - 183))},
+        {"utm_t": F.sinh(atanh(c("utm_s")) - e * atanh(e * c("utm_s")))},
+        {"utm_xi": F.atan2("utm_t", F.cos("utm_d")), "utm_eta": atanh(F.sin("utm_d") / F.sqrt(1 + c("utm_t") * c("utm_t")))},
+        {
+            "x": k0 * radius * (c("utm_eta") + sum(k * F.cos(2 * j * c("utm_xi")) * F.sinh(2 * j * c("utm_eta")) for j, k in enumerate(alpha, 1))) + 500_000.0,
+            "y": k0 * radius * (c("utm_xi") + sum(k * F.sin(2 * j * c("utm_xi")) * F.cosh(2 * j * c("utm_eta")) for j, k in enumerate(alpha, 1)))
+            + F.when(c(epsg) >= 32700, 10_000_000.0).otherwise(0.0),
+        },
+    ]
+    for step in steps:
+        points = points.withColumns(step)
+    return points.drop("utm_s", "utm_d", "utm_t", "utm_xi", "utm_eta")

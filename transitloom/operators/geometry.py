@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.geo import METRES_PER_DEGREE, STRAIGHT_EPS_KM, haversine_km, utm_epsg, utm_xy
+from ..functions.geo import METRES_PER_DEGREE, STRAIGHT_EPS_KM, haversine_km, utm_epsg, with_utm_xy
 
 DIRECTION = ["route_id", "di"]
 
@@ -114,8 +114,7 @@ def network_center(points: DataFrame) -> DataFrame:
 def projected(points: DataFrame) -> DataFrame:
     """Points with x and y in metres, in the one UTM zone of the network's mean point."""
     zone = points.agg(utm_epsg(F.avg("lat"), F.avg("lon")).alias("epsg"))  # one row
-    x, y = utm_xy(F.col("lat"), F.col("lon"), F.col("epsg"))
-    return points.join(F.broadcast(zone)).withColumns({"x": x, "y": y})
+    return with_utm_xy(points.join(F.broadcast(zone)))
 
 
 def local_xy(points: DataFrame, lat0: float, lon0: float) -> DataFrame:

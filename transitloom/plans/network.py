@@ -14,19 +14,31 @@ from ..operators import geometry, nearby, network, overlap, raster
 class Network:
     """Results of a run by name; each is a DataFrame that is computed when it is used.
 
+    What several results build on is persisted, so that it is computed once and plans stay small;
+    ``close`` lets it go.
+
     routes: ``(route_id, name, route_type, active, error)``; points: ``(route_id, di, seq, lat, lon)``; stops:
     ``(route_id, di, seq, stop_id, stop_name, lat, lon)``; pois: ``(poi_id, poi_type, name, lat, lon)``; pixels:
     ``(tile_id, row_no, col_no, lat, lon, raw_value)``.
     """
 
     def __init__(self, config: RunConfig, routes: DataFrame, points: DataFrame, stops: DataFrame, pois: DataFrame, pixels: DataFrame):
+        self.kept: list[DataFrame] = []
         self.config, self.all_routes, self.all_points, self.all_stops, self.pois, self.pixels = config, routes, points, stops, pois, pixels
 
+    def _keep(self, df: DataFrame) -> DataFrame:
+        self.kept.append(df.persist())
+        return self.kept[-1]
+
+    def close(self) -> None:
+        for df in self.kept:
+            df.unpersist()
+
     @cached_property
     def states(self) -> DataFrame:
         c = self.config
         tasks = network.route_tasks(network.split_active(self.all_routes, c.active_only), set(c.include), set(c.exclude), c.only, c.most_number)
-        return network.route_state(tasks, self.all_points)
+        return self._keep(network.route_state(tasks, self.all_points))
 
     @cached_property
     def excluded(self) -> DataFrame:
@@ -37,18 +49,18 @@ class Network:
     @cached_property
     def kept_points(self) -> DataFrame:
         kept = self.excluded.where("reason IS NULL").select("route_id")
-        return self.all_points.join(kept, "route_id", "left_semi")
+        return self._keep(self.all_points.join(kept, "route_id", "left_semi"))
 
     @cached_property
     def corridors(self) -> DataFrame:
-        return raster.corridor_sums(self.kept_points, self.pixels, self.config.volume_buffer_m)
+        return self._keep(raster.corridor_sums(self.kept_points, self.pixels, self.config.volume_buffer_m))
 
     @cached_property
     def overlaps(self) -> DataFrame:
         """Pairs of overlapping directions; a node is ``route_id * 2**16 + di``."""
         node = F.col("route_id") * (1 << 16) + F.col("di")
         points = geometry.without_repeats(geometry.projected(self.kept_points)).select(node.alias("node"), F.lit(0).alias("line"), "seq", "x", "y")
-        return overlap.overlap_pairs(overlap.node_segments(points), self.config.dedup_buffer_m, self.config.dedup_threshold)
+        return self._keep(overlap.overlap_pairs(overlap.node_segments(self._keep(points)), self.config.dedup_buffer_m, self.config.dedup_threshold))
 
     @cached_property
     def removed(self) -> DataFrame:
@@ -57,8 +69,8 @@ class Network:
         edges = self.overlaps.select("x", "y", "kmax")
         if self.config.center_weight > 0:
             distances = geometry.network_center(self.kept_points).select(node, F.col("center_km").alias("distance"))
-            return overlap.removals_weighted(edges, volumes, distances, self.config.dedup_threshold, self.config.center_weight)
-        return overlap.removals(edges, volumes, self.config.dedup_threshold)
+            return self._keep(overlap.removals_weighted(edges, volumes, distances, self.config.dedup_threshold, self.config.center_weight))
+        return self._keep(overlap.removals(edges, volumes, self.config.dedup_threshold))
 
     @cached_property
     def points(self) -> DataFrame:
@@ -66,7 +78,7 @@ class Network:
         if not self.config.dedup:
             return self.kept_points
         gone = self.removed.select(F.expr(f"node div {1 << 16}").alias("route_id"), F.expr(f"int(node % {1 << 16})").alias("di"))
-        return self.kept_points.join(gone, ["route_id", "di"], "left_anti")
+        return self._keep(self.kept_points.join(gone, ["route_id", "di"], "left_anti"))
 
     @cached_property
     def poi_stats(self) -> DataFrame:
@@ -76,7 +88,7 @@ class Network:
     @cached_property
     def stops(self) -> DataFrame:
         left = self.points.select("route_id", "di").distinct()
-        return network.unique_stops(self.all_stops.join(left, ["route_id", "di"], "left_semi"), self.all_routes)
+        return self._keep(network.unique_stops(self.all_stops.join(left, ["route_id", "di"], "left_semi"), self.all_routes))
 
     @cached_property
     def heat(self) -> DataFrame:

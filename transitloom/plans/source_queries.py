@@ -67,13 +67,13 @@ _SH = lambda n, s: f"round_even((CAST(embedding[{n}] AS DOUBLE) * 20 - ({s})[CAS
     "p3_unshifted_points",
     f"""WITH p AS (SELECT vec_id, i, embedding, unnest(range(1, len(embedding) // 2 + 1)) AS i2 FROM (SELECT vec_id, embedding, 0 AS i FROM embeddings)),
 q AS (SELECT vec_id, {_SH('2 * i2 - 1', network.LAT_SHIFT).replace('(i - 1)', '(i2 - 1)')} AS lat, {_SH('2 * i2', network.LON_SHIFT).replace('(i - 1)', '(i2 - 1)')} AS lon FROM p)
-SELECT vec_id, count(*) AS points, round(sum(lat), 5) AS lats, round(sum(lon), 5) AS lons FROM q WHERE lat BETWEEN -90 AND 90 AND lon BETWEEN -180 AND 180 GROUP BY ALL""",
+SELECT vec_id, count(*) AS points, CAST(sum(CAST(round(lat * 1e7) AS BIGINT)) AS BIGINT) AS lats, CAST(sum(CAST(round(lon * 1e7) AS BIGINT)) AS BIGINT) AS lons FROM q WHERE lat BETWEEN -90 AND 90 AND lon BETWEEN -180 AND 180 GROUP BY ALL""",
 )
 def _(v: Views) -> DataFrame:
     raw = v.embeddings.select("vec_id", F.transform("embedding", lambda x: x.cast("double") * 20).alias("e"))
     pairs = F.transform(F.sequence(F.lit(0), F.expr("size(e) div 2") - 1), lambda i: F.slice("e", 2 * i + 1, 2))
     points = raw.select("vec_id", F.explode(payloads.unshift_array(pairs)).alias("p"))
-    return points.groupBy("vec_id").agg(F.count("*").alias("points"), F.round(F.sum("p.lat"), 5).alias("lats"), F.round(F.sum("p.lon"), 5).alias("lons"))
+    return points.groupBy("vec_id").agg(F.count("*").alias("points"), *[F.sum(F.round(F.col("p." + c) * 1e7).cast("bigint")).alias(c + "s") for c in ("lat", "lon")])
 
 
 @REGISTER("p16_lng_lat_pairs", "SELECT c_custkey, round(c_acctbal / 1000, 6) AS lat, round(-c_acctbal / 500, 6) AS lon FROM customer")
