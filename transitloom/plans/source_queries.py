@@ -174,7 +174,7 @@ def _(v: Views) -> DataFrame:
     from ..config import Limits, RunConfig
     from .network import Network
 
-    run = Network(RunConfig("city", limits=Limits(curvilinearity=2.0), dedup=True), v.routes, v.points, v.stops_seq, v.pois, v.pixels)
+    run = Network(RunConfig("city", limits=Limits(curvilinearity=2.0)), v.routes, v.points, v.stops_seq, v.pois, v.pixels)
     sizes = [rows.agg(F.lit(name).alias("sheet"), F.count("*").alias("rows")) for name, rows in run.sheets().items()]
     out = sizes[0]
     for more in sizes[1:]:
