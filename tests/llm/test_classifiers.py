@@ -39,7 +39,7 @@ def test_odd_rows_and_labels(spark, module, label):
     score = (lambda d: module.score(d, *fitted)) if module is toxicity else (lambda d: module.score(d, fitted))
     assert {r.score for r in score(docs).collect()} == {0.0 if module is toxicity else 1.0}
     rng = random.Random(1)
-    say = lambda bad: " ".join(rng.choice(["nasty", "trash!!"] if bad and rng.random() < 0.3 else ["calm", "text", "day", "of", "plain"]) for _ in range(40))
+    say = lambda bad: " ".join(rng.choice(["nasty", "trash!!"] if bad and rng.random() < 0.3 else [f"calm{k}" for k in range(60)]) for _ in range(40))
     many = [(i, say(i % 2), "en", "s", 100) for i in range(10, 250)]
     more = docs.union(spark.createDataFrame(many, SCHEMA).selectExpr("*", "1 AS score", "'x' AS label", "2 AS metadata"))
     labels = spark.createDataFrame([(i, i % 2) for i in range(10, 250)] + [(10, None), (None, 1), (11, 1)], no_labels.schema)
