@@ -112,6 +112,23 @@ def test_extraction(spark):
     assert html_extraction.extract(pages.where("false")).count() == 0
 
 
+@pytest.mark.parametrize(
+    ("body", "text"),
+    [
+        ("<article><p>keep this text</p><p class='ad-slot'>buy</p><p>and this</p></article>", ["keep this text", "and this"]),
+        ("<table><tr><td class=sidebar>side</td><td><p>main text here</p></td></tr></table>", ["main text here"]),
+        ("<table><tr><td>a</td><td>b</td></tr><tr><td>c</td></tr></table>", ["a b", "c"]),
+        ("<main><header><h2>Heading</h2><p>by line</p></header><p title='broken\">body text</p></main><aside>x</aside>", ["Heading", "body text"]),
+        ("<div class='cookie-notice'>We use cookies</div><div class='story'><p>A<p>B<form>f<p>g</form><blockquote>C</blockquote></div><div hidden>no</div>", ["A", "B", "C"]),
+        ("<div role=navigation>menu</div><section><h1>T &#233;&eacute;</h1>loose <i>inline</i> text<hr>after</section>", ["T éé", "loose inline text", "after"]),
+    ],
+)
+def test_blocks_of_main_text(body, text):
+    blocks, containers = html_extraction.parse(f"<html><body>{body}</body></html>")
+    _, first, last, _, _ = html_extraction.best(containers)
+    assert [t for t, apart in blocks[first:last] if not apart] == text
+
+
 def test_extraction_by_salted_join(spark, monkeypatch):
     rows = sorted((r.page_id, r.text) for r in html_extraction.op3_html_extraction(spark, SF).collect())
     monkeypatch.setattr(html_extraction, "BROADCAST_HOSTS", 0)

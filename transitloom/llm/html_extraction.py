@@ -36,7 +36,8 @@ _TOKEN = re.compile(
     r"<!--.*?(?:-->|$)"
     r"|<(script|style|noscript|template|svg|math|iframe|object|canvas|audio|video|textarea|select|button|title)\b(?:[^<>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|$)"
     r"|<[!?][^>]*>"
-    r"|<(/?)([a-zA-Z][\w:-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)>",
+    r"|<(/?)([a-zA-Z][\w:-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)>"
+    r"|<(/?)([a-zA-Z][\w:-]*)([^<>]*)>",  # a quote that is not closed
     re.S | re.I,
 )
 _ATTRIBUTE = re.compile(r"([\w:-]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'<>]+)))?")
@@ -51,7 +52,7 @@ _APART_WORDS = frozenset(
     "ad ads adv advert adverts advertisement advertising adsense banner banners sponsor sponsored promo promotion promoted "
     "sidebar sidenav rail menu nav navbar navigation topnav subnav breadcrumb breadcrumbs header masthead topbar footer foot colophon "
     "cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup share sharing social "
-    "related recommended comment comments commentlist reply replies respond disqus discussion pagination pager widget widgets toolbar "
+    "related recommended comment comments commentlist reply replies respond responses disqus discussion reviews guestbook pagination pager widget widgets toolbar "
     "login register search form copyright disclaimer".split()
 )
 _MAIN_WORDS = frozenset("content main article post entry story text body page wrapper container layout with has".split())
@@ -85,7 +86,7 @@ def parse(page: str) -> tuple[list[tuple[str, bool]], list[tuple[str, int, int,
     # open elements: tag, path, first block, good and bad characters, whether apart
     stack: list[list] = [["", "", 0, 0, 0, False]]
     piece: list[str] = []
-    linked, link_depth, articles, heading = 0, 0, 0, False
+    linked, link_depth, articles, heading, leaf_apart = 0, 0, 0, False, False
 
     def flush() -> None:
         nonlocal linked
@@ -93,7 +94,7 @@ def parse(page: str) -> tuple[list[tuple[str, bool]], list[tuple[str, int, int,
         piece.clear()
         if text:
             top = stack[-1]
-            apart = top[5] and not (heading and articles and top[5] == "header")
+            apart = leaf_apart or top[5] and not (heading and articles and top[5] == "header")
             blocks.append((text, bool(apart)))
             links = min(linked, len(text))
             top[3] += 0 if apart else len(text) - links
@@ -102,6 +103,8 @@ def parse(page: str) -> tuple[list[tuple[str, bool]], list[tuple[str, int, int,
 
     def close() -> None:
         nonlocal articles
+        if stack[-1][5] and not stack[-2][5]:
+            flush()
         tag, path, first, good, bad, apart = stack.pop()
         articles -= tag in ("article", "main")
         stack[-1][3] += good
@@ -120,10 +123,10 @@ def parse(page: str) -> tuple[list[tuple[str, bool]], list[tuple[str, int, int,
         if m.start() > at:
             text_of(page[at : m.start()])
         at = m.end()
-        tag = (m[3] or "").lower()
+        tag = (m[3] or m[6] or "").lower()
         if not tag:
             continue
-        ends = bool(m[2])
+        ends, written = bool(m[2] or m[5]), m[4] or m[7]
         if tag == "a":
             link_depth = max(0, link_depth + (-1 if ends else 1))
         if tag in _SPACED:
@@ -133,16 +136,21 @@ def parse(page: str) -> tuple[list[tuple[str, bool]], list[tuple[str, int, int,
             link_depth = 0
             if tag in _HEADINGS:
                 heading = not ends
+            if tag not in _CONTAINERS:
+                leaf_apart = not ends and bool(written) and _apart(tag, _attributes(written))
         if tag in _CONTAINERS:
+            leaf_apart = False
             if ends:
                 if any(e[0] == tag for e in stack[1:]):
                     while stack[-1][0] != tag:
                         close()
                     close()
             else:
-                attributes = _attributes(m[4]) if m[4] else {}
+                attributes = _attributes(written) if written else {}
                 name = ".".join([tag, *sorted(re.sub(r"\d+", "", c.lower()) for c in attributes.get("class", "").split())])
                 apart = stack[-1][5] or (tag if _apart(tag, attributes) else False)
+                if apart and not stack[-1][5]:
+                    flush()
                 articles += tag in ("article", "main")
                 stack.append([tag, f"{stack[-1][1]}>{name}" if stack[-1][1] else name, len(blocks), 0, 0, apart])
     if at < len(page):
