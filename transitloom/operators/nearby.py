@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.geo import METRES_PER_DEGREE, planar_segment_km, segment_distance_km
@@ -61,3 +61,18 @@ def poi_stats(hits: DataFrame, values: DataFrame, by: list[str]) -> DataFrame:
         F.sum("n").alias("count"),
         F.map_from_entries(F.sort_array(F.collect_list(F.struct("poi_type", "n")))).alias("by_type"),
     )
+
+
+# Kinds of POI by their tags.
+POI_TAGS = {"Школа": {"amenity": "school"}, "Детский сад": {"amenity": "kindergarten"}}
+
+
+def poi_kind(tags: Column) -> Column:
+    """The first kind all of whose tags a POI has; null for none."""
+    kind = F.when(F.lit(False), F.lit(""))
+    for name, needed in POI_TAGS.items():
+        fits = F.lit(True)
+        for key, value in needed.items():
+            fits = fits & F.coalesce(F.try_element_at(tags, F.lit(key)) == value, F.lit(False))
+        kind = kind.when(fits, name)
+    return kind

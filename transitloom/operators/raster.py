@@ -103,3 +103,31 @@ def heat_levels(cells: DataFrame, gamma: float = 0.6, levels: int = 32) -> DataF
     t = F.col("value") / F.max("value").over(Window.partitionBy())
     level = F.rint(F.pow("t", F.lit(gamma)) * (levels - 1)).cast("bigint")
     return cells.withColumn("t", t).withColumn("level", level).withColumn("color", heat_color(F.col("level") / (levels - 1)))
+
+
+def corridor_volumes(ways: DataFrame, pixels: DataFrame, by: str, corridor: int) -> DataFrame:
+    """Volume along straight ways ``(by, row1, col1, row2, col2)`` in pixels, by squares around samples.
+
+    A way of length d has ``max(1, d div corridor)`` samples, in the middle of equal parts; their squares may overlap and then count twice.
+    """
+    length = F.hypot(F.col("row2") - F.col("row1"), F.col("col2") - F.col("col1"))
+    parts = ways.withColumn("parts", F.greatest(F.lit(1), F.floor(length / corridor).cast("int")))
+    samples = parts.withColumn("k", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    share = (F.col("k") + 0.5) / F.col("parts")
+    at = lambda c: F.rint(F.col(c + "1") + (F.col(c + "2") - F.col(c + "1")) * share).cast("bigint")
+    half = max(1, corridor // 2)
+    squares = samples.select(by, "k", at("row").alias("r"), at("col").alias("c")).select(F.struct(by, "k").alias("sample"), *[e.alias(n) for n, e in (("row_lo", F.col("r") - half), ("row_hi", F.col("r") + half), ("col_lo", F.col("c") - half), ("col_hi", F.col("c") + half))])
+    return window_sums(pixels, squares, "sample").groupBy(F.col(f"sample.{by}").alias(by)).agg(F.sum("volume").alias("volume"))
+
+
+def tile_bounds(pixels: DataFrame) -> DataFrame:
+    return pixels.groupBy("tile_id").agg(F.min("row_no").alias("row_lo"), F.max("row_no").alias("row_hi"), F.min("col_no").alias("col_lo"), F.max("col_no").alias("col_hi"))
+
+
+def first_tile(points: DataFrame, tiles: DataFrame, by: str, cell: int = 64) -> DataFrame:
+    """by, tile_id: the first tile whose bounds hold a point ``(by, row_no, col_no)``; tiles meet points by coarse cells."""
+    reach = lambda lo, hi: F.explode(F.sequence(F.floor(F.col(lo) / cell), F.floor(F.col(hi) / cell)))
+    spread = tiles.withColumn("cr", reach("row_lo", "row_hi")).withColumn("cc", reach("col_lo", "col_hi"))
+    placed = points.withColumns({"cr": F.floor(F.col("row_no") / cell), "cc": F.floor(F.col("col_no") / cell)})
+    inside = placed.join(spread, ["cr", "cc"]).where("row_no BETWEEN row_lo AND row_hi AND col_no BETWEEN col_lo AND col_hi")
+    return inside.groupBy(by).agg(F.min("tile_id").alias("tile_id"))
