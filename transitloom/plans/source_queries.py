@@ -98,7 +98,7 @@ def _(v: Views) -> DataFrame:
     return parsed.groupBy("route_id").agg(F.count("*").alias("directions"), F.sum(F.size("coords")).alias("points"))
 
 
-@REGISTER("p4_stops_of_payloads", "SELECT DISTINCT route_id, route_id AS stop_id, 'Stop ' || di AS name, 51.6 AS lat FROM v_points")
+@REGISTER("p4_stops_of_payloads", "SELECT DISTINCT route_id, route_id AS stop_id, 'Stop ' || di AS name, CAST(51.6 AS DOUBLE) AS lat FROM v_points")
 def _(v: Views) -> DataFrame:
     parsed = payloads.parse_payloads(_payloads(v)).select("route_id", F.explode("stops").alias("s"))
     return parsed.select("route_id", F.col("s.id").alias("stop_id"), "s.name", "s.lat")
