@@ -83,3 +83,31 @@ def test_logistic_regression():
     x = rng.normal(size=(4000, 2))
     y = (rng.random(4000) < 1 / (1 + np.exp(-(2 * x[:, 0] - x[:, 1] + 0.5)))).astype(float)
     assert logistic(x, y, np.ones(4000)) == pytest.approx([2, -1, 0.5], abs=0.2)
+
+
+def test_shared_counts_are_exact_for_common_words(spark):
+    """More left contexts than a sketch of 64 bits can tell apart, over two tasks that both see some."""
+    texts = [" ".join(f"ctx{k} common" for k in range(lo, lo + 1500)) + " rare" for lo in (0, 1000)]
+    docs = spark.createDataFrame([(t,) for t in texts], "text string").repartition(2)
+    counts = sorted(r.n for r in toxicity.shared_counts(docs).collect())
+    # "common" has 2500 contexts; ctx0 and ctx1000 begin a text, and the latter also follows "common"
+    assert counts == [1] * 2500 + [2, 2500]
+
+
+def test_rare_bigrams_keep_their_discounted_count(spark):
+    """A bigram in two texts only, of words that both classes have alike, tells the classes apart."""
+    say = lambda k, bad: ("north wind" if bad else "wind north") + f" filler{k % 7} word{k % 5}"
+    types = {}
+    for k in range(4):
+        tokens = ["", *say(k, k % 2).split()]
+        for pair in zip(tokens, tokens[1:]):
+            types[k % 2, *pair] = types.get((k % 2, *pair), 0) + 1
+    hashes = {"": np.uint64(0)} | {t: toxicity.words.word_hashes(np.frombuffer(t.encode(), np.uint8), np.array([0, len(t)]))[0][0] for key in types for t in key[1:] if t}
+    label, u, w = (np.array(x) for x in zip(*[(c, hashes[a], hashes[b]) for c, a, b in types]))
+    docs = spark.createDataFrame([(say(k, k % 2),) for k in range(4)], "text string")
+    shared = toxicity.shared_counts(docs)
+    starts = shared.groupBy("start").sum("n").toDF("start", "n").toArrow()
+    kn = toxicity.kneser_ney(label, u, w, np.array(list(types.values())), shared.toArrow(), starts, 20)
+    north, wind = (hashes[x][None] for x in ("north", "wind"))
+    some = np.zeros(1, np.uint64)
+    assert kn.ratios(wind, some, north)[0] > 0.5 and kn.ratios(north, some, wind)[0] < -0.5

@@ -6,20 +6,23 @@ their log-likelihoods per word decides. Each is interpolated in steps, with abso
     bigram in the class > distinct left contexts of the word in the class > of its first letters
     in the class > shared distinct left contexts over all documents
 
-A word or beginning with fewer than ``LEAST_CONTEXTS`` distinct left contexts in a class keeps nothing of
-its own there: its whole mass backs off. So does a bigram in fewer than ``LEAST`` texts or of a word
-that was not kept. Near copies of a text have its contexts, so they are no evidence. A word's
-log-ratio counts up to ``CLIP`` either way, and one that repeats the word before counts nothing,
-so a rare form of a known expression falls back on its beginning, and what a class has never seen
-falls back on the same shared counts in both models and tells nothing.
-
-The shared counts come from every document: a word's left contexts set bits of a 64-bit sketch,
-which ``bit_or`` merges before and after the shuffle. Class counts come from a bounded sample of
-labelled rows outside the held-out fold (``PER_CLASS`` a class, by a hash of doc_id), which is small
-enough to broadcast by that bound. Words, beginnings and bigrams are hashed into tables of fixed
-size, so the model is bounded too. Part of the sample is kept from counting and calibrates the
-score: a logistic regression on the text's mean log-ratio, its largest over ``WINDOW`` words, and the
-share of words that speak clearly for toxic text. Labels, lang, source and doc_id are not inputs.
+Every bigram keeps its count, however rare, less the discount of its step and class, which is estimated
+from the sample as ``n1 / (n1 + 2 n2)`` (n1 and n2 kinds were seen once and twice). A word or beginning with fewer
+than ``LEAST_CONTEXTS`` distinct left contexts in a class leaves its mass to the next step; 1, 4, 8 and 20 were
+compared on the training folds. Near copies of a
+text are no evidence of their own: a bigram counts once per class of near copies, as found by
+``jaccard_join``. A word's log-ratio counts up to ``CLIP`` either way, and one that repeats the word
+before counts nothing, so a rare form of a known expression falls back on its beginning, and what a class
+has never seen falls back on the same shared counts in both models and tells nothing.
+
+The shared counts are exact and by word, of the distinct (word before, word) pairs of every document: a table
+that grows with the documents. A shared count that no class knows of cancels in the ratio, so only those of
+the sample's words and beginnings are sent to the model. Class counts come from a bounded sample of labelled
+rows outside the held-out fold (``PER_CLASS`` a class, by a hash of doc_id), which is small enough to
+broadcast by that bound, and so is the model. Part of the sample, by classes of near copies, is kept
+from counting and calibrates the score: a logistic regression on the text's mean log-ratio, its largest
+over ``WINDOW`` words, and the share of words that speak clearly for toxic text. Labels, lang, source and
+doc_id are not inputs.
 
 A null text counts as empty; a text without words gets the score of the neutral ratio. Without
 labels of both classes every score is the share of toxic labels (0 without any). Repeated rows are
@@ -38,13 +41,16 @@ from pyspark.sql import functions as F
 
 from . import words
 from .common import table, written
+from .jaccard_join import jaccard_join
 from .labelled import fold, logistic, sample
 
 FOLDS, HELD_OUT, CUT = 4, 2, 0.3
-PER_CLASS, WINDOW, PREFIX, DISCOUNT = 4096, 24, 5, 0.75
-#: Slots, as powers of two: words and beginnings in a class, bigrams, shared counts.
+PER_CLASS, WINDOW, PREFIX = 4096, 24, 5
+LEAST_CONTEXTS, CLIP, CLEAR = 4, 6.0, 4.0
+#: Slots of a model without keys, as powers of two: words and beginnings in a class, bigrams, shared counts.
 WORD_BITS, BIGRAM_BITS, SHARED_BITS = 20, 21, 18
-LEAST, LEAST_CONTEXTS, CLIP, CLEAR = 20, 8, 6.0, 4.0
+#: Pairs that a task holds before it hands on the distinct ones.
+PAIRS = 4_000_000
 
 
 def _slot(h: np.ndarray, bits: int) -> np.ndarray:
@@ -61,33 +67,55 @@ def _tokens(text: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.nd
         yield at, first, h, words.mix(words.span_hashes(raw, starts, np.minimum(ends, starts + PREFIX)) + np.uint64(1)), before
 
 
-def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of a partition: the sketch of left contexts of each slot, words (0) and beginnings (1)."""
-    seen = np.zeros((2, 1 << SHARED_BITS, 64), np.bool_)
+def _short(h: np.ndarray) -> np.ndarray:
+    """The upper 48 bits of hashes."""
+    return (h >> np.uint64(16)).astype(np.int64)
+
+
+def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Distinct (word, short hash of a left context) and, below 0, (word, complement of that of its beginning), by word."""
+
+    def distinct(held: list[np.ndarray]) -> pa.RecordBatch:
+        word, x = np.concatenate(held, axis=1)
+        order = np.lexsort((x, word))
+        word, x = word[order], x[order]
+        new = np.r_[True, (word[1:] != word[:-1]) | (x[1:] != x[:-1])]
+        return pa.record_batch([pa.array(word[new]), pa.array(x[new])], names=["word", "x"])
+
+    held, n = [], 0
     for batch in batches:
         for _, _, word, start, before in _tokens(batch.column("text")):
-            context = (words.mix(before) & np.uint64(63)).astype(np.int64)
-            seen[0, _slot(word, SHARED_BITS), context] = True
-            seen[1, _slot(start, SHARED_BITS), context] = True
-    for kind in (0, 1):
-        mask = np.packbits(seen[kind], axis=1).view(np.int64).ravel()
-        slot = np.flatnonzero(mask)
-        yield pa.record_batch([pa.array(np.full(len(slot), kind, np.int32)), pa.array(slot.astype(np.int32)), pa.array(mask[slot])], names=["kind", "slot", "mask"])
+            if not len(word):
+                continue
+            _, one = np.unique(word, return_index=True)
+            held.append(np.stack([np.r_[word, word[one]].view(np.int64), np.r_[_short(before), ~_short(start[one])]]))
+            n += held[-1].shape[1]
+            if n >= PAIRS:
+                yield distinct(held)
+                held, n = [], 0
+    if held:
+        yield distinct(held)
+
+
+def shared_counts(docs: DataFrame) -> DataFrame:
+    """word, start, n: every word of the documents, its beginning, and how many distinct words or text starts stand before it."""
+    pairs = docs.select("text").mapInArrow(_pairs, "word long, x long").distinct()
+    return pairs.groupBy("word").agg((-1 - F.min("x")).alias("start"), F.count_if(F.col("x") >= 0).alias("n"))
 
 
 def _bigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The distinct (word before, word) slots of each text, with the slot of the word's beginning."""
+    """The distinct (word before, word) pairs of each text."""
     for batch in batches:
-        label = batch.column("label").to_numpy()
-        for at, first, word, start, before in _tokens(batch.column("text")):
+        label, of = batch.column("label").to_numpy(), batch.column("class_id").to_numpy()
+        for at, first, word, _, before in _tokens(batch.column("text")):
             row = np.repeat(np.arange(len(first) - 1), np.diff(first))
-            u, w, s = (_slot(x, WORD_BITS) for x in (before, word, start))
+            u, w = before.view(np.int64), word.view(np.int64)
             order = np.lexsort((w, u, row))
-            row, u, w, s = (x[order] for x in (row, u, w, s))
+            row, u, w = (x[order] for x in (row, u, w))
             new = np.ones(len(row), bool)
             new[1:] = (row[1:] != row[:-1]) | (u[1:] != u[:-1]) | (w[1:] != w[:-1])
-            columns = [label[at + row[new]], u[new], w[new], s[new]]
-            yield pa.record_batch([pa.array(c.astype(np.int32)) for c in columns], names=["label", "u", "w", "s"])
+            columns = [label[at + row[new]].astype(np.int32), of[at + row[new]], u[new], w[new]]
+            yield pa.record_batch([pa.array(c) for c in columns], names=["label", "class_id", "u", "w"])
 
 
 def _bigram_slot(u: np.ndarray, w: np.ndarray) -> np.ndarray:
@@ -95,9 +123,17 @@ def _bigram_slot(u: np.ndarray, w: np.ndarray) -> np.ndarray:
         return _slot(words.mix(u.astype(np.uint64) * np.uint64(1 << WORD_BITS) + w.astype(np.uint64) + np.uint64(1)), BIGRAM_BITS)
 
 
+def _place(h: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """The places of hashes among sorted keys, one behind the last for those that are not there."""
+    if not len(keys):
+        return np.zeros(len(h), np.int64)
+    at = np.searchsorted(keys, h)
+    return np.where(keys[np.minimum(at, len(keys) - 1)] == h, at, len(keys))
+
+
 @dataclass
 class KneserNey:
-    """Tables by slot; the first axis of class tables is the label.
+    """Tables by place among the keys (the last place is of all others) or, without keys, by slot; the first axis of class tables is the label.
 
     bigram, word, start: discounted probability of a kept type, by the count of its context or class.
     context: what kept bigrams leave to the lower order after a word; rest: what words and beginnings leave.
@@ -110,13 +146,25 @@ class KneserNey:
     word: np.ndarray
     start: np.ndarray
     rest: list[tuple[float, float]]
+    #: words with 0 for a text's start, beginnings, and bigrams as place of the word before * number of places + place of the word
+    keys: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None
+
+    def places(self, word: np.ndarray, start: np.ndarray, before: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Of words, beginnings, words before, bigrams, and of words and beginnings in the shared tables."""
+        if self.keys is None:
+            w, s, u = (_slot(x, WORD_BITS) for x in (word, start, before))
+            return w, s, u, _bigram_slot(u, w), _slot(word, SHARED_BITS), _slot(start, SHARED_BITS)
+        w, u, s = _place(word, self.keys[0]), _place(before, self.keys[0]), _place(_short(start), self.keys[1])
+        n = len(self.keys[0])
+        b = np.full(len(w), len(self.keys[2]))
+        both = np.flatnonzero((w < n) & (u < n))
+        b[both] = _place(u[both] * (n + 1) + w[both], self.keys[2])
+        return w, s, u, b, w, s
 
     def ratios(self, word: np.ndarray, start: np.ndarray, before: np.ndarray) -> np.ndarray:
         """log P(word | before, toxic) - log P(word | before, ordinary) of each word, within the clip."""
-        w, s, u = (_slot(x, WORD_BITS) for x in (word, start, before))
-        b = _bigram_slot(u, w)
-        base_w = self.shared_word[_slot(word, SHARED_BITS)]
-        base_s = self.shared_start[_slot(start, SHARED_BITS)]
+        w, s, u, b, shared_w, shared_s = self.places(word, start, before)
+        base_w, base_s = self.shared_word[shared_w], self.shared_start[shared_s]
         out = []
         for c in (0, 1):
             lower = (self.start[c][s] + self.rest[c][1] * base_s) * np.minimum(1.0, base_w / base_s)
@@ -156,17 +204,43 @@ def _scorer(model, finish):
     return run
 
 
-def _table(rows: pa.Table, slot: str, value: str, bits: int) -> np.ndarray:
-    out = np.zeros((2, 1 << bits))
-    np.add.at(out, (rows.column("label").to_numpy(), rows.column(slot).to_numpy()), rows.column(value).to_numpy())
-    return out
-
-
-def _contexts(types: DataFrame, of: str) -> tuple[np.ndarray, list[float]]:
-    """Of words or beginnings: kept discounted probabilities by distinct left contexts, and what they leave."""
-    counts = _table(types.groupBy("label", of).agg(F.count("*").alias("n")).toArrow(), of, "n", WORD_BITS)
-    kept = np.where(counts >= LEAST_CONTEXTS, counts - DISCOUNT, 0) / np.maximum(counts.sum(1, keepdims=True), 1)
-    return kept, (1 - kept.sum(1)).tolist()
+def _discounted(counts: np.ndarray, least: int = 1) -> np.ndarray:
+    """Of each class: counts of ``least`` and more less their discount, by leaving one out; one kind at least is taken to be seen once and twice."""
+    once, twice = (np.maximum((counts == k).sum(1), 1) for k in (1, 2))
+    return np.where(counts >= least, np.maximum(counts - (once / (once + 2 * twice))[:, None], 0), 0)
+
+
+def kneser_ney(label: np.ndarray, u: np.ndarray, w: np.ndarray, n: np.ndarray, shared: pa.Table, starts: pa.Table, total: int) -> KneserNey:
+    """Of the classes' bigrams with their counts, the shared counts of their words and beginnings, and that of all pairs."""
+    keys = np.unique(np.r_[np.uint64(0), u, w])
+    many = len(keys) + 1
+    first = starts.column("start").to_numpy()
+    order = np.argsort(first)
+    first = first[order]
+    place = _place(shared.column("word").to_numpy().view(np.uint64), keys)
+    base_w, start_of = np.full(many, np.inf), np.full(many, len(first))  # of unknown words a share of 1 cancels
+    base_w[place] = shared.column("n").to_numpy() / total
+    start_of[place] = _place(shared.column("start").to_numpy(), first)
+    base_s = np.r_[starts.column("n").to_numpy()[order] / total, 1.0]
+
+    u, w = _place(u, keys), _place(w, keys)
+    bigrams, b = np.unique(u * many + w, return_inverse=True)
+    count = np.zeros((2, len(bigrams) + 1))
+    count[label, b] = n
+    after = bigrams // many
+    kept = _discounted(count)
+    contexts, left = np.zeros((2, many)), np.ones((2, many))
+    by_word, by_start = np.zeros((2, many)), np.zeros((2, len(first) + 1))
+    for c in (0, 1):
+        contexts[c] = np.bincount(after, count[c, :-1], many)
+        left[c] = 1 - np.bincount(after, kept[c, :-1], many) / np.maximum(contexts[c], 1)
+        kept[c, :-1] /= np.maximum(contexts[c, after], 1)
+        by_word[c] = np.bincount(w[label == c], minlength=many)
+        by_start[c] = np.bincount(start_of, by_word[c], len(first) + 1)
+    own = [_discounted(x, LEAST_CONTEXTS) / np.maximum(x.sum(1, keepdims=True), 1) for x in (by_word, by_start)]
+    rest = list(zip(*((1 - x.sum(1)).tolist() for x in own), strict=True))
+    tables = (x.astype(np.float32) for x in (kept, left, *own))
+    return KneserNey(base_w, base_s, *tables, rest, (keys, first, bigrams))
 
 
 def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS):
@@ -174,39 +248,22 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS):
     picked, sizes = sample(labels, "toxic", FOLDS, HELD_OUT, per_class)
     if len(sizes) < 2:
         return None, float(sizes.get(1, 0) > 0)
-    masks = docs.select("text").mapInArrow(_shared, "kind int, slot int, mask long").groupBy("kind", "slot").agg(F.bit_or("mask").alias("mask")).toArrow()
-    kind, slot = masks.column("kind").to_numpy(), masks.column("slot").to_numpy()
-    bits = np.bitwise_count(masks.column("mask").to_numpy().view(np.uint64)).astype(np.float64)
-    shared = np.full((2, 1 << SHARED_BITS), 0.5)  # a slot without contexts keeps half a context
-    shared[kind, slot] = np.where(bits < 64, -64 * np.log(1 - np.minimum(bits, 63) / 64), 64 * np.log(64) + 1)
-    shared /= shared.sum(1, keepdims=True)
-
     # at most 2 * per_class rows: bounded by the parameter
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(picked), "doc_id")
     own = written(own.groupBy("text").agg(F.min("doc_id").alias("doc_id"), F.max("label").alias("label")), "labelled-texts")
-    calibrates = F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(4)) == 0
-    types = own.where(~calibrates).select("label", "text").mapInArrow(_bigrams, "label int, u int, w int, s int")
-    types = written(types.groupBy("label", "u", "w").agg(F.count("*").alias("n"), F.min("s").alias("s")), "bigrams")
-    known = types.groupBy("label", "w").agg(F.count("*").alias("contexts")).where(F.col("contexts") >= LEAST_CONTEXTS)
-    types = written(types.join(known, ["label", "w"], "left"), "bigrams-of-words")
-    counts = (F.col("n") >= LEAST) & F.col("contexts").isNotNull()
-    kept = F.when(counts, F.col("n") - DISCOUNT).otherwise(0.0)
-    contexts = types.groupBy("label", "u").agg(F.sum("n").alias("n"), F.sum(kept).alias("kept")).where("kept > 0").toArrow()
-    many, most = (_table(contexts, "u", k, WORD_BITS) for k in ("n", "kept"))
-    frequent = types.where(counts).select("label", "u", "w", kept.alias("p")).toArrow()
-    label, u, w = (frequent.column(k).to_numpy() for k in ("label", "u", "w"))
-    share = pa.array(frequent.column("p").to_numpy() / many[label, u])
-    bigram = frequent.append_column("b", pa.array(_bigram_slot(u, w))).append_column("share", share)
-    word, words_leave = _contexts(types, "w")
-    start, starts_leave = _contexts(types, "s")
-    model = KneserNey(
-        *shared,
-        _table(bigram, "b", "share", BIGRAM_BITS).astype(np.float32),
-        (1 - most / np.maximum(many, 1)).astype(np.float32),
-        word.astype(np.float32),
-        start.astype(np.float32),
-        list(zip(words_leave, starts_leave, strict=True)),
-    )
+    classes = jaccard_join(own).select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"))
+    own = written(own.join(classes, "doc_id"), "labelled-classes")
+    calibrates = F.pmod(F.xxhash64("class_id", F.lit(5)), F.lit(4)) == 0
+    types = own.where(~calibrates).select("label", "class_id", "text").mapInArrow(_bigrams, "label int, class_id long, u long, w long")
+    types = written(types.distinct().groupBy("label", "u", "w").agg(F.count("*").cast("int").alias("n")), "bigrams")
+    counts = written(shared_counts(docs), "shared-counts")
+    shared = counts.join(types.select(F.col("w").alias("word")).distinct(), "word")
+    starts = counts.groupBy("start").agg(F.sum("n").alias("n")).join(shared.select("start").distinct(), "start")
+    total = counts.agg(F.coalesce(F.sum("n"), F.lit(1))).first()[0]
+    found = types.toArrow()
+    label, n = found.column("label").to_numpy(), found.column("n").to_numpy()
+    u, w = (found.column(k).to_numpy().view(np.uint64) for k in "uw")
+    model = kneser_ney(label, u, w, n, shared.select("word", "start", "n").toArrow(), starts.select("start", "n").toArrow(), total)
     model = docs.sparkSession.sparkContext.broadcast(model)
 
     def features(found: np.ndarray, batch: pa.RecordBatch) -> pa.RecordBatch:
