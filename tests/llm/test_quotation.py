@@ -89,3 +89,21 @@ def test_odd_rows(spark):
     got = link_conversations(docs).collect()
     assert len(got) == len(rows) and sorted(r.position for r in got if r.conv_id == 1) == [0, 1, 2]
     assert link_conversations(docs.where("false")).count() == 0
+
+
+def test_quotes_of_some_lines_short_quotes_and_other_conversations(spark):
+    """Every run of consecutive lines of a message against a search for it, short quotes within the conversation only."""
+    said = [f"alpha{k} beta{k} gamma{k} delta{k}" for k in range(7)]
+    wrong = [said[0], said[1], said[3]]  # its lines are all there, but do not follow one another
+    quotes = [said[i : i + k] for k in range(1, 8) for i in range(8 - k)] + [wrong, ["I agree"], [said[1], said[2], said[1]]]
+    rows = [(1, 0, "user", "\n".join([*said[:3], "", *said[3:]])), (1, 1, "user", "I agree\nmore or less")]
+    rows += [(1, 2 + k, "user", "\n".join(["> " + line for line in q] + [f"answer number {k} to it"])) for k, q in enumerate(quotes)]
+    rows += [(2, 0, "user", "> I agree\nnothing like it was said here"), (2, 1, "user", f"> {said[4]}\n> {said[5]}\nelsewhere two lines stand")]
+    # conversation 0 has the passage only behind its quote, conversation 3 has it too
+    rows += [(0, 0, "user", "> one two three four five\nwho said so"), (0, 1, "user", "one two three four five"), (3, 0, "user", "one two three four five")]
+    got = {(r.conv_id, r.turn): r for r in link_conversations(spark.createDataFrame(rows, SCHEMA)).collect()}
+    for k, q in enumerate(quotes):
+        r = got[1, 2 + k]
+        holds = any(said[i : i + len(q)] == q for i in range(8 - len(q)))
+        assert (r.linked, r.parent_turn) == ((1, 0) if holds else (1, 1) if q == ["I agree"] else (0, 1 + k)), q
+    assert [got[x].linked for x in ((2, 0), (2, 1), (0, 0))] == [0, 1, 1]

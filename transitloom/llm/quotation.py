@@ -6,10 +6,13 @@ level; a run of level k is a passage quoted at depth k, the runs of level 0 are
 words. Attribution lines ("On ... wrote:") directly before a quote are part of it and go with it.
 
 Passages are normalised (letters and digits, lower-cased, one space between words) and hashed. A
-message offers for linking its own text as a whole and each of its own paragraphs; both sides are
-combined by hash before they meet, so however often a passage is quoted or written, the equi-join
-sees a hash from each side once. A quote is linked to the latest earlier message of its own
-conversation that offers the passage, and else to the earliest message of any other; a message's
+message offers for linking its own text as a whole, each of its own paragraphs, and any run of
+consecutive own lines (lines without words do not count). Of a message's runs only those of 2, 4, 8 ... lines are
+hashed; a quote of other length meets a message where its first and its last such run stand at the right
+distance. Both sides are combined by hash before they meet, so that however often a passage is quoted or
+written, the equi-join sees a hash from each side once. A quote is linked to the latest earlier message of
+its own conversation that offers the passage, and else, if it has ``LEAST_WORDS`` words, to the earliest
+message of any other; a message's
 parent is the message that its first quote of level 1 is linked to within the conversation, and
 without one the message before it.
 
@@ -27,18 +30,21 @@ conv_id is a conversation of its own. Empty input gives an empty result. Extra c
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from . import words
 from .common import table, written
 
 _LEVEL = re.compile(r"^\s{0,3}((?:>\s?)+)")
 _ATTRIBUTION = re.compile(r"^\s*(?:on\b.*\bwrote|am\b.*\bschrieb\b.*|le\b.*\ba écrit|el\b.*\bescribió)\s*:\s*$", re.I)
-#: Words that a passage must have to be linked.
+#: Words that a passage must have to be linked to another conversation.
 LEAST_WORDS, PART = 4, 4096
 
 
@@ -77,21 +83,61 @@ def normalise(passage: str) -> str:
 
 
 def _passages(own: str) -> list[str]:
-    found = [normalise(own), *(normalise(p) for p in re.split(r"\n\s*\n|\n", own))]
-    return [p for p in dict.fromkeys(found) if p.count(" ") + 1 >= LEAST_WORDS]
+    """The text as a whole, its paragraphs and its lines; longer runs of lines are offered by ``_runs``."""
+    found = [normalise(own), *(normalise(p) for p in re.split(r"\n\s*\n", own)), *(normalise(p) for p in own.split("\n"))]
+    return [p for p in dict.fromkeys(found) if p]
+
+
+def _runs(text: str) -> list[np.ndarray]:
+    """Hashes of the runs of 2, 4, 8 ... lines, by their first line; lines without words are left out."""
+    lines = [line for line in map(normalise, text.split("\n")) if line]
+    h = np.array([int.from_bytes(hashlib.blake2b(line.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big") for line in lines], np.uint64)
+    out, size = [], 1
+    while 2 * size <= len(lines):
+        with np.errstate(over="ignore"):
+            h = words.mix(words.mix(h[:-size]) * np.uint64(3) + h[size:])
+        size *= 2
+        out.append(h.view(np.int64))
+    return out
+
+
+def _asked(passage: str) -> dict:
+    """Hashes of a quote's first and last longest run, and how many lines the last begins behind the first."""
+    runs = _runs(passage)
+    return {"first": int(runs[-1][0]), "last": int(runs[-1][-1]), "behind": len(runs[-1]) - 1} if runs else {}
 
 
 def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    quote = pa.struct([("level", pa.int32()), ("passage", pa.string())])
+    quote = pa.struct([("level", pa.int32()), ("passage", pa.string()), ("first", pa.int64()), ("last", pa.int64()), ("behind", pa.int32())])
+    run = pa.struct([("line", pa.int32()), ("hash", pa.int64())])
     for batch in batches:
-        own, offered, quotes = [], [], []
+        own, offered, runs, quotes = [], [], [], []
         for text in batch.column("text").to_pylist():
             kept, found = parse_quotes(text or "")
             own.append(kept)
             offered.append(_passages(kept))
-            quotes.append([{"level": level, "passage": normalise(p)} for level, p in found])
-        columns = [*batch.columns[:-1], pa.array(own, pa.string()), pa.array(offered, pa.list_(pa.string())), pa.array(quotes, pa.list_(quote))]
-        yield pa.RecordBatch.from_arrays(columns, [*batch.schema.names[:-1], "own", "offered", "quotes"])
+            runs.append([{"line": k, "hash": h} for size in _runs(kept) for k, h in enumerate(size.tolist())])
+            quotes.append([{"level": level, "passage": normalise(p)} | _asked(p) for level, p in found])
+        columns = [*batch.columns[:-1], pa.array(own, pa.string()), pa.array(offered, pa.list_(pa.string())), pa.array(runs, pa.list_(run)), pa.array(quotes, pa.list_(quote))]
+        yield pa.RecordBatch.from_arrays(columns, [*batch.schema.names[:-1], "own", "offered", "runs", "quotes"])
+
+
+def _hashed(q):
+    far = F.size(F.split(q["passage"], " ")) >= LEAST_WORDS
+    hashed = F.when(q["passage"] != "", F.xxhash64(q["passage"]))
+    return F.struct(q["level"].alias("level"), hashed.alias("hash"), far.alias("far"), *[q[c].alias(c) for c in ("first", "last", "behind")])
+
+
+def _offers(parsed: DataFrame, quoted: DataFrame) -> DataFrame:
+    """conv, place, hash of what messages offer: passages, and runs of lines that are quoted somewhere."""
+    asked = quoted.where(F.col("first").isNotNull()).select("hash", "first", "last", "behind").distinct()
+    either = asked.select(F.explode(F.array("first", "last")).alias("run")).distinct()
+    runs = parsed.where(F.size("runs") > 0).select("conv", "place", F.explode("runs").alias("r")).select("conv", "place", "r.line", F.col("r.hash").alias("run"))
+    runs = written(runs.join(either.hint("merge"), "run", "left_semi"), "quoted-runs")
+    begun = runs.join(asked.withColumnRenamed("first", "run").hint("merge"), "run")
+    begun = begun.select("conv", "place", "hash", (F.col("line") + F.col("behind")).alias("line"), F.col("last").alias("run"))
+    whole = begun.join(runs.hint("merge"), ["conv", "place", "line", "run"], "left_semi").select("conv", "place", "hash")
+    return parsed.select("conv", "place", F.explode("offered").alias("hash")).unionByName(whole).distinct()
 
 
 def messages(conversations: DataFrame) -> DataFrame:
@@ -102,7 +148,8 @@ def messages(conversations: DataFrame) -> DataFrame:
         F.col("role").cast("string").alias("role"),
         F.coalesce(F.col("text"), F.lit("")).alias("text"),
     )
-    kinds = "conv_id long, turn long, role string, digest long, own string, offered array<string>, quotes array<struct<level:int,passage:string>>"
+    kinds = "conv_id long, turn long, role string, digest long, own string, offered array<string>, runs array<struct<line:int,hash:long>>, "
+    kinds += "quotes array<struct<level:int,passage:string,first:long,last:long,behind:int>>"
     parsed = columns.select("conv_id", "turn", "role", F.xxhash64("text").alias("digest"), "text").mapInArrow(_parse, kinds)
     # passages stay behind as hashes
     hashed = parsed.select(
@@ -112,7 +159,8 @@ def messages(conversations: DataFrame) -> DataFrame:
         "digest",
         "own",
         F.transform("offered", lambda p: F.xxhash64(p)).alias("offered"),
-        F.transform("quotes", lambda q: F.struct(q["level"].alias("level"), F.when(F.size(F.split(q["passage"], " ")) >= LEAST_WORDS, F.xxhash64(q["passage"])).alias("hash"))).alias("quotes"),
+        "runs",
+        F.transform("quotes", _hashed).alias("quotes"),
     )
     part = F.coalesce(F.expr(f"turn div {PART}"), F.lit(2**62))
     hashed = written(hashed.withColumns({"row_no": F.monotonically_increasing_id(), "conv": _conv("conv_id"), "part": part}), "messages")
@@ -125,22 +173,27 @@ def messages(conversations: DataFrame) -> DataFrame:
 
 def links(parsed: DataFrame) -> DataFrame:
     """conv_id, place, quote_no, level, from_conv, from_place of every quote that is found elsewhere."""
-    offers = parsed.select("conv", "place", F.explode("offered").alias("hash"))
-    quoted = parsed.select("conv", "place", F.posexplode("quotes").alias("quote_no", "quote")).select("conv", "place", "quote_no", "quote.level", "quote.hash")
+    quoted = parsed.select("conv", "place", F.posexplode("quotes").alias("quote_no", "quote")).select("conv", "place", "quote_no", "quote.*")
     quoted = quoted.where(F.col("hash").isNotNull())
+    offers = _offers(parsed, quoted)
     # within the conversation: the latest earlier offer, by a running maximum over both in one order
-    own = offers.select("conv", "hash", "place", F.col("place").alias("offer"), F.lit(None).cast("int").alias("quote_no"), F.lit(None).cast("int").alias("level"))
+    own = offers.select("conv", "hash", "place", F.col("place").alias("offer"), F.lit(None).cast("int").alias("quote_no"), F.lit(None).cast("int").alias("level"), F.lit(None).cast("boolean").alias("far"))
     asked = quoted.groupBy("conv", "hash").agg(F.first("level").alias("any")).drop("any")
     own = own.join(asked, ["conv", "hash"], "left_semi")
-    asks = quoted.select("conv", "hash", "place", F.lit(None).cast("long").alias("offer"), "quote_no", "level")
+    asks = quoted.select("conv", "hash", "place", F.lit(None).cast("long").alias("offer"), "quote_no", "level", "far")
     before = Window.partitionBy("conv", "hash").orderBy("place").rangeBetween(Window.unboundedPreceding, -1)
     near = own.unionByName(asks).withColumn("from_place", F.max("offer").over(before)).where(F.col("quote_no").isNotNull())
-    # elsewhere: the earliest offer of the hash; both sides have a hash once
-    wanted = near.where(F.col("from_place").isNull()).groupBy("hash").agg(F.count("*").alias("asked"))
-    first = offers.groupBy("hash").agg(F.min(F.struct("conv", "place")).alias("at"))
-    far = first.join(wanted.hint("merge"), "hash").select("hash", "at")
+    # elsewhere: the earliest offer of the hash, or that of the next conversation where it is in the quote's own; both sides have a hash once
+    wanted = near.where(F.col("from_place").isNull() & F.col("far")).groupBy("hash").agg(F.count("*").alias("asked"))
+    spoken = offers.join(wanted.hint("merge"), "hash", "left_semi").groupBy("hash", "conv").agg(F.min("place").alias("place"))
+    spoken = written(spoken, "quoted-elsewhere")
+    first = spoken.groupBy("hash").agg(F.min(F.struct("conv", "place")).alias("least"))
+    rest = spoken.join(first.hint("merge"), "hash").where(F.col("conv") != F.col("least.conv"))
+    second = rest.groupBy("hash").agg(F.min(F.struct("conv", "place")).alias("next"))
+    far = first.join(second.hint("merge"), "hash", "left")
     found = near.join(far.hint("merge"), "hash", "left")
-    foreign = F.col("at.conv") != F.col("conv")
+    found = found.withColumn("at", F.when(F.col("far"), F.when(F.col("least.conv") != F.col("conv"), F.col("least")).otherwise(F.col("next"))))
+    foreign = F.col("at").isNotNull()
     return found.where(F.col("from_place").isNotNull() | foreign).select(
         "conv",
         "place",
