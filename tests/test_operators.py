@@ -195,3 +195,16 @@ def test_configuration():
             RunConfig("x", **bad)
     with pytest.raises(ConfigError):
         parse_types(["spaceship"])
+
+
+@pytest.mark.parametrize("lat", [51.6, 60.0, 70.0])
+def test_corridor_pixels_at_northern_latitudes(spark, lat):
+    """A north-south corridor against every pixel of the raster."""
+    west, step = 30.0, 0.001
+    pixels = [("t", r, c, lat + 0.02 - (r + 0.5) * step, west + (c + 0.5) * step, 1.0) for r in range(20) for c in range(60)]
+    rows = spark.createDataFrame(pixels, "tile_id string, row_no long, col_no long, lat double, lon double, raw_value double")
+    points = spark.createDataFrame([(1, 0, k, lat + 0.005 + 0.01 * k, west + 0.03) for k in range(2)], "route_id long, di int, seq int, lat double, lon double")
+    got = raster.corridor_sums(points, rows, 400.0, north=lat + 0.02, west=west, step=step).first()
+    shrink = math.cos(math.radians(lat + 0.01))
+    away = lambda p: 111.0 * math.hypot((p[4] - west - 0.03) * shrink, max(lat + 0.005 - p[3], 0.0, p[3] - lat - 0.015))
+    assert got.pixels == sum(away(p) <= 0.4 for p in pixels)

@@ -52,8 +52,9 @@ def corridor_sums(points: DataFrame, pixels: DataFrame, buffer_m: float, north:
     A segment meets the pixels of its rows and columns, a buffer wider, by an equi-join.
     """
     high = buffer_m / 111_000.0
-    wide = high / 0.6
     seg = segments(points)
+    # as the distance shrinks longitudes, at the segment's middle latitude
+    wide = F.lit(high) / F.least(F.lit(0.6), F.cos(F.radians((F.col("lat1") + F.col("lat2")) / 2)))
     rows = [F.floor((F.lit(north) - x) / step).cast("bigint") for x in (F.greatest("lat1", "lat2") + high, F.least("lat1", "lat2") - high)]
     cols = [F.floor((x - F.lit(west)) / step).cast("bigint") for x in (F.least("lon1", "lon2") - wide, F.greatest("lon1", "lon2") + wide)]
     seg = seg.withColumn("row_no", F.explode(F.sequence(rows[0], rows[1] + 1))).withColumn("col_no", F.explode(F.sequence(cols[0], cols[1] + 1)))
