@@ -5,6 +5,8 @@ import re
 import duckdb
 import numpy as np
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
 import corpus_pipeline
 from transitloom.llm import decontamination, html_extraction, merkle_audit
@@ -100,14 +102,14 @@ TEXT = "Title {n}\n\nFirst & best paragraph of page {n}, long enough. More text.
 
 def test_extraction(spark):
     rows = [(n, f"http://a.example/{n}", PAGE.replace("{n}", str(n))) for n in range(4)]
-    rows += [(10, "http://a.example/x", "<p>no such path"), (11, None, None), (12, "", "<"), (13, "no url", "<div>unclosed &am <b>bold</div> tail <img alt='>'>"), (0, "http://b.example", "<article><p>" + "w " * 200_000)]
+    rows += [(10, "http://a.example/x", "<p>no such path"), (11, None, None), (12, "", "<a"), (14, "", "1 < 2"), (13, "no url", "<div>unclosed &am <b>bold</div> tail <img alt='>'>"), (0, "http://b.example", "<article><p>" + "w " * 200_000)]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string").selectExpr("*", "1 AS host", "'x' AS path")
     got = {(r.page_id, r.url): r for r in html_extraction.extract(pages).collect()}
     for n in range(4):
         assert got[n, f"http://a.example/{n}"].text == TEXT.replace("{n}", str(n))
         assert got[n, f"http://a.example/{n}"].path == "html>body.home>div>div.content.post-"
     assert got[10, "http://a.example/x"].text == "no such path"
-    assert got[11, None].text == "" and got[12, ""].text == "" and got[13, "no url"].text == "unclosed &am bold\n\ntail"
+    assert got[11, None].text == "" and got[12, ""].text == "" and got[14, ""].text == "1 < 2" and got[13, "no url"].text == "unclosed &am bold\n\ntail"
     assert got[0, "http://b.example"].n_chars == 2 * 200_000 - 1
     assert html_extraction.extract(pages.where("false")).count() == 0
 
@@ -121,12 +123,52 @@ def test_extraction(spark):
         ("<main><header><h2>Heading</h2><p>by line</p></header><p title='broken\">body text</p></main><aside>x</aside>", ["Heading", "body text"]),
         ("<div class='cookie-notice'>We use cookies</div><div class='story'><p>A<p>B<form>f<p>g</form><blockquote>C</blockquote></div><div hidden>no</div>", ["A", "B", "C"]),
         ("<div role=navigation>menu</div><section><h1>T &#233;&eacute;</h1>loose <i>inline</i> text<hr>after</section>", ["T éé", "loose inline text", "after"]),
+        ('<article><p>First here</p><svg class="i"/><p>Second here</p></article>', ["First here", "Second here"]),
+        ('<article><p>a <svg><title>no</title><svg><g/></svg></svg>b <math/>c <math><mi>x</mi><annotation>no</annotation></math></p><p>d</p></article>', ["a b c x", "d"]),
+        ("<article><p>Press <button>Share</p><p>All of the rest</p></article><div><button>x</button></div>", ["Press Share", "All of the rest"]),
+        ("<article><p>Press <button type=button>Share</button> now</p><video><p>No player</p></video><select><option>o</select><p>rest</p></article>", ["Press now", "rest"]),
+        ("<article><p>kept</p><div class='comment-body'><p>reader</p></div><div id='comments' class='content'><p>reader</p></div></article>", ["kept"]),
+        ("<main><article class='post has-comments tag-forms'><p>kept words</p></article><ol><li><article class='comment'><p>a reader's long words, many of them</p></article></ol></main>", ["kept words"]),
+        ("<div class='layout-sidebar-left'><p>kept text of some length</p><div class='sidebar-content'><p>side</p></div><div class='page-footer'>foot</div></div>", ["kept text of some length"]),
+        ("<div class='content-sidebar-wrap'><main><p>kept text</p></main><div class=sidebar>side</div></div>", ["kept text"]),
+        ("<form id=all action=/><div class=menu><a>m</a></div><div><h1>Title</h1><p>The page is one form.</p></div><form><input></form></form>", ["Title", "The page is one form."]),
+        ("<article><p>kept text</p><form><label>Mail</label></form></article>", ["kept text"]),
+        ("<article><p>3 < 4, a <b>bold</b> a<b> and</p>stays: 3 < 4 and more</article>", ["3 < 4, a bold a and", "stays: 3 < 4 and more"]),
+        ("<article><div class='post-header'><h2>Head</h2><p>by line</p></div><p>words of the body</p></article>", ["Head", "words of the body"]),
     ],
 )
 def test_blocks_of_main_text(body, text):
-    blocks, containers = html_extraction.parse(f"<html><body>{body}</body></html>")
-    _, first, last, _, _ = html_extraction.best(containers)
-    assert [t for t, apart in blocks[first:last] if not apart] == text
+    blocks, containers, _ = html_extraction.parse(f"<html><body>{body}</body></html>")
+    own = html_extraction.best(containers)
+    assert [t for t, apart in blocks[own.first : own.last] if not apart] == text
+
+
+def test_last_text_with_a_bare_sign():
+    assert html_extraction.text_by_path("<p>one</p>stays: 3 < 4 and more", None) == "one\n\nstays: 3 < 4 and more"
+    assert html_extraction.text_by_path("<p>one</p>stays <a href='x", None) == "one\n\nstays"
+
+
+def test_deep_pages_take_memory_by_their_length():
+    import tracemalloc
+
+    page = "<div class=level>x" * 50_000
+    tracemalloc.start()
+    assert html_extraction.text_by_path(page, "div.level").count("x") == 50_000
+    assert tracemalloc.get_traced_memory()[1] < 200e6
+    tracemalloc.stop()
+
+
+@given(st.lists(st.sampled_from("<div> </div> <p> </p> <svg> </svg> <svg/> <button> </button> <form> <article> </article> <b a=' <!-- --> < & x y <li class=ad> <script> </script> \x00".split(" ")), max_size=60))
+@settings(max_examples=300, deadline=None)
+def test_any_markup_is_read(parts):
+    page = "".join(parts)
+    text = html_extraction.text_by_path(page, None)
+    assert "\n\n\n" not in text and text == text.strip()
+    blocks, containers, nodes = html_extraction.parse(page)
+    assert all(0 <= c.first < c.last <= len(blocks) for c in containers)
+    keys = html_extraction.path_keys(nodes)
+    paths = [html_extraction.path_of(nodes, k) for k in range(len(nodes))]
+    assert len(set(keys)) == len(set(paths))
 
 
 def test_extraction_by_salted_join(spark, monkeypatch):

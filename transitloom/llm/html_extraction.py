@@ -9,9 +9,15 @@ path goes by its own best container.
 Never part of the text: scripts, styles, comments and other non-text elements, hidden elements,
 and, at any depth, elements that are menus, headers, footers, sidebars, notices, adverts, forms or
 reader comments by their tag, role, class or id (headings in a header inside an article are kept).
+A class speaks for itself: ``sidebar-content`` and ``comment-body`` are boilerplate, ``has-sidebar`` is not.
+A form that wraps the page, and a marked element that holds the main or most of an article, stays.
 Character references are decoded, white space inside a block becomes one space, blocks are
 trimmed and joined by an empty line in page order; nothing is capped.
 
+Only scripts, styles, titles, iframes and the like run to the end of a page when they are left open. A
+button, drawing or player that is never closed, or that ends behind its parent, is an empty element, and a ``<`` that
+begins no tag is text. Memory and time grow with the page's length, whatever its depth.
+
 A null or empty page, and one without text outside boilerplate, gives an empty text. A null url, or
 one without a host, counts as the host "". Unclosed and stray tags are tolerated. Repeated rows are
 extracted each. Empty input gives an empty result; extra columns are ignored.
@@ -21,9 +27,13 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
+from itertools import accumulate
+from typing import NamedTuple
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,58 +43,123 @@ from .common import table, written
 BROADCAST_HOSTS, SALTS = 200_000, 32
 
 _TOKEN = re.compile(
-    r"<!--.*?(?:-->|$)"
-    r"|<(script|style|noscript|template|svg|math|iframe|object|canvas|audio|video|textarea|select|button|title)\b(?:[^<>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|$)"
+    r"<!--.*?(?:-->|\Z)"
+    r"|<(script|style|noscript|iframe|textarea|title)\b(?:[^<>\"']++|\"[^\"]*+\"|'[^']*+')*+>.*?(?:</\1\s*>|\Z)"
     r"|<[!?][^>]*>"
-    r"|<(/?)([a-zA-Z][\w:-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)>"
+    r"|<(/?)([a-zA-Z][\w:-]*)((?:[^<>\"']++|\"[^\"]*+\"|'[^']*+')*+)>"
     r"|<(/?)([a-zA-Z][\w:-]*)([^<>]*)>",  # a quote that is not closed
     re.S | re.I,
 )
+_CUT_TAG = re.compile(r"<[a-zA-Z/!?][^<]*\Z")
 _ATTRIBUTE = re.compile(r"([\w:-]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'<>]+)))?")
 _CONTAINERS = frozenset("html body main article section div nav aside header footer form table td th dialog menu ul ol dl details fieldset figure center".split())
 _BLOCKS = _CONTAINERS - {"td", "th"} | frozenset("p h1 h2 h3 h4 h5 h6 li dt dd tr blockquote pre hr figcaption caption address summary legend thead tbody".split())
 _SPACED = frozenset("br td th img wbr option".split())
-_VOID = frozenset("hr br img wbr input meta link base area col embed source track param".split())
 _HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
-_APART_TAGS = frozenset("nav aside header footer form dialog menu head".split())
+#: Elements whose content is no text of the page.
+_SILENT = re.compile(r"<(/?)(svg|annotation|annotation-xml|object|canvas|audio|video|select|datalist|button|template)\b((?:[^<>\"']++|\"[^\"]*+\"|'[^']*+')*+)>", re.I)
+_BLOCK_TAG = re.compile(rf"<(/?)({'|'.join(sorted(_BLOCKS | {'td', 'th'}, key=len, reverse=True))})\b", re.I)
+_APART_TAGS = frozenset("nav aside header footer dialog menu head".split())
 _APART_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar form".split())
-_APART_WORDS = frozenset(
+_COMMENT_WORDS = frozenset("comment comments commentlist reply replies respond responses disqus discussion reviews guestbook".split())
+_APART_WORDS = _COMMENT_WORDS | frozenset(
     "ad ads adv advert adverts advertisement advertising adsense banner banners sponsor sponsored promo promotion promoted "
     "sidebar sidenav rail menu nav navbar navigation topnav subnav breadcrumb breadcrumbs header masthead topbar footer foot colophon "
     "cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup share sharing social "
-    "related recommended comment comments commentlist reply replies respond responses disqus discussion reviews guestbook pagination pager widget widgets toolbar "
-    "login register search form copyright disclaimer".split()
+    "related recommended pagination pager widget widgets toolbar login register search form copyright disclaimer".split()
 )
-_MAIN_WORDS = frozenset("content main article post entry story text body page wrapper container layout with has".split())
+#: Words of a class that tell of the element's surroundings or subject, not of its own part.
+_ABOUT_WORDS = frozenset("has have with without no not is layout category cat tag type format status template".split())
+_WRAP_WORDS, _MAIN_WORDS = frozenset("wrap wrapper container area inner".split()), frozenset("content main article post entry story".split())
+
+
+class Block(NamedTuple):
+    text: str
+    linked: int
+    apart: bool
+    #: the innermost element around it that may turn out to be boilerplate, or -1
+    doubtful: int
+
+
+class Container(NamedTuple):
+    node: int
+    depth: int
+    first: int
+    last: int
+    good: int
+    bad: int
 
 
 def _attributes(text: str) -> dict[str, str]:
     return {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _ATTRIBUTE.finditer(text)}
 
 
-def _apart(tag: str, attributes: dict[str, str]) -> bool:
-    """Whether an element is boilerplate by its tag, role, class or id, or hidden."""
+def _marks(attributes: dict[str, str]) -> frozenset[str]:
+    """The boilerplate words of the class names and the id that speak for the element itself."""
+    found: frozenset[str] = frozenset()
+    for token in [*attributes.get("class", "").split(), *attributes.get("id", "").split()]:
+        words = set(re.findall(r"[a-z]+", re.sub(r"(?<=[a-z])(?=[A-Z])", " ", token).lower()))
+        marks = words & _APART_WORDS
+        if marks and not words & _ABOUT_WORDS and (marks & _COMMENT_WORDS or not (words & _WRAP_WORDS and words & _MAIN_WORDS)):
+            found |= marks
+    return found
+
+
+def _apart(tag: str, attributes: dict[str, str]) -> str:
+    """"yes" for boilerplate, "header" for one whose headings may count, "form", "name" by class or id only, or ""."""
     if tag in ("html", "body"):
-        return False
-    if tag in _APART_TAGS or attributes.get("role", "").lower() in _APART_ROLES:
-        return True
+        return ""
     if "hidden" in attributes or attributes.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none", attributes.get("style", "")):
-        return True
-    named = f"{attributes.get('class', '')} {attributes.get('id', '')}"
-    words = set(re.findall(r"[a-z]+", re.sub(r"(?<=[a-z])(?=[A-Z])", " ", named).lower()))
-    return tag not in ("main", "article") and bool(words & _APART_WORDS) and not words & _MAIN_WORDS
+        return "yes"
+    if tag in _APART_TAGS or attributes.get("role", "").lower() in _APART_ROLES:
+        return "header" if tag == "header" else "yes"
+    marks = _marks(attributes)
+    if marks & _COMMENT_WORDS:
+        return "yes"
+    if tag in ("main", "article"):
+        return ""
+    if marks:
+        return "header" if marks <= {"header", "masthead"} else "name"
+    return "form" if tag == "form" else ""
+
+
+def _silent(page: str) -> dict[int, int]:
+    """Where the silent elements begin and end; one that is not closed within its parent ends at its own tag."""
+    spans: dict[int, int] = {}
+    opened: dict[str, list[int]] = {}
+    for m in _SILENT.finditer(page):
+        tag = m[2].lower()
+        if not m[1]:
+            spans[m.start()] = m.end()
+            if not (m[3].endswith("/") and tag in ("svg", "annotation")):
+                opened.setdefault(tag, []).append(m.start())
+        elif opened.get(tag):
+            start, depth = opened[tag].pop(), 0
+            for inner in _BLOCK_TAG.finditer(page, spans[start], m.start()):
+                name = inner[2].lower()
+                depth += (-1 if inner[1] else 1) if name not in ("p", "li", "dt", "dd", "tr", "td", "th", "hr", "thead", "tbody") else 0
+                if depth < 0 or inner[1] and name == "p" and "<p" not in page[spans[start] : inner.start()].lower():
+                    break
+            else:
+                spans[start] = m.end()
+    return spans
 
 
-def parse(page: str) -> tuple[list[tuple[str, bool]], list[tuple[str, int, int, int, int]]]:
-    """``(blocks, containers)`` of a page.
+def parse(page: str) -> tuple[list[tuple[str, bool]], list[Container], list[tuple[int, str]]]:
+    """``(blocks, containers, nodes)`` of a page.
 
-    blocks: (text, whether it is boilerplate). containers: (generalised path, first and last block,
-    characters outside links, characters of boilerplate and links).
+    blocks: (text, whether it is boilerplate). containers: their node, depth, first and last block,
+    characters outside links, characters of boilerplate and links. nodes: (parent, name) of the containers.
     """
-    blocks: list[tuple[str, bool]] = []
-    containers: list[tuple[str, int, int, int, int]] = []
-    # open elements: tag, path, first block, good and bad characters, whether apart
-    stack: list[list] = [["", "", 0, 0, 0, False]]
+    blocks: list[Block] = []
+    nodes: list[tuple[int, str]] = [(-1, "")]
+    found: list[tuple[int, int, int, int, bool, int]] = []
+    # open elements: tag, node, first block, whether apart, the innermost doubtful element
+    stack: list[tuple[str, int, int, str, int]] = [("", 0, 0, "", -1)]
+    opened: Counter = Counter()
+    # doubtful elements: [outer one, kind, first block, last block, holds a main, holds an article or h1]
+    doubtful: list[list] = []
+    silent = _silent(page)
     piece: list[str] = []
     linked, link_depth, articles, heading, leaf_apart = 0, 0, 0, False, False
 
@@ -93,24 +168,28 @@ def parse(page: str) -> tuple[list[tuple[str, bool]], list[tuple[str, int, int,
         text = " ".join(html.unescape("".join(piece)).split())
         piece.clear()
         if text:
-            top = stack[-1]
-            apart = leaf_apart or top[5] and not (heading and articles and top[5] == "header")
-            blocks.append((text, bool(apart)))
-            links = min(linked, len(text))
-            top[3] += 0 if apart else len(text) - links
-            top[4] += len(text) if apart else links
+            _, _, _, apart, doubt = stack[-1]
+            kept = not apart or apart == "header" and heading and articles
+            blocks.append(Block(text, min(linked, len(text)), bool(leaf_apart or not kept), doubt))
         linked = 0
 
     def close() -> None:
         nonlocal articles
-        if stack[-1][5] and not stack[-2][5]:
+        if stack[-1][3:] != stack[-2][3:]:
             flush()
-        tag, path, first, good, bad, apart = stack.pop()
+        tag, node, first, apart, doubt = stack.pop()
+        opened[tag] -= 1
         articles -= tag in ("article", "main")
-        stack[-1][3] += good
-        stack[-1][4] += bad
-        if not apart and len(blocks) > first:
-            containers.append((path, first, len(blocks), good, bad))
+        if doubt != stack[-1][4]:
+            doubtful[doubt][3] = len(blocks)
+        if len(blocks) > first:
+            found.append((node, len(stack), first, len(blocks), bool(apart), doubt))
+
+    def holds(tag: str) -> None:
+        doubt = stack[-1][4]
+        while doubt >= 0 and not doubtful[doubt][4 if tag == "main" else 5]:
+            doubtful[doubt][4 if tag == "main" else 5] = True
+            doubt = doubtful[doubt][0]
 
     def text_of(text: str) -> None:
         nonlocal linked
@@ -120,9 +199,11 @@ def parse(page: str) -> tuple[list[tuple[str, bool]], list[tuple[str, int, int,
 
     at = 0
     for m in _TOKEN.finditer(page):
+        if m.start() < at:
+            continue  # inside a silent element
         if m.start() > at:
             text_of(page[at : m.start()])
-        at = m.end()
+        at = silent.get(m.start(), m.end())
         tag = (m[3] or m[6] or "").lower()
         if not tag:
             continue
@@ -136,63 +217,112 @@ def parse(page: str) -> tuple[list[tuple[str, bool]], list[tuple[str, int, int,
             link_depth = 0
             if tag in _HEADINGS:
                 heading = not ends
+                if tag == "h1" and not ends:
+                    holds(tag)
             if tag not in _CONTAINERS:
-                leaf_apart = not ends and bool(written) and _apart(tag, _attributes(written))
+                leaf_apart = not ends and bool(written) and bool(_apart(tag, _attributes(written)))
         if tag in _CONTAINERS:
             leaf_apart = False
             if ends:
-                if any(e[0] == tag for e in stack[1:]):
+                if opened[tag]:
                     while stack[-1][0] != tag:
                         close()
                     close()
             else:
                 attributes = _attributes(written) if written else {}
-                name = ".".join([tag, *sorted(re.sub(r"\d+", "", c.lower()) for c in attributes.get("class", "").split())])
-                apart = stack[-1][5] or (tag if _apart(tag, attributes) else False)
-                if apart and not stack[-1][5]:
+                kind = _apart(tag, attributes)
+                if tag in ("main", "article") and not kind:
+                    holds(tag)
+                if tag in ("td", "th") and kind:
                     flush()
+                _, outer, _, apart, doubt = stack[-1]
+                if kind in ("form", "name") and not apart:
+                    doubtful.append([doubt, kind, len(blocks), len(blocks), False, False])
+                    doubt = len(doubtful) - 1
+                elif kind and not apart:
+                    apart = kind
+                name = ".".join([tag, *sorted(re.sub(r"[\d>]+", "", c.lower()) for c in attributes.get("class", "").split())])
                 articles += tag in ("article", "main")
-                stack.append([tag, f"{stack[-1][1]}>{name}" if stack[-1][1] else name, len(blocks), 0, 0, apart])
+                opened[tag] += 1
+                nodes.append((outer, name))
+                stack.append((tag, len(nodes) - 1, len(blocks), apart, doubt))
     if at < len(page):
-        tail = page[at:]
-        text_of(tail[: tail.rfind("<")] if "<" in tail else tail)  # a tag that was cut off is markup
+        text_of(_CUT_TAG.sub("", page[at:]))  # a tag that was cut off is markup
     flush()
     while len(stack) > 1:
         close()
-    _, _, _, good, bad, _ = stack[0]
+
+    text = [0, *accumulate(0 if b.apart else len(b.text) for b in blocks)]
+    released = []
+    for outer, kind, first, last, has_main, has_article in doubtful:
+        most = 2 * (text[last] - text[first]) > text[-1]
+        own = has_main or (has_article or kind == "form") and most
+        released.append(own and (outer < 0 or released[outer]))
+    apart = [b.apart or b.doubtful >= 0 and not released[b.doubtful] for b in blocks]
+    good = [0, *accumulate(0 if a else len(b.text) - b.linked for a, b in zip(apart, blocks))]
+    bad = [0, *accumulate(len(b.text) if a else b.linked for a, b in zip(apart, blocks))]
+    containers = [
+        Container(node, depth, first, last, good[last] - good[first], bad[last] - bad[first])
+        for node, depth, first, last, marked, doubt in found
+        if not marked and (doubt < 0 or released[doubt])
+    ]
     if blocks:
-        containers.append(("", 0, len(blocks), good, bad))
-    return blocks, containers
+        containers.append(Container(0, 0, 0, len(blocks), good[-1], bad[-1]))
+    return [(b.text, a) for b, a in zip(blocks, apart)], containers, nodes
 
 
-def best(containers: list[tuple[str, int, int, int, int]]):
+def best(containers: list[Container]) -> Container | None:
     """The container with the most text less boilerplate; of equals the deepest, then the first."""
-    return max(containers, key=lambda c: (c[3] - c[4], c[0].count(">"), -c[1]), default=None)
+    return max(containers, key=lambda c: (c.good - c.bad, c.depth, -c.first), default=None)
+
+
+def path_of(nodes: list[tuple[int, str]], node: int) -> str:
+    names = []
+    while node > 0:
+        node, name = nodes[node]
+        names.append(name)
+    return ">".join(reversed(names))
+
+
+def path_keys(nodes: list[tuple[int, str]]) -> list[int]:
+    """A hash of each node's path, by the hash of its parent's."""
+    keys = [0]
+    for outer, name in nodes[1:]:
+        keys.append(xxhash.xxh64_intdigest(name, keys[outer]))
+    return keys
+
+
+def text_by_path(page: str, path: str | None) -> str:
+    """The main text of a page by its host's path, or by its own best container."""
+    blocks, containers, nodes = parse(page)
+    spans = []
+    if path is not None:
+        key = path_keys([(-1, ""), *((k, name) for k, name in enumerate(path.split(">")) if path)])[-1]
+        keys = path_keys(nodes)
+        spans = sorted((c.first, c.last) for c in containers if keys[c.node] == key and c.good > 0)
+    if not spans and (own := best(containers)):
+        spans = [(own.first, own.last)]
+    kept, done = [], 0
+    for first, last in spans:  # an element inside another of the same path is in its span
+        kept += [text for text, apart in blocks[max(first, done) : last] if not apart]
+        done = max(done, last)
+    return "\n\n".join(kept)
 
 
 def _vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         host, path, share = [], [], []
         for h, page in zip(batch.column("host").to_pylist(), batch.column("html").to_pylist(), strict=True):
-            won = best(parse(page or "")[1])
-            if won and won[3] > 0:
-                host.append(h), path.append(won[0]), share.append(won[3] / (won[3] + won[4]))
+            _, containers, nodes = parse(page or "")
+            won = best(containers)
+            if won and won.good > 0:
+                host.append(h), path.append(path_of(nodes, won.node)), share.append(won.good / (won.good + won.bad))
         yield pa.record_batch([pa.array(host, pa.string()), pa.array(path, pa.string()), pa.array(share, pa.float64())], names=["host", "path", "share"])
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        texts = []
-        for path, page in zip(batch.column("path").to_pylist(), batch.column("html").to_pylist(), strict=True):
-            blocks, containers = parse(page or "")
-            spans = sorted((c[1], c[2]) for c in containers if c[0] == path and c[3] > 0) if path is not None else []
-            if not spans and (own := best(containers)):
-                spans = [(own[1], own[2])]
-            kept, done = [], 0
-            for first, last in spans:  # an element inside another of the same path is in its span
-                kept += [text for text, apart in blocks[max(first, done) : last] if not apart]
-                done = max(done, last)
-            texts.append("\n\n".join(kept))
+        texts = [text_by_path(page or "", path) for path, page in zip(batch.column("path").to_pylist(), batch.column("html").to_pylist(), strict=True)]
         columns = [batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64()), batch.column("path")]
         yield pa.RecordBatch.from_arrays(columns, ["page_id", "url", "text", "n_chars", "path"])
 
