@@ -2,6 +2,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from transitloom.llm import quality, toxicity
@@ -17,7 +18,7 @@ def auc(y, s):
     return (rank[y == 1].sum() - y.sum() * (y.sum() + 1) / 2) / (y.sum() * (len(y) - y.sum()))
 
 
-@pytest.mark.parametrize(("query", "label", "folds", "held", "cut", "least"), [(quality.op10_quality, "quality", 3, 1, 0.5, 0.95), (toxicity.op6_toxicity, "toxic", 4, 2, 0.3, 0.7)])
+@pytest.mark.parametrize(("query", "label", "folds", "held", "cut", "least"), [(quality.op10_quality, "quality", 3, 1, 0.5, 0.95), (toxicity.op6_toxicity, "toxic", 4, 2, 0.3, 0.85)])
 def test_held_out_accuracy(spark, query, label, folds, held, cut, least):
     sf = "/root/testdata/sf0.01"
     rows = query(spark, sf).collect()
@@ -63,19 +64,74 @@ def test_pairs_by_the_sum_of_squares():
         assert got[i] == pytest.approx(0.3 + fm.linear[s] @ x + pairs)
 
 
-def test_word_probabilities_add_up():
-    """Of one context, over all words of a small vocabulary with slots of their own."""
-    rng = random.Random(2)
-    v = 6
-    base = np.full(1 << toxicity.SHARED_BITS, 1 / v)
-    kn = toxicity.KneserNey(base, base, np.zeros((2, 1 << toxicity.BIGRAM_BITS)), np.ones((2, 1 << toxicity.WORD_BITS)), np.zeros((2, 1 << toxicity.WORD_BITS)), np.zeros((2, 1 << toxicity.WORD_BITS)), [(1.0, 1.0)] * 2)
-    words = np.array([rng.getrandbits(64) for _ in range(v)], np.uint64)
-    assert (kn.ratios(words, words, np.zeros(v, np.uint64)) == 0).all()  # no evidence in either class
-    slot = toxicity._slot(words[:1], toxicity.WORD_BITS)
-    kn.word[1, slot], kn.rest[1] = 0.25, (0.75, 1.0)
-    ratio = kn.ratios(words, words, np.zeros(v, np.uint64))
-    assert (np.exp(ratio) / v).sum() == pytest.approx(1.0)
-    assert ratio[0] == pytest.approx(np.log(0.25 * v + 0.75)) and ratio[1:] == pytest.approx(np.log(0.75))
+def hashed(text):
+    """Word, beginnings and word before of each word of one text."""
+    (_, _, word, starts, before), *_ = toxicity._tokens(pa.array([text]))
+    return word, starts, before
+
+
+def plain_kneser_ney(texts, corpus):
+    """P(word, word before, class) by dictionaries, from (label, class of copies, text) and the texts of all documents."""
+    d, levels = toxicity.DISCOUNT, toxicity.LEVELS
+    split = lambda t: list(zip(["", *t.split()], t.split()))
+    shared = {}
+    for t in corpus:
+        for u, w in split(t):
+            shared.setdefault(w, set()).add(u)
+    known = {w for _, _, t in texts for w in t.split()}
+    cut = [lambda w: w, *(lambda w, n=n: w.encode()[:n] for n in levels)]
+    base = [{} for _ in cut]
+    for w in known:
+        for k, f in enumerate(cut):
+            base[k][f(w)] = base[k].get(f(w), 0) + len(shared[w])
+    whole = sum(base[0].values())
+
+    def p(word, before, label):
+        pairs = {(u, w, of) for c, of, t in texts if c == label for u, w in split(t)}
+        n = {}
+        for u, w, _ in pairs:
+            n[u, w] = n.get((u, w), 0) + 1
+        step = 1.0
+        for k in (2, 1, 0):
+            f = cut[k]
+            count = {}
+            for _, w in n:
+                count[f(w)] = count.get(f(w), 0) + 1
+            total = max(1, sum(count.values()))
+            rest = 1 - sum(max(c - d, 0) for c in count.values()) / total
+            up = base[k + 1].get(cut[k + 1](word), 1) if k < 2 else whole
+            ratio = base[k][f(word)] / up if f(word) in base[k] else 1.0
+            step = max(count.get(f(word), 0) - d, 0) / total + rest * ratio * step
+        after = sum(c for (u, _), c in n.items() if u == before)
+        kept = sum(max(c - d, 0) for (u, _), c in n.items() if u == before)
+        return max(n.get((before, word), 0) - d, 0) / max(after, 1) + (1 - kept / max(after, 1)) * step
+
+    return p, known
+
+
+def test_scores_equal_a_plain_kneser_ney(spark):
+    rng = random.Random(4)
+    vocabulary = ["north", "wind", "windy", "windowless", "windowsill", "calm", "calmer", "sea", "ünder", "x"]
+    texts = [(c, k // 2, " ".join(rng.choices(vocabulary, [1 + (c if w.startswith("wind") else 1 - c) for w in vocabulary], k=30))) for c in (0, 1) for k in range(40 * c, 40 * c + 24)]
+    corpus = [t for _, _, t in texts] + [" ".join(rng.choices([*vocabulary, "windows", "other"], k=20)) for _ in range(60)]
+    own = spark.createDataFrame(texts, "label int, class_id long, text string")
+    counts = toxicity.shared_counts(spark.createDataFrame([(t,) for t in corpus], "text string").repartition(3))
+    kn = toxicity.kneser_ney(*toxicity.class_tables(own, counts))
+    p, known = plain_kneser_ney(texts, corpus)
+    for c in (0, 1):  # of what the sample knows, the shares of a context add up
+        assert sum(p(w, "north", c) for w in known) == pytest.approx(1)
+    probe = "windy sea north windowpane windows calm unheard calm x north wind windowless ünder ü"
+    got = kn.ratios(*hashed(probe))
+    said = probe.split()
+    want = [np.log(p(w, u, 1) / p(w, u, 0)) for u, w in zip(["", *said], said)]
+    assert got == pytest.approx(np.clip(want, -toxicity.CLIP, toxicity.CLIP))
+    assert max(abs(got)) > 0.5
+
+
+def test_repeated_words_tell_nothing(spark):
+    own = spark.createDataFrame([(c, k, "ab ab cd") for c in (0, 1) for k in range(9)], "label int, class_id long, text string")
+    kn = toxicity.kneser_ney(*toxicity.class_tables(own, toxicity.shared_counts(own)))
+    assert kn.ratios(*hashed("ab ab cd zz")) == pytest.approx([0, 0, 0, 0])
 
 
 def test_logistic_regression():
@@ -86,28 +142,18 @@ def test_logistic_regression():
 
 
 def test_shared_counts_are_exact_for_common_words(spark):
-    """More left contexts than a sketch of 64 bits can tell apart, over two tasks that both see some."""
+    """Over two tasks that both see some of a word's contexts."""
     texts = [" ".join(f"ctx{k} common" for k in range(lo, lo + 1500)) + " rare" for lo in (0, 1000)]
     docs = spark.createDataFrame([(t,) for t in texts], "text string").repartition(2)
-    counts = sorted(r.n for r in toxicity.shared_counts(docs).collect())
+    counts = toxicity.shared_counts(docs)
     # "common" has 2500 contexts; ctx0 and ctx1000 begin a text, and the latter also follows "common"
-    assert counts == [1] * 2500 + [2, 2500]
-
-
-def test_rare_bigrams_keep_their_discounted_count(spark):
-    """A bigram in two texts only, of words that both classes have alike, tells the classes apart."""
-    say = lambda k, bad: ("north wind" if bad else "wind north") + f" filler{k % 7} word{k % 5}"
-    types = {}
-    for k in range(4):
-        tokens = ["", *say(k, k % 2).split()]
-        for pair in zip(tokens, tokens[1:]):
-            types[k % 2, *pair] = types.get((k % 2, *pair), 0) + 1
-    hashes = {"": np.uint64(0)} | {t: toxicity.words.word_hashes(np.frombuffer(t.encode(), np.uint8), np.array([0, len(t)]))[0][0] for key in types for t in key[1:] if t}
-    label, u, w = (np.array(x) for x in zip(*[(c, hashes[a], hashes[b]) for c, a, b in types]))
-    docs = spark.createDataFrame([(say(k, k % 2),) for k in range(4)], "text string")
-    shared = toxicity.shared_counts(docs)
-    starts = shared.groupBy("start").sum("n").toDF("start", "n").toArrow()
-    kn = toxicity.kneser_ney(label, u, w, np.array(list(types.values())), shared.toArrow(), starts, 20)
-    north, wind = (hashes[x][None] for x in ("north", "wind"))
-    some = np.zeros(1, np.uint64)
-    assert kn.ratios(wind, some, north)[0] > 0.5 and kn.ratios(north, some, wind)[0] < -0.5
+    assert sorted(r.n for r in counts.collect()) == [1] * 2500 + [2, 2500]
+
+
+def test_a_label_with_a_single_class_of_copies(spark):
+    rows = [(k, f"calm words number {k} about sea{k % 3} and wind", 0) for k in range(12)] + [(20, "nasty nasty trash", 1), (21, "nasty nasty trash", 1)]
+    docs = spark.createDataFrame([(k, t) for k, t, _ in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, y) for k, _, y in rows], "doc_id long, toxic int").where(toxicity.fold(toxicity.F.col("doc_id"), 4) != 2)
+    model, calibration = toxicity.fit(docs, labels)
+    assert model is not None
+    assert all(0 <= r.score <= 1 for r in toxicity.score(docs, model, calibration).collect())

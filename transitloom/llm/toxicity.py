@@ -1,32 +1,32 @@
 """Toxicity by class-conditional Kneser-Ney models.
 
 Two models of word bigrams, of toxic and of ordinary text, score every text: the difference of
-their log-likelihoods per word decides. Each is interpolated in steps, with absolute discounts:
+their log-likelihoods per word decides. Each is interpolated in steps with an absolute discount:
 
-    bigram in the class > distinct left contexts of the word in the class > of its first letters
-    in the class > shared distinct left contexts over all documents
+    bigram in the class > distinct left contexts of the word in the class > those of its first letters
+    in the class, ``LEVELS`` bytes of them > shared distinct left contexts over all documents
 
-Every bigram keeps its count, however rare, less the discount of its step and class, which is estimated
-from the sample as ``n1 / (n1 + 2 n2)`` (n1 and n2 kinds were seen once and twice). A word or beginning with fewer
-than ``LEAST_CONTEXTS`` distinct left contexts in a class leaves its mass to the next step; 1, 4, 8 and 20 were
-compared on the training folds. Near copies of a
+Every count gives ``DISCOUNT`` (or all that it has) to the next step, so a rare expression, or a rare form of a known one,
+is smoothed by what the class knows of the words with its beginning, and those by the shared counts; what a class has never seen falls
+back on the same shared counts in both models and tells nothing. Near copies of a
 text are no evidence of their own: a bigram counts once per class of near copies, as found by
 ``jaccard_join``. A word's log-ratio counts up to ``CLIP`` either way, and one that repeats the word
-before counts nothing, so a rare form of a known expression falls back on its beginning, and what a class
-has never seen falls back on the same shared counts in both models and tells nothing.
-
-The shared counts are exact and by word, of the distinct (word before, word) pairs of every document: a table
-that grows with the documents. A shared count that no class knows of cancels in the ratio, so only those of
-the sample's words and beginnings are sent to the model. Class counts come from a bounded sample of labelled
-rows outside the held-out fold (``PER_CLASS`` a class, by a hash of doc_id), which is small enough to
-broadcast by that bound, and so is the model. Part of the sample, by classes of near copies, is kept
+before counts nothing. ``DISCOUNT``, ``LEVELS`` and ``SHARES`` were chosen by cross-validation over classes of near
+copies inside the training folds; the held-out fold had no part in it.
+
+The shared counts are exact and by word, of the distinct (word before, word) pairs of every document (a left context
+is told by 36 bits of its hash): a table that grows with the documents. A task hands on the distinct contexts of a word as one list for each of
+16 parts of the contexts, so that a common word is counted in as many tasks. The shared distribution is over the words of the
+sample, with these counts. Class counts come from a bounded sample of labelled
+rows outside the held-out fold (``PER_CLASS`` a class, by a hash of doc_id), and so the model is small enough to
+broadcast by that bound. A quarter of the sample's classes of near copies, of each label, is kept
 from counting and calibrates the score: a logistic regression on the text's mean log-ratio, its largest
-over ``WINDOW`` words, and the share of words that speak clearly for toxic text. Labels, lang, source and
+over ``WINDOW`` words, and the shares of words with a log-ratio above each of ``SHARES``. Labels, lang, source and
 doc_id are not inputs.
 
 A null text counts as empty; a text without words gets the score of the neutral ratio. Without
-labels of both classes every score is the share of toxic labels (0 without any). Repeated rows are
-scored each. Empty input gives an empty result; extra columns are ignored.
+labels of both classes every score is the share of toxic labels (0 without any). A label with a single class of near copies
+calibrates only. Repeated rows are scored each. Empty input gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -36,7 +36,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import words
@@ -45,62 +45,63 @@ from .jaccard_join import jaccard_join
 from .labelled import fold, logistic, sample
 
 FOLDS, HELD_OUT, CUT = 4, 2, 0.3
-PER_CLASS, WINDOW, PREFIX = 4096, 24, 5
-LEAST_CONTEXTS, CLIP, CLEAR = 4, 6.0, 4.0
-#: Slots of a model without keys, as powers of two: words and beginnings in a class, bigrams, shared counts.
-WORD_BITS, BIGRAM_BITS, SHARED_BITS = 20, 21, 18
+PER_CLASS, WINDOW, CLIP = 4096, 24, 6.0
+DISCOUNT, LEVELS, SHARES = 3, (8, 5), (2.0, 3.0, 4.0, 5.0)
+FEATURES = 2 + len(SHARES)
 #: Pairs that a task holds before it hands on the distinct ones.
 PAIRS = 4_000_000
 
 
-def _slot(h: np.ndarray, bits: int) -> np.ndarray:
-    return (h >> np.uint64(64 - bits)).astype(np.int64)
-
-
-def _tokens(text: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """``(first row, offsets of words, word, beginning, word before)`` as hashes; before the first word stands 0."""
+def _tokens(text: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray, list[np.ndarray], np.ndarray]]:
+    """``(first row, offsets of words, word, its beginnings, word before)`` as hashes; before the first word stands 0."""
     for at, raw, offsets in words.chunks(text):
         h, rows, starts, ends = words.word_hashes(raw, offsets)
         first = np.searchsorted(rows, np.arange(len(offsets)))
         before = np.r_[np.zeros(min(1, len(h)), np.uint64), h[:-1]]
         before[first[:-1][first[:-1] < first[1:]]] = 0
-        yield at, first, h, words.mix(words.span_hashes(raw, starts, np.minimum(ends, starts + PREFIX)) + np.uint64(1)), before
+        yield at, first, h, [words.mix(words.span_hashes(raw, starts, np.minimum(ends, starts + n)) + np.uint64(n)) for n in LEVELS], before
 
 
-def _short(h: np.ndarray) -> np.ndarray:
-    """The upper 48 bits of hashes."""
-    return (h >> np.uint64(16)).astype(np.int64)
+def _changes(*columns: np.ndarray) -> np.ndarray:
+    """Where a row differs from the one before."""
+    new = np.ones(len(columns[0]), bool)
+    new[1:] = np.any([c[1:] != c[:-1] for c in columns], axis=0)
+    return new
 
 
-def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Distinct (word, short hash of a left context) and, below 0, (word, complement of that of its beginning), by word."""
+def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """word, part, xs: the distinct left contexts of a word, of each part a list."""
 
-    def distinct(held: list[np.ndarray]) -> pa.RecordBatch:
-        word, x = np.concatenate(held, axis=1)
-        order = np.lexsort((x, word))
-        word, x = word[order], x[order]
-        new = np.r_[True, (word[1:] != word[:-1]) | (x[1:] != x[:-1])]
-        return pa.record_batch([pa.array(word[new]), pa.array(x[new])], names=["word", "x"])
+    def lists(held: list[np.ndarray]) -> pa.RecordBatch:
+        word, context = np.concatenate(held, axis=1)
+        order = np.lexsort((context, word))
+        word, context = word[order], context[order]
+        part, x = (context >> np.uint64(60)).astype(np.int32), ((context >> np.uint64(28)) & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+        new = _changes(word, part, x)
+        word, part, x = word[new], part[new], x[new]
+        rows = np.flatnonzero(_changes(word, part))
+        xs = pa.ListArray.from_arrays(pa.array(np.r_[rows, len(x)].astype(np.int32)), pa.array(x.view(np.int32)))
+        return pa.record_batch([pa.array(word[rows].view(np.int64)), pa.array(part[rows]), xs], names=["word", "part", "xs"])
 
     held, n = [], 0
     for batch in batches:
-        for _, _, word, start, before in _tokens(batch.column("text")):
+        for _, _, word, _, before in _tokens(batch.column("text")):
             if not len(word):
                 continue
-            _, one = np.unique(word, return_index=True)
-            held.append(np.stack([np.r_[word, word[one]].view(np.int64), np.r_[_short(before), ~_short(start[one])]]))
-            n += held[-1].shape[1]
+            held.append(np.stack([word, before]))
+            n += len(word)
             if n >= PAIRS:
-                yield distinct(held)
+                yield lists(held)
                 held, n = [], 0
     if held:
-        yield distinct(held)
+        yield lists(held)
 
 
 def shared_counts(docs: DataFrame) -> DataFrame:
-    """word, start, n: every word of the documents, its beginning, and how many distinct words or text starts stand before it."""
-    pairs = docs.select("text").mapInArrow(_pairs, "word long, x long").distinct()
-    return pairs.groupBy("word").agg((-1 - F.min("x")).alias("start"), F.count_if(F.col("x") >= 0).alias("n"))
+    """word, n: every word of the documents, and how many distinct words or text starts stand before it."""
+    found = docs.select("text").mapInArrow(_contexts, "word long, part int, xs array<int>").repartition("word", "part")
+    pairs = found.select("word", "part", F.explode("xs").alias("x")).distinct()  # within the partitions that it is in
+    return pairs.groupBy("word").agg(F.count("*").alias("n"))
 
 
 def _bigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -112,15 +113,17 @@ def _bigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             u, w = before.view(np.int64), word.view(np.int64)
             order = np.lexsort((w, u, row))
             row, u, w = (x[order] for x in (row, u, w))
-            new = np.ones(len(row), bool)
-            new[1:] = (row[1:] != row[:-1]) | (u[1:] != u[:-1]) | (w[1:] != w[:-1])
+            new = _changes(row, u, w)
             columns = [label[at + row[new]].astype(np.int32), of[at + row[new]], u[new], w[new]]
             yield pa.record_batch([pa.array(c) for c in columns], names=["label", "class_id", "u", "w"])
 
 
-def _bigram_slot(u: np.ndarray, w: np.ndarray) -> np.ndarray:
-    with np.errstate(over="ignore"):
-        return _slot(words.mix(u.astype(np.uint64) * np.uint64(1 << WORD_BITS) + w.astype(np.uint64) + np.uint64(1)), BIGRAM_BITS)
+def _beginnings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The distinct words of some texts with their beginnings."""
+    for batch in batches:
+        for _, _, word, starts, _ in _tokens(batch.column("text")):
+            word, one = np.unique(word, return_index=True)
+            yield pa.record_batch([pa.array(x.view(np.int64)) for x in (word, *(s[one] for s in starts))], names=["w", "a", "b"])
 
 
 def _place(h: np.ndarray, keys: np.ndarray) -> np.ndarray:
@@ -132,55 +135,110 @@ def _place(h: np.ndarray, keys: np.ndarray) -> np.ndarray:
 
 
 @dataclass
-class KneserNey:
-    """Tables by place among the keys (the last place is of all others) or, without keys, by slot; the first axis of class tables is the label.
+class Step:
+    """Words or beginnings of one length: sorted hashes, of each class what they keep and what all leave, and their share of the next step's shared counts.
 
-    bigram, word, start: discounted probability of a kept type, by the count of its context or class.
-    context: what kept bigrams leave to the lower order after a word; rest: what words and beginnings leave.
+    The arrays have one place more than there are keys, for all others.
     """
 
-    shared_word: np.ndarray
-    shared_start: np.ndarray
+    keys: np.ndarray
+    kept: np.ndarray
+    rest: np.ndarray
+    share: np.ndarray
+
+
+@dataclass
+class KneserNey:
+    """steps: words, then beginnings from the longest. bigram, left: of each class what a bigram keeps and what is left after a word,
+    by place among (word before, word) and among the words before."""
+
+    steps: list[Step]
+    pairs: np.ndarray
     bigram: np.ndarray
-    context: np.ndarray
-    word: np.ndarray
-    start: np.ndarray
-    rest: list[tuple[float, float]]
-    #: words with 0 for a text's start, beginnings, and bigrams as place of the word before * number of places + place of the word
-    keys: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None
-
-    def places(self, word: np.ndarray, start: np.ndarray, before: np.ndarray) -> tuple[np.ndarray, ...]:
-        """Of words, beginnings, words before, bigrams, and of words and beginnings in the shared tables."""
-        if self.keys is None:
-            w, s, u = (_slot(x, WORD_BITS) for x in (word, start, before))
-            return w, s, u, _bigram_slot(u, w), _slot(word, SHARED_BITS), _slot(start, SHARED_BITS)
-        w, u, s = _place(word, self.keys[0]), _place(before, self.keys[0]), _place(_short(start), self.keys[1])
-        n = len(self.keys[0])
-        b = np.full(len(w), len(self.keys[2]))
-        both = np.flatnonzero((w < n) & (u < n))
-        b[both] = _place(u[both] * (n + 1) + w[both], self.keys[2])
-        return w, s, u, b, w, s
-
-    def ratios(self, word: np.ndarray, start: np.ndarray, before: np.ndarray) -> np.ndarray:
+    before: np.ndarray
+    left: np.ndarray
+
+    def ratios(self, word: np.ndarray, starts: list[np.ndarray], before: np.ndarray) -> np.ndarray:
         """log P(word | before, toxic) - log P(word | before, ordinary) of each word, within the clip."""
-        w, s, u, b, shared_w, shared_s = self.places(word, start, before)
-        base_w, base_s = self.shared_word[shared_w], self.shared_start[shared_s]
+        at = [_place(h, step.keys) for h, step in zip([word, *starts], self.steps, strict=True)]
+        u, b = _place(before, self.before), _place(_pair(before, word), self.pairs)
         out = []
         for c in (0, 1):
-            lower = (self.start[c][s] + self.rest[c][1] * base_s) * np.minimum(1.0, base_w / base_s)
-            middle = self.word[c][w] + self.rest[c][0] * lower
-            out.append(np.log(self.bigram[c][b] + self.context[c][u] * middle))
+            p: np.ndarray | float = 1.0
+            for step, k in zip(reversed(self.steps), reversed(at), strict=True):
+                p = step.kept[c][k] + step.rest[c] * step.share[k] * p
+            out.append(np.log(self.bigram[c][b] + self.left[c][u] * p))
         return np.where(word == before, 0.0, np.clip(out[1] - out[0], -CLIP, CLIP))
 
 
+def _pair(u: np.ndarray, w: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return words.mix(words.mix(u + np.uint64(1)) + w)
+
+
+def _step(keys: np.ndarray, counts: np.ndarray, shared: np.ndarray, under: np.ndarray) -> Step:
+    """keys with the classes' counts, shared counts, and those of the beginning they come under."""
+    all_of = np.maximum(counts.sum(1, keepdims=True), 1)
+    kept = np.maximum(counts - DISCOUNT, 0) / all_of
+    return Step(keys, np.c_[kept, np.zeros(2)], 1 - kept.sum(1), np.r_[shared / under, 1.0])  # what both classes lack cancels
+
+
+def kneser_ney(known: pa.Table, bigrams: pa.Table, contexts: pa.Table) -> KneserNey:
+    """known: w, a, b (its beginnings), n (shared), n0, n1 (contexts in the classes); bigrams: label, u, w, n above the discount;
+    contexts: label, u, n (of all its bigrams), kept (above the discount)."""
+    column = lambda t, k: t.column(k).to_numpy()
+    order = np.argsort(column(known, "w").view(np.uint64))
+    keys = [column(known, k).view(np.uint64)[order] for k in ("w", "a", "b")]
+    shared, counts = column(known, "n")[order].astype(float), np.stack([column(known, k)[order] for k in ("n0", "n1")]).astype(float)
+    steps = []
+    for k in range(3):
+        if k == 2:
+            under = np.full(len(shared), max(shared.sum(), 1.0))
+        else:
+            found, place = np.unique(keys[k + 1], return_inverse=True)
+            up = np.bincount(place, shared, len(found))
+            under = up[place]
+        steps.append(_step(keys[k], counts, shared, under))
+        if k < 2:
+            one = np.unique(place, return_index=True)[1]
+            keys = [x[one] for x in keys]
+            counts, shared = np.stack([np.bincount(place, c, len(found)) for c in counts]), up
+
+    before = np.unique(column(contexts, "u").view(np.uint64))
+    left = np.ones((2, len(before) + 1))
+    at = np.searchsorted(before, column(contexts, "u").view(np.uint64))
+    left[column(contexts, "label"), at] = 1 - column(contexts, "kept") / column(contexts, "n")
+    total = np.ones((2, len(before) + 1))
+    total[column(contexts, "label"), at] = column(contexts, "n")
+    u, w = (column(bigrams, k).view(np.uint64) for k in "uw")
+    pairs, at = np.unique(_pair(u, w), return_inverse=True)
+    bigram = np.zeros((2, len(pairs) + 1))
+    label = column(bigrams, "label")
+    bigram[label, at] = (column(bigrams, "n") - DISCOUNT) / total[label, np.searchsorted(before, u)]
+    return KneserNey(steps, pairs, bigram, before, left)
+
+
+def class_tables(own: DataFrame, counts: DataFrame) -> tuple[pa.Table, pa.Table, pa.Table]:
+    """What ``kneser_ney`` takes, from texts (label, class_id, text) and shared counts; bounded by the texts' words."""
+    types = own.select("label", "class_id", "text").mapInArrow(_bigrams, "label int, class_id long, u long, w long").distinct()
+    types = written(types.groupBy("label", "u", "w").agg(F.count("*").alias("n")), "bigrams")
+    over = F.greatest(F.col("n") - DISCOUNT, F.lit(0))
+    contexts = types.groupBy("label", "u").agg(F.sum("n").alias("n"), F.sum(over).alias("kept")).where("kept > 0")
+    by_word = types.groupBy("w").agg(*(F.count_if(F.col("label") == c).alias(f"n{c}") for c in (0, 1)))
+    starts = own.select("text").mapInArrow(_beginnings, "w long, a long, b long").distinct()
+    known = by_word.join(starts, "w").join(counts.withColumnRenamed("word", "w"), "w")
+    return known.select("w", "a", "b", "n", "n0", "n1").toArrow(), types.where(f"n > {DISCOUNT}").toArrow(), contexts.toArrow()
+
+
 def _features(ratio: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """Of each text: mean ratio, largest mean of a window, share of clear words, all 0 without words."""
+    """Of each text: mean ratio, largest mean of a window, shares of words above ``SHARES``, all 0 without words."""
     n = np.diff(first)
-    out = np.zeros((len(n), 3))
+    out = np.zeros((len(n), FEATURES))
     some = n > 0
     out[some, 0] = words.row_sums(ratio, first)[some] / n[some]
-    out[some, 2] = words.row_sums((ratio > CLEAR).astype(float), first)[some] / n[some]
     out[:, 1] = out[:, 0]
+    for k, above in enumerate(SHARES):
+        out[some, 2 + k] = words.row_sums((ratio > above).astype(float), first)[some] / n[some]
     long = np.flatnonzero(n > WINDOW)
     if len(long):
         total = np.r_[0.0, np.cumsum(ratio)]
@@ -196,53 +254,14 @@ def _scorer(model, finish):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kn = model.value
         for batch in batches:
-            found = np.zeros((batch.num_rows, 3))
-            for at, first, word, start, before in _tokens(batch.column("text")):
-                found[at : at + len(first) - 1] = _features(kn.ratios(word, start, before), first)
+            found = np.zeros((batch.num_rows, FEATURES))
+            for at, first, word, starts, before in _tokens(batch.column("text")):
+                found[at : at + len(first) - 1] = _features(kn.ratios(word, starts, before), first)
             yield finish(found, batch)
 
     return run
 
 
-def _discounted(counts: np.ndarray, least: int = 1) -> np.ndarray:
-    """Of each class: counts of ``least`` and more less their discount, by leaving one out; one kind at least is taken to be seen once and twice."""
-    once, twice = (np.maximum((counts == k).sum(1), 1) for k in (1, 2))
-    return np.where(counts >= least, np.maximum(counts - (once / (once + 2 * twice))[:, None], 0), 0)
-
-
-def kneser_ney(label: np.ndarray, u: np.ndarray, w: np.ndarray, n: np.ndarray, shared: pa.Table, starts: pa.Table, total: int) -> KneserNey:
-    """Of the classes' bigrams with their counts, the shared counts of their words and beginnings, and that of all pairs."""
-    keys = np.unique(np.r_[np.uint64(0), u, w])
-    many = len(keys) + 1
-    first = starts.column("start").to_numpy()
-    order = np.argsort(first)
-    first = first[order]
-    place = _place(shared.column("word").to_numpy().view(np.uint64), keys)
-    base_w, start_of = np.full(many, np.inf), np.full(many, len(first))  # of unknown words a share of 1 cancels
-    base_w[place] = shared.column("n").to_numpy() / total
-    start_of[place] = _place(shared.column("start").to_numpy(), first)
-    base_s = np.r_[starts.column("n").to_numpy()[order] / total, 1.0]
-
-    u, w = _place(u, keys), _place(w, keys)
-    bigrams, b = np.unique(u * many + w, return_inverse=True)
-    count = np.zeros((2, len(bigrams) + 1))
-    count[label, b] = n
-    after = bigrams // many
-    kept = _discounted(count)
-    contexts, left = np.zeros((2, many)), np.ones((2, many))
-    by_word, by_start = np.zeros((2, many)), np.zeros((2, len(first) + 1))
-    for c in (0, 1):
-        contexts[c] = np.bincount(after, count[c, :-1], many)
-        left[c] = 1 - np.bincount(after, kept[c, :-1], many) / np.maximum(contexts[c], 1)
-        kept[c, :-1] /= np.maximum(contexts[c, after], 1)
-        by_word[c] = np.bincount(w[label == c], minlength=many)
-        by_start[c] = np.bincount(start_of, by_word[c], len(first) + 1)
-    own = [_discounted(x, LEAST_CONTEXTS) / np.maximum(x.sum(1, keepdims=True), 1) for x in (by_word, by_start)]
-    rest = list(zip(*((1 - x.sum(1)).tolist() for x in own), strict=True))
-    tables = (x.astype(np.float32) for x in (kept, left, *own))
-    return KneserNey(base_w, base_s, *tables, rest, (keys, first, bigrams))
-
-
 def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS):
     """``(model or None, calibration or share)`` from all documents and a bounded sample of labels."""
     picked, sizes = sample(labels, "toxic", FOLDS, HELD_OUT, per_class)
@@ -252,27 +271,22 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS):
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(picked), "doc_id")
     own = written(own.groupBy("text").agg(F.min("doc_id").alias("doc_id"), F.max("label").alias("label")), "labelled-texts")
     classes = jaccard_join(own).select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"))
-    own = written(own.join(classes, "doc_id"), "labelled-classes")
-    calibrates = F.pmod(F.xxhash64("class_id", F.lit(5)), F.lit(4)) == 0
-    types = own.where(~calibrates).select("label", "class_id", "text").mapInArrow(_bigrams, "label int, class_id long, u long, w long")
-    types = written(types.distinct().groupBy("label", "u", "w").agg(F.count("*").cast("int").alias("n")), "bigrams")
+    own = own.join(classes, "doc_id")
+    ranked = own.groupBy("class_id").agg(F.max("label").alias("of"))
+    rank = F.row_number().over(Window.partitionBy("of").orderBy(F.xxhash64("class_id", F.lit(5)), "class_id"))
+    own = written(own.join(ranked.select("class_id", (rank % 4 == 1).alias("calibrates")), "class_id"), "labelled-classes")
     counts = written(shared_counts(docs), "shared-counts")
-    shared = counts.join(types.select(F.col("w").alias("word")).distinct(), "word")
-    starts = counts.groupBy("start").agg(F.sum("n").alias("n")).join(shared.select("start").distinct(), "start")
-    total = counts.agg(F.coalesce(F.sum("n"), F.lit(1))).first()[0]
-    found = types.toArrow()
-    label, n = found.column("label").to_numpy(), found.column("n").to_numpy()
-    u, w = (found.column(k).to_numpy().view(np.uint64) for k in "uw")
-    model = kneser_ney(label, u, w, n, shared.select("word", "start", "n").toArrow(), starts.select("start", "n").toArrow(), total)
-    model = docs.sparkSession.sparkContext.broadcast(model)
+    model = docs.sparkSession.sparkContext.broadcast(kneser_ney(*class_tables(own.where("not calibrates"), counts)))
+    names = [f"f{k}" for k in range(FEATURES)]
 
     def features(found: np.ndarray, batch: pa.RecordBatch) -> pa.RecordBatch:
-        return pa.record_batch([batch.column("label"), *(pa.array(found[:, k]) for k in range(3))], names=["label", "a", "b", "c"])
+        return pa.record_batch([batch.column("label"), *(pa.array(x) for x in found.T)], names=["label", *names])
 
-    rows = own.where(calibrates).select("label", "text").mapInArrow(_scorer(model, features), "label int, a double, b double, c double").toArrow()
-    x = np.stack([rows.column(k).to_numpy() for k in "abc"], 1)
+    schema = "label int, " + ", ".join(f"{x} double" for x in names)
+    rows = own.where("calibrates").select("label", "text").mapInArrow(_scorer(model, features), schema).toArrow()
+    x = np.stack([rows.column(k).to_numpy() for k in names], 1)
     y = rows.column("label").to_numpy()
-    if len(set(y.tolist())) < 2:
+    if len(set(y.tolist())) < 2:  # the documents hold texts of one label only
         return None, sizes[1] / (sizes[0] + sizes[1])
     share = np.array([sizes[c] / max(1, (y == c).sum()) for c in (0, 1)])
     scale = np.maximum(x.std(0), 1e-9)
