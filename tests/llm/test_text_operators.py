@@ -85,10 +85,52 @@ def test_decontamination_against_brute_force(spark):
     assert decontamination.decontaminated(extra, table.where("false")).count() == len(docs)
 
 
+def test_items_of_any_length(spark):
+    rng = random.Random(6)
+    say = lambda n: " ".join(f"w{rng.randrange(4000)}" for _ in range(n))
+    lengths = [10, 63, 64, 65, 128, 130, 208, 308, 608, 2000, 5000]
+    items = [(n, f"{say(n - 6)}. {say(6)}") for n in lengths] + [(None, f"{say(300)}. {say(5)}")]
+    docs = [(k, f"{say(k % 100 + 37)} {text} {say(k % 70)}") for k, (_, text) in enumerate(items)]
+    docs += [(100 + k, text) for k, (_, text) in enumerate(items)] + [(200 + k, text.upper() + " " + text) for k, (_, text) in enumerate(items)]
+
+    def changed(text, every):
+        question = len(text.split()) - 6
+        return " ".join(w if k % every or every > 2 and k >= question else f"x{k}" for k, w in enumerate(text.split()))
+
+    docs += [(300 + k, changed(text, 9)) for k, (_, text) in enumerate(items)]  # a ninth of the question's words replaced: two thirds of its runs stand
+    docs += [(400 + k, changed(text, 2)) for k, (_, text) in enumerate(items) if k]  # every second: no run of three stands
+    docs += [(500 + k, " ".join(text.split()[: len(text.split()) // 3])) for k, (_, text) in enumerate(items)]  # a third, without the answer
+    frame, table = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    for postings in (decontamination.POSTINGS, 2000):
+        got = {(r.doc_id, r.item_id): r for r in decontamination.contaminated(frame, table, postings=postings).collect()}
+        want = {(d + k, i) for d in (0, 100, 200, 300) for k, (i, _) in enumerate(items)}
+        assert set(got) == want
+        assert all(got[d + k, i].score > 0.99 for d in (0, 100, 200) for k, (i, _) in enumerate(items))
+        for k, (i, text) in enumerate(items):
+            assert got[k, i].first_word <= k % 100 + 37 and got[k, i].last_word >= k % 100 + 37 + len(text.split())
+        assert {r.doc_id for r in decontamination.decontaminated(frame, table, postings=postings).collect()} == {d for d, _ in docs} - {d for d, _ in want}
+
+
+@given(st.lists(st.tuples(st.integers(0, 30), st.integers(0, 4), st.sampled_from([0.5, 0.75, 1.0])), min_size=1, max_size=25), st.integers(1, 5))
+@settings(max_examples=200, deadline=None)
+def test_stretches_against_brute_force(hits, n_parts):
+    hits = [(s, p % n_parts, x) for s, p, x in hits]
+    share = np.full(n_parts, 1 / n_parts)
+    wide = n_parts + 1 if n_parts > 1 else 0
+    want = []
+    for start in sorted({s for s, _, _ in hits}):
+        inside = [h for h in hits if start <= h[0] <= start + wide]
+        score = sum(max((x for _, q, x in inside if q == p), default=0) / n_parts for p in range(n_parts))
+        want.append((pytest.approx(score), start, max(s for s, _, _ in inside)))
+    got = decontamination._stretches(list(hits), n_parts, share)
+    assert sorted(got, key=lambda x: x[1]) == want and [x[0] for x in got] == sorted((x[0] for x in got), reverse=True)
+
+
 def test_item_parts():
     assert split_item("what is it? a thing") == ("what is it?", " a thing")
     assert split_item("question: who? answer: me and you") == ("question: who?", "me and you")
-    assert split_item("one two. three four.") == ("one two. ", "three four.")
+    assert split_item("one two. three four five.") == ("one two. ", "three four five.")
+    assert split_item("one two. three four. five.") == ("one two. ", "three four. five.")
     assert "".join(split_item("a b c d")) == "a b c d"
 
 
