@@ -35,13 +35,65 @@ def test_permutations_are_bijections():
         assert sorted(mixing._permute(np.arange(n), n, 5).tolist()) == list(range(n))
 
 
-def test_shard_counts_add_up():
-    quotas, shards = [700, 3, 0, 297], 7
+@pytest.mark.parametrize("quotas", [[700, 3, 0, 297], [5 * 10**9, 2 * 10**9 + 7, 3], [10**15, 1]])
+def test_shard_counts_add_up(quotas):
+    """One law for all sizes, beyond 10**9 slots as well."""
+    shards = 7
     found = [mixing.shard_counts(s, shards, quotas) for s in range(shards)]
     assert np.sum([c for c, _ in found], 0).tolist() == quotas
-    assert [sum(c) for c, _ in found] == [1000 * (s + 1) // 7 - 1000 * s // 7 for s in range(shards)]
     for s in range(1, shards):
         assert found[s][1] == [a + b for a, b in zip(found[s - 1][0], found[s - 1][1], strict=True)]
+    for counts, _ in found:
+        for c, q in zip(counts, quotas, strict=True):
+            assert abs(c - q / shards) <= 6 * (q / shards) ** 0.5 + 3
+
+
+def test_shard_counts_are_multinomial():
+    draws = np.array([mixing.shard_counts(1, 3, [60], seed)[0][0] for seed in range(2000)])
+    assert draws.mean() == pytest.approx(20, abs=0.5) and draws.var() == pytest.approx(60 * (1 / 3) * (2 / 3), rel=0.15)
+
+
+def dealt(made, words_of, block_words):
+    """The deal by hand: the words of every slot's block, from the documents' places in their sources' streams."""
+    streams = {}
+    for r in made.documents.collect():
+        stream = streams.setdefault(r["rank"], {})
+        for k, w in enumerate(words_of(r)):
+            assert r["at"] + k not in stream
+            stream[r["at"] + k] = (r.row_no, w)
+    assert all(sorted(s) == list(range(len(s))) for s in streams.values())
+    taken, slots = {}, {}
+    for r in made.slots.collect():
+        stream = streams[r["rank"]]
+        words = [stream[k] for k in range(r.block * block_words, (r.block + 1) * block_words) if k in stream]
+        assert words and (r.shard, r.slot) not in slots
+        slots[r.shard, r.slot] = (r["rank"], r.epoch, r.block, " ".join(w for _, w in words))
+        for row, _ in words:
+            taken[row] = taken.get(row, 0) + 1
+    return taken, slots
+
+
+def test_taken_equals_a_deal_by_hand(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "SHARD_SLOTS", 20)
+    texts = [" ".join(f"d{i}w{j}" for j in range(n)) for i, n in enumerate((300, 5, 0, 1000, 40, 7, 90, 16, 16, 33))]
+    rows = [(i, w, "en", ["a", "b", "c", None][i % 4], len(w)) for i, w in enumerate(texts)] + [(20, texts[4], "en", "a", 1), (20, texts[4], "en", "a", 1), (21, None, "en", "b", 0)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    by_id = {r[0]: r[1] for r in rows}
+    made = mixing.mix(docs, block_words=16)
+    by_hand, slots = dealt(made, lambda r: (by_id[r.doc_id] or "").split(), 16)
+    got = {r.row_no: r.taken for r in made.taken().groupBy("row_no").agg(F.sum("words").alias("taken")).collect()}
+    assert got == by_hand
+    blocks = mixing.mixed_blocks(docs, block_words=16).collect()
+    assert {(r.shard, r.slot): (r["rank"], r.epoch, r.block, r.words) for r in blocks} == slots and len(blocks) == len(slots)
+    shards = {}
+    for shard, slot in slots:
+        shards.setdefault(shard, []).append(slot)
+    assert len(shards) > 1 and all(sorted(x) == list(range(len(x))) for x in shards.values())
+    times = {}
+    for rank, epoch, block, _ in slots.values():  # a block comes again only when all others came as often
+        times.setdefault(rank, {}).setdefault(block, []).append(epoch)
+    for per_block in times.values():
+        assert all(sorted(e) == list(range(len(e))) for e in per_block.values()) and max(map(len, per_block.values())) - min(map(len, per_block.values())) <= 1
 
 
 def test_mix_of_table(spark):
@@ -102,10 +154,28 @@ def test_shards_split_a_hot_group(spark):
     assert len(got) == 10 and all(r.n == r.m + 1 for r in got)
     assert max(r.s for r in got) - min(r.s for r in got) <= 2 * 220
     placed = sharding.shard(docs, 10)
-    assert placed.columns == [*docs.columns, "_shard"]
+    assert placed.columns == [*docs.columns, "_shard", "slot"]
+    assert placed._jdf.queryExecution().executedPlan().toString().count("Exchange ") == 1
+    assert {(r.doc_id, r._shard, r.slot) for r in placed.collect()} == {(r.doc_id, r.shard, r.slot) for r in sharding.shard_keys(docs, 10).collect()}
     assert sorted(r["count"] for r in placed.groupBy("_shard").count().collect()) == sorted(r.n for r in got)
 
 
+def test_ranges_follow_the_bytes(spark, monkeypatch):
+    """With a third of the rows equal, no range is much larger than the others, and the splitters are where a sort puts them."""
+    monkeypatch.setattr(sharding, "RANGE_BYTES", 20_000)
+    rows = [(i, "same text " * 20 if i % 3 == 0 else f"text {i} " * (1 + i % 40)) for i in range(3000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    keyed = docs.select(sharding._own(docs).alias("own")).select("own.*")
+    split, bounds = sharding.splitters(keyed, 4)
+    total = sum(len(t) + 16 for _, t in rows)
+    counts = sharding.count_below(keyed, bounds)
+    assert len(bounds) + 1 >= total / 20_000 and max(c[1] for c in counts) <= 1.6 * total / (len(bounds) + 1) + 216
+    keys = sorted((((r.text_hash + 2**63) << 64) + r.id_order + 2**63, r["size"]) for r in keyed.collect())
+    below = lambda k: sum(n for key, n in keys if key < k)
+    for s, k in enumerate(split):
+        assert abs(below(k) - total * (s + 1) / 4) <= max(0.001 * total / 4, max(n for _, n in keys))
+
+
 def test_shards_of_odd_rows(spark):
     rows = [(None, None), (1, ""), (1, ""), (2, "x" * 300_000), (-5, "Ä")]
     docs = spark.createDataFrame(rows, "doc_id long, text string")

@@ -5,10 +5,10 @@ into blocks of ``BLOCK_WORDS`` words (the last may be shorter). A source's targe
 block slots it gets; a slot's number runs through the source's blocks in a pseudorandom order of
 its own per epoch, so a block is used again only when all others have been used as often.
 
-Slots are dealt to output shards by multinomial draws conditioned on the source's totals (a
-multivariate hypergeometric draw): halving the range of shards again and again, each half's counts
-are drawn from its parent's with a seed of that node, so any task can compute its shards' counts
-alone and a rerun draws the same. The slots then join the blocks by (source, block).
+Each source's slots are dealt to output shards by a multinomial draw over the shards, so that sources meet their
+targets at every size and shards come out nearly equal: halving the range of shards again and again, a half's
+count of a source is drawn binomially from its parent's with a seed of that node, so any task can compute its
+shards' counts alone and a rerun draws the same, by one law for all sizes. The slots then join the blocks by (source, block).
 
 Sizes are numbers of ``[^\\x20\\x09-\\x0D]+`` in the text; a null text has none. A null source is a source of
 its own, ranked last. Documents without words take part with nothing taken. Documents that agree in
@@ -31,8 +31,8 @@ from .common import free_name, table, written
 
 WEIGHTS, REPEATS = (5, 2, 1), 3
 BLOCK_WORDS, SHARD_SLOTS, SEED = 128, 1 << 16, 20240917
-#: Parts of each source's stream whose offsets are summed first.
-PARTS = 1024
+#: Parts of each source's stream whose offsets are summed first, at least, and rows for which there is one more.
+PARTS, PART_ROWS = 1024, 100_000
 
 
 def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, repeats: int = REPEATS) -> DataFrame:
@@ -83,28 +83,13 @@ def _permute(x: np.ndarray, n: int, key: int) -> np.ndarray:
     return out.astype(np.int64)
 
 
-def _hypergeometric(rng: np.random.Generator, good: int, bad: int, draws: int) -> int:
-    if good + bad < 10**9:
-        return int(rng.hypergeometric(good, bad, draws)) if draws and good + bad else 0
-    total = good + bad  # beyond the generator's range the normal law differs by less than one draw in many thousands
-    mean = draws * good / total
-    sd = (mean * (bad / total) * (total - draws) / max(1, total - 1)) ** 0.5
-    return int(min(max(round(rng.normal(mean, sd)), draws - bad, 0), good, draws))
-
-
 def shard_counts(shard: int, shards: int, quotas: list[int], seed: int = SEED) -> tuple[list[int], list[int]]:
     """How many slots of each source the shard gets, and how many the shards before it got."""
     lo, hi, counts, before = 0, shards, list(quotas), [0] * len(quotas)
-    total = sum(quotas)
-    start = lambda s: total * s // shards
     while hi - lo > 1:
         mid = (lo + hi) // 2
         rng = np.random.default_rng([seed, lo, hi])
-        rest, draws, left = sum(counts), start(mid) - start(lo), []
-        for c in counts:
-            rest -= c
-            left.append(_hypergeometric(rng, c, rest, draws))
-            draws -= left[-1]
+        left = [int(rng.binomial(c, (mid - lo) / (hi - lo))) for c in counts]
         if shard < mid:
             hi, counts = mid, left
         else:
@@ -146,7 +131,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, repeats: int = REPE
     sized = written(base.mapInArrow(_count_words, schema), "sizes")
     targets = written(source_targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, repeats), "targets")
 
-    part = F.pmod(F.xxhash64("id_order", F.lit(seed)), F.lit(PARTS)).cast("int")
+    part = F.pmod(F.xxhash64("id_order", F.lit(seed)), F.lit(max(PARTS, sized.count() // PART_ROWS))).cast("int")
     sized = sized.withColumn("part", part)
     parts = sized.groupBy("source_hash", "part").agg(F.sum("size").alias("words"))
     sums = Window.partitionBy("source_hash").orderBy("part")
@@ -262,6 +247,40 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     return joined.mapInArrow(_slice(docs.columns, "text", names["plan"], schema), docs.schema)
 
 
+def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The pieces of each text: rank, block, start within the block, words."""
+    for batch in batches:
+        plans = batch.column("plan").to_pylist()
+        for at, raw, offsets in words.chunks(batch.column("text")):
+            starts, ends = words.spaced_words(raw, offsets)
+            data, first = raw.tobytes(), np.searchsorted(starts, offsets)
+            rows = [
+                (x["rank"], x["block"], x["inner"], " ".join(data[starts[k] : ends[k]].decode() for k in range(first[i] + x["start"], first[i] + x["start"] + x["words"])))
+                for i in range(len(offsets) - 1)
+                for x in plans[at + i]
+            ]
+            columns = zip(*rows, strict=True) if rows else [[]] * 4
+            yield pa.record_batch([pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.int64(), pa.int64(), pa.string()), strict=True)], names=["rank", "block", "inner", "words"])
+
+
+def mixed_blocks(docs: DataFrame, block_words: int = BLOCK_WORDS, **options) -> DataFrame:
+    """The mix as it is written out: shard, slot, rank, epoch, block and the block's words, joined by spaces.
+
+    The slots of a shard are numbered from 0 without gaps. A block has ``block_words`` words, a source's last one may have fewer.
+    """
+    made = mix(docs, block_words=block_words, **options)
+    inner = F.greatest(F.col("at") - F.col("block") * block_words, F.lit(0)).alias("inner")
+    keys = ["id_order", "text_hash", "source_hash", "copy"]
+    pieces = made.pieces.join(made.documents.select("row_no", "at", *keys), "row_no")
+    plan = pieces.groupBy(*keys).agg(F.collect_list(F.struct("rank", "block", inner, "start", "words")).alias("plan"))  # a document's own pieces
+    own = docs.select("text", *[c.alias(n) for n, c in _key_columns().items()])
+    own = own.withColumn("copy", F.row_number().over(Window.partitionBy(*keys[:3]).orderBy("id_order")))
+    cut = own.join(plan.hint("merge"), keys).select("text", "plan").mapInArrow(_cut, "rank int, block long, inner long, words string")
+    whole = cut.groupBy("rank", "block").agg(F.sort_array(F.collect_list(F.struct("inner", "words"))).alias("parts"))  # at most block_words pieces
+    whole = whole.select("rank", "block", F.array_join(F.col("parts.words"), " ").alias("words"))
+    return made.slots.join(whole.hint("merge"), ["rank", "block"]).select("shard", "slot", "rank", "epoch", "block", "words")
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = mix(table(spark, sf_dir, "documents"))
     took = made.taken().groupBy("row_no").agg(F.sum("words").alias("taken"))

@@ -4,13 +4,17 @@ Rows are ordered by (hash of the text, doc_id), so equal texts lie side by side.
 40 shards, each round counts the bytes below some probes exactly, in every partition, and adds them
 up; the probe interval that holds a splitter's target becomes its next bracket, narrowed to the
 least and greatest key in it. A splitter is settled when a boundary lies within ``TOLERANCE`` of
-its target, or when its bracket is a single key and the nearer side of it is taken. The driver
-holds probes and counts only: their number depends on the shards, not on the rows.
+its target, or when its bracket is a single key and the nearer side of it is taken. In the same rounds, with
+a looser tolerance, each shard is cut into ranges of near equal bytes, as many as its bytes need (one for ``RANGE_BYTES``,
+``RANGES`` at least), so that a large group of equal texts is spread like any other rows. The driver
+holds probes and counts only: their number depends on the shards and ranges, not on the rows.
+
+The rows, all columns, are then exchanged once, by range, and numbered within it.
 
 Law: ``bytes``. A row weighs the UTF-8 bytes of its text (a null text: none) plus 16. Rows that agree in
 text and doc_id share a key and stay together; a null doc_id is ordered last. With fewer rows than
 shards some shards are empty. Empty input gives an empty result. Extra columns are ignored by
-``shard_keys`` and carried by ``shard``.
+``shard_keys`` and carried by ``shard``, whatever their names.
 """
 
 from __future__ import annotations
@@ -25,15 +29,15 @@ from pyspark.sql import functions as F
 from .common import free_name, table, written
 
 SHARDS, PROBES, TOLERANCE, OVERHEAD = 40, 64, 0.001, 16
-#: Ranges of a shard that are numbered apart.
-RANGES = 8
+#: Ranges of a shard that are numbered apart, at least, and the bytes for which there is one more; how unequal they may be.
+RANGES, RANGE_BYTES, RANGE_TOLERANCE = 8, 1 << 29, 0.25
 
 
-def _keys(batch: pa.RecordBatch) -> np.ndarray:
+def _keys(text_hash: np.ndarray, id_order: np.ndarray) -> np.ndarray:
     """16 bytes a row that compare as (hash, id) do."""
-    out = np.empty((batch.num_rows, 2), ">u8")
-    for i, name in enumerate(("text_hash", "id_order")):
-        out[:, i] = batch.column(name).to_numpy().view(np.uint64) ^ np.uint64(1 << 63)
+    out = np.empty((len(text_hash), 2), ">u8")
+    for i, column in enumerate((text_hash, id_order)):
+        out[:, i] = column.view(np.uint64) ^ np.uint64(1 << 63)
     return out.view("S16").ravel()
 
 
@@ -49,7 +53,7 @@ def count_below(keyed: DataFrame, bounds: list[int]) -> list[tuple[int, int, int
         rows, size = np.zeros(len(bounds) + 1, np.int64), np.zeros(len(bounds) + 1, np.int64)
         least, most = np.full(len(bounds) + 1, b"\xff" * 16, "S16"), np.full(len(bounds) + 1, b"", "S16")
         for batch in batches:
-            keys = _keys(batch)
+            keys = _keys(*(batch.column(c).to_numpy() for c in ("text_hash", "id_order")))
             order = np.argsort(keys, kind="stable")
             keys, of = keys[order], batch.column("size").to_numpy()[order]
             cut = np.r_[0, np.searchsorted(keys, edges, "left"), len(keys)]
@@ -75,88 +79,85 @@ def count_below(keyed: DataFrame, bounds: list[int]) -> list[tuple[int, int, int
     return out
 
 
-def splitters(keyed: DataFrame, shards: int = SHARDS, tolerance: float = TOLERANCE) -> list[int]:
-    """Ascending keys; shard s takes the keys from splitter s - 1 on and below splitter s."""
+def splitters(keyed: DataFrame, shards: int = SHARDS, tolerance: float = TOLERANCE) -> tuple[list[int], list[int]]:
+    """Ascending keys: shard s takes the keys from splitter s - 1 on and below splitter s. Also those between ranges."""
     top = 1 << 128
-    bounds = [top * i // (shards * PROBES) for i in range(1, shards * PROBES)]
-    counts = count_below(keyed, bounds)
-    total = sum(c[1] for c in counts)
-    goal = [total * i / shards for i in range(1, shards)]
-    slack = tolerance * total / shards
+    total = keyed.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
+    per = max(RANGES, -(-total // (shards * RANGE_BYTES)))
+    parts = shards * per
+    goal = {i: total * i / parts for i in range(1, parts)}
+    slack = {i: (RANGE_TOLERANCE if i % per else tolerance * per) * total / parts for i in goal}
+    cells = max(shards * PROBES, 4 * parts)
+    bounds = [top * i // cells for i in range(1, cells)]
     settled: dict[int, int] = {}
     while total:
-        below = [0]
-        for c in counts:
-            below.append(below[-1] + c[1])
+        counts = count_below(keyed, bounds)
+        below = np.r_[0, np.cumsum([c[1] for c in counts])]
         edges = [0, *bounds, top]
-        brackets = {}
-        for s, want in enumerate(goal):
-            if s in settled:
+        brackets = set()
+        for i, want in goal.items():
+            if i in settled:
                 continue
-            at = next(i for i in range(len(counts)) if below[i + 1] >= want)
-            near = min((at, at + 1), key=lambda i: abs(below[i] - want))
+            at = int(np.searchsorted(below[1:], want))
+            near = min((at, at + 1), key=lambda k: abs(int(below[k]) - want))
             least, most = counts[at][2], counts[at][3]
-            if abs(below[near] - want) <= slack:
-                settled[s] = edges[near]
+            if abs(int(below[near]) - want) <= slack[i]:
+                settled[i] = edges[near]
             elif least == most:
-                settled[s] = least if near == at else most + 1
+                settled[i] = least if near == at else most + 1
             else:
-                brackets[s] = (least, most + 1)
+                brackets.add((least, most + 1))
         if not brackets:
             break
-        bounds = sorted({lo + (hi - lo) * i // PROBES for lo, hi in brackets.values() for i in range(PROBES + 1)})
-        counts = count_below(keyed, bounds)
-    return sorted(settled.get(s, top - 1) for s in range(shards - 1))
+        bounds = sorted({lo + (hi - lo) * k // PROBES for lo, hi in brackets for k in range(PROBES + 1)})
+    own = sorted(settled.get(i, top - 1) for i in range(per, parts, per))
+    return own, sorted({*own, *settled.values()})
 
 
-def shard_keys(docs: DataFrame, shards: int = SHARDS, tolerance: float = TOLERANCE) -> DataFrame:
-    """One row per row of ``docs``: doc_id, size, text_crc32, shard, slot (gapless from 0 in each shard)."""
+def _own(docs: DataFrame):
+    """The key and size of a row."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    keyed = written(
-        docs.select(
-            F.col("doc_id").cast("long").alias("doc_id"),
-            (F.octet_length(text) + OVERHEAD).cast("long").alias("size"),
-            F.crc32(text).alias("text_crc32"),
-            F.xxhash64(text).alias("text_hash"),
-            F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1)).alias("id_order"),
-        ),
-        "shard-keys",
+    return F.struct(
+        F.xxhash64(text).alias("text_hash"),
+        F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1)).alias("id_order"),
+        (F.octet_length(text) + OVERHEAD).cast("long").alias("size"),
+        F.crc32(text).alias("text_crc32"),
     )
-    split = splitters(keyed, shards, tolerance)
-    bounds = sorted({*split, *((1 << 128) * i // (shards * RANGES) for i in range(1, shards * RANGES))})
-    counts = count_below(keyed, bounds)
-    shard = np.array([sum(k <= b for k in split) for b in [0, *bounds]], np.int32)
-    first = np.r_[0, np.cumsum([c[0] for c in counts])][:-1]
-    first = first - np.array([first[np.searchsorted(shard, s)] for s in shard])
-
-    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        edges = _bytes(bounds)
-        for batch in batches:
-            at = np.searchsorted(edges, _keys(batch), "right")
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array(at.astype(np.int32)), pa.array(shard[at]), pa.array(first[at])], [*batch.schema.names, "range", "shard", "first"]
-            )
 
-    placed = keyed.mapInArrow(place, "doc_id long, size long, text_crc32 long, text_hash long, id_order long, range int, shard int, first long")
-    order = Window.partitionBy("range").orderBy("text_hash", "id_order", "size", "text_crc32")
-    return placed.withColumn("slot", F.col("first") + F.row_number().over(order) - 1)
+
+def _placed(docs: DataFrame, shards: int, tolerance: float) -> tuple[DataFrame, str]:
+    """The rows of ``docs`` exchanged by range, with a struct of key, size, text_crc32, shard and slot, and its name."""
+    name, place = free_name(docs, "own"), free_name(docs, "place")
+    with_own = docs.withColumn(name, _own(docs))
+    keyed = written(docs.select(_own(docs).alias("own")).select("own.text_hash", "own.id_order", "own.size"), "shard-keys")
+    split, bounds = splitters(keyed, shards, tolerance)
+    edges = _bytes(bounds)
+    shard = np.searchsorted(_bytes(split), _bytes([0, *bounds]), "right").astype(np.int32)
+    first = np.r_[0, np.cumsum([c[0] for c in count_below(keyed, bounds)])][:-1]
+    first = first - first[np.searchsorted(shard, shard)]  # rows of the same shard in the ranges before
+
+    @F.arrow_udf("struct<range: int, shard: int, first: long>")
+    def place_of(text_hash: pa.Array, id_order: pa.Array) -> pa.Array:
+        at = np.searchsorted(edges, _keys(text_hash.to_numpy(), id_order.to_numpy()), "right").astype(np.int32)
+        return pa.StructArray.from_arrays([pa.array(at), pa.array(shard[at]), pa.array(first[at])], ["range", "shard", "first"])
+
+    placed = with_own.withColumn(place, place_of(F.col(f"{name}.text_hash"), F.col(f"{name}.id_order")))
+    order = Window.partitionBy(F.col(place)["range"]).orderBy(*(F.col(name)[c] for c in ("text_hash", "id_order", "size", "text_crc32")))
+    slot = F.col(place)["first"] + F.row_number().over(order) - 1
+    found = F.struct(f"{name}.*", F.col(place)["shard"].alias("shard"), slot.alias("slot"))
+    return placed.select(*docs.columns, found.alias(place)), place
+
+
+def shard_keys(docs: DataFrame, shards: int = SHARDS, tolerance: float = TOLERANCE) -> DataFrame:
+    """One row per row of ``docs``: doc_id, size, text_crc32, shard, slot (gapless from 0 in each shard); other columns are not moved."""
+    placed, place = _placed(docs, shards, tolerance)
+    return placed.select(F.col("doc_id").cast("long").alias("doc_id"), *(f"{place}.{c}" for c in ("size", "text_crc32", "shard", "slot")))
 
 
 def shard(docs: DataFrame, shards: int = SHARDS, tolerance: float = TOLERANCE) -> DataFrame:
-    """The rows of ``docs``, all columns, with their shard (``_shard`` if there is such a column).
-
-    The splitters are found on keys alone; each row then compares its own key with them, so the
-    texts move once, when the result is exchanged by shard.
-    """
-    digest = F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
-    order = F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1))
-    size = F.octet_length(F.coalesce(F.col("text"), F.lit(""))) + OVERHEAD
-    keyed = written(docs.select(digest.alias("text_hash"), order.alias("id_order"), size.cast("long").alias("size")), "shard-keys")
-    half = 1 << 63
-    split = [F.struct(F.lit((k >> 64) - half).cast("long").alias("h"), F.lit((k % (1 << 64)) - half).cast("long").alias("i")) for k in splitters(keyed, shards, tolerance)]
-    own = F.struct(digest.alias("h"), order.alias("i"))
-    at = F.size(F.filter(F.array(*split), lambda b: b <= own)) if split else F.lit(0)
-    return docs.withColumn(free_name(docs, "shard"), at)
+    """The rows of ``docs``, all columns, with their shard and slot (``_shard``, ``_slot`` if there are such columns), exchanged once by range of keys."""
+    placed, place = _placed(docs, shards, tolerance)
+    return placed.select(*docs.columns, *(F.col(place)[c].alias(free_name(docs, c)) for c in ("shard", "slot")))
 
 
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
