@@ -34,7 +34,7 @@ def test_held_out_accuracy(spark, query, label, folds, held, cut, least):
 @pytest.mark.parametrize(("module", "label"), [(quality, "quality"), (toxicity, "toxic")])
 def test_odd_rows_and_labels(spark, module, label):
     rows = [(1, None, None, None, None), (2, "", "en", "s", 0), (3, "word " * 60_000, "en", "s", 300_000), (3, "again", "en", "s", 5), (None, "null id", "en", "s", 7)]
-    docs = spark.createDataFrame(rows, SCHEMA).selectExpr("*", "1 AS score", "'x' AS label", "2 AS metadata")
+    docs = spark.createDataFrame(rows, SCHEMA).selectExpr("*", "1 AS score", "'x' AS label", "2 AS metadata", "3 AS score_text", "4 AS score_metadata", "5 AS _score_text")
     no_labels = spark.createDataFrame([], f"doc_id long, {label} int")
     fitted = module.fit(docs, no_labels)
     score = (lambda d: module.score(d, *fitted)) if module is toxicity else (lambda d: module.score(d, fitted))
@@ -42,7 +42,7 @@ def test_odd_rows_and_labels(spark, module, label):
     rng = random.Random(1)
     say = lambda bad: " ".join(rng.choice(["nasty", "trash!!"] if bad and rng.random() < 0.3 else [f"calm{k}" for k in range(60)]) for _ in range(40))
     many = [(i, say(i % 2), "en", "s", 100) for i in range(10, 250)]
-    more = docs.union(spark.createDataFrame(many, SCHEMA).selectExpr("*", "1 AS score", "'x' AS label", "2 AS metadata"))
+    more = docs.union(spark.createDataFrame(many, SCHEMA).selectExpr("*", "1 AS score", "'x' AS label", "2 AS metadata", "3 AS score_text", "4 AS score_metadata", "5 AS _score_text"))
     labels = spark.createDataFrame([(i, i % 2) for i in range(10, 250)] + [(10, None), (None, 1), (11, 1)], no_labels.schema)
     fitted = module.fit(more, labels)
     got = {}
@@ -51,6 +51,9 @@ def test_odd_rows_and_labels(spark, module, label):
     assert len(got[3]) == 2 and all(0 <= s <= 1 for x in got.values() for s in x)
     assert np.mean([got[i][0] for i in range(11, 250, 2)]) > np.mean([got[i][0] for i in range(10, 250, 2)]) + 0.5
     assert score(docs.where("false")).count() == 0
+    if module is quality:
+        kept = module.accepted(more, fitted)
+        assert kept.columns == more.columns and kept.count() == sum(s >= module.CUT for x in got.values() for s in x)
 
 
 def test_pairs_by_the_sum_of_squares():
@@ -141,13 +144,17 @@ def test_logistic_regression():
     assert logistic(x, y, np.ones(4000)) == pytest.approx([2, -1, 0.5], abs=0.2)
 
 
-def test_shared_counts_are_exact_for_common_words(spark):
+def test_shared_counts_are_exact_for_common_words(spark, monkeypatch):
     """Over two tasks that both see some of a word's contexts."""
     texts = [" ".join(f"ctx{k} common" for k in range(lo, lo + 1500)) + " rare" for lo in (0, 1000)]
     docs = spark.createDataFrame([(t,) for t in texts], "text string").repartition(2)
     counts = toxicity.shared_counts(docs)
+    assert len(toxicity.common_words(docs)) < toxicity.COMMON
     # "common" has 2500 contexts; ctx0 and ctx1000 begin a text, and the latter also follows "common"
     assert sorted(r.n for r in counts.collect()) == [1] * 2500 + [2, 2500]
+    word = hashed("common")[0]
+    monkeypatch.setattr(toxicity, "common_words", lambda _: word)
+    assert sorted(r.n for r in toxicity.shared_counts(docs).collect()) == [1] * 2500 + [2, 2500]
 
 
 def test_a_label_with_a_single_class_of_copies(spark):

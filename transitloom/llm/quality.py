@@ -191,14 +191,15 @@ def scored(docs: DataFrame, model, name: str, keep: list[str]) -> DataFrame:
 
     model = docs.sparkSession.sparkContext.broadcast(model)
     text, metadata = _inputs(docs)
-    inputs = docs.select(*keep, text.alias(f"{name}_text"), metadata.alias(f"{name}_metadata"))
+    text_name, metadata_name = free_name(docs, f"{name}_text"), free_name(docs, f"{name}_metadata")
+    inputs = docs.select(*keep, text.alias(text_name), metadata.alias(metadata_name))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fm = model.value
         for batch in batches:
-            known = batch.column(f"{name}_metadata").cast(pa.float64()).to_numpy(zero_copy_only=False).astype(float)
+            known = batch.column(metadata_name).cast(pa.float64()).to_numpy(zero_copy_only=False).astype(float)
             found = np.zeros(batch.num_rows)
-            for at, f in features(batch.column(f"{name}_text"), known):
+            for at, f in features(batch.column(text_name), known):
                 found[at : at + len(f.stats)] = fm.scores(f)
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(found)], [*keep, name])
 
