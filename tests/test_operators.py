@@ -6,8 +6,9 @@ from pyspark.sql import functions as F
 
 from transitloom.config import ConfigError, Limits, RunConfig, parse_types, resolve_city
 from transitloom.functions import geo, text
-from transitloom.operators import geometry, network, overlap, raster
+from transitloom.operators import generate, geometry, network, overlap, raster
 from transitloom.sources import files, payloads
+from transitloom.tables import numbered
 
 
 def one(spark, column):
@@ -35,11 +36,15 @@ def test_projection_keeps_short_distances(spark):
 
 
 def test_text_functions(spark):
-    assert [one(spark, text.minutes(F.lit(x))) for x in ("24:00", "7:05", "705", None, "23:59")] == [None, 425, None, None, 1439]
+    assert [one(spark, text.minutes(F.lit(x))) for x in ("24:00", "7:05", "705", None, "23:59", "7:5", " 07:05 ")] == [None, 425, None, None, 1439, None, 425]
     number = [one(spark, text.passes_number_filter(F.lit(x), 11)) for x in ("э11", "11а", "б/н", "5 (x)", "12")]
     assert number == [True, True, False, False, False]
     assert one(spark, text.clean_terminal_name(F.lit("A (b (c) d) e"))) == "A e"
-    assert [tuple(one(spark, F.struct(*[c.alias(n) for c, n in zip(text.idea_rating(F.lit(x)), "ab", strict=True)]))) for x in ("4,5 (12)", "—", "-1")] == [(4.5, 12), (None, None), (None, None)]
+    assert one(spark, text.clean_terminal_name(F.lit("(" * 30 + "x" + ")" * 30 + " a) (b (c)"))) == "a) (b"
+    assert [one(spark, text.normalize_terminal(F.lit(x))) for x in ("«Площадь’`» - ", "", None, "“a”")] == ["площадь", "", "", "“a”"]
+    assert [one(spark, text.normalize_stop_name(F.lit(x))) for x in (" Площадь. ", "«A»", None)] == ["площадь", "«a»", ""]
+    assert [one(spark, text.city_from_url(F.lit(x))) for x in ("/Catalog/Kazan/?a=/b", "http://a.b/x", "/catalog", "?x", None)] == ["kazan", "x", None, None, None]
+    assert [tuple(one(spark, F.struct(*[c.alias(n) for c, n in zip(text.idea_rating(F.lit(x)), "ab", strict=True)]))) for x in ("4,5 (12)", "—", "-1")] == [(4.5, 12), (None, None), (-1.0, None)]
     assert one(spark, text.classify_section(F.lit("Электробусы и автобусы"))) == "electrobus"
     assert one(spark, text.classify_section(F.lit("nothing"))) is None
     assert [one(spark, text.heat_color(F.lit(t))) for t in (0.0, 0.5, 1.0)] == ["ffff0000", "ff00ff00", "ff0000ff"]
@@ -208,3 +213,166 @@ def test_corridor_pixels_at_northern_latitudes(spark, lat):
     shrink = math.cos(math.radians(lat + 0.01))
     away = lambda p: 111.0 * math.hypot((p[4] - west - 0.03) * shrink, max(lat + 0.005 - p[3], 0.0, p[3] - lat - 0.015))
     assert got.pixels == sum(away(p) <= 0.4 for p in pixels)
+
+
+def hand_sum(pixels, grid, x, y, half):
+    """The pixels that a square touches, one by one."""
+    total = 0.0
+    for (r, c), value in pixels.items():
+        west, north = grid.west + c * grid.width, grid.north - r * grid.height
+        if west < x + half and west + grid.width > x - half and north > y - half and north - grid.height < y + half:
+            total += value
+    return total
+
+
+def hand_path(start, goal, stops, pixels, grid, how):
+    """A path as the rule has it: the first radius with a stop, those ahead if any, the corridor of most volume."""
+    at, path, metres, total = start, [], 0.0, 0.0
+    while True:
+        if math.dist(at, goal) <= max(how.first_radius, 400):
+            return path, metres, total, generate.REACHED
+        if metres >= how.longest_m:
+            return path, metres, total, generate.TOO_LONG
+        near, radius = [], how.first_radius
+        while not near and radius <= how.last_radius:
+            near = [k for k in sorted(stops) if k not in path and 30 < math.dist(at, stops[k]) <= radius]
+            radius += how.step
+        if not near:
+            return path, metres, total, generate.NO_STOPS
+        near = [k for k in near if math.dist(stops[k], goal) < math.dist(at, goal) - 1] or near
+        worth = {}
+        for k in near:
+            n = max(1, int(math.dist(at, stops[k]) / how.corridor_m))
+            samples = [tuple(a + (b - a) * (i + 0.5) / n for a, b in zip(at, stops[k], strict=True)) for i in range(n)]
+            worth[k] = sum(hand_sum(pixels, grid, *s, max(50.0, how.corridor_m / 2)) for s in samples)
+        best = max(near, key=lambda k: (worth[k], [-ord(x) for x in k]))
+        if worth[best] <= 0:
+            return path, metres, total, generate.NO_VOLUME
+        metres, total, at = metres + math.dist(at, stops[best]), total + worth[best], stops[best]
+        path.append(best)
+
+
+@pytest.mark.parametrize("status", ["reached", "long", "volume", "stops"])
+def test_generated_paths_equal_the_rule(spark, status):
+    rng = random.Random(3)
+    stops = {f"s{k:03d}": (rng.uniform(0, 6000), rng.uniform(0, 3000)) for k in range(300)}
+    if status == "stops":  # a gap that no radius spans
+        stops = {k: p for k, p in list(stops.items())[:60] if p[0] < 2500 or p[0] > 5900}
+    ends = {"a": (0.0, 1500.0, 9.0), "b": (6000.0, 1400.0, 5.0), "c": (100.0, 1600.0, 7.0)}
+    grid = generate.Grid(west=-500.0, north=3500.0, width=100.0, height=80.0)
+    pixels = {(r, c): float(rng.randrange(50)) for r in range(50) for c in range(70 if status != "volume" else 25) if rng.random() < 0.8}
+    how = generate.Growth(first_radius=500.0, last_radius=1100.0, step=200.0, corridor_m=300.0, longest_m=2000.0 if status == "long" else 20000.0)
+    place = lambda p: (p[0], p[1], 51 + p[1] / 111000, 39 + p[0] / 70000)
+    frame = spark.createDataFrame([(k, *place(p)) for k, p in stops.items()], "key string, x double, y double, lat double, lon double")
+    found = spark.createDataFrame([(k, *place(p), p[2]) for k, p in ends.items()], "key string, x double, y double, lat double, lon double, volume double")
+    found = numbered(found, "rank", generate.F.desc("volume"), "key")
+    cells = spark.createDataFrame([(r, c, x) for (r, c), x in pixels.items()], "row_no long, col_no long, raw_value double")
+    got = {r.origin: r for r in generate.generate_routes(frame, found, cells, grid, 2, how).collect()}
+    # a is best; c lies next to it, so b is its destination; then c, and b is used: the best other terminal is a
+    span = math.hypot(*(max(p[k] for p in stops.values()) - min(p[k] for p in stops.values()) for k in (0, 1)))
+    assert span * 0.2 > math.dist(ends["a"][:2], ends["c"][:2])
+    path, metres, total, said = hand_path(ends["a"][:2], ends["b"][:2], stops, pixels, grid, how)
+    assert said == {"reached": generate.REACHED, "long": generate.TOO_LONG, "volume": generate.NO_VOLUME, "stops": generate.NO_STOPS}[status]
+    row = got["a"]
+    assert (row.destination, row.status, row.stops, row.n) == ("b", said, len(path), 1)
+    assert row.chain == " → ".join(["a", *path, "b"]) and row.volume == pytest.approx(total)
+    assert row.length_km * 1000 == pytest.approx(metres + math.dist(stops[path[-1]], ends["b"][:2]))
+    assert [round(p.lat, 9) for p in row.points][1:-1] == [round(place(stops[k])[2], 9) for k in path]
+    assert "c" not in got  # it stands at its destination
+
+
+def test_terminals_are_matched_beyond_the_busiest(spark):
+    """The best terminals lie together; a destination far away comes after all of them. Origins run out and begin again."""
+    rows = [(f"t{k:02d}", float(k), 0.0, 100.0 - k) for k in range(40)] + [("z", 9000.0, 0.0, 1.0)]
+    found = numbered(spark.createDataFrame(rows, "key string, x double, y double, volume double"), "rank", generate.F.desc("volume"), "key")
+    stops = spark.createDataFrame([(0.0, 0.0), (10000.0, 0.0)], "x double, y double")
+    assert generate.matched(stops, found, 3) == [(1, "t00", "z"), (2, "t01", "t00"), (3, "t02", "t00")]
+    assert [n for _, n, _ in generate.matched(stops, found, 43)][-3:] == ["z", "t00", "t00"]
+    assert generate.matched(stops, found.where("rank = 1"), 3) == [] and generate.matched(stops, found, 0) == []
+    with pytest.raises(ValueError):
+        generate.matched(stops, found, -1)
+
+
+def test_weighted_removals_equal_the_rule(spark):
+    def rule(edges, volume, distance, w):
+        live = {}
+        for a, b, k in edges:
+            live.setdefault(a, {})[b] = live.setdefault(b, {})[a] = k
+        out = []
+        while live:
+            v, d = max(volume.get(n, 0.0) for n in live), max(distance.get(n, 0.0) for n in live)
+            score = lambda n: (1 - w) * (volume.get(n, 0.0) / v if v else 0) - w * (distance.get(n, 0.0) / d if d else 0)  # noqa: E731, B023
+            node = min(live, key=lambda n: (score(n), -max(live[n].values()), n))
+            gone = live.pop(node)
+            for o in gone:
+                del live[o][node]
+                if not live[o]:
+                    del live[o]
+            out.append((node, len(gone), min(gone, key=lambda o: (-gone[o], o))))
+        return out
+
+    def check(edges, volume, distance, w):
+        frame = spark.createDataFrame(edges, "x long, y long, kmax double")
+        volumes, distances = (spark.createDataFrame(list(x.items()), f"node long, {c} double") for x, c in ((volume, "volume"), (distance, "distance")))
+        got = overlap.removals_weighted(frame, volumes, distances, 0.5, w).orderBy("step").collect()
+        assert [(r.node, r.partners, r.representative) for r in got] == rule(edges, volume, distance, w)
+        return [r.node for r in got]
+
+    assert check([(1, 2, 0.9), (3, 4, 0.9)], {1: 0.0, 2: 1000.0, 3: 10.0, 4: 1.0}, {1: 100.0, 2: 0.0, 3: 6.0, 4: 5.0}, 0.5) == [1, 4]
+    rng = random.Random(8)
+    for w in (0.2, 0.7, 1.0):
+        pairs = {tuple(sorted(rng.sample(range(25), 2))) for _ in range(50)}
+        edges = [(a, b, rng.choice([0.6, 0.7, 0.8, 0.95])) for a, b in sorted(pairs)]
+        check(edges, {n: float(rng.randrange(6)) for n in range(20)}, {n: float(rng.randrange(5)) for n in range(25)}, w)
+
+
+def test_prefix_sums_with_holes(spark):
+    rng = random.Random(2)
+    cells = {(r, c): float(rng.randrange(9)) for r in range(3, 15) for c in range(-4, 9) if rng.random() < 0.4}
+    pixels = spark.createDataFrame([(0, r, c, x) for (r, c), x in cells.items()], "tile_id int, row_no long, col_no long, raw_value double")
+    got = {(r.row_no, r.col_no): r.total for r in raster.prefix_sums(pixels).collect()}
+    assert all(got[r, c] == sum(x for (a, b), x in cells.items() if a <= r and b <= c) for r, c in got) and cells.keys() <= got.keys()
+    squares = [(k, *sorted((rng.randrange(-2, 20), rng.randrange(-2, 20))), *sorted((rng.randrange(-9, 14), rng.randrange(-9, 14)))) for k in range(60)] + [(99, 5, 4, 0, 3)]
+    sums = dict(raster.window_sums(pixels, spark.createDataFrame(squares, "k long, row_lo long, row_hi long, col_lo long, col_hi long"), "k").collect())
+    assert sums == {k: sum(x for (r, c), x in cells.items() if a <= r <= b and d <= c <= e) for k, a, b, d, e in squares}
+    assert raster.window_sums(pixels.where("false"), spark.createDataFrame([(1, 0, 1, 0, 1)], "k long, row_lo long, row_hi long, col_lo long, col_hi long"), "k").collect()[0].volume == 0
+
+
+def test_long_diagonal_corridor(spark):
+    """Cut into pieces it finds what the whole segment finds, without the pixels of its box."""
+    points = spark.createDataFrame([(1, 0, 0, -60.0, 10.0), (1, 0, 1, -59.88, 10.2)], "route_id long, di int, seq long, lat double, lon double")
+    north, west, step = -59.86, 9.98, 0.001
+    rows = [(0, r, c, north - r * step, west + c * step, 1.0) for r in range(0, 160, 3) for c in range(0, 240, 3)]
+    pixels = spark.createDataFrame(rows, "tile_id int, row_no long, col_no long, lat double, lon double, raw_value double")
+    near = raster.planar_segment_km(raster.F.col("lat"), raster.F.col("lon"), *map(raster.F.lit, (-60.0, 10.0, -59.88, 10.2)))
+    want = pixels.where(near <= 0.5).count()
+    got = raster.corridor_sums(points, pixels, 500.0, north=north, west=west, step=step).first()
+    assert got.pixels == want > 100
+
+
+def test_union_of_overlapping_stretches(spark):
+    rng = random.Random(5)
+    rows = []
+    for k in range(40):
+        line = rng.randrange(3)
+        a, b = sorted(rng.sample(range(0, 1000), 2))
+        at = {0: lambda t: (t, 7.0), 1: lambda t: (3.0 * t / 5, 4.0 * t / 5), 2: lambda t: (50.0, -t)}[line]
+        rows.append((line, float(a), float(b), *(at(a) + at(b) if k % 2 else at(b) + at(a))))
+    frame = spark.createDataFrame([(x1, y1, x2, y2, math.dist((x1, y1), (x2, y2))) for _, _, _, x1, y1, x2, y2 in rows], "x1 double, y1 double, x2 double, y2 double, metres double")
+    covered = sum(len({t for line, a, b, *_ in rows if line == n for t in range(int(a), int(b))}) for n in range(3))
+    got = overlap.network_km(frame).first()
+    assert got.unique_km * 1000 == pytest.approx(covered) and got.total_km * 1000 == pytest.approx(sum(b - a for _, a, b, *_ in rows))
+
+
+def test_rows_numbered_in_an_order(spark):
+    rng = random.Random(1)
+    rows = [(rng.randrange(50), k) for k in range(3000)]
+    got = numbered(spark.createDataFrame(rows, "a long, b long").repartition(7), "place", generate.F.desc("a"), "b").collect()
+    assert [(r.a, r.b) for r in sorted(got, key=lambda r: r.place)] == sorted(rows, key=lambda r: (-r[0], r[1])) and sorted(r.place for r in got) == list(range(1, 3001))
+    assert numbered(spark.createDataFrame([], "a long"), "place", "a").count() == 0
+
+
+def test_batch_file_in_an_older_encoding(spark, tmp_path):
+    path = tmp_path / "commands.txt"
+    path.write_bytes("# список\nгород один\nгород один\n--batch x\n".encode("cp1251"))
+    assert [r.command for r in files.batch_commands(spark, str(path)).collect()] == ["город один"]

@@ -44,20 +44,28 @@ def squeeze(x: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(x, _SPACES, " "), "^ | $", "")
 
 
+def _bare(x: Column) -> Column:
+    """Without punctuation and spaces at the ends."""
+    return F.regexp_replace(x, r"^[ ,;:!?.\-]+|[ ,;:!?.\-]+$", "")
+
+
 def normalize_terminal(name: Column) -> Column:
-    plain = F.lower(F.regexp_replace(name, "[\"'«»“”„]", ""))
-    return F.regexp_replace(squeeze(plain), r'^[ ",;:!?.\-]+|[ ",;:!?.\-]+$', "")
+    """Lower case without quotation marks, the apostrophe and the backtick among them; empty for null."""
+    # The marks.
+    plain = F.lower(F.regexp_replace(F.coalesce(name, F.lit("")), "[«»\"'’`]", ""))
+    return _bare(squeeze(plain))
 
 
-def clean_terminal_name(name: Column, depth: int = 8) -> Column:
-    """Without parentheses, nested up to ``depth`` deep."""
-    for _ in range(depth):
-        name = F.regexp_replace(name, r"\([^()]*\)", "")
-    return squeeze(name)
+def clean_terminal_name(name: Column) -> Column:
+    """Without balanced parentheses, nested to any depth: a round for each that opens."""
+    opened = F.length(name) - F.length(F.replace(name, F.lit("("), F.lit("")))
+    rounds = F.array_repeat(F.lit(0), F.coalesce(opened, F.lit(0)))
+    return squeeze(F.aggregate(rounds, name, lambda x, _: F.regexp_replace(x, r"\([^()]*\)", "")))
 
 
 def normalize_stop_name(name: Column) -> Column:
-    return squeeze(F.lower(name))
+    """Lower case, white space squeezed, without punctuation at the ends; empty for null."""
+    return _bare(squeeze(F.lower(F.coalesce(name, F.lit("")))))
 
 
 def route_number(name: Column) -> Column:
@@ -111,14 +119,14 @@ def mentions_electrobus(*texts: Column) -> Column:
 
 def idea_rating(text: Column) -> tuple[Column, Column]:
     """``4,5 (12)`` to 4.5 and 12; nulls where there is no number."""
-    pattern = r"^\s*(\d+(?:[.,]\d+)?)\s*(?:\((\d+)\))?"
+    pattern = r"^\s*(-?\d+(?:[.,]\d+)?)\s*(?:\((\d+)\))?"
     value = F.replace(F.regexp_extract(text, pattern, 1), F.lit(","), F.lit("."))
     return value.try_cast("double"), F.regexp_extract(text, pattern, 2).try_cast("bigint")
 
 
 def minutes(value: Column) -> Column:
     """``H:MM`` or ``HH:MM`` of a day as minutes; null for anything else."""
-    pattern = r"^\s*(\d{1,2}):(\d{1,2})\s*$"
+    pattern = r"^\s*(\d{1,2}):(\d{2})\s*$"
     h, m = (F.regexp_extract(value, pattern, k).try_cast("int") for k in (1, 2))
     return F.when((h <= 23) & (m <= 59), h * 60 + m)
 
@@ -154,9 +162,17 @@ def heat_color(t: Column, alpha: str = "ff") -> Column:
     return F.concat(F.lit(alpha), *channels)
 
 
-def city_from_url(url: Column) -> Column:
-    """The first part of the path, else null."""
-    return F.nullif(F.regexp_extract(url, r"^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]+/([^/?#]+)", 1), F.lit(""))
+def city_from_url(url: Column, default: Column | None = None) -> Column:
+    """The first part of the path, unquoted, that is not "catalog", in lower case; else the default, or null."""
+    path = F.regexp_extract(url, r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?(?://[^/?#]*)?([^?#]*)", 1)
+    plain = F.coalesce(F.try_url_decode(F.replace(path, F.lit("+"), F.lit("%2B"))), path)
+    parts = F.filter(F.split(F.lower(plain), "/"), lambda p: (p != "") & (p != "catalog"))
+    return F.coalesce(F.get(parts, F.lit(0)), F.lit(None).cast("string") if default is None else default)
+
+
+def task_url(city: Column, route_id: Column) -> Column:
+    """The address of a route's page."""
+    return F.concat(F.lit("/"), city, F.lit("?routes="), route_id.cast("string"))
 
 
 def routes_argument(href: Column) -> Column:

@@ -125,6 +125,12 @@ def local_xy(points: DataFrame, lat0: float, lon0: float) -> DataFrame:
     return points.withColumns({"x": (F.col("lon") - lon0) * METRES_PER_DEGREE * shrink, "y": (F.col("lat") - lat0) * METRES_PER_DEGREE})
 
 
+def without_exact_repeats(points: DataFrame) -> DataFrame:
+    """Points without those that are where the point before them is."""
+    here, order = F.struct("lat", "lon"), Window.partitionBy(*DIRECTION).orderBy("seq")
+    return points.withColumn("before", F.lag(here).over(order)).where(~here.eqNullSafe(F.col("before"))).drop("before")
+
+
 def without_repeats(points: DataFrame, eps: float = 0.01) -> DataFrame:
     """Points with finite x and y, without those in the same cell of an ``eps`` grid as the point before."""
     order = Window.partitionBy(*DIRECTION).orderBy("seq")

@@ -76,3 +76,22 @@ def poi_kind(tags: Column) -> Column:
             fits = fits & F.coalesce(F.try_element_at(tags, F.lit(key)) == value, F.lit(False))
         kind = kind.when(fits, name)
     return kind
+
+
+# Sites of the kind that do not count.
+MILITARY = ["airfield", "base", "barracks", "naval_base"]
+
+
+def osm_pois(elements: DataFrame) -> DataFrame:
+    """poi_id, poi_type, name, lat, lon, osm_type from ``(id, type, lat, lon, center(lat, lon), tags)``.
+
+    Elements without a name or a known kind do not count, nor do military land and sites and private aerodromes. A node has
+    its own coordinates, a way or relation those of its centre; other elements, and those without coordinates, have none and do not count.
+    """
+    tag = lambda k: F.try_element_at("tags", F.lit(k))
+    military = (tag("landuse") == "military") | tag("military").isin(*MILITARY) | ((tag("access") == "private") & (tag("aeroway") == "aerodrome"))
+    name = F.trim(F.coalesce(tag("name"), F.lit("")))
+    at = lambda c: F.when(F.col("type") == "node", F.col(c)).when(F.col("type").isin("way", "relation"), F.col(f"center.{c}"))
+    found = elements.where((name != "") & ~F.coalesce(military, F.lit(False)))
+    placed = found.select(F.col("id").alias("poi_id"), poi_kind(F.col("tags")).alias("poi_type"), name.alias("name"), at("lat").alias("lat"), at("lon").alias("lon"), F.col("type").alias("osm_type"))
+    return placed.dropna(subset=["poi_type", "lat", "lon"])

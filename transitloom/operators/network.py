@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text
-from .geometry import DIRECTION, in_bbox
+from .geometry import DIRECTION, in_bbox, routes_inside
 
 # Shifts of obfuscated coordinates, by the point's number in its array.
 LAT_SHIFT = [5.331, 6.812, 9.315, 0.233, 5.187, 4.778, 4.163, 5.886]
@@ -37,8 +39,25 @@ def route_state(routes: DataFrame, points: DataFrame) -> DataFrame:
     return routes.join(lines, "route_id", "left").withColumn("state", state).drop("drawn")
 
 
-def type_counts(routes: DataFrame) -> DataFrame:
-    return routes.groupBy(text.type_label(F.col("route_type")).alias("label")).agg(F.count("*").alias("routes"))
+# The summary's titles of types.
+TYPE_TITLES = {"Поездов": "train", "Троллейбусов": "trolleybus", "Трамваев": "tram", "Автобусов": "bus", "Маршруток": "minibus", "Водных маршрутов": "water"}
+
+
+def type_counts(routes: DataFrame, points: DataFrame, bbox: tuple[float, float, float, float] | None) -> DataFrame:
+    """title, routes: how many routes there are of each type of the summary; trains count that lie in the box whole, none without a box."""
+    inside = routes_inside(points, bbox).where("inside").select("route_id") if bbox else routes.select("route_id").where("false")
+    counted = routes.where("route_type <> 'train'").unionByName(routes.where("route_type = 'train'").join(inside, "route_id", "left_semi"))
+    titles = F.create_map(*[F.lit(x) for title, kind in TYPE_TITLES.items() for x in (kind, title)])
+    sums = counted.groupBy(F.try_element_at(titles, F.col("route_type")).alias("title")).agg(F.count("*").alias("routes"))
+    every = routes.sparkSession.createDataFrame([(t,) for t in TYPE_TITLES], "title string")
+    return every.join(sums, "title", "left").select("title", F.coalesce("routes", F.lit(0)).alias("routes"))
+
+
+def density(unique_km: Column, bbox: tuple[float, float, float, float]) -> Column:
+    """Kilometres of the network's union per square kilometre of a box, of 111 km a degree; null for a box without an area."""
+    south, west, north, east = bbox
+    area = (north - south) * 111.0 * (east - west) * 111.0 * math.cos(math.radians((south + north) / 2))
+    return F.round(unique_km / area, 3) if area > 0 else F.lit(None).cast("double")
 
 
 def first_of(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
@@ -54,11 +73,11 @@ def stop_key(stop_id: Column, name: Column) -> Column:
 def unique_stops(stops: DataFrame, routes: DataFrame) -> DataFrame:
     """From ``(route_id, di, seq, stop_id, stop_name, lat, lon)``: a row per stop key.
 
-    The first occurrence names the stop, the first with both coordinates places it; types and routes are sorted sets.
+    Routes with an error do not count. The first occurrence names the stop, the first with both coordinates places it; types and routes are sorted sets.
     """
     order = F.struct("route_id", "di", "seq")
     placed = F.col("lat").isNotNull() & F.col("lon").isNotNull()
-    keyed = stops.join(routes.select("route_id", "route_type"), "route_id").withColumn("key", stop_key(F.col("stop_id"), F.col("stop_name")))
+    keyed = stops.join(routes.where("error IS NULL").select("route_id", "route_type"), "route_id").withColumn("key", stop_key(F.col("stop_id"), F.col("stop_name")))
     return keyed.groupBy("key").agg(
         F.min_by("stop_id", order).alias("stop_id"),
         F.min_by(text.squeeze(F.col("stop_name")), order).alias("name"),

@@ -7,10 +7,14 @@ removal order need a loop, one per tied value.
 
 from __future__ import annotations
 
+import heapq
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..tables import numbered
+
 #: Metres between the cells of the candidate grid, in buffers; cells that a piece of a segment may be long.
 CELL_BUFFERS, PIECE_CELLS = 2.0, 16
 
@@ -193,8 +197,8 @@ def removals(edges: DataFrame, volumes: DataFrame, k_del: float, active: DataFra
         F.count("*").alias("partners"), (-F.max(strongest)["id"]).alias("representative"), F.max("kmax").alias("best"), ranked.alias("ranked")
     )
     text = F.array_join(F.transform("ranked", lambda p: F.concat(p["id"].cast("string"), F.lit(" ("), F.format_string("%.3f", -p["k"]), F.lit(")"))), ", ")
-    order = Window.orderBy("volume", "step", "node")
-    return victims.select(F.row_number().over(order).cast("bigint").alias("step"), "node", "volume", "partners", "representative", "best", text.alias("closed"))
+    victims = victims.select(F.col("step").alias("round"), "node", "volume", "partners", "representative", "best", text.alias("closed"))
+    return numbered(victims, "step", "volume", "round", "node").select("step", "node", "volume", "partners", "representative", "best", "closed")
 
 
 def survivors(nodes: DataFrame, removed: DataFrame) -> DataFrame:
@@ -214,8 +218,8 @@ def residual_edges(edges: DataFrame, k_del: float, left: DataFrame) -> DataFrame
 def removals_weighted(edges: DataFrame, volumes: DataFrame, distances: DataFrame, k_del: float, center_weight: float) -> DataFrame:
     """As ``removals``, ordered by ``(1 - w) * volume / max - w * distance / max`` over the nodes left at each step.
 
-    The maxima change with every removal, so the order is inherently sequential: one group over the
-    thresholded edges, which a network's overlaps bound.
+    The nodes left are those with an edge left. The maxima change with removals, so the order is inherently sequential: one group over the
+    thresholded edges, which a network's overlaps bound. The order is kept in a heap that is made anew only when a maximum changes.
     """
     if not 0 < center_weight <= 1:
         raise ValueError("center_weight must be above 0 and at most 1")
@@ -228,16 +232,29 @@ def removals_weighted(edges: DataFrame, volumes: DataFrame, distances: DataFrame
             live.setdefault(node, {})[other] = k
         volume = dict(zip(rows["node"], rows["volume"], strict=True))
         distance = dict(zip(rows["node"], rows["distance"], strict=True))
+        ranked = [sorted(live, key=of.__getitem__) for of in (volume, distance)]
+        heap: list[tuple] = []
+        scale = None
         out = []
-        while True:
-            there = [n for n, e in live.items() if e]
-            if not there:
-                break
-            v, d = max(volume[n] for n in live) or 1.0, max(distance[n] for n in live) or 1.0
-            node = min(there, key=lambda n: ((1 - center_weight) * volume[n] / v - center_weight * distance[n] / d, -max(live[n].values()), n))
+        while live:
+            for nodes in ranked:
+                while nodes[-1] not in live:
+                    nodes.pop()
+            greatest = (volume[ranked[0][-1]] or 1.0, distance[ranked[1][-1]] or 1.0)
+            entry = lambda n: ((1 - center_weight) * volume[n] / greatest[0] - center_weight * distance[n] / greatest[1], -max(live[n].values()), n)  # noqa: E731, B023
+            if greatest != scale:
+                scale, heap = greatest, [entry(n) for n in live]
+                heapq.heapify(heap)
+            _, strongest, node = heapq.heappop(heap)
+            if node not in live or -strongest != max(live[node].values()):
+                continue  # a newer entry tells of it
             gone = live.pop(node)
-            for other in gone:
-                live[other].pop(node, None)
+            for other, k in gone.items():
+                del live[other][node]
+                if not live[other]:
+                    del live[other]
+                elif k > max(live[other].values()):
+                    heapq.heappush(heap, entry(other))
             out.append((len(out) + 1, node, len(gone), min(gone, key=lambda o: (-gone[o], o))))
         return pd.DataFrame(out, columns=["step", "node", "partners", "representative"])
 
@@ -250,11 +267,28 @@ def overlap_matrix(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     return cells.unionByName(nodes.select("node", F.col("node").alias("other"), F.lit(1.0).alias("k")))
 
 
+def unique_metres(segments: DataFrame, grid: float = 0.01, turn: float = 1e-6) -> DataFrame:
+    """line, metres: the length of the union of the segments on each straight line.
+
+    Segments lie on one line when its direction and distance from the origin agree on ``turn`` and ``grid``, whichever way they
+    run. On a line equal stretches are merged first; then each adds what is beyond all that begin before it.
+    """
+    dx, dy = F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")
+    back = (dx < 0) | ((dx == 0) & (dy < 0))
+    ux, uy = (F.when(back, -d).otherwise(d) / F.col("metres") for d in (dx, dy))
+    placed = segments.where("metres > 0").withColumns({"ux": ux, "uy": uy})
+    along = [F.col("ux") * F.col(f"x{k}") + F.col("uy") * F.col(f"y{k}") for k in (1, 2)]
+    line = F.struct(F.rint(F.col("ux") / turn).alias("ux"), F.rint(F.col("uy") / turn).alias("uy"), F.rint((F.col("uy") * F.col("x1") - F.col("ux") * F.col("y1")) / grid).alias("off"))
+    stretches = placed.select(line.alias("line"), F.least(*along).alias("t1"), F.greatest(*along).alias("t2"))
+    once = stretches.groupBy("line", F.rint(F.col("t1") / grid).alias("a"), F.rint(F.col("t2") / grid).alias("b")).agg(F.min("t1").alias("t1"), F.max("t2").alias("t2"))
+    before = F.max("t2").over(Window.partitionBy("line").orderBy("t1", "t2").rowsBetween(Window.unboundedPreceding, -1))
+    fresh = F.greatest(F.lit(0.0), F.col("t2") - F.greatest(F.col("t1"), F.coalesce(F.col("before"), F.col("t1"))))
+    return once.withColumn("before", before).select("line", fresh.alias("fresh")).groupBy("line").agg(F.sum("fresh").alias("metres"))
+
+
 def network_km(segments: DataFrame, grid: float = 0.01) -> DataFrame:
-    """One row: total_km, unique_km, coefficient. Segments that agree in their ends on the grid, in either direction, count once."""
-    end = lambda k: F.struct(F.rint(F.col(f"x{k}") / grid).alias("x"), F.rint(F.col(f"y{k}") / grid).alias("y"))
-    one = segments.groupBy(F.least(end(1), end(2)).alias("a"), F.greatest(end(1), end(2)).alias("b")).agg(F.max("metres").alias("metres"), F.sum("metres").alias("every"))
-    sums = one.agg((F.sum("every") / 1000).alias("total_km"), (F.sum("metres") / 1000).alias("unique_km"))
+    """One row: total_km, unique_km (of the union of all segments, total_km at most), coefficient."""
+    sums = segments.agg((F.sum("metres") / 1000).alias("total_km")).join(unique_metres(segments, grid).agg((F.sum("metres") / 1000).alias("unique_km")))  # a row each
     return sums.withColumn("unique_km", F.least("unique_km", "total_km")).withColumn("coefficient", F.when(F.col("unique_km") > 0, F.col("total_km") / F.col("unique_km")))
 
 

@@ -7,10 +7,13 @@ from pyspark.sql import functions as F
 
 from ..functions.geo import planar_segment_km
 from ..functions.text import heat_color
+from ..tables import numbered
 from .geometry import DIRECTION, segments
 
 # What stands for no data, and the largest value that is believed.
 NODATA, GREATEST = 4294967295.0, 1e5
+#: Rows and columns of a piece of a segment.
+PIECE = 32
 
 
 def clean_value(value: Column, nodata: float = NODATA, greatest: float = GREATEST) -> Column:
@@ -19,25 +22,43 @@ def clean_value(value: Column, nodata: float = NODATA, greatest: float = GREATES
     return F.when(believed, value).otherwise(0.0)
 
 
+def extents(pixels: DataFrame) -> DataFrame:
+    """row_lo, row_hi, col_lo, col_hi of a raster: one row."""
+    return pixels.agg(F.min("row_no").alias("row_lo"), F.max("row_no").alias("row_hi"), F.min("col_no").alias("col_lo"), F.max("col_no").alias("col_hi"))
+
+
 def prefix_sums(pixels: DataFrame) -> DataFrame:
-    """row_no, col_no, total: the sum of all values at or before a row and column, by two running sums.
+    """row_no, col_no, total: the sum of all values at or before a row and column, for every cell of the raster's extents.
 
-    Rows that share a column sum are spread over columns first and over rows then, so no task sees a whole raster.
+    Two running sums, by row and by column, over the filled grid, so no task sees a whole raster. Absent pixels
+    count 0; of pixels in the same place, as where tiles overlap, the values add up.
     """
+    cells = pixels.groupBy("row_no", "col_no").agg(F.sum(clean_value(F.col("raw_value"))).alias("value"))
+    rows = extents(pixels).select(F.explode(F.sequence("row_lo", "row_hi")).alias("row_no"), "col_lo", "col_hi")
+    grid = rows.repartition("row_no").select("row_no", F.explode(F.sequence("col_lo", "col_hi")).alias("col_no"))
     along = Window.partitionBy("row_no").orderBy("col_no").rowsBetween(Window.unboundedPreceding, 0)
     down = Window.partitionBy("col_no").orderBy("row_no").rowsBetween(Window.unboundedPreceding, 0)
-    cells = pixels.withColumn("value", clean_value(F.col("raw_value")))
-    return cells.withColumn("along", F.sum("value").over(along)).withColumn("total", F.sum("along").over(down)).select("row_no", "col_no", "total")
+    filled = grid.join(cells, ["row_no", "col_no"], "left").fillna(0.0, ["value"])
+    return filled.withColumn("along", F.sum("value").over(along)).withColumn("total", F.sum("along").over(down)).select("row_no", "col_no", "total")
 
 
 def window_sums(pixels: DataFrame, squares: DataFrame, by: str) -> DataFrame:
     """Sum of the values in each square ``(by, row_lo, row_hi, col_lo, col_hi)``, ends included; 0 outside the raster.
 
-    A square joins the pixels by the rows it covers.
+    A square looks up its four corners, moved to the raster's extents, in the prefix sums.
     """
-    cells = pixels.select("row_no", "col_no", clean_value(F.col("raw_value")).alias("value"))
-    rows = squares.withColumn("row_no", F.explode(F.sequence("row_lo", "row_hi"))).join(cells, "row_no").where("col_no BETWEEN col_lo AND col_hi")
-    return squares.select(by).join(rows.groupBy(by).agg(F.sum("value").alias("volume")), by, "left").select(by, F.coalesce("volume", F.lit(0.0)).alias("volume"))
+    ends = F.broadcast(extents(pixels).select(*(F.col(c).alias(f"raster_{c}") for c in ("row_lo", "row_hi", "col_lo", "col_hi"))))  # one row
+    corners = F.array(
+        *[
+            F.struct(F.least(r, "raster_row_hi").alias("row_no"), F.least(c, "raster_col_hi").alias("col_no"), F.lit(sign).alias("sign"))
+            for r, row_sign in ((F.col("row_hi"), 1.0), (F.col("row_lo") - 1, -1.0))
+            for c, col_sign in ((F.col("col_hi"), 1.0), (F.col("col_lo") - 1, -1.0))
+            for sign in (row_sign * col_sign,)
+        ]
+    )
+    asked = squares.where("row_lo <= row_hi AND col_lo <= col_hi").join(ends).select(by, F.explode(corners).alias("corner")).select(by, "corner.*")
+    found = asked.join(prefix_sums(pixels), ["row_no", "col_no"]).groupBy(by).agg(F.sum(F.col("sign") * F.col("total")).alias("volume"))
+    return squares.select(by).join(found, by, "left").select(by, F.coalesce("volume", F.lit(0.0)).alias("volume"))
 
 
 def point_squares(points: DataFrame, by: str, half: int, north: float = 51.66, west: float = 39.10, step: float = 0.001) -> DataFrame:
@@ -49,14 +70,19 @@ def point_squares(points: DataFrame, by: str, half: int, north: float = 51.66, w
 def corridor_sums(points: DataFrame, pixels: DataFrame, buffer_m: float, north: float = 51.66, west: float = 39.10, step: float = 0.001) -> DataFrame:
     """route_id, di, volume, pixels, tiles: the pixels whose centre is within the buffer of a direction, each once.
 
-    A segment meets the pixels of its rows and columns, a buffer wider, by an equi-join.
+    A segment is cut into pieces of at most ``PIECE`` rows and columns; a piece meets the pixels of its rows and columns, a buffer wider, by an
+    equi-join, and the distance to the whole segment decides.
     """
     high = buffer_m / 111_000.0
-    seg = segments(points)
+    reach = F.greatest(F.abs(F.col("lat2") - F.col("lat1")), F.abs(F.col("lon2") - F.col("lon1"))) / (step * PIECE)
+    seg = segments(points).withColumn("pieces", F.greatest(F.ceil(reach), F.lit(1)))
+    seg = seg.withColumn("piece", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("pieces") - 1)))
+    ends = {f"{c}_{e}": F.col(f"{c}1") + (F.col(f"{c}2") - F.col(f"{c}1")) * ((F.col("piece") + k) / F.col("pieces")) for c in ("lat", "lon") for k, e in enumerate("ab")}
+    seg = seg.withColumns(ends)
     # as the distance shrinks longitudes, at the segment's middle latitude
     wide = F.lit(high) / F.least(F.lit(0.6), F.cos(F.radians((F.col("lat1") + F.col("lat2")) / 2)))
-    rows = [F.floor((F.lit(north) - x) / step).cast("bigint") for x in (F.greatest("lat1", "lat2") + high, F.least("lat1", "lat2") - high)]
-    cols = [F.floor((x - F.lit(west)) / step).cast("bigint") for x in (F.least("lon1", "lon2") - wide, F.greatest("lon1", "lon2") + wide)]
+    rows = [F.floor((F.lit(north) - x) / step).cast("bigint") for x in (F.greatest("lat_a", "lat_b") + high, F.least("lat_a", "lat_b") - high)]
+    cols = [F.floor((x - F.lit(west)) / step).cast("bigint") for x in (F.least("lon_a", "lon_b") - wide, F.greatest("lon_a", "lon_b") + wide)]
     seg = seg.withColumn("row_no", F.explode(F.sequence(rows[0], rows[1] + 1))).withColumn("col_no", F.explode(F.sequence(cols[0], cols[1] + 1)))
     cells = pixels.select("tile_id", "row_no", "col_no", "lat", "lon", clean_value(F.col("raw_value")).alias("value"))
     near = planar_segment_km(F.col("lat"), F.col("lon"), F.col("lat1"), F.col("lon1"), F.col("lat2"), F.col("lon2")) <= buffer_m / 1000
@@ -72,10 +98,8 @@ def route_totals(directions: DataFrame) -> DataFrame:
 
 def top_share(rows: DataFrame, weight: str, key: str, percent: float) -> DataFrame:
     """The ``ceil(n * percent / 100)`` rows of most weight, one at least; ties by key."""
-    order = Window.orderBy(F.col(weight).desc(), F.col(key))
-    n = F.count("*").over(Window.partitionBy())
-    ranked = rows.withColumns({"rank_of_row": F.row_number().over(order), "rows_in_all": n})
-    return ranked.where(F.col("rank_of_row") <= F.greatest(F.lit(1), F.ceil(F.col("rows_in_all") * percent / 100))).drop("rank_of_row", "rows_in_all")
+    least = F.greatest(F.lit(1), F.ceil(rows.agg(F.count("*")).scalar() * percent / 100))
+    return numbered(rows, "rank_of_row", F.desc(weight), F.col(key)).where(F.col("rank_of_row") <= least).drop("rank_of_row")
 
 
 def heat_cells(stops: DataFrame, bbox: tuple[float, float, float, float], cell_km: float = 0.1, percent: float = 35.0) -> DataFrame:
@@ -101,11 +125,43 @@ def smoothed(cells: DataFrame) -> DataFrame:
 
 def heat_levels(cells: DataFrame, gamma: float = 0.6, levels: int = 32) -> DataFrame:
     """Cells with t (share of the greatest), the level after the gamma, and the level's colour."""
-    t = F.col("value") / F.max("value").over(Window.partitionBy())
+    t = F.col("value") / cells.agg(F.max("value")).scalar()
     level = F.rint(F.pow("t", F.lit(gamma)) * (levels - 1)).cast("bigint")
     return cells.withColumn("t", t).withColumn("level", level).withColumn("color", heat_color(F.col("level") / (levels - 1)))
 
 
+def heat_placemarks(levels: DataFrame, south: float, west: float, dlat: float, dlon: float, gamma: float = 0.6, tallest_m: float = 400.0, flat: bool = False) -> DataFrame:
+    """i, j, style, altitude, extrude, altitude_mode, coordinates of the heat map's cells as blocks, or on the ground when ``flat``.
+
+    levels: ``(i, j, t, level)``; cell (i, j) has its corner i and j steps from (south, west).
+    """
+    lat, lon = ([F.lit(o) + (F.col(c) + k) * step for k in (0, 1)] for c, o, step in (("i", south, dlat), ("j", west, dlon)))
+    altitude = F.lit(0.0) if flat else tallest_m * F.pow(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("t"))), F.lit(gamma))
+    corner = lambda y, x: F.format_string("%.7f,%.7f,%.1f", lon[x], lat[y], altitude)
+    ring = F.concat_ws(" ", *(corner(y, x) for y, x in ((0, 0), (0, 1), (1, 1), (1, 0), (0, 0))))
+    return levels.select(
+        "i",
+        "j",
+        F.concat(F.lit("heat"), F.col("level").cast("string")).alias("style"),
+        altitude.alias("altitude"),
+        F.lit(0 if flat else 1).alias("extrude"),
+        F.lit("clampToGround" if flat else "relativeToGround").alias("altitude_mode"),
+        ring.alias("coordinates"),
+    )
+
+
+def clipped(pixels: DataFrame, bbox: tuple[float, float, float, float]) -> DataFrame:
+    """The pixels whose centre is in a box (south, west, north, east)."""
+    south, west, north, east = bbox
+    return pixels.where(F.col("lat").between(south, north) & F.col("lon").between(west, east))
+
+
+def downsampled(pixels: DataFrame, factor: int) -> DataFrame:
+    """row_no, col_no, raw_value of a grid ``factor`` times as coarse; a cell has the sum of its pixels, so that no volume is lost."""
+    coarse = [F.floor(F.col(c) / factor).cast("bigint").alias(c) for c in ("row_no", "col_no")]
+    return pixels.groupBy(*coarse).agg(F.sum(clean_value(F.col("raw_value"))).alias("raw_value"))
+
+
 def corridor_volumes(ways: DataFrame, pixels: DataFrame, by: str, corridor: int) -> DataFrame:
     """Volume along straight ways ``(by, row1, col1, row2, col2)`` in pixels, by squares around samples.
 

@@ -199,13 +199,6 @@ def _(v: Views) -> DataFrame:
     return g.network_center(v.points).select("route_id", "di", *_r("center_km"))
 
 
-@REGISTER("ag19_density", f"WITH {_SEGMENTS} SELECT round(sum({{hav lat1 lon1 lat2 lon2}}) / ({{hav 51.6 39.1 51.8 39.1}} * {{hav 51.7 39.1 51.7 39.3}}), 6) AS km_per_km2 FROM seg")
-def _(v: Views) -> DataFrame:
-    lit = lambda *x: [F.lit(y) for y in x]
-    area = geo.haversine_km(*lit(51.6, 39.1, 51.8, 39.1)) * geo.haversine_km(*lit(51.7, 39.1, 51.7, 39.3))
-    return g.segments(v.zigzag).agg(F.round(F.sum(g.segment_km()) / area, 6).alias("km_per_km2"))
-
-
 @REGISTER(
     "p23_units",
     """SELECT p.route_id, p.di, concat(CAST(p.route_id AS VARCHAR), ':', CAST(p.di AS VARCHAR)) AS key,

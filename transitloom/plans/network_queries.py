@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text
 from ..operators import nearby, network
+from ..sources import payloads
+from ..tables import numbered
 from .register import Register
 from .surrogate import Views
 
@@ -65,9 +67,17 @@ def _(v: Views) -> DataFrame:
     return v.routes.select("route_id", text.type_label(F.col("route_type")).alias("label"))
 
 
-@REGISTER("snk4_type_counts", f"WITH {_STATE} SELECT {_LABEL} AS label, count(*) AS routes FROM st WHERE state = 'ok' GROUP BY ALL")
+_BOX = (51.6, 39.1, 51.63, 39.13)
+
+
+@REGISTER(
+    "snk4_type_counts",
+    f"""WITH {_STATE}, t(title, kind) AS (VALUES ('Поездов', 'train'), ('Троллейбусов', 'trolleybus'), ('Трамваев', 'tram'), ('Автобусов', 'bus'), ('Маршруток', 'minibus'), ('Водных маршрутов', 'water')),
+whole AS (SELECT route_id FROM v_points GROUP BY ALL HAVING bool_and(lat BETWEEN {_BOX[0]} AND {_BOX[2]} AND lon BETWEEN {_BOX[1]} AND {_BOX[3]}))
+SELECT title, count(st.route_id) AS routes FROM t LEFT JOIN st ON st.route_type = kind AND state = 'ok' AND (kind <> 'train' OR st.route_id IN (SELECT route_id FROM whole)) GROUP BY ALL""",
+)
 def _(v: Views) -> DataFrame:
-    return network.type_counts(network.route_state(v.routes, v.points).where("state = 'ok'"))
+    return network.type_counts(network.route_state(v.routes, v.points).where("state = 'ok'"), v.points, _BOX)
 
 
 @REGISTER("snk8_errors", "SELECT route_id, name, error FROM v_routes WHERE error IS NOT NULL")
@@ -77,7 +87,7 @@ def _(v: Views) -> DataFrame:
 
 @REGISTER("o1_route_order", f"SELECT route_id, row_number() OVER (ORDER BY route_type, name, route_id) AS place FROM v_routes")
 def _(v: Views) -> DataFrame:
-    return v.routes.select("route_id", F.row_number().over(Window.orderBy("route_type", "name", "route_id")).cast("bigint").alias("place"))
+    return numbered(v.routes.select("route_type", "name", "route_id"), "place", "route_type", "name", "route_id").select("route_id", "place")
 
 
 @REGISTER("o8_union", "SELECT route_id, name FROM v_routes UNION ALL SELECT p_partkey, p_name FROM part")
@@ -112,8 +122,16 @@ def _(v: Views) -> DataFrame:
     return hits.unionByName(v.routes.select("route_id").join(known, "route_id", "left_anti").withColumn("cached", F.lit(False)))
 
 
-_CLEAN = _SQ("regexp_replace(n, '\\([^()]*\\)', '', 'g')")
-_NORM = lambda x: f"regexp_replace({_SQ(f'lower({x})')}, '^[ \",;:!?.\\-]+|[ \",;:!?.\\-]+$', '', 'g')"
+_NO_PARENTHESES = "regexp_replace({}, '\\([^()]*\\)', '', 'g')"
+_CLEAN = "n"
+for _ in range(12):  # deeper than any of the names below is nested
+    _CLEAN = _NO_PARENTHESES.format(_CLEAN)
+_CLEAN = _SQ(_CLEAN)
+_BARE = lambda x: f"regexp_replace({_SQ(x)}, '^[ ,;:!?.\\-]+|[ ,;:!?.\\-]+$', '', 'g')"
+_NORM = lambda x: _BARE("regexp_replace(lower(" + x + "), '[«»\"''’`]', '', 'g')")
+#: Stop names with what the rules are about: marks, punctuation at the ends, nested and odd parentheses, none at all.
+_ODD = """CASE seq % 8 WHEN 0 THEN concat('«', trim(stop_name), '». ') WHEN 1 THEN concat('’`', stop_name, ' - ') WHEN 2 THEN concat('((a) b)(', stop_name, '))')
+WHEN 3 THEN concat('((((((((((', stop_name, '))))))))))') WHEN 4 THEN '“q”  „w“ ;' WHEN 5 THEN '' WHEN 6 THEN concat('"', stop_name, '", ?') ELSE stop_name END"""
 
 
 @REGISTER("w4_endpoints", "SELECT route_id, di, min_by(stop_name, seq) AS first_stop, max_by(stop_name, seq) AS last_stop FROM v_stops_seq GROUP BY ALL")
@@ -121,22 +139,22 @@ def _(v: Views) -> DataFrame:
     return network.endpoints(v.stops_seq)
 
 
-@REGISTER("s1_normalize_terminal", f"SELECT DISTINCT stop_name, {_NORM('stop_name')} AS normal FROM v_stops_seq")
+@REGISTER("s1_normalize_terminal", f"SELECT DISTINCT n AS stop_name, {_NORM('n')} AS normal FROM (SELECT {_ODD} AS n FROM v_stops_seq)")
 def _(v: Views) -> DataFrame:
-    return v.stops_seq.select("stop_name", text.normalize_terminal(F.col("stop_name")).alias("normal")).distinct()
+    return v.stops_seq.select(F.expr(_ODD).alias("stop_name")).select("stop_name", text.normalize_terminal(F.col("stop_name")).alias("normal")).distinct()
 
 
-@REGISTER("s2_clean_terminal", f"SELECT DISTINCT n AS stop_name, {_CLEAN} AS clean FROM (SELECT stop_name AS n FROM v_stops_seq)")
+@REGISTER("s2_clean_terminal", f"SELECT DISTINCT n AS stop_name, {_CLEAN} AS clean FROM (SELECT {_ODD} AS n FROM v_stops_seq)")
 def _(v: Views) -> DataFrame:
-    return v.stops_seq.select("stop_name", text.clean_terminal_name(F.col("stop_name")).alias("clean")).distinct()
+    return v.stops_seq.select(F.expr(_ODD).alias("stop_name")).select("stop_name", text.clean_terminal_name(F.col("stop_name")).alias("clean")).distinct()
 
 
-@REGISTER("s3_normalize_stop", f"SELECT DISTINCT stop_name, {_SQ('lower(stop_name)')} AS normal FROM v_stops_seq")
+@REGISTER("s3_normalize_stop", f"SELECT DISTINCT n AS stop_name, {_BARE('lower(n)')} AS normal FROM (SELECT {_ODD} AS n FROM v_stops_seq)")
 def _(v: Views) -> DataFrame:
-    return v.stops_seq.select("stop_name", text.normalize_stop_name(F.col("stop_name")).alias("normal")).distinct()
+    return v.stops_seq.select(F.expr(_ODD).alias("stop_name")).select("stop_name", text.normalize_stop_name(F.col("stop_name")).alias("normal")).distinct()
 
 
-_STOPS = f"""k AS (SELECT s.*, route_type, (route_id, di, seq) AS o, coalesce(CAST(stop_id AS VARCHAR), 'name:' || {_SQ('lower(stop_name)')}) AS key FROM v_stops_seq s JOIN v_routes USING (route_id)),
+_STOPS = f"""k AS (SELECT s.*, route_type, (route_id, di, seq) AS o, coalesce(CAST(stop_id AS VARCHAR), 'name:' || {_BARE('lower(stop_name)')}) AS key FROM v_stops_seq s JOIN v_routes USING (route_id) WHERE error IS NULL),
 us AS (SELECT key, min_by(coalesce(stop_id, -1), o) AS sid, min_by({_SQ('stop_name')}, o) AS name, min_by(lat, o) FILTER (lat IS NOT NULL AND lon IS NOT NULL) AS lat,
 min_by(lon, o) FILTER (lat IS NOT NULL AND lon IS NOT NULL) AS lon, min_by(seq, o) FILTER (lat IS NOT NULL AND lon IS NOT NULL) AS idx,
 list_sort(list(DISTINCT route_type)) AS types, list_sort(list(DISTINCT route_id)) AS routes FROM k GROUP BY key)"""
@@ -153,13 +171,13 @@ def _(v: Views) -> DataFrame:
 
 @REGISTER("snk10_unique_stops_sheet", f"WITH {_STOPS} SELECT row_number() OVER (ORDER BY lower(name), key) AS place, key, name, CAST(len(routes) AS BIGINT) AS routes FROM us")
 def _(v: Views) -> DataFrame:
-    place = F.row_number().over(Window.orderBy(F.lower("name"), "key")).cast("bigint")
-    return _stops(v).select(place.alias("place"), "key", "name", F.size("routes").cast("bigint").alias("routes"))
+    stops = _stops(v).select("key", "name", F.size("routes").cast("bigint").alias("routes"))
+    return numbered(stops, "place", F.lower("name"), F.col("key"))
 
 
 @REGISTER("o2_stop_order", f"WITH {_STOPS} SELECT key, row_number() OVER (ORDER BY lower(name), key) AS place FROM us")
 def _(v: Views) -> DataFrame:
-    return _stops(v).select("key", F.row_number().over(Window.orderBy(F.lower("name"), "key")).cast("bigint").alias("place"))
+    return numbered(_stops(v).select("key", "name"), "place", F.lower("name"), F.col("key")).select("key", "place")
 
 
 @REGISTER("ag17_stops_area", "SELECT round((max(lat)-min(lat))*111.0*(max(lon)-min(lon))*111.0*cos(radians((max(lat)+min(lat))/2)), 6) AS area_km2 FROM v_stops_seq")
@@ -206,9 +224,12 @@ def _(v: Views) -> DataFrame:
 _MIN = "CAST(regexp_extract(hhmm, '(\\d+):(\\d+)', 1) AS INTEGER) * 60 + CAST(regexp_extract(hhmm, '(\\d+):(\\d+)', 2) AS INTEGER)"
 
 
-@REGISTER("p7_minutes", f"SELECT event_id, {_MIN} AS minute FROM v_departures")
+_TIMES = "CASE event_id % 9 WHEN 0 THEN '7:5' WHEN 1 THEN '24:00' WHEN 2 THEN ' 07:05 ' WHEN 3 THEN '12:60' WHEN 4 THEN '705' WHEN 5 THEN '7:055' ELSE hhmm END"
+
+
+@REGISTER("p7_minutes", f"SELECT event_id, CASE event_id % 9 WHEN 2 THEN 425 WHEN 6 THEN {_MIN} WHEN 7 THEN {_MIN} WHEN 8 THEN {_MIN} END AS minute FROM v_departures")
 def _(v: Views) -> DataFrame:
-    return v.departures.select("event_id", text.minutes(F.col("hhmm")).alias("minute"))
+    return v.departures.select("event_id", text.minutes(F.expr(_TIMES)).alias("minute"))
 
 
 @REGISTER("d1f_clock", f"SELECT event_id, lpad(hhmm, 5, '0') AS clock FROM v_departures")
@@ -216,12 +237,14 @@ def _(v: Views) -> DataFrame:
     return v.departures.select("event_id", text.clock(text.minutes(F.col("hhmm"))).alias("clock"))
 
 
-@REGISTER("p8_service_days", "SELECT weekday, weekend, count(*) AS departures FROM v_departures GROUP BY ALL")
+_FLAGS = ["CASE event_id % 8 WHEN 0 THEN 'on' WHEN 1 THEN '0' WHEN 2 THEN 'No' WHEN 3 THEN '2' WHEN 4 THEN '' WHEN 5 THEN '0.0' WHEN 6 THEN ' TRUE ' ELSE 'weekly' END", "CASE event_id % 3 WHEN 0 THEN 'yes' WHEN 1 THEN 'off' END"]
+
+
+@REGISTER("p8_service_days", "SELECT event_id, event_id % 8 IN (0, 3, 6, 7) AS weekday, event_id % 3 = 0 AS weekend FROM events")
 def _(v: Views) -> DataFrame:
-    flags = F.concat(F.array_repeat("weekday", 5), F.array_repeat("weekend", 2))
-    week = v.departures.select(flags.alias("days"))
-    on = lambda lo, n: F.exists(F.slice("days", lo, n), lambda d: d)
-    return week.groupBy(on(1, 5).alias("weekday"), on(6, 2).alias("weekend")).agg(F.count("*").alias("departures"))
+    no = F.lit("none")
+    weekday, weekend = payloads.service_days(F.array(no, F.expr(_FLAGS[0]), no, no, no, F.expr(_FLAGS[1]), no))
+    return v.events.select("event_id", weekday.alias("weekday"), weekend.alias("weekend"))
 
 
 @REGISTER(
@@ -245,21 +268,33 @@ def _(v: Views) -> DataFrame:
     return v.documents.select("doc_id", text.idea_type(F.col("text"), F.col("source")).alias("kind"))
 
 
-@REGISTER("p11_electrobus", "SELECT doc_id, contains(lower(text), 'электробус') OR contains(lower(source), 'электробус') AS electrobus FROM documents")
+_PAYLOADS = """CASE doc_id % 7 WHEN 0 THEN '{"is_electrobus": true}' WHEN 1 THEN '{"transportTags": [{"name": "Электробус 5"}]}' WHEN 2 THEN '{"is_electrobus": false, "note": "нет", "trips": "электробус"}'
+WHEN 3 THEN '{"transportClasses": [{"name": "a"}, {"name": "электробус"}]}' WHEN 4 THEN '{"company": "ЭЛЕКТРОБУС-парк"}' WHEN 5 THEN '{"is_electrobus": 0}' ELSE '{}' END"""
+
+
+@REGISTER("p11_electrobus", "SELECT doc_id, doc_id % 7 IN (0, 1, 3, 4) OR contains(lower(text), 'электробус') AS electrobus FROM documents")
 def _(v: Views) -> DataFrame:
-    return v.documents.select("doc_id", text.mentions_electrobus(F.col("text"), F.col("source")).alias("electrobus"))
+    return v.documents.select("doc_id", payloads.is_electrobus(F.expr(_PAYLOADS), F.col("text")).alias("electrobus"))
 
 
-@REGISTER("p13_ratings", "SELECT event_id, round(value, 1) AS rating, user_id AS votes FROM events")
+@REGISTER(
+    "p13_ratings",
+    "SELECT event_id, CASE event_id % 4 WHEN 0 THEN NULL WHEN 1 THEN -round(value + 1, 1) ELSE round(value + 1, 1) END AS rating, CASE WHEN event_id % 4 > 1 THEN user_id END AS votes FROM events",
+)
 def _(v: Views) -> DataFrame:
-    written = F.concat(F.replace(F.round("value", 1).cast("decimal(20,1)").cast("string"), F.lit("."), F.lit(",")), F.lit(" ("), F.col("user_id").cast("string"), F.lit(")"))
+    number = F.replace(F.round(F.col("value") + 1, 1).cast("decimal(20,1)").cast("string"), F.lit("."), F.lit(","))
+    votes = F.concat(number, F.lit(" ("), F.col("user_id").cast("string"), F.lit(")"))
+    written = F.when(F.col("event_id") % 4 == 0, "—").when(F.col("event_id") % 4 == 1, F.concat(F.lit(" -"), number)).otherwise(votes)
     rating, votes = text.idea_rating(written)
     return v.events.select("event_id", rating.alias("rating"), votes.alias("votes"))
 
 
-@REGISTER("p18_city_from_url", "SELECT page_id, nullif(regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]+/([^/?#]+)', 1), '') AS city FROM pages")
+_URLS = "CASE page_id % 5 WHEN 0 THEN '/Catalog/Kazan/?routes=1' WHEN 1 THEN '/catalog' WHEN 2 THEN '//a.example/%D0%9A%D0%B0+b/x#y' WHEN 3 THEN '?routes=5' ELSE url END"
+
+
+@REGISTER("p18_city_from_url", "SELECT page_id, CASE page_id % 5 WHEN 0 THEN 'kazan' WHEN 2 THEN 'ка+b' WHEN 4 THEN nullif(lower(regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]+/([^/?#]+)', 1)), '') END AS city FROM pages")
 def _(v: Views) -> DataFrame:
-    return v.pages.select("page_id", text.city_from_url(F.col("url")).alias("city"))
+    return v.pages.select("page_id", text.city_from_url(F.expr(_URLS)).alias("city"))
 
 
 @REGISTER("p19_routes_argument", "SELECT page_id, try_cast(nullif(regexp_extract(url || '&routes=' || page_id, '[?&]routes=(\\d+)(?:[&#]|$)', 1), '') AS BIGINT) AS route_id FROM pages")
@@ -282,7 +317,7 @@ _COLORS = "hex(CAST(round_even(a + (b - a) * f, 0) AS BIGINT))"
 
 @REGISTER("s11_heat_colors")
 def _(v: Views) -> DataFrame:
-    t = F.col("c_acctbal") / F.max("c_acctbal").over(Window.partitionBy())
+    t = F.col("c_acctbal") / v.customer.agg(F.max("c_acctbal")).scalar()
     return v.customer.select("c_custkey", text.heat_color(t).alias("color"))
 
 
@@ -352,6 +387,30 @@ def _(v: Views) -> DataFrame:
     return _stats(v, ["route_id"]).select("route_id", "count", of("AUTOMOBILE"), of("BUILDING"))
 
 
+_ELEMENTS = """c_custkey AS id, CASE c_custkey % 4 WHEN 0 THEN 'node' WHEN 1 THEN 'way' WHEN 2 THEN 'relation' ELSE 'area' END AS type,
+CASE WHEN c_custkey % 11 <> 3 THEN 51.0 + c_nationkey / 100.0D END AS lat, CAST(39 AS DOUBLE) AS lon,
+CASE WHEN c_custkey % 13 <> 5 THEN named_struct('lat', 52.0 + c_nationkey / 100.0D, 'lon', CAST(40 AS DOUBLE)) END AS center,
+map('name', CASE WHEN c_custkey % 9 = 4 THEN '  ' ELSE concat(' ', c_name) END, 'amenity', CASE c_custkey % 5 WHEN 0 THEN 'school' WHEN 1 THEN 'kindergarten' WHEN 2 THEN 'school' ELSE 'bar' END,
+ 'landuse', CASE WHEN c_custkey % 17 = 1 THEN 'military' ELSE 'grass' END, 'military', CASE WHEN c_custkey % 19 = 2 THEN 'barracks' WHEN c_custkey % 19 = 3 THEN 'bunker' END,
+ 'access', CASE WHEN c_custkey % 3 = 0 THEN 'private' END, 'aeroway', CASE WHEN c_custkey % 7 = 0 THEN 'aerodrome' END) AS tags"""
+_OSM = """SELECT c_custkey AS poi_id, CASE WHEN c_custkey % 5 = 1 THEN 'Детский сад' ELSE 'Школа' END AS poi_type, c_name AS name,
+CASE WHEN c_custkey % 4 = 0 THEN 51.0 + c_nationkey / 100.0 ELSE 52.0 + c_nationkey / 100.0 END AS lat, CASE WHEN c_custkey % 4 = 0 THEN 39.0 ELSE 40.0 END::DOUBLE AS lon
+FROM customer WHERE c_custkey % 9 <> 4 AND c_custkey % 5 IN (0, 1, 2) AND c_custkey % 17 <> 1 AND c_custkey % 19 <> 2 AND NOT (c_custkey % 3 = 0 AND c_custkey % 7 = 0)
+AND CASE WHEN c_custkey % 4 = 0 THEN c_custkey % 11 <> 3 WHEN c_custkey % 4 < 3 THEN c_custkey % 13 <> 5 ELSE false END"""
+
+
+@REGISTER("src14_osm_pois", f"SELECT poi_id, poi_type, name, round(lat, 6) AS lat, lon FROM ({_OSM})")
+def _(v: Views) -> DataFrame:
+    found = nearby.osm_pois(v.customer.selectExpr(f"inline(array(struct({_ELEMENTS})))"))
+    return found.select("poi_id", "poi_type", "name", F.round("lat", 6).alias("lat"), "lon")
+
+
+@REGISTER("f14_osm_poi_counts", f"SELECT poi_type, count(*) AS pois FROM ({_OSM}) GROUP BY ALL")
+def _(v: Views) -> DataFrame:
+    found = nearby.osm_pois(v.customer.selectExpr(f"inline(array(struct({_ELEMENTS})))"))
+    return found.groupBy("poi_type").agg(F.count("*").alias("pois"))
+
+
 @REGISTER("f14_named_pois", "SELECT poi_id FROM v_pois WHERE name IS NOT NULL")
 def _(v: Views) -> DataFrame:
     return v.pois.where("name IS NOT NULL").select("poi_id")

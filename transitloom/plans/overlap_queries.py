@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import geometry, overlap
+from ..operators import geometry, network, overlap
 from .register import Register
 from .surrogate import Views
 
@@ -78,9 +78,26 @@ def _(v: Views) -> DataFrame:
     return overlap.overlap_pairs(overlap.node_segments(points), BUFFER_M, K_DEL).select("x", "y", F.round("kmax", 6).alias("kmax"), "excess")
 
 
-@REGISTER("ag12_network_km", f"WITH {_SEG}, e AS (SELECT least((round_even(x1/0.01, 0), round_even(y1/0.01, 0)), (round_even(x2/0.01, 0), round_even(y2/0.01, 0))) AS a, greatest((round_even(x1/0.01, 0), round_even(y1/0.01, 0)), (round_even(x2/0.01, 0), round_even(y2/0.01, 0))) AS b, metres FROM seg), u AS (SELECT a, b, max(metres) AS m, sum(metres) AS s FROM e GROUP BY ALL) SELECT round(sum(s)/1000, 6) AS total_km, round(sum(m)/1000, 6) AS unique_km, round(sum(s)/sum(m), 6) AS coefficient FROM u")
+# the surrogate's streets run along parallels: a line is its y, a stretch an interval of x; every second route's stretches are moved by
+# half a step, so that they overlap in part
+_UNION = f"""{_SEG}, moved AS (SELECT y1, least(x1, x2) + CASE WHEN node % 4 < 2 THEN 50 ELSE 0 END AS a, greatest(x1, x2) + CASE WHEN node % 4 < 2 THEN 50 ELSE 0 END AS b FROM seg),
+cut AS (SELECT y1, a AS x FROM moved UNION SELECT y1, b FROM moved), part AS (SELECT y1, x AS p, lead(x) OVER (PARTITION BY y1 ORDER BY x) AS q FROM cut),
+u AS (SELECT sum(q - p) AS metres FROM part WHERE EXISTS (SELECT 1 FROM moved m WHERE m.y1 = part.y1 AND m.a <= p AND m.b >= q)), w AS (SELECT sum(b - a) AS metres FROM moved)"""
+
+
+def _moved(v: Views) -> DataFrame:
+    by = F.when(F.col("node") % 4 < 2, 50).otherwise(0)
+    return _segments(v).withColumns({"x1": F.col("x1") + by, "x2": F.col("x2") + by})
+
+
+@REGISTER("ag12_network_km", f"WITH {_UNION} SELECT round(w.metres / 1000, 4) AS total_km, round(u.metres / 1000, 4) AS unique_km, round(w.metres / u.metres, 4) AS coefficient FROM u, w")
+def _(v: Views) -> DataFrame:
+    return overlap.network_km(_moved(v)).select(*[F.round(c, 4).alias(c) for c in ("total_km", "unique_km", "coefficient")])
+
+
+@REGISTER("ag19_density", f"WITH {_UNION} SELECT round(u.metres / 1000 / ((51.8 - 51.6) * 111.0 * (39.3 - 39.1) * 111.0 * cos(radians((51.8 + 51.6) / 2))), 3) AS density FROM u")
 def _(v: Views) -> DataFrame:
-    return overlap.network_km(_segments(v)).select(*[F.round(c, 6).alias(c) for c in ("total_km", "unique_km", "coefficient")])
+    return overlap.network_km(_moved(v)).select(network.density(F.col("unique_km"), (51.6, 39.1, 51.8, 39.3)).alias("density"))
 
 
 _E = "e AS (SELECT x, y, kmax FROM v_edges WHERE kmax > 0.7), b AS (SELECT x AS node, y AS other, kmax FROM e UNION ALL SELECT y, x, kmax FROM e)"

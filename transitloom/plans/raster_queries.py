@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import math
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import heat_color
 from ..operators import network, raster
+from ..tables import numbered
 from .network_queries import _STOPS
 from .register import Register
 from .surrogate import Views
@@ -39,7 +42,9 @@ def _(v: Views) -> DataFrame:
     return v.pixels.groupBy("tile_id").agg(F.sum(raster.clean_value(F.col("raw_value"))).alias("volume"), F.count("*").alias("pixels"))
 
 
-@REGISTER("w6_prefix_sums", f"WITH a AS (SELECT row_no, col_no, sum({_VAL}) OVER (PARTITION BY row_no ORDER BY col_no) AS s FROM v_pixels) SELECT row_no, col_no, sum(s) OVER (PARTITION BY col_no ORDER BY row_no) AS total FROM a")
+@REGISTER("w6_prefix_sums", f"""WITH e AS (SELECT min(row_no) AS r0, max(row_no) AS r1, min(col_no) AS c0, max(col_no) AS c1 FROM v_pixels), g AS (SELECT unnest(range(r0, r1 + 1)) AS row_no, c0, c1 FROM e),
+h AS (SELECT row_no, unnest(range(c0, c1 + 1)) AS col_no FROM g), f AS (SELECT h.row_no, h.col_no, coalesce({_VAL}, 0.0) AS value FROM h LEFT JOIN v_pixels p ON h.row_no = p.row_no AND h.col_no = p.col_no),
+a AS (SELECT row_no, col_no, sum(value) OVER (PARTITION BY row_no ORDER BY col_no) AS s FROM f) SELECT row_no, col_no, sum(s) OVER (PARTITION BY col_no ORDER BY row_no) AS total FROM a""")
 def _(v: Views) -> DataFrame:
     return raster.prefix_sums(v.pixels)
 
@@ -62,7 +67,7 @@ def _(v: Views) -> DataFrame:
 
 @REGISTER("snk11_stop_volumes_sheet", f"WITH {_VOL} SELECT row_number() OVER (ORDER BY volume DESC, key) AS place, key, volume FROM vol")
 def _(v: Views) -> DataFrame:
-    return _volumes(v).select(F.row_number().over(Window.orderBy(F.desc("volume"), "key")).cast("bigint").alias("place"), "key", "volume")
+    return numbered(_volumes(v).select("key", "volume"), "place", F.desc("volume"), F.col("key"))
 
 
 _CORR = f"""seg AS (SELECT * FROM (SELECT route_id, di, lag(lat) OVER w AS lat1, lag(lon) OVER w AS lon1, lat AS lat2, lon AS lon2 FROM v_points WINDOW w AS (PARTITION BY route_id, di ORDER BY seq)) WHERE lat1 IS NOT NULL),
@@ -92,11 +97,11 @@ _TOP = f"""ins AS (SELECT * FROM vol WHERE lat BETWEEN {BBOX[0]} AND {BBOX[2]} A
 top AS (SELECT * FROM (SELECT *, row_number() OVER (ORDER BY volume DESC, key) AS n, count(*) OVER () AS total FROM ins) WHERE n <= greatest(1, ceil(total * 35.0 / 100)))"""
 
 
-def _heat_sql() -> str:
-    import math
+_STEPS = (0.5 / 111.0, 0.5 / 111.0 / math.cos(math.radians((BBOX[0] + BBOX[2]) / 2)))
 
-    dlat = 0.5 / 111.0
-    dlon = dlat / math.cos(math.radians((BBOX[0] + BBOX[2]) / 2))
+
+def _heat_sql() -> str:
+    dlat, dlon = _STEPS
     return f"{_VOL}, {_TOP}, cell AS (SELECT CAST(trunc((lat - {BBOX[0]!r}::DOUBLE) / {dlat!r}::DOUBLE) AS BIGINT) AS i, CAST(trunc((lon - {BBOX[1]!r}::DOUBLE) / {dlon!r}::DOUBLE) AS BIGINT) AS j, sum(volume) AS value FROM top WHERE volume > 0 GROUP BY ALL)"
 
 
@@ -128,14 +133,28 @@ def _(v: Views) -> DataFrame:
 
 @REGISTER("w8_relative_volumes", f"WITH {_VOL} SELECT key, round(volume / max(volume) OVER (), 6) AS share FROM vol")
 def _(v: Views) -> DataFrame:
-    return _volumes(v).select("key", F.round(F.col("volume") / F.max("volume").over(Window.partitionBy()), 6).alias("share"))
+    volumes = _volumes(v)
+    return volumes.select("key", F.round(F.col("volume") / volumes.agg(F.max("volume")).scalar(), 6).alias("share"))
 
 
 @REGISTER("snk13_heat_sheet", f"WITH {_heat_sql()} SELECT i, j, round(100 * value / max(value) OVER (), 2) AS percent FROM cell")
 def _(v: Views) -> DataFrame:
-    return _cells(v).select("i", "j", F.round(100 * F.col("value") / F.max("value").over(Window.partitionBy()), 2).alias("percent"))
+    cells = _cells(v)
+    return cells.select("i", "j", F.round(100 * F.col("value") / cells.agg(F.max("value")).scalar(), 2).alias("percent"))
 
 
 @REGISTER("snk17_heat_colors")
 def _(v: Views) -> DataFrame:
     return raster.heat_levels(_cells(v)).select("i", "j", "level", heat_color(F.col("level") / 31).alias("color"))
+
+
+@REGISTER(
+    "snk17_heat_placemarks",
+    f"""WITH {_heat_sql()}, m AS (SELECT i, j, pow(value / max(value) OVER (), 0.6) AS t FROM cell)
+SELECT i, j, 'heat' || CAST(round_even(t * 31, 0) AS BIGINT) AS style, 1 AS extrude, 'relativeToGround' AS altitude_mode, round(400 * t, 6) AS altitude,
+printf('%.7f,%.7f', {BBOX[1]!r}::DOUBLE + (j + 1) * {_STEPS[1]!r}::DOUBLE, {BBOX[0]!r}::DOUBLE + i * {_STEPS[0]!r}::DOUBLE) AS second_corner FROM m""",
+)
+def _(v: Views) -> DataFrame:
+    marks = raster.heat_placemarks(raster.heat_levels(_cells(v)), BBOX[0], BBOX[1], *_STEPS)
+    second = F.regexp_extract("coordinates", r"^\S+ ([^ ]+),[^, ]+ ", 1)
+    return marks.select("i", "j", "style", "extrude", "altitude_mode", F.round("altitude", 6).alias("altitude"), second.alias("second_corner"))

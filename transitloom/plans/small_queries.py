@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import geo, text
-from ..operators import nearby, overlap, raster
+from ..operators import generate, geometry, nearby, overlap, raster
+from ..sources import files, ideas, payloads
+from ..tables import numbered
 from .overlap_queries import _G, _removed
 from .raster_queries import _VAL
 from .register import Register
@@ -15,10 +17,13 @@ from .surrogate import Views
 REGISTER = Register()
 
 
-@REGISTER("w3_exact_repeats", "SELECT event_id FROM (SELECT event_id, event_type, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS before FROM events) WHERE event_type IS DISTINCT FROM before")
+@REGISTER(
+    "w3_exact_repeats",
+    "WITH p AS (SELECT route_id, di, seq, floor(lat * 10) AS lat, floor(lon * 5) AS lon FROM v_zigzag) SELECT route_id, di, seq FROM (SELECT *, lag(lat) OVER w AS a, lag(lon) OVER w AS b FROM p WINDOW w AS (PARTITION BY route_id, di ORDER BY seq)) WHERE lat IS DISTINCT FROM a OR lon IS DISTINCT FROM b",
+)
 def _(v: Views) -> DataFrame:
-    before = F.lag("event_type").over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
-    return v.events.withColumn("before", before).where(~F.col("event_type").eqNullSafe(F.col("before"))).select("event_id")
+    coarse = v.zigzag.withColumns({"lat": F.floor(F.col("lat") * 10), "lon": F.floor(F.col("lon") * 5)})
+    return geometry.without_exact_repeats(coarse).select("route_id", "di", "seq")
 
 
 @REGISTER("w5_removal_steps", f"WITH {_G} SELECT row_number() OVER (ORDER BY volume, node) AS step, node FROM vic")
@@ -33,7 +38,7 @@ def _(v: Views) -> DataFrame:
 
 @REGISTER("o3_metric_order", "SELECT node, row_number() OVER (ORDER BY volume DESC, node) AS place FROM v_ghs")
 def _(v: Views) -> DataFrame:
-    return v.ghs.select("node", F.row_number().over(Window.orderBy(F.desc("volume"), "node")).cast("bigint").alias("place"))
+    return numbered(v.ghs.select("node", "volume"), "place", F.desc("volume"), F.col("node")).select("node", "place")
 
 
 @REGISTER("o4_top_percent", "SELECT node FROM (SELECT node, row_number() OVER (ORDER BY volume DESC, node) AS n, count(*) OVER () AS total FROM v_ghs) WHERE n <= greatest(1, ceil(total * 10.0 / 100))")
@@ -70,9 +75,9 @@ def _(v: Views) -> DataFrame:
     return v.zigzag.select(F.concat_ws(":", "route_id", "di").alias("key")).distinct()
 
 
-@REGISTER("s10_source_signatures", "SELECT page_id, md5(url || '|' || CAST(length(html) AS VARCHAR)) AS signature FROM pages")
+@REGISTER("s10_source_signatures", "SELECT page_id, left(md5(url || ';tile.tif|' || CAST(length(html) AS VARCHAR)), 12) AS signature FROM pages")
 def _(v: Views) -> DataFrame:
-    return v.pages.select("page_id", F.md5(F.concat_ws("|", "url", F.length("html"))).alias("signature"))
+    return v.pages.select("page_id", files.source_signature(F.array("url", F.lit("tile.tif")), F.length("html")).alias("signature"))
 
 
 @REGISTER("s12_heat_levels", "SELECT p_partkey, CAST(round_even(pow(p_size / 50.0, 0.6) * 31, 0) AS BIGINT) AS level FROM part")
@@ -96,14 +101,22 @@ def _(v: Views) -> DataFrame:
     return v.customer.select("c_custkey", geo.valid_point(F.col("c_acctbal") / 50, F.col("c_acctbal") / 25).alias("valid"))
 
 
-@REGISTER("p12_metadata_fallback", "SELECT doc_id, coalesce(nullif(trim(source), ''), lang) AS company FROM documents")
+@REGISTER(
+    "p12_metadata_fallback",
+    "SELECT doc_id, coalesce(CASE doc_id % 3 WHEN 0 THEN source WHEN 1 THEN lang || ' a' ELSE '' END, '') AS transport_class, doc_id % 3 = 1 AS is_electrobus FROM documents",
+)
 def _(v: Views) -> DataFrame:
-    return v.documents.select("doc_id", F.coalesce(F.nullif(F.trim("source"), F.lit("")), "lang").alias("company"))
+    payload = F.when(F.col("doc_id") % 3 == 0, F.to_json(F.struct(F.col("source").alias("transportClass")))).otherwise("{}")
+    label = F.when(F.col("doc_id") % 3 == 1, F.concat(F.col("lang"), F.lit("</em><p> a</p>"))).otherwise("-</em>")
+    note = F.when(F.col("doc_id") % 3 == 1, "Электробус").otherwise("")
+    page = F.concat(F.lit("<html><body><section><div><p><b>Классы&nbsp;транспорта:</b> <em>"), label, F.lit("</p></div></section><footer>"), note, F.lit("</footer></body></html>"))
+    found = v.documents.select("doc_id", payloads.metadata(payload, page).alias("m"))
+    return found.select("doc_id", "m.*")
 
 
-@REGISTER("p24_task_addresses", "SELECT route_id, '/city?routes=' || CAST(route_id AS VARCHAR) AS url FROM v_routes")
+@REGISTER("p24_task_addresses", "SELECT route_id, '/' || route_type || '?routes=' || CAST(route_id AS VARCHAR) AS url FROM v_routes")
 def _(v: Views) -> DataFrame:
-    return v.routes.select("route_id", F.concat(F.lit("/city?routes="), "route_id").alias("url"))
+    return v.routes.select("route_id", text.task_url(F.col("route_type"), F.col("route_id")).alias("url"))
 
 
 @REGISTER("j12_tile_bounds", "SELECT tile_id, min(row_no) AS row_lo, max(row_no) AS row_hi, min(col_no) AS col_lo, max(col_no) AS col_hi FROM v_pixels GROUP BY ALL")
@@ -147,6 +160,57 @@ def _(v: Views) -> DataFrame:
     return overlap.clean_edges(v.edges, 0.9).agg(F.count("*").alias("edges"))
 
 
-@REGISTER("gen2_origins", "SELECT node, row_number() OVER (ORDER BY volume DESC, node) AS origin FROM v_ghs")
+@REGISTER("gen2_origins", "WITH t AS (SELECT node, row_number() OVER (ORDER BY volume DESC, node) AS place FROM v_ghs WHERE node <= 40) SELECT n, node AS key FROM range(1, 61) AS r(n) JOIN t ON place = CASE WHEN n <= (SELECT count(*) FROM t) THEN n ELSE 1 END")
+def _(v: Views) -> DataFrame:
+    found = numbered(v.ghs.where("node <= 40").selectExpr("node AS key", "volume"), "rank", F.desc("volume"), F.col("key"))
+    return generate.origins(found, 60).select("n", "key")
+
+
+@REGISTER(
+    "snk12_generated_sheet",
+    "SELECT o_orderkey AS n, o_orderstatus AS origin, o_orderpriority AS destination, round(o_custkey / 7.0, 2) AS length_km, o_custkey AS stops, CASE WHEN o_custkey % 3 = 0 THEN '∞' ELSE printf('%.2f', o_custkey / 7.0) END AS ratio, round(o_totalprice / 1000, 1) AS volume, CASE WHEN o_custkey > 0 THEN round(o_totalprice / 1000 / (o_custkey / 7.0), 1) END AS volume_per_km, 's' AS status, 'c' AS chain FROM orders",
+)
+def _(v: Views) -> DataFrame:
+    ratio = F.when(F.col("o_custkey") % 3 == 0, float("inf")).otherwise(F.col("o_custkey") / 7)
+    routes = v.orders.select(
+        F.col("o_orderkey").alias("n"), F.col("o_orderstatus").alias("origin"), F.col("o_orderpriority").alias("destination"), (F.col("o_custkey") / 7).alias("length_km"),
+        F.col("o_custkey").alias("stops"), ratio.alias("ratio"), F.col("o_totalprice").alias("volume"), F.lit("s").alias("status"), F.lit("c").alias("chain"),
+    )
+    return generate.sheet(routes)
+
+
+@REGISTER("r5_downsampled", f"SELECT row_no // 4 AS row_no, col_no // 4 AS col_no, sum({_VAL}) AS raw_value FROM v_pixels WHERE lat BETWEEN 51.61 AND 51.65 AND lon BETWEEN 39.11 AND 39.15 GROUP BY ALL")
+def _(v: Views) -> DataFrame:
+    return raster.downsampled(raster.clipped(v.pixels, (51.61, 39.11, 51.65, 39.15)), 4)
+
+
+_IDEA_PAGE = """concat('<p>x</p><TABLE class="ideas"><tr><th>№</th></tr><tr><td>№ ', c_custkey % 60, '</td><td><a class=t href="/idea/', c_custkey, '">', c_name, ' &amp; <b>b</b></a></td><td>City</td><td>Author ', c_nationkey,
+'</td><td>1.2.</td><td>', CASE c_custkey % 3 WHEN 0 THEN '—' WHEN 1 THEN '-1' ELSE concat('4,5 (', c_nationkey, ')') END, '</td></tr><tr><td>5</td><td>too short</td></tr><tr><td>none</td><td>a</td><td>b</td><td>c</td><td>d</td><td>e</td></tr></TABLE>')"""
+
+
+@REGISTER(
+    "src10_idea_list",
+    """WITH i AS (SELECT c_custkey % 60 AS id, c_custkey % 2 AS query_no, c_custkey AS page, c_name || ' & b' AS title, 'https://ideas.example/idea/' || c_custkey AS url, 'Author ' || c_nationkey AS author,
+CASE c_custkey % 3 WHEN 1 THEN -1.0 WHEN 2 THEN 4.5 END::DOUBLE AS rating, CASE WHEN c_custkey % 3 = 2 THEN c_nationkey END::BIGINT AS voters FROM customer WHERE c_custkey < 400)
+SELECT id, arg_min(title, (query_no, page)) AS title, arg_min(url, (query_no, page)) AS url, 'City' AS city, arg_min(author, (query_no, page)) AS author, arg_min(coalesce(rating, 0), (query_no, page)) AS rating, arg_min(coalesce(voters, 0), (query_no, page)) AS voters FROM i GROUP BY ALL""",
+)
+def _(v: Views) -> DataFrame:
+    # behind three empty pages, from page 400 on, a list has ended
+    html = F.when(F.col("c_custkey") < 400, F.expr(_IDEA_PAGE)).when(F.col("c_custkey") < 406, "<p>nothing</p>").otherwise(F.expr(_IDEA_PAGE))
+    pages = v.customer.select((F.col("c_custkey") % 2).alias("query_no"), F.col("c_custkey").alias("page"), html.alias("html"))
+    found = ideas.idea_list(pages, "https://ideas.example")
+    return found.select("id", "title", "url", "city", "author", F.coalesce("rating", F.lit(0.0)).alias("rating"), F.coalesce("voters", F.lit(0)).alias("voters"))
+
+
+@REGISTER(
+    "src12_idea_routes",
+    "SELECT doc_id AS route_id, lang AS name, CASE WHEN doc_id % 2 = 0 THEN 'tram' ELSE 'bus' END AS route_type, coalesce(source, '') AS company, CASE WHEN doc_id % 3 = 0 THEN '4.0(' || doc_id || ')' ELSE '()' END AS transport_class, CASE WHEN doc_id % 4 = 0 THEN 2 END AS points FROM documents",
+)
 def _(v: Views) -> DataFrame:
-    return v.ghs.select("node", F.row_number().over(Window.orderBy(F.desc("volume"), "node")).cast("bigint").alias("origin"))
+    listed = v.documents.select(
+        F.struct("doc_id").alias("place"), F.col("doc_id").alias("id"), F.col("lang").alias("title"), F.lit(None).cast("string").alias("url"), F.lit("c").alias("city"), F.col("source").alias("author"),
+        F.when(F.col("doc_id") % 3 == 0, 4.0).alias("rating"), F.when(F.col("doc_id") % 3 == 0, F.col("doc_id")).alias("voters"),
+    )
+    line = F.expr("CASE WHEN doc_id % 4 = 0 THEN array(struct(51.0D AS lat, 39.0D AS lon), struct(51.1D AS lat, 39.0D AS lon)) ELSE array() END")
+    shapes = v.documents.where("doc_id % 2 = 0").select(F.col("doc_id").alias("id"), F.lit("Новый ТРАМВАЙ").alias("h1"), line.alias("coords"), F.array(F.lit("s")).alias("stops"))
+    return ideas.ideas_to_routes(listed, shapes).select("route_id", "name", "route_type", "company", "transport_class", F.size("coords").alias("points"))

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import text
+from ..functions import geo, text
 from ..operators import generate, geometry, network, raster
 from ..sources import catalog, files, payloads
 from .register import Register
@@ -150,10 +152,10 @@ def _(v: Views) -> DataFrame:
 def _terminals(v: Views) -> tuple[DataFrame, DataFrame]:
     stops = network.unique_stops(v.stops_seq, v.routes).where("lat IS NOT NULL AND lon IS NOT NULL")
     volumes = raster.window_sums(v.pixels, raster.point_squares(stops, "key", 2), "key")
-    flat = geometry.local_xy(stops, 51.6, 39.1).join(volumes, "key").select("key", "x", "y", "volume")
+    flat = geometry.local_xy(stops, 51.6, 39.1).join(volumes, "key").select("key", "x", "y", "lat", "lon", "volume")
     # the stops of the streets stand at their routes' terminals
     ends = v.stops_seq.withColumn("key", network.stop_key(F.col("stop_id"), F.col("stop_name"))).groupBy("route_id", "di").agg(F.min_by("key", "seq").alias("a"), F.max_by("key", "seq").alias("b"))
-    ends = ends.select("route_id", "di", F.explode(F.array("a", "b")).alias("key")).join(flat.select("key", "x", "y"), "key")
+    ends = ends.select("route_id", "di", F.explode(F.array("a", "b")).alias("key")).join(flat.select("key", "x", "y", "lat", "lon"), "key")
     return flat, generate.terminals(ends, flat)
 
 
@@ -165,7 +167,10 @@ def _(v: Views) -> DataFrame:
 @REGISTER("gen5_generated_routes")
 def _(v: Views) -> DataFrame:
     stops, found = _terminals(v)
-    out = generate.generate_routes(stops, found, 5)
+    # the pixels' centres lie a thousandth of a degree apart, the first at 51.66, 39.10
+    high, wide = geo.METRES_PER_DEGREE * 0.001, geo.METRES_PER_DEGREE * 0.001 * math.cos(math.radians(51.6))
+    grid = generate.Grid(west=-0.5 * wide, north=60.5 * high, width=wide, height=high)
+    out = generate.generate_routes(stops, found, v.pixels, grid, 5)
     return out.select("n", "origin", "destination", "stops", F.round("length_km", 3).alias("length_km"), F.round("ratio", 3).alias("ratio"), "volume", "status")
 
 

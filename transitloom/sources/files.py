@@ -15,6 +15,11 @@ GREATEST_ENTRY = 8 * 1024 * 1024
 COMMAND_PREFIX = r"^(?:python(?:3)?\s+)?(?:-m\s+\S+\s+|\S+\.py\s+)?"
 
 
+def source_signature(paths: Column, buffer_m: Column) -> Column:
+    """Of the files and the buffer that a result was made with."""
+    return F.substring(F.md5(F.concat(F.array_join(paths, ";"), F.lit("|"), F.format_string("%.0f", buffer_m.cast("double")))), 1, 12)
+
+
 def cache_key(kind: str, key: Column) -> Column:
     return F.sha2(F.concat(F.lit(kind + ":"), key), 256)
 
@@ -46,9 +51,17 @@ class JsonCache:
 def batch_commands(spark: SparkSession, path: str) -> DataFrame:
     """place, command: the command lines of a batch file, each once, in order.
 
-    Blank lines, comments, lines that begin with an option and lines that start a batch again are skipped.
+    The file is UTF-8, or else windows-1251. Blank lines, comments, lines that begin with an option and lines that start a batch again are skipped.
     """
-    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", r"\r?\n")).alias("place", "line"))
+
+    def decode(raw: bytes) -> str:  # a small file
+        try:
+            return raw.decode("utf-8-sig")
+        except UnicodeDecodeError:
+            return raw.decode("cp1251")
+
+    whole = spark.read.format("binaryFile").load(path).select(F.pandas_udf(lambda raw: raw.map(decode), "string")("content").alias("value"))
+    lines = whole.select(F.posexplode(F.split("value", r"\r?\n")).alias("place", "line"))
     body = F.trim(F.regexp_replace(F.regexp_replace("line", r"^\x{FEFF}", ""), r"\s+#.*$", ""))
     commands = lines.select("place", F.trim(F.regexp_replace(body, COMMAND_PREFIX, "")).alias("command"), body.alias("body"))
     kept = commands.where((F.col("body") != "") & ~F.startswith("body", F.lit("#")) & ~F.startswith("body", F.lit("-")) & ~F.col("command").rlike(r"(^|\s)--batch\b"))

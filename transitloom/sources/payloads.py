@@ -7,6 +7,8 @@ known shape is ``from_json`` and column functions.
 from __future__ import annotations
 
 import json
+import re
+from html.parser import HTMLParser
 from typing import Any
 
 import pandas as pd
@@ -14,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geo import valid_point
-from ..functions.text import squeeze
+from ..functions.text import mentions_electrobus, squeeze
 from ..operators.network import unshifted
 
 # The key that strings are obfuscated with.
@@ -162,12 +164,24 @@ def parse_payloads(payloads: DataFrame) -> DataFrame:
     return once.select("route_id", di, F.when(F.size("stops") > 0, ends).otherwise("? → ?").alias("name"), "coords", "stops")
 
 
+def service_days(flags: Column) -> tuple[Column, Column]:
+    """Whether one of the first five, and of the two flags after them, is on.
+
+    Flags are texts of what the payload has: a number other than 0, true, or a text that does not say no.
+    """
+    # The texts that say no.
+    says_no = ["", "0", "false", "no", "off", "none"]
+    plain = lambda d: F.lower(F.trim(d))
+    on = lambda d: F.coalesce(~plain(d).isin(*says_no) & ~F.coalesce(plain(d).try_cast("double") == 0, F.lit(False)), F.lit(False))
+    days = F.coalesce(flags, F.array().cast("array<string>"))
+    return F.exists(F.slice(days, 1, 5), on), F.exists(F.slice(days, 6, 2), on)
+
+
 def payload_departures(payloads: DataFrame) -> DataFrame:
     """From ``(route_id, payload)``: route_id, hhmm, weekday, weekend of every departure, for ``schedule_summary``."""
     trips = payloads.select("route_id", F.explode(F.from_json("payload", PAYLOAD)["trips"]).alias("t")).select("route_id", F.explode("t.schedules").alias("s"))
-    on = lambda d: F.coalesce(F.lower(d).isin("1", "true", "yes"), F.lit(False))
-    days = lambda lo, n: F.exists(F.slice(F.coalesce("s.weekDays", F.array().cast("array<string>")), lo, n), on)
-    times = trips.select("route_id", days(1, 5).alias("weekday"), days(6, 2).alias("weekend"), F.explode("s.departureTimes").alias("d"))
+    weekday, weekend = service_days(F.col("s.weekDays"))
+    times = trips.select("route_id", weekday.alias("weekday"), weekend.alias("weekend"), F.explode("s.departureTimes").alias("d"))
     return times.select("route_id", F.coalesce(F.nullif("d.actualDepartureTime", F.lit("")), "d.sourceTime").alias("hhmm"), "weekday", "weekend")
 
 
@@ -186,3 +200,63 @@ def idea_line(pages: DataFrame) -> DataFrame:
     open_line = F.when((F.size("line") > 2) & (F.get("line", F.lit(0)) == F.element_at("line", -1)), F.slice("line", 1, F.greatest(F.size("line") - 1, F.lit(0)))).otherwise(F.col("line"))
     opened = longest.select("idea_id", open_line.alias("line"))
     return opened.select("idea_id", F.filter("line", lambda p, i: (i == 0) | (p != F.get("line", i - 1))).alias("line"))
+
+
+def is_electrobus(payload: Column, page_text: Column | None = None) -> Column:
+    """Whether a payload's flag, name, company, note, transport classes or tags, or its page's text, tell of an electrobus."""
+    # Where a payload may tell it.
+    places = ["$.name", "$.company", "$.note", "$.transportClasses[*].name", "$.transportTags[*].name"]
+    flag = F.lower(F.get_json_object(payload, "$.is_electrobus"))
+    flagged = F.coalesce(~flag.isin("false", "0", "0.0", "", "[]", "{}"), F.lit(False))
+    return flagged | mentions_electrobus(*(F.get_json_object(payload, p) for p in places), F.lit(None).cast("string") if page_text is None else page_text)
+
+
+class _Texts(HTMLParser):
+    """The texts of a page, each with the elements that it is in."""
+
+    def __init__(self) -> None:
+        super().__init__(convert_charrefs=True)
+        self.open: list[tuple[str, int]] = []
+        self.texts: list[tuple[str, tuple[int, ...]]] = []
+        self.count = 0
+
+    def handle_starttag(self, tag: str, attrs: list) -> None:
+        if tag not in ("br", "hr", "img", "input", "link", "meta"):
+            self.count += 1
+            self.open.append((tag, self.count))
+
+    def handle_endtag(self, tag: str) -> None:
+        at = next((k for k in range(len(self.open) - 1, -1, -1) if self.open[k][0] == tag), -1)
+        if at >= 0:
+            del self.open[at:]
+
+    def handle_data(self, data: str) -> None:
+        self.texts.append((data, tuple(n for _, n in self.open)))
+
+
+def _labelled_class(page: str | None) -> str:
+    # Fixed value: the label of transport classes; how far above it their text may be.
+    label, levels = re.compile(r"Классы\s+транспорта"), 4
+    parser = _Texts()
+    parser.feed(page or "")
+    parser.close()
+    within = next((path for text, path in parser.texts if label.search(text)), None)
+    if within is None or len(within) + 1 < levels:  # the document itself is the uppermost
+        return ""
+    around = within[: len(within) + 1 - levels]
+    pieces = [" ".join(text.split()) for text, path in parser.texts if path[: len(around)] == around]
+    found = re.search(r"Классы\s+транспорта:?\s*(.+)", " ".join(p for p in pieces if p))
+    value = found[1].strip() if found else ""
+    return "" if value == "-" else value
+
+
+def labelled_class(html: Column) -> Column:
+    """What a page says behind the label of transport classes, up to the end of the element three above the label's own; else empty."""
+    return F.pandas_udf(lambda pages: pages.map(_labelled_class), "string")(html)
+
+
+def metadata(payload: Column, page: Column) -> Column:
+    """A struct: transport_class of the payload, else of the page's label; is_electrobus by both."""
+    own = F.coalesce(transport_class(payload), F.lit(""))
+    said = F.when(own != "", own).otherwise(labelled_class(page))
+    return F.struct(said.alias("transport_class"), is_electrobus(payload, page).alias("is_electrobus"))
