@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from transitloom.config import ConfigError, Limits, RunConfig, parse_types, resolve_city
 from transitloom.functions import geo, text
 from transitloom.operators import generate, geometry, network, overlap, raster
+from transitloom.plans import batch
+from transitloom.plans.network import Network
 from transitloom.sources import files, payloads
 from transitloom.tables import numbered
 
@@ -376,3 +378,54 @@ def test_batch_file_in_an_older_encoding(spark, tmp_path):
     path = tmp_path / "commands.txt"
     path.write_bytes("# список\nгород один\nгород один\n--batch x\n".encode("cp1251"))
     assert [r.command for r in files.batch_commands(spark, str(path)).collect()] == ["город один"]
+
+
+def test_batch_runs_on_after_a_failure():
+    done = []
+
+    def run(command):
+        if command == "bad":
+            raise ValueError("no such city")
+        done.append(command)
+
+    outcomes, code = batch.run_all(["a", "bad", "b"], run)
+    assert done == ["a", "b"] and code == 1 and [o.error for o in outcomes] == [None, "ValueError: no such city", None]
+    assert batch.run_all([], run) == ([], 0)
+
+
+def test_cached_tasks_are_not_fetched_again(spark, tmp_path):
+    cache, asked = files.JsonCache(spark, str(tmp_path / "cache")), []
+
+    def fetch(tasks):
+        asked.append(sorted(r.key for r in tasks.collect()))
+        return tasks.withColumn("value", F.concat(F.lit('{"k": "'), "key", F.lit('"}')))
+
+    tasks = lambda *keys: spark.createDataFrame([(k,) for k in keys], "key string")
+    first = files.cached_or_fetched(cache, "route", tasks("a", "b"), fetch).collect()
+    again = {r.key: (r.value, r.from_cache) for r in files.cached_or_fetched(cache, "route", tasks("a", "b", "c"), fetch).collect()}
+    assert asked == [["a", "b"], ["c"]] and not any(r.from_cache for r in first)
+    assert again == {"a": ('{"k": "a"}', True), "b": ('{"k": "b"}', True), "c": ('{"k": "c"}', False)}
+
+
+def test_files_by_extension(spark, tmp_path):
+    for name in ("b.tif", "a.TIFF", "c.txt", "deep/d.tif"):
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_text("x")
+    assert [r.path.split("/")[-1] for r in files.resolved(spark, str(tmp_path), [".tif", ".tiff"]).collect()] == ["a.TIFF", "b.tif", "d.tif"]
+
+
+def test_summary_of_a_network(spark):
+    routes = spark.createDataFrame([(1, "5", "tram", True, None), (2, "6", "train", True, None), (3, "7", "bus", False, None), (4, "8", "bus", True, "no page"), (5, "9", "bus", True, None)], "route_id long, name string, route_type string, active boolean, error string")
+    line = lambda r, di, lat, lon: [(r, di, k, lat, lon + k * 0.01) for k in range(4)]
+    bent = [(5, 0, k, 51.65 + (k % 2) * 0.02, 39.15 + k * 0.002) for k in range(4)]
+    points = spark.createDataFrame(line(1, 0, 51.61, 39.11) + line(1, 1, 51.61, 39.11) + line(2, 0, 51.9, 39.11) + line(3, 0, 51.62, 39.2) + bent, "route_id long, di int, seq long, lat double, lon double")
+    stops = spark.createDataFrame([(r, d, k, 10 * r + k, f"S{r}{k}", 51.61, 39.11) for r, d in ((1, 0), (1, 1), (2, 0), (4, 0)) for k in range(2)], "route_id long, di int, seq long, stop_id long, stop_name string, lat double, lon double")
+    pois = spark.createDataFrame([(1, "Школа", "a", 51.61, 39.12), (2, "Школа", None, 51.61, 39.12)], "poi_id long, poi_type string, name string, lat double, lon double")
+    pixels = spark.createDataFrame([(0, 50, 20, 51.61, 39.12, 4000.0)], "tile_id int, row_no long, col_no long, lat double, lon double, raw_value double")
+    run = Network(RunConfig("city", limits=Limits(curvilinearity=2.0), volume_buffer_m=400.0), routes, points, stops, pois, pixels)
+    got = {r.measure: r.value for r in run.summary((51.6, 39.1, 51.7, 39.3), ideas=2).collect()}
+    run.close()
+    want = {"Маршрутов в обработке": 4, "Успешно (в отчёте)": 2, "Ошибок": 1, "Идей пассажиров": 2, "Пропущено неактивных (--active-only)": 1, "Отсечено: криволинейность": 1, "Отсечено: длина": 0, "Остановок уникальных": 4, "Конечных": 4}
+    want |= {"Поездов": 0, "Трамваев": 1, "Автобусов": 0, "GHS: суммарный объём, тыс. м³": 8, "POI: суммарное value": 2000, "Маршрутный коэффициент Км": 1.5}
+    assert {k: got[k] for k in want} == want
+    assert got["Дедупликация: Км до"] is None and got["Плотность сети, км/км²"] == pytest.approx(got["Длина уникальной сети, км"] / (0.1 * 111 * 0.2 * 111 * math.cos(math.radians(51.65))), abs=2e-3)

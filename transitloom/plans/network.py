@@ -99,12 +99,90 @@ class Network:
             return raster.heat_levels(raster.heat_cells(weighted, (0.0, 0.0, 0.0, 0.0), c.heat_cell_km, c.heat_percent), c.heat_gamma)
         return raster.heat_levels(raster.heat_cells(weighted, tuple(box), c.heat_cell_km, c.heat_percent), c.heat_gamma)
 
+    @cached_property
+    def terminals(self) -> DataFrame:
+        left = self.points.select("route_id", "di").distinct()
+        return network.terminal_groups(self.all_stops.join(left, ["route_id", "di"], "left_semi"))
+
+    def lengths(self, points: DataFrame) -> DataFrame:
+        """total_km, unique_km and coefficient of a network's lines."""
+        node = (F.col("route_id") * (1 << 16) + F.col("di")).alias("node")
+        flat = geometry.without_repeats(geometry.projected(points)).select(node, F.lit(0).alias("line"), "seq", "x", "y")
+        return overlap.network_km(overlap.node_segments(flat))
+
     def sheets(self) -> dict[str, DataFrame]:
-        return {
+        """The results as tables by name; those of removals only where they are asked for."""
+        found = {
             "states": self.states,
             "excluded": self.excluded.where("reason IS NOT NULL"),
             "directions": geometry.direction_km(self.points),
             "corridors": self.corridors,
             "stops": self.stops.drop("types", "routes"),
+            "terminals": self.terminals,
+            "poi": self.poi_stats.drop("by_type"),
             "heat": self.heat,
         }
+        return found | ({"overlaps": self.overlaps, "removed": self.removed} if self.config.dedup else {})
+
+    def summary(self, bbox: tuple[float, float, float, float] | None = None, ideas: int = 0, generated: int = 0) -> DataFrame:
+        """place, measure, value: the summary sheet's figures; null where a figure was not asked for or there is nothing to measure.
+
+        Built from one-row aggregates, joined and turned into rows.
+        """
+        c, limits = self.config, self.config.limits
+        one = lambda df, *values: df.agg(*values)
+        count = lambda name, when=None: (F.count("*") if when is None else F.count_if(F.expr(when))).alias(name)
+        reasons = {"curvature": "криволинейность", "length": "длина", "radius": "радиус"}
+        kept = self.points.select("route_id").distinct()
+        types = network.type_counts(self.states.where("state = 'ok'").join(kept, "route_id", "left_semi"), self.points, bbox)
+        parts = [
+            one(self.states, count("processed"), count("errors", "state = 'bad'")),
+            one(self.all_routes, count("inactive", "NOT active")),
+            one(kept, count("ok")),
+            one(self.excluded, *(count(f"cut_{k}", f"reason = '{r}'") for k, r in reasons.items())),
+            self.lengths(self.points).select("total_km", "unique_km", F.col("coefficient").alias("km")),
+            self.lengths(self.kept_points).select(F.col("coefficient").alias("km_before")),
+            one(self.stops, count("stops")),
+            one(self.terminals, count("terminals")),
+            one(self.corridors.join(self.points.select("route_id", "di").distinct(), ["route_id", "di"], "left_semi"), F.sum("volume").alias("volume")),
+            one(self.poi_stats, F.sum("total_value").alias("poi_value")),
+            one(types, *(F.max(F.when(F.col("title") == t, F.col("routes"))).alias(f"type_{k}") for t, k in network.TYPE_TITLES.items())),
+        ]
+        if c.dedup:
+            parts.append(one(self.removed, count("removed")))
+        row = parts[0]
+        for more in parts[1:]:
+            row = row.join(more)  # a row each
+        col, lit, blank = F.col, F.lit, F.lit(None)
+        density = network.density(col("unique_km"), bbox) if bbox else blank
+        # The figures' names.
+        figures = [
+            ("Маршрутов в обработке", col("processed")),
+            ("Успешно (в отчёте)", col("ok")),
+            ("Ошибок", col("errors")),
+            ("Идей пассажиров", lit(ideas)),
+            ("Пропущено неактивных (--active-only)", col("inactive") if c.active_only else lit(0)),
+            ("Отсечено: криволинейность", col("cut_curvature")),
+            ("Отсечено: длина", col("cut_length")),
+            ("Отсечено: радиус", col("cut_radius")),
+            ("Дедупликация: удалено направлений", col("removed") if c.dedup else lit(0)),
+            ("Дедупликация: Км до", F.round("km_before", 2) if c.dedup else blank),
+            ("Маршрутный коэффициент Км", F.round("km", 2)),
+            ("Суммарная длина трасс, км", F.round("total_km", 2)),
+            ("Длина уникальной сети, км", F.round("unique_km", 2)),
+            ("Плотность сети, км/км²", density),
+            ("Макс. коэфф. непрямолинейности (0=без лимита)", lit(limits.curvilinearity)),
+            ("Мин. длина маршрута, км (0=без лимита)", lit(limits.min_km)),
+            ("Радиус от центра, км (0=без лимита)", lit(limits.radius_km)),
+            ("Маршрутов на карте (KML)", col("ok")),
+            ("Остановок уникальных", col("stops")),
+            ("Конечных", col("terminals")),
+            ("Сгенерировано маршрутов (Якимов)", lit(generated) if generated else blank),
+            *((title, col(f"type_{kind}")) for title, kind in network.TYPE_TITLES.items()),
+            ("GHS: буфер, м", lit(c.volume_buffer_m)),
+            ("GHS: суммарный объём, тыс. м³", F.round(col("volume") / 1000, 1)),
+            ("POI: буфер, м", F.when(col("poi_value").isNotNull(), lit(c.poi_buffer_m))),
+            ("POI: суммарное value", F.round("poi_value", 1)),
+        ]
+        rows = F.array(*[F.struct(lit(n).alias("place"), lit(name).alias("measure"), value.cast("double").alias("value")) for n, (name, value) in enumerate(figures, 1)])
+        return row.select(F.inline(rows))

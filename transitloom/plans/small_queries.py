@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import geo, text
+from ..functions import geo, sql, text
 from ..operators import generate, geometry, nearby, overlap, raster
 from ..sources import files, ideas, payloads
 from ..tables import numbered
@@ -214,3 +214,15 @@ def _(v: Views) -> DataFrame:
     line = F.expr("CASE WHEN doc_id % 4 = 0 THEN array(struct(51.0D AS lat, 39.0D AS lon), struct(51.1D AS lat, 39.0D AS lon)) ELSE array() END")
     shapes = v.documents.where("doc_id % 2 = 0").select(F.col("doc_id").alias("id"), F.lit("Новый ТРАМВАЙ").alias("h1"), line.alias("coords"), F.array(F.lit("s")).alias("stops"))
     return ideas.ideas_to_routes(listed, shapes).select("route_id", "name", "route_type", "company", "transport_class", F.size("coords").alias("points"))
+
+
+@REGISTER(
+    "u1_sql_functions",
+    "SELECT route_id, di, seq, round({hav lat lon 51.7 39.2}, 6) AS km, lat BETWEEN 51.6 AND 51.7 AND lon BETWEEN 39.1 AND 39.2 AS inside, route_id AS number, 425 AS minute FROM v_zigzag",
+)
+def _(v: Views) -> DataFrame:
+    sql.register(v.spark)
+    return v.zigzag.selectExpr(
+        "route_id", "di", "seq", "round(haversine_km(lat, lon, 51.7D, 39.2D), 6) AS km", "in_box(lat, lon, 51.6D, 39.1D, 51.7D, 39.2D) AS inside",
+        "route_number(concat('э', route_id, ' (5)')) AS number", "bigint(hhmm_minutes(' 7:05')) AS minute",
+    )

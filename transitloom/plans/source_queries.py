@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import geo, text
 from ..operators import generate, geometry, network, raster
 from ..sources import catalog, files, payloads
+from ..tables import written
 from .register import Register
 from .surrogate import Views
 
@@ -179,9 +180,11 @@ def _(v: Views) -> DataFrame:
     from ..config import Limits, RunConfig
     from .network import Network
 
-    run = Network(RunConfig("city", limits=Limits(curvilinearity=2.0)), v.routes, v.points, v.stops_seq, v.pois, v.pixels)
-    sizes = [rows.agg(F.lit(name).alias("sheet"), F.count("*").alias("rows")) for name, rows in run.sheets().items()]
-    out = sizes[0]
-    for more in sizes[1:]:
+    run = Network(RunConfig("city", dedup=True, limits=Limits(curvilinearity=2.0)), v.routes, v.points, v.stops_seq, v.pois, v.pixels)
+    sizes = [rows.agg(F.lit(name).alias("measure"), F.count("*").cast("double").alias("value")) for name, rows in run.sheets().items()]
+    out = run.summary((51.6, 39.1, 51.8, 39.3)).select("measure", "value")
+    for more in sizes:
         out = out.unionByName(more)
+    out = written(out, "report")
+    run.close()
     return out

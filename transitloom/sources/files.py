@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import type_label
+from ..tables import written
 
 #: Longest value that a cache keeps, in bytes.
 GREATEST_ENTRY = 8 * 1024 * 1024
@@ -118,3 +120,20 @@ def write_sheets(sheets: dict[str, DataFrame], folder: str) -> None:
     """A CSV folder with a header for each sheet of a workbook, in their order by number."""
     for n, (name, rows) in enumerate(sheets.items(), 1):
         rows.write.mode("overwrite").option("header", True).csv(f"{folder}/{n:02d}_{name}")
+
+
+def resolved(spark: SparkSession, path: str, extensions: list[str]) -> DataFrame:
+    """path: the files at or below a path with one of the extensions, in order; only their names are read."""
+    glob = "*{" + ",".join(e.lower() for e in extensions) + "," + ",".join(e.upper() for e in extensions) + "}"
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(path)
+    return found.select("path").orderBy("path")
+
+
+def cached_or_fetched(cache: JsonCache, kind: str, tasks: DataFrame, fetch: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """key, value, from_cache of ``tasks(key)``: what the cache has, and of the others what ``fetch(tasks)`` brings, which the cache then keeps."""
+    known = cache.get(kind, tasks.select("key").distinct())
+    fetched = written(fetch(known.where("value IS NULL").select("key")).select("key", "value"), "fetched")
+    had = known.where("value IS NOT NULL").select("key", "value", F.lit(True).alias("from_cache"))
+    out = written(had.unionByName(fetched.withColumn("from_cache", F.lit(False))), "loaded")  # before the cache changes
+    cache.put(kind, fetched)
+    return out
