@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..tables import new_path, written  # noqa: F401
+
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = "abcdefghijklmnopqrstuvwxyz"
 
@@ -16,30 +15,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; only where it is unset, as in tests, a local one is made."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = "file://" + tempfile.mkdtemp(prefix="spark-transitloom-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder.rstrip("/")
-
-
-def new_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark)}/transitloom/{label}-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, label: str) -> DataFrame:
-    """``df`` as a Parquet table in the shared folder: its lineage ends there, a lost executor costs nothing.
-
-    The tables stay until whoever owns the shared folder clears it.
-    """
-    spark = df.sparkSession
-    path = new_path(spark, label)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def free_name(df: DataFrame, wanted: str) -> str:
     """``wanted``, or a variant of it that no column of ``df`` has (case ignored)."""
     taken = {c.lower() for c in df.columns}
@@ -53,30 +28,23 @@ def components(edges: DataFrame, label: str) -> DataFrame:
     """``(node, comp)`` for every node of ``edges(a long, b long)``: comp is the smallest node linked to it.
 
     Alternating large-star and small-star rounds; each is a grouped minimum (combined before the
-    shuffle) and an equi-join that AQE can split where one centre has very many neighbours. The
+    shuffle), written, and an equi-join of two tables as they are exchanged, which AQE splits where one centre has very many neighbours. The
     number of edges never grows over twice the nodes plus edges, and each round ends as a table.
     """
-    spark = edges.sparkSession
     now = written(
         edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), label
     )
 
     def star(both: DataFrame) -> DataFrame:
-        return both.groupBy("u").agg(F.min("v").alias("m"))
+        least = written(both.groupBy("u").agg(F.min("v").alias("m")), f"{label}-least")
+        return both.join(least.hint("merge"), "u")
 
     before = None
     while True:
         either = now.union(now.select("v", "u"))
-        large = (
-            either.join(star(either).hint("merge"), "u")
-            .where("v > u")
-            .select(F.col("v").alias("u"), F.least("m", "u").alias("v"))
-            .distinct()
-        )
-        large = written(large, label)
-        lowest = star(large)
+        large = written(star(either).where("v > u").select(F.col("v").alias("u"), F.least("m", "u").alias("v")).distinct(), label)
         small = (
-            large.join(lowest.hint("merge"), "u")
+            star(large)
             .select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e"))
             .select("e.u", "e.v")
             .where("u <> v")

@@ -10,7 +10,7 @@ linked when the Jaccard similarity of their whole sets is 0.8 or more.
 2. Members are shuffled on their band hashes; each bucket contributes one edge per member, to its
    smallest member, and the components of these edges are the candidate clusters: every pair that
    shares a band lies in one.
-3. The full sets of members in clusters are fetched once. A cluster of over ``BLOCK`` members is cut
+3. The full sets of members in clusters are fetched once. A cluster of over ``BLOCK`` members, or ``BLOCK_BYTES`` bytes, is cut
    into blocks, and each pair of blocks is one work item, so no task holds a cluster whole. Inside
    an item all pairs are verified exactly; what leaves it is one link count and one tree edge per
    member, never the pairs.
@@ -36,8 +36,8 @@ from . import words
 from .common import components, free_name, table, written
 
 WORDS, THRESHOLD, RECALL = 5, 0.8, 0.999
-#: Members in a block of a large cluster, and columns of a block's matrix held at once.
-BLOCK, COLUMNS = 1024, 4096
+#: Members in a block of a large cluster and bytes of their sets, at most on average, and columns of a block's matrix held at once.
+BLOCK, BLOCK_BYTES, COLUMNS = 1024, 1 << 25, 4096
 
 
 def choose_bands(threshold: float = THRESHOLD, recall: float = RECALL, permutations: int = 256) -> tuple[int, int]:
@@ -77,7 +77,7 @@ def _key(s: np.ndarray) -> bytes:
 
 
 def _sketcher(n: int, bands: int, rows: int):
-    schema = pa.schema([("doc_id", pa.int64()), ("row_no", pa.int64()), ("text_hash", pa.int64()), ("key", pa.binary()), ("bands", pa.list_(pa.int64()))])
+    schema = pa.schema([("doc_id", pa.int64()), ("row_no", pa.int64()), ("text_hash", pa.int64()), ("key", pa.binary()), ("size", pa.int64()), ("bands", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         multipliers = _multipliers(bands * rows)
@@ -102,12 +102,13 @@ def _sketcher(n: int, bands: int, rows: int):
                         batch.column("row_no").slice(at, count),
                         batch.column("text_hash").slice(at, count),
                         pa.array([_key(s[a:b]) for a, b in zip(offsets[:-1], offsets[1:], strict=True)], pa.binary()),
+                        pa.array(np.diff(offsets)),
                         pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(lengths)], pa.int32()), pa.array(band.view(np.int64).ravel())),
                     ],
                     schema=schema,
                 )
 
-    return run, "doc_id long, row_no long, text_hash long, key binary, bands array<long>"
+    return run, "doc_id long, row_no long, text_hash long, key binary, size long, bands array<long>"
 
 
 def _set_maker(n: int):
@@ -219,8 +220,8 @@ def jaccard_join(docs: DataFrame, threshold: float = THRESHOLD, recall: float =
     seen = written(text.withColumn("row_no", F.monotonically_increasing_id()).mapInArrow(sketch, schema), "sketches")
     members = written(
         seen.groupBy("key")
-        .agg(F.min(F.struct(_order("doc_id").alias("order"), "row_no", "doc_id")).alias("first"), F.count("*").alias("copies"), F.min(F.struct("row_no", "bands")).alias("b"))
-        .select("key", "copies", F.col("first.row_no").alias("member"), F.col("first.doc_id").alias("doc_id"), F.col("b.bands").alias("bands")),
+        .agg(F.min(F.struct(_order("doc_id").alias("order"), "row_no", "doc_id")).alias("first"), F.count("*").alias("copies"), F.min(F.struct("row_no", "bands", "size")).alias("b"))
+        .select("key", "copies", "b.size", F.col("first.row_no").alias("member"), F.col("first.doc_id").alias("doc_id"), F.col("b.bands").alias("bands")),
         "members",
     )
 
@@ -229,10 +230,10 @@ def jaccard_join(docs: DataFrame, threshold: float = THRESHOLD, recall: float =
     edges = by_band.join(buckets.hint("merge"), "h").where("member <> least").select(F.col("member").alias("a"), F.col("least").alias("b"))
     near = written(components(edges, "candidate-edges"), "candidate-clusters").withColumnsRenamed({"node": "member", "comp": "cluster"})
 
-    sizes = near.groupBy("cluster").agg(F.count("*").alias("n")).select("cluster", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
-    placed = written(
-        near.join(sizes.hint("merge"), "cluster").join(members.select("member", "doc_id", "key", "copies").hint("merge"), "member"), "clustered"
-    )
+    near = near.join(members.select("member", "doc_id", "key", "copies", "size").hint("merge"), "member")
+    blocks = F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(8 * F.sum("size") / BLOCK_BYTES)).cast("int")
+    sizes = written(near.groupBy("cluster").agg(blocks.alias("blocks")), "cluster-sizes")
+    placed = written(near.join(sizes.hint("merge"), "cluster").drop("size"), "clustered")
     make, made = _set_maker(n)
     wanted = placed.select("member", "key", _order("doc_id").alias("of"))
     sets = text.select(_order("doc_id").alias("of"), "text").join(wanted.hint("shuffle_hash"), "of").select("member", "key", "text")
