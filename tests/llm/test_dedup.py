@@ -125,3 +125,20 @@ def test_index_is_read_by_bucket(spark):
     index.add(spark.createDataFrame([(1, "a")], "doc_id long, text string"))
     plan = index.entries()._jdf.queryExecution().toString()
     assert index.entries().groupBy("digest").count()._jdf.queryExecution().executedPlan().toString().count("Exchange") == 0, plan
+
+
+def test_index_is_compacted(spark):
+    index = exact_dedup.DigestIndex(spark, new_path(spark, "index"), buckets=2)
+    for batch in range(3):
+        index.add(spark.createDataFrame([(k, f"text {k % 40}") for k in range(batch * 20, batch * 20 + 30)], "doc_id long, text string"))
+    whole = index.compact(new_path(spark, "index"))
+    assert whole.buckets == exact_dedup.BUCKETS
+    rows = lambda i: sorted((r.digest.hex(), r.keep_id) for r in i.entries().collect())
+    assert rows(whole) == rows(index) and len(rows(whole)) == 40
+    again = whole.add(spark.createDataFrame([(500, "TEXT 7"), (501, "new")], "doc_id long, text string"))
+    assert sorted((r.doc_id, r.keep_id, r.kept) for r in again.collect()) == [(500, 7, False), (501, 501, True)]
+    plan = spark.table(whole.name).groupBy("digest").count()._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan
+    for i in (index, whole):
+        i.close()
+    assert exact_dedup.buckets_for(10**9) == 256 and exact_dedup.buckets_for(1) == exact_dedup.BUCKETS

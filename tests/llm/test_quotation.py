@@ -107,3 +107,94 @@ def test_quotes_of_some_lines_short_quotes_and_other_conversations(spark):
         holds = any(said[i : i + len(q)] == q for i in range(8 - len(q)))
         assert (r.linked, r.parent_turn) == ((1, 0) if holds else (1, 1) if q == ["I agree"] else (0, 1 + k)), q
     assert [got[x].linked for x in ((2, 0), (2, 1), (0, 0))] == [0, 1, 1]
+
+
+def plain_words(text):
+    return "".join(c.lower() if c.isalnum() else " " for c in text).split()
+
+
+def links_by_rule(rows):
+    """How many quotes of each message link, and the turn that it replies to, with a parser and a rule of its own.
+
+    A quote is found in a message that has its words as its whole own text, as a paragraph (however wrapped), or as lines in a row.
+    """
+    said = {}
+    for conv, turn, _, text in rows:
+        own, quotes, last = [], [], 0
+        for line in text.split("\n"):
+            level = 0
+            while line.startswith(">"):
+                level, line = level + 1, line[1:].lstrip(" ")
+            if not level:
+                own.append(line)
+            elif level == last:
+                quotes[-1][1].append(line)
+            else:
+                quotes.append((level, [line]))
+            last = level
+        said.setdefault(conv, []).append((turn, own, quotes))
+
+    def holds(own, quote):
+        flat = plain_words(" ".join(quote))
+        paragraphs, now = [], []
+        for line in [*own, ""]:
+            if line.strip():
+                now.append(line)
+            elif now:
+                paragraphs, now = [*paragraphs, plain_words(" ".join(now))], []
+        lines, asked = ([w for w in map(plain_words, x) if w] for x in (own, quote))
+        in_a_row = any(lines[k : k + len(asked)] == asked for k in range(len(lines) - len(asked) + 1))
+        return flat == plain_words(" ".join(own)) or flat in paragraphs or in_a_row
+
+    out = {}
+    for conv, messages in said.items():
+        messages.sort(key=lambda m: m[0])
+        for place, (turn, _, quotes) in enumerate(messages):
+            linked, parent = 0, messages[place - 1][0] if place else None
+            first = True
+            for level, quote in quotes:
+                words = plain_words(" ".join(quote))
+                here = [m[0] for m in messages[:place] if words and holds(m[1], quote)]
+                far = len(words) >= LEAST_WORDS and any(holds(m[1], quote) for c, ms in said.items() if c != conv for m in ms)
+                linked += bool(here or far)
+                if here and level == 1 and first:
+                    parent, first = here[-1], False
+            out[conv, turn] = (linked, parent)
+    return out
+
+
+def test_wrapped_and_partial_quotes_against_a_rule_of_its_own(spark):
+    rng = random.Random(11)
+    word = lambda: f"w{rng.randrange(300)}"
+    rows, bodies = [], []
+    for conv in range(25):
+        here = []
+        for turn in range(rng.randrange(2, 9)):
+            own = "\n\n".join("\n".join(" ".join(word() for _ in range(rng.randrange(1, 6))) for _ in range(rng.randrange(1, 5))) for _ in range(rng.randrange(1, 4)))
+            text = []
+            for _ in range(rng.choice([0, 1, 1, 2])):
+                source = rng.choice(here if here and rng.random() < 0.7 else bodies or [own])
+                kind = rng.randrange(5)
+                lines = [x for x in source.split("\n") if x]
+                if kind == 0:
+                    quote = source.split("\n")
+                elif kind == 1:  # a paragraph, wrapped anew
+                    flat = rng.choice(source.split("\n\n")).split()
+                    quote = [" ".join(flat[k : k + 3]) for k in range(0, len(flat), 3)]
+                elif kind == 2:  # some lines in a row
+                    a, b = sorted(rng.sample(range(len(lines) + 1), 2))
+                    quote = lines[a:b]
+                elif kind == 3:
+                    quote = [rng.choice(lines).upper() + "!"]
+                else:
+                    quote = [" ".join(word() for _ in range(4))]
+                text += [*(">" * rng.choice([1, 1, 1, 2]) + " " + x for x in quote), "", f"answer {word()} {word()}", ""]
+            rows.append((conv, turn, "user", "\n".join([*text, own])))
+            here.append(own)
+            bodies.append(own)
+    # a passage that the quoter's conversation has later, and another one too
+    rows += [(90, 0, "user", "> the one and only passage here\nso"), (90, 1, "user", "the one and only passage here"), (91, 0, "user", "the one and only passage here")]
+    want = links_by_rule(rows)
+    got = {(r.conv_id, r.turn): (r.linked, r.parent_turn) for r in link_conversations(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got == want and want[90, 0][0] == 1
+    assert sum(n for n, _ in want.values()) > 60

@@ -261,3 +261,17 @@ def test_stages_on_odd_tables(spark, rows):
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").selectExpr("*", "1 AS shard", "'x' AS plan", "2 AS score")
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs, SF).count() <= max(3 * len(rows), 0)
+
+
+def test_trees_are_as_high_as_their_archives(spark, monkeypatch):
+    monkeypatch.setattr(merkle_audit, "FANOUT", 4)
+    rows = [(a, k, f"content {a} {k}") for a, n in ((1, 1), (2, 70), (3, 5)) for k in range(n)]
+    one = merkle_audit.build_tree(spark.createDataFrame(rows, "archive long, record_id long, content string"))
+    assert len(one.levels) == 5 and one.levels[-1].count() == 3
+    small = [r for r in rows if r[1] < 4 and r != (2, 3, "content 2 3")] + [(2, 3, "content 2 X")]
+    two = merkle_audit.build_tree(spark.createDataFrame(small, "archive long, record_id long, content string"))
+    found = {(r.archive, r.record_id): r.status for r in merkle_audit.audit(one, two).collect()}
+    assert found == {(2, 3): "altered"} | {(2, k): "missing" for k in range(4, 70)} | {(3, 4): "missing"}
+    assert merkle_audit.audit(two, two).count() == 0
+    nothing = merkle_audit.build_tree(spark.createDataFrame([], "archive long, record_id long, content string"))
+    assert merkle_audit.audit(nothing, nothing).count() == 0 and merkle_audit.audit(nothing, two).count() == len(small)

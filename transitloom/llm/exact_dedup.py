@@ -2,7 +2,9 @@
 
 The index is a Parquet table, bucketed and sorted by the SHA-256 of the normalised text. New data
 is grouped by digest (combined before the shuffle), what the index does not yet hold is found by a
-sort-merge anti-join and appended, and the rows then look their digest up.
+sort-merge anti-join and appended, and the rows then look their digest up. An index has as many buckets as it
+needs for the rows that are expected, and ``compact`` writes it anew, a sorted file a bucket, when batches have made more files or
+outgrown the buckets. One writer at a time: two that add at once could both append a digest.
 
 Texts are equal when identical after lower-casing A-Z only. A null text counts as empty, and empty
 texts are equal to each other. Of equal texts within one batch the row with the largest doc_id
@@ -20,7 +22,13 @@ from pyspark.sql import functions as F
 
 from .common import LOWER, UPPER, new_path, table, written
 
-BUCKETS = 32
+#: Fewest buckets, and digests in one that are enough for another.
+BUCKETS, BUCKET_ROWS = 32, 4_000_000
+
+
+def buckets_for(rows: int) -> int:
+    """The next power of two that keeps buckets below ``BUCKET_ROWS``."""
+    return max(BUCKETS, 1 << max(0, -(-rows // BUCKET_ROWS) - 1).bit_length())
 
 
 def normalised_digest(text: str = "text"):
@@ -33,7 +41,8 @@ class DigestIndex:
     Opening a location that already holds an index continues it; ``name`` is its table name.
     """
 
-    def __init__(self, spark: SparkSession, location: str, name: str | None = None, buckets: int = BUCKETS):
+    def __init__(self, spark: SparkSession, location: str, name: str | None = None, buckets: int | None = None, expected_rows: int = 0):
+        buckets = buckets or buckets_for(expected_rows)
         self.spark, self.location, self.buckets = spark, location, buckets
         self.name = name or f"digest_index_{uuid.uuid4().hex}"
         spark.sql(
@@ -57,6 +66,17 @@ class DigestIndex:
             .saveAsTable(self.name)
         )
 
+    def compact(self, location: str) -> DigestIndex:
+        """The same index at another location, one sorted file a bucket and buckets by its rows; this one stays until its owner clears it."""
+        entries = self.entries()
+        whole = DigestIndex(self.spark, location, expected_rows=entries.count())
+        whole.append(entries)
+        return whole
+
+    def close(self) -> None:
+        """Takes the table out of the catalog; its files stay."""
+        self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
+
     def add(self, docs: DataFrame) -> DataFrame:
         """Deduplicates ``docs(doc_id, text)`` against the index and within itself, appends what is new.
 
@@ -92,14 +112,17 @@ class DigestIndex:
             "group_size",
             F.when(F.col("batch") == batch, F.col("top.row_no")).alias("keep_row"),
         )
+        settled = written(settled, "digest-settled")
         return rows.join(settled.hint("merge"), "digest").select(
             "doc_id", "keep_id", "group_size", F.coalesce(F.col("row_no") == F.col("keep_row"), F.lit(False)).alias("kept"), "digest"
         )
 
 
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    index = DigestIndex(spark, new_path(spark, "digest-index"))
-    found = index.add(table(spark, sf_dir, "documents"))
+    docs = table(spark, sf_dir, "documents")
+    index = DigestIndex(spark, new_path(spark, "digest-index"), expected_rows=docs.count())
+    found = index.add(docs)
+    index.close()
     return found.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
 
 

@@ -23,8 +23,8 @@ from pyspark.sql import functions as F
 
 from .common import table, written
 
-FANOUT, LEVELS = 16, 4
-#: Pages in one archive of the query; with FANOUT and LEVELS a tree has room for 65,536 records.
+FANOUT = 16
+#: Pages in one archive of the query.
 PER_ARCHIVE = 1000
 
 
@@ -60,23 +60,38 @@ def leaves(records: DataFrame) -> DataFrame:
 
 @dataclass
 class Tree:
-    """levels[0] has the leaves, the last one a root for each archive."""
+    """levels[0] has the leaves, the last one a root for each archive: as many as the largest archive needs."""
 
     levels: list[DataFrame]
 
+    def raised(self, height: int) -> Tree:
+        """With levels above the roots, up to a height."""
+        levels = list(self.levels)
+        while len(levels) < height:
+            levels.append(written(_above(levels[-1]), f"tree-{len(levels)}"))
+        return Tree(levels)
+
+
+def _above(level: DataFrame) -> DataFrame:
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("node", F.hex("hash").alias("hash")))), lambda x: x["hash"])  # ``FANOUT`` at most
+    up = level.groupBy("archive", F.expr(f"node div {FANOUT}").alias("parent")).agg(_sha(F.array_join(ordered, "").cast("binary")).alias("hash"))
+    return up.withColumnRenamed("parent", "node")
+
 
 def build_tree(records: DataFrame, label: str = "replica") -> Tree:
     levels = [written(leaves(records), f"{label}-0")]
-    for level in range(1, LEVELS + 1):
-        below = levels[-1].select("archive", "node", "hash")
-        ordered = F.transform(F.array_sort(F.collect_list(F.struct("node", F.hex("hash").alias("hash")))), lambda x: x["hash"])
-        up = below.groupBy("archive", F.expr(f"node div {FANOUT}").alias("parent")).agg(_sha(F.array_join(ordered, "").cast("binary")).alias("hash"))
-        levels.append(written(up.withColumnRenamed("parent", "node"), f"{label}-{level}"))
+    last = levels[0].agg(F.coalesce(F.max("node"), F.lit(0))).first()[0]
+    while last:
+        levels.append(written(_above(levels[-1]), f"{label}-{len(levels)}"))
+        last //= FANOUT
     return Tree(levels)
 
 
 def audit(reference: Tree, replica: Tree) -> DataFrame:
     """archive, record_id, status, expected and found offset, length and digest of every record that differs."""
+    height = max(len(reference.levels), len(replica.levels))
+    reference, replica = reference.raised(height), replica.raised(height)
+
     def differing(level: int, within: DataFrame | None) -> DataFrame:
         sides = []
         for tree in (reference, replica):
@@ -88,7 +103,7 @@ def audit(reference: Tree, replica: Tree) -> DataFrame:
         return both.where(~F.col("a.hash").eqNullSafe(F.col("b.hash"))).select("archive", "node")
 
     wrong = None
-    for level in range(LEVELS, -1, -1):
+    for level in range(height - 1, -1, -1):
         wrong = written(differing(level, wrong and wrong.withColumnRenamed("node", "parent")), f"differs-{level}")
     columns = ["offset", "length", "digest"]
     sides = []
