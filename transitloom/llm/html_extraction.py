@@ -27,6 +27,7 @@ from __future__ import annotations
 
 import html
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 from itertools import accumulate
@@ -125,26 +126,50 @@ def _apart(tag: str, attributes: dict[str, str]) -> str:
 
 def _silent(page: str) -> dict[int, int]:
     """Where the silent elements begin and end; one that is not closed within its parent ends at its own tag."""
-    spans: dict[int, int] = {}
+    tags: dict[int, int] = {}
+    closed: dict[int, tuple[int, int]] = {}
     opened: dict[str, list[int]] = {}
     for m in _SILENT.finditer(page):
         tag = m[2].lower()
         if not m[1]:
-            spans[m.start()] = m.end()
+            tags[m.start()] = m.end()
             if not (m[3].endswith("/") and tag in ("svg", "annotation")):
                 opened.setdefault(tag, []).append(m.start())
         elif opened.get(tag):
-            start, depth = opened[tag].pop(), 0
-            for inner in _BLOCK_TAG.finditer(page, spans[start], m.start()):
-                name = inner[2].lower()
-                depth += (-1 if inner[1] else 1) if name not in ("p", "li", "dt", "dd", "tr", "td", "th", "hr", "thead", "tbody") else 0
-                if depth < 0 or inner[1] and name == "p" and "<p" not in page[spans[start] : inner.start()].lower():
-                    break
-            else:
-                spans[start] = m.end()
+            closed[opened[tag].pop()] = (m.start(), m.end())
+    if not closed:
+        return tags
+    places, ends = _ends(page)
+    spans, at = tags, 0
+    for start in sorted(closed):
+        last, end = closed[start]
+        first = bisect_left(places, tags[start])
+        # what is inside another one goes with it; an element that ends in it began before it
+        if start >= at and ends[first] > bisect_left(places, last):
+            spans[start] = at = end
     return spans
 
 
+def _ends(page: str) -> tuple[list[int], list[int]]:
+    """Where the tags of blocks are, and before each of them, and behind the last, the number of the first tag that ends what is open there."""
+    places, depth = [], ([0], [0])  # of paragraphs and of the blocks that must be closed
+    for m in _BLOCK_TAG.finditer(page):
+        name, step = m[2].lower(), -1 if m[1] else 1
+        places.append(m.start())
+        for k, counts in enumerate(depth):
+            own = name == "p" if k == 0 else name not in ("p", "li", "dt", "dd", "tr", "td", "th", "hr", "thead", "tbody")
+            counts.append(counts[-1] + own * step)
+    first = [len(places) + 1] * (len(places) + 1)
+    for counts in depth:
+        waiting: list[int] = []
+        for k, count in enumerate(counts):
+            while waiting and counts[waiting[-1]] > count:
+                first[waiting[-1]] = min(first[waiting[-1]], k)
+                waiting.pop()
+            waiting.append(k)
+    return places, first
+
+
 def parse(page: str) -> tuple[list[tuple[str, bool]], list[Container], list[tuple[int, str]]]:
     """``(blocks, containers, nodes)`` of a page.
 
