@@ -15,9 +15,9 @@ before counts nothing. ``DISCOUNT``, ``LEVELS`` and ``SHARES`` were chosen by cr
 copies inside the training folds; the held-out fold had no part in it.
 
 The shared counts are exact and by word, of the distinct (word before, word) pairs of every document (a left context
-is told by 36 bits of its hash): a table that grows with the documents. A task hands on the distinct contexts of a word as one list for each of
-16 parts of the contexts, so that a common word is counted in as many tasks. The shared distribution is over the words of the
-sample, with these counts. Class counts come from a bounded sample of labelled
+is told by 32 bits of its hash): a table that grows with the documents. A task hands on the distinct contexts of a word as one list; those of
+the ``COMMON`` words that are most frequent in a 64th of the documents as 8 lists by 3 more bits of the context, so that each is counted in as many tasks.
+Which words these are does not change a count. The shared distribution is over the words of the sample, with these counts. Class counts come from a bounded sample of labelled
 rows outside the held-out fold (``PER_CLASS`` a class, by a hash of doc_id), and so the model is small enough to
 broadcast by that bound. A quarter of the sample's classes of near copies, of each label, is kept
 from counting and calibrates the score: a logistic regression on the text's mean log-ratio, its largest
@@ -48,8 +48,8 @@ FOLDS, HELD_OUT, CUT = 4, 2, 0.3
 PER_CLASS, WINDOW, CLIP = 4096, 24, 6.0
 DISCOUNT, LEVELS, SHARES = 3, (8, 5), (2.0, 3.0, 4.0, 5.0)
 FEATURES = 2 + len(SHARES)
-#: Pairs that a task holds before it hands on the distinct ones.
-PAIRS = 4_000_000
+#: Pairs that a task holds before it hands on the distinct ones; words whose contexts are counted in 8 parts.
+PAIRS, COMMON = 8_000_000, 1024
 
 
 def _tokens(text: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray, list[np.ndarray], np.ndarray]]:
@@ -69,53 +69,93 @@ def _changes(*columns: np.ndarray) -> np.ndarray:
     return new
 
 
-def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """word, part, xs: the distinct left contexts of a word, of each part a list."""
+def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for _, _, word, _, _ in _tokens(batch.column("text")):
+            word, n = np.unique(word, return_counts=True)
+            yield pa.record_batch([pa.array(word.view(np.int64)), pa.array(n)], names=["word", "n"])
 
-    def lists(held: list[np.ndarray]) -> pa.RecordBatch:
-        word, context = np.concatenate(held, axis=1)
-        order = np.lexsort((context, word))
-        word, context = word[order], context[order]
-        part, x = (context >> np.uint64(60)).astype(np.int32), ((context >> np.uint64(28)) & np.uint64(0xFFFFFFFF)).astype(np.uint32)
-        new = _changes(word, part, x)
-        word, part, x = word[new], part[new], x[new]
-        rows = np.flatnonzero(_changes(word, part))
-        xs = pa.ListArray.from_arrays(pa.array(np.r_[rows, len(x)].astype(np.int32)), pa.array(x.view(np.int32)))
-        return pa.record_batch([pa.array(word[rows].view(np.int64)), pa.array(part[rows]), xs], names=["word", "part", "xs"])
 
-    held, n = [], 0
-    for batch in batches:
-        for _, _, word, _, before in _tokens(batch.column("text")):
+def common_words(docs: DataFrame) -> np.ndarray:
+    """At most ``COMMON`` words, sorted: the most frequent in the texts with one in 64 hashes."""
+    some = docs.select("text").where(F.pmod(F.xxhash64("text"), F.lit(64)) == 0)
+    counted = some.mapInArrow(_frequencies, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    found = counted.orderBy(F.desc("n"), "word").limit(COMMON).select("word").toArrow()
+    return np.sort(found.column("word").to_numpy().view(np.uint64))
+
+
+def _contexts(common: np.ndarray):
+    """word, part, xs: lists of the distinct left contexts of a word."""
+
+    def lists(held: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
+        for eighth in range(8):  # of the words: sorting takes little beside what is held
+            chosen = [(columns, (columns[0] >> np.uint64(61)) == eighth) for columns in held]
+            word, part, x = (np.concatenate([columns[k][own] for columns, own in chosen]) for k in range(3))
             if not len(word):
                 continue
-            held.append(np.stack([word, before]))
-            n += len(word)
-            if n >= PAIRS:
-                yield lists(held)
-                held, n = [], 0
-    if held:
-        yield lists(held)
+            order = np.lexsort((x, part, word))
+            word, part, x = word[order], part[order], x[order]
+            new = _changes(word, part, x)
+            word, part, x = word[new], part[new], x[new]
+            rows = np.flatnonzero(_changes(word, part))
+            xs = pa.ListArray.from_arrays(pa.array(np.r_[rows, len(x)].astype(np.int32)), pa.array(x.view(np.int32)))
+            yield pa.record_batch([pa.array(word[rows].view(np.int64)), pa.array(part[rows].astype(np.int32)), xs], names=["word", "part", "xs"])
+        held.clear()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+        for batch in batches:
+            for _, _, word, _, before in _tokens(batch.column("text")):
+                if not len(word):
+                    continue
+                split = _place(word, common) < len(common)
+                part = np.where(split, before >> np.uint64(61), np.uint64(0)).astype(np.int8)
+                held.append((word, part, ((before >> np.uint64(29)) & np.uint64(0xFFFFFFFF)).astype(np.uint32)))
+                n += len(word)
+                if n >= PAIRS:
+                    yield from lists(held)
+                    n = 0
+        if held:
+            yield from lists(held)
+
+    return run
+
+
+def context_counts(docs: DataFrame) -> DataFrame:
+    """word, part, n: every word of the documents, and how many distinct words or text starts of each part stand before it."""
+    # common_words bounds what goes with the function
+    found = docs.select("text").mapInArrow(_contexts(common_words(docs)), "word long, part int, xs array<int>").repartition("word", "part")
+    pairs = found.select("word", "part", F.explode("xs").alias("x")).distinct()  # within the partitions that it is in
+    return pairs.groupBy("word", "part").agg(F.count("*").alias("n"))
 
 
 def shared_counts(docs: DataFrame) -> DataFrame:
     """word, n: every word of the documents, and how many distinct words or text starts stand before it."""
-    found = docs.select("text").mapInArrow(_contexts, "word long, part int, xs array<int>").repartition("word", "part")
-    pairs = found.select("word", "part", F.explode("xs").alias("x")).distinct()  # within the partitions that it is in
-    return pairs.groupBy("word").agg(F.count("*").alias("n"))
+    return context_counts(docs).groupBy("word").agg(F.sum("n").alias("n"))
 
 
 def _bigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The distinct (word before, word) pairs of each text."""
+    """The distinct (word before, word) pairs of each label and class, of texts in the order of their classes."""
+    names = ["label", "class_id", "u", "w"]
+    none = [np.zeros(0, np.int32), *(np.zeros(0, np.int64) for _ in range(3))]
+    held = none
     for batch in batches:
-        label, of = batch.column("label").to_numpy(), batch.column("class_id").to_numpy()
+        label, of = batch.column("label").to_numpy().astype(np.int32), batch.column("class_id").to_numpy()
+        found = [held]
         for at, first, word, _, before in _tokens(batch.column("text")):
-            row = np.repeat(np.arange(len(first) - 1), np.diff(first))
-            u, w = before.view(np.int64), word.view(np.int64)
-            order = np.lexsort((w, u, row))
-            row, u, w = (x[order] for x in (row, u, w))
-            new = _changes(row, u, w)
-            columns = [label[at + row[new]].astype(np.int32), of[at + row[new]], u[new], w[new]]
-            yield pa.record_batch([pa.array(c) for c in columns], names=["label", "class_id", "u", "w"])
+            row = at + np.repeat(np.arange(len(first) - 1), np.diff(first))
+            found.append([label[row], of[row], before.view(np.int64), word.view(np.int64)])
+        columns = [np.concatenate(c) for c in zip(*found, strict=True)]
+        order = np.lexsort(columns[::-1])
+        columns = [c[order] for c in columns]
+        if not len(order):
+            continue
+        new = _changes(*columns)
+        columns = [c[new] for c in columns]
+        last = columns[1] == of[-1]  # that class may go on
+        held = [c[last] for c in columns]
+        yield pa.record_batch([pa.array(c[~last]) for c in columns], names=names)
+    yield pa.record_batch([pa.array(c) for c in held], names=names)
 
 
 def _beginnings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -219,14 +259,17 @@ def kneser_ney(known: pa.Table, bigrams: pa.Table, contexts: pa.Table) -> Kneser
 
 
 def class_tables(own: DataFrame, counts: DataFrame) -> tuple[pa.Table, pa.Table, pa.Table]:
-    """What ``kneser_ney`` takes, from texts (label, class_id, text) and shared counts; bounded by the texts' words."""
-    types = own.select("label", "class_id", "text").mapInArrow(_bigrams, "label int, class_id long, u long, w long").distinct()
+    """What ``kneser_ney`` takes, from texts (label, class_id, text) and shared counts (word, n), which add up; bounded by the texts' words."""
+    by_class = own.select("label", "class_id", "text").repartition("class_id").sortWithinPartitions("class_id")
+    types = by_class.mapInArrow(_bigrams, "label int, class_id long, u long, w long")
     types = written(types.groupBy("label", "u", "w").agg(F.count("*").alias("n")), "bigrams")
     over = F.greatest(F.col("n") - DISCOUNT, F.lit(0))
     contexts = types.groupBy("label", "u").agg(F.sum("n").alias("n"), F.sum(over).alias("kept")).where("kept > 0")
     by_word = types.groupBy("w").agg(*(F.count_if(F.col("label") == c).alias(f"n{c}") for c in (0, 1)))
     starts = own.select("text").mapInArrow(_beginnings, "w long, a long, b long").distinct()
-    known = by_word.join(starts, "w").join(counts.withColumnRenamed("word", "w"), "w")
+    # the texts' words bound the model that is broadcast, and these
+    shared = counts.withColumnRenamed("word", "w").join(F.broadcast(by_word.select("w")), "w").groupBy("w").agg(F.sum("n").alias("n"))
+    known = by_word.join(starts, "w").join(shared, "w")
     return known.select("w", "a", "b", "n", "n0", "n1").toArrow(), types.where(f"n > {DISCOUNT}").toArrow(), contexts.toArrow()
 
 
@@ -275,7 +318,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS):
     ranked = own.groupBy("class_id").agg(F.max("label").alias("of"))
     rank = F.row_number().over(Window.partitionBy("of").orderBy(F.xxhash64("class_id", F.lit(5)), "class_id"))
     own = written(own.join(ranked.select("class_id", (rank % 4 == 1).alias("calibrates")), "class_id"), "labelled-classes")
-    counts = written(shared_counts(docs), "shared-counts")
+    counts = written(context_counts(docs), "shared-counts")
     model = docs.sparkSession.sparkContext.broadcast(kneser_ney(*class_tables(own.where("not calibrates"), counts)))
     names = [f"f{k}" for k in range(FEATURES)]
 
