@@ -1,7 +1,19 @@
 """The queries of this subpackage and, where SQL can express them, their DuckDB SQL."""
 
-from . import decontamination, exact_dedup, html_extraction, jaccard_join, merkle_audit, mixing, quality, quotation, sharding, toxicity
+from . import (
+    decontamination,
+    exact_dedup,
+    html_extraction,
+    jaccard_join,
+    merkle_audit,
+    merkle_manifest,
+    mixing,
+    quality,
+    quotation,
+    sharding,
+    toxicity,
+)
 
-_MODULES = (decontamination, exact_dedup, html_extraction, jaccard_join, mixing, toxicity, quotation, sharding, merkle_audit, quality)
+_MODULES = (decontamination, exact_dedup, html_extraction, jaccard_join, mixing, toxicity, quotation, sharding, merkle_audit, quality, merkle_manifest)
 QUERIES = {name: query for m in _MODULES for name, query in m.QUERIES.items()}
 ORACLE_SQL = {name: sql for m in _MODULES for name, sql in m.ORACLE_SQL.items()}
