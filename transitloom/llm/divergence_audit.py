@@ -215,18 +215,18 @@ def top_rows(rows: DataFrame, keys: list[str], value: str, item: str, k: int) ->
         found = _narrowed(hist, keys, F.col("digit").desc())
         state = written(found.select(*keys, (F.col("high") * 65536 + F.col("digit")).alias("high"), "room", "n"), "radix-values")
     # high is now the k-th value, and room of the n rows that have it are wanted; groups of fewer rows have no state
-    bounds = state.where("room = n").select(*keys, F.lit(None).cast("binary").alias("bound"))
+    bounds = state.where("room = n").select(*keys, F.lit(None).cast("binary").alias("bound"), F.lit(0).alias("bytes"))
     open_groups, at = state.where("room < n").select(*keys, "high", "room", F.lit(b"").alias("prefix")), 1
     while not open_groups.isEmpty():
         head = F.substring(F.col(item).cast("binary"), 1, at + 1)
         inside = _joined(rows, open_groups, keys, spread).where((F.col(value) == F.col("high")) & (F.substring(F.col(item).cast("binary"), 1, at - 1) == F.col("prefix")))
         hist = inside.groupBy(*keys, "high", "room", head.alias("digit")).agg(F.count("*").alias("n"))
         found = written(_narrowed(hist, keys, F.col("digit")), "radix-bytes")
-        bounds = bounds.union(found.where("room = n").select(*keys, F.col("digit").alias("bound")))
+        bounds = bounds.union(found.where("room = n").select(*keys, F.col("digit").alias("bound"), F.lit(at + 1).alias("bytes")))
         open_groups, at = found.where("room < n").select(*keys, "high", "room", F.col("digit").alias("prefix")), at + 2
     least = state.select(*keys, "high").join(bounds, keys)
     everyone = rows.select(*keys).distinct().join(least, keys, "left")
-    tied = (F.col(value) == F.col("high")) & (F.col("bound").isNull() | (F.expr(f"substring(cast({item} as binary), 1, octet_length(bound))") <= F.col("bound")))
+    tied = (F.col(value) == F.col("high")) & (F.col("bound").isNull() | (F.expr(f"substring(cast(`{item}` as binary), 1, bytes)") <= F.col("bound")))
     return _joined(rows, everyone, keys, spread).where(F.col("high").isNull() | (F.col(value) > F.col("high")) | tied).select(rows.columns)
 
 
