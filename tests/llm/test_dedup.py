@@ -1,6 +1,7 @@
 import hashlib
 import random
 import re
+from collections import Counter
 
 from transitloom.llm import exact_dedup, jaccard_join
 from transitloom.llm.common import components, new_path
@@ -142,3 +143,30 @@ def test_index_is_compacted(spark):
     for i in (index, whole):
         i.close()
     assert exact_dedup.buckets_for(10**9) == 256 and exact_dedup.buckets_for(1) == exact_dedup.BUCKETS
+
+
+def test_a_batch_again_gives_its_first_answer(spark, tmp_path):
+    docs = spark.createDataFrame([(1, "a"), (2, "A"), (3, "b"), (None, "c")], "doc_id long, text string")
+    index = exact_dedup.DigestIndex(spark, f"file://{tmp_path}/index", buckets=4)
+    first = sorted(map(str, index.add(docs, "monday").collect()))
+    # a run that failed half way through its append: what is there stays, what is not comes
+    half = exact_dedup.DigestIndex(spark, f"file://{tmp_path}/half", buckets=4)
+    half.append(index.entries().limit(1))
+    for one in (index, half):
+        assert sorted(map(str, one.add(docs, "monday").collect())) == first
+        assert one.entries().count() == 3
+        later = one.add(docs, "tuesday").collect()
+        assert not any(r.kept for r in later) and sorted(str(r.keep_id) for r in later) == ["2", "2", "3", "None"]
+
+
+def test_join_of_rows_without_ids(spark):
+    """Null and repeated ids with different texts: each text is fetched for its own member, and copies link."""
+    texts = [" ".join(f"w{i}x{j}" for j in range(30)) for i in range(60)]
+    rows = [(None, t) for t in texts] + [(5, t + " tail") for t in texts] + [(None, texts[0])] * 20 + [(None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = jaccard_join.jaccard_join(docs).collect()
+    assert len(got) == len(rows)
+    sizes = Counter((r.class_size, r.links) for r in got)
+    assert sizes == {(2, 1): 118, (22, 21): 22, (1, 0): 1}
+    fetched = jaccard_join.keep_one(docs)
+    assert fetched.count() == 61

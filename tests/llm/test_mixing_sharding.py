@@ -170,7 +170,7 @@ def test_ranges_follow_the_bytes(spark, monkeypatch):
     total = sum(len(t) + 16 for _, t in rows)
     counts = sharding.count_below(keyed, bounds)
     assert len(bounds) + 1 >= total / 20_000 and max(c[1] for c in counts) <= 1.6 * total / (len(bounds) + 1) + 216
-    keys = sorted((((r.text_hash + 2**63) << 64) + r.id_order + 2**63, r["size"]) for r in keyed.collect())
+    keys = sorted((((((r.text_hash + 2**63) << 64) + r.id_order + 2**63) << 64) + r.row_no + 2**63, r["size"]) for r in keyed.collect())
     below = lambda k: sum(n for key, n in keys if key < k)
     for s, k in enumerate(split):
         assert abs(below(k) - total * (s + 1) / 4) <= max(0.001 * total / 4, max(n for _, n in keys))
@@ -182,3 +182,18 @@ def test_shards_of_odd_rows(spark):
     got = sharding.digest(sharding.shard_keys(docs)).collect()
     assert sorted(r["size"] for r in got) == [16, 16, 16, 18, 300_016]
     assert sharding.shard_keys(docs.where("false")).count() == 0 and sharding.shard(docs.where("false")).count() == 0
+
+
+def test_repeated_rows_are_cut_apart(spark):
+    """3,000 equal rows and 3,000 others: no shard is empty, none is over a row from its share; reruns agree."""
+    rows = [(7, "same text " * 9)] * 3000 + [(i, f"text {i} " * 7) for i in range(3000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    got = sharding.shard_keys(docs).collect()
+    size, slots = {}, {}
+    for r in got:
+        size[r.shard] = size.get(r.shard, 0) + r["size"]
+        slots.setdefault(r.shard, []).append(r.slot)
+    share = sum(size.values()) / 40
+    assert len(size) == 40 and max(abs(s - share) for s in size.values()) <= max(106, 0.02 * share)
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values())
+    assert sorted(map(str, got)) == sorted(map(str, sharding.shard_keys(docs).collect()))

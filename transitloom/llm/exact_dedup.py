@@ -4,7 +4,7 @@ The index is a Parquet table, bucketed and sorted by the SHA-256 of the normalis
 is grouped by digest (combined before the shuffle), what the index does not yet hold is found by a
 sort-merge anti-join and appended, and the rows then look their digest up. An index has as many buckets as it
 needs for the rows that are expected, and ``compact`` writes it anew, a sorted file a bucket, when batches have made more files or
-outgrown the buckets. One writer at a time: two that add at once could both append a digest.
+outgrown the buckets. A batch that failed is added again under its name. One writer at a time: two that add at once could both append a digest.
 
 Texts are equal when identical after lower-casing A-Z only. A null text counts as empty, and empty
 texts are equal to each other. Of equal texts within one batch the row with the largest doc_id
@@ -77,13 +77,17 @@ class DigestIndex:
         """Takes the table out of the catalog; its files stay."""
         self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
 
-    def add(self, docs: DataFrame) -> DataFrame:
+    def add(self, docs: DataFrame, batch: str | None = None) -> DataFrame:
         """Deduplicates ``docs(doc_id, text)`` against the index and within itself, appends what is new.
 
+        batch names these rows. Adding a batch again, as after a failure at any point, appends what its first
+        run did not and gives the answer that it gave or would have given; another batch must have another name. Without a
+        name every call is a batch of its own.
+
         Returns one row per input row: doc_id, keep_id, group_size (equal rows in this batch), kept,
         digest.
         """
-        batch = uuid.uuid4().hex
+        batch = batch or uuid.uuid4().hex
         rows = written(
             docs.select(
                 F.col("doc_id").cast("long").alias("doc_id"),
@@ -121,7 +125,7 @@ class DigestIndex:
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     index = DigestIndex(spark, new_path(spark, "digest-index"), expected_rows=docs.count())
-    found = index.add(docs)
+    found = index.add(docs, "documents")
     index.close()
     return found.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
 

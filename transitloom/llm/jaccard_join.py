@@ -115,7 +115,10 @@ def _set_maker(n: int):
     schema = pa.schema([("member", pa.int64()), ("shingles", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        done: set[int] = set()  # a task's members
         for batch in batches:
+            new = [i for i, m in enumerate(batch.column("member").to_pylist()) if m not in done and not done.add(m)]
+            batch = batch.take(pa.array(new, pa.int64()))
             keys = batch.column("key").to_pylist()
             for at, s, offsets in _sets(batch.column("text"), n):
                 sets = [s[a:b] for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
@@ -220,8 +223,8 @@ def jaccard_join(docs: DataFrame, threshold: float = THRESHOLD, recall: float =
     seen = written(text.withColumn("row_no", F.monotonically_increasing_id()).mapInArrow(sketch, schema), "sketches")
     members = written(
         seen.groupBy("key")
-        .agg(F.min(F.struct(_order("doc_id").alias("order"), "row_no", "doc_id")).alias("first"), F.count("*").alias("copies"), F.min(F.struct("row_no", "bands", "size")).alias("b"))
-        .select("key", "copies", "b.size", F.col("first.row_no").alias("member"), F.col("first.doc_id").alias("doc_id"), F.col("b.bands").alias("bands")),
+        .agg(F.min(F.struct(_order("doc_id").alias("order"), "row_no", "doc_id", "text_hash")).alias("first"), F.count("*").alias("copies"), F.min(F.struct("row_no", "bands", "size")).alias("b"))
+        .select("key", "copies", "b.size", F.col("first.row_no").alias("member"), "first.doc_id", "first.text_hash", F.col("b.bands").alias("bands")),
         "members",
     )
 
@@ -230,13 +233,14 @@ def jaccard_join(docs: DataFrame, threshold: float = THRESHOLD, recall: float =
     edges = by_band.join(buckets.hint("merge"), "h").where("member <> least").select(F.col("member").alias("a"), F.col("least").alias("b"))
     near = written(components(edges, "candidate-edges"), "candidate-clusters").withColumnsRenamed({"node": "member", "comp": "cluster"})
 
-    near = near.join(members.select("member", "doc_id", "key", "copies", "size").hint("merge"), "member")
+    near = near.join(members.select("member", "doc_id", "text_hash", "key", "copies", "size").hint("merge"), "member")
     blocks = F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(8 * F.sum("size") / BLOCK_BYTES)).cast("int")
     sizes = written(near.groupBy("cluster").agg(blocks.alias("blocks")), "cluster-sizes")
     placed = written(near.join(sizes.hint("merge"), "cluster").drop("size"), "clustered")
     make, made = _set_maker(n)
-    wanted = placed.select("member", "key", _order("doc_id").alias("of"))
-    sets = text.select(_order("doc_id").alias("of"), "text").join(wanted.hint("shuffle_hash"), "of").select("member", "key", "text")
+    # a member's text comes from the rows of its doc_id and text; rows that agree in both bring the same set, of which one is held
+    wanted = placed.select("member", "key", _order("doc_id").alias("of"), "text_hash")
+    sets = text.select(_order("doc_id").alias("of"), "text_hash", "text").join(wanted.hint("shuffle_hash"), ["of", "text_hash"]).select("member", "key", "text")
     sets = sets.mapInArrow(make, made)
 
     own = F.pmod(F.xxhash64("member"), F.col("blocks")).cast("int")

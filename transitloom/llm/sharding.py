@@ -1,6 +1,6 @@
 """Sharding by histogram sort: exact byte counts refine the splitters, then one exchange.
 
-Rows are ordered by (hash of the text, doc_id), so equal texts lie side by side. For 39 splitters of
+Rows are ordered by (hash of the text, doc_id, running number), so equal texts lie side by side, and written with this key. For 39 splitters of
 40 shards, each round counts the bytes below some probes exactly, in every partition, and adds them
 up; the probe interval that holds a splitter's target becomes its next bracket, narrowed to the
 least and greatest key in it. A splitter is settled when a boundary lies within ``TOLERANCE`` of
@@ -9,10 +9,10 @@ a looser tolerance, each shard is cut into ranges of near equal bytes, as many a
 ``RANGES`` at least), so that a large group of equal texts is spread like any other rows. The driver
 holds probes and counts only: their number depends on the shards and ranges, not on the rows.
 
-The rows, all columns, are then exchanged once, by range, and numbered within it.
+The rows, all columns, are then exchanged once, by range in the order of ranges, and numbered within it.
 
-Law: ``bytes``. A row weighs the UTF-8 bytes of its text (a null text: none) plus 16. Rows that agree in
-text and doc_id share a key and stay together; a null doc_id is ordered last. With fewer rows than
+Law: ``bytes``. A row weighs the UTF-8 bytes of its text (a null text: none) plus 16. No two rows share a key: rows that
+repeat are told apart by the running number, so that a border can lie among them; a null doc_id is ordered last. With fewer rows than
 shards some shards are empty. Empty input gives an empty result. Extra columns are ignored by
 ``shard_keys`` and carried by ``shard``, whatever their names.
 """
@@ -33,16 +33,21 @@ SHARDS, PROBES, TOLERANCE, OVERHEAD = 40, 64, 0.001, 16
 RANGES, RANGE_BYTES, RANGE_TOLERANCE = 8, 1 << 29, 0.25
 
 
-def _keys(text_hash: np.ndarray, id_order: np.ndarray) -> np.ndarray:
-    """16 bytes a row that compare as (hash, id) do."""
-    out = np.empty((len(text_hash), 2), ">u8")
-    for i, column in enumerate((text_hash, id_order)):
+_KEY = ("text_hash", "id_order", "row_no")
+_WIDTH = 8 * len(_KEY)
+_KIND = f"S{_WIDTH}"
+
+
+def _keys(*columns: np.ndarray) -> np.ndarray:
+    """``_WIDTH`` bytes a row that compare as the key's columns do."""
+    out = np.empty((len(columns[0]), len(columns)), ">u8")
+    for i, column in enumerate(columns):
         out[:, i] = column.view(np.uint64) ^ np.uint64(1 << 63)
-    return out.view("S16").ravel()
+    return out.view(_KIND).ravel()
 
 
 def _bytes(keys: list[int]) -> np.ndarray:
-    return np.array([k.to_bytes(16, "big") for k in keys], "S16")
+    return np.array([k.to_bytes(_WIDTH, "big") for k in keys], _KIND)
 
 
 def count_below(keyed: DataFrame, bounds: list[int]) -> list[tuple[int, int, int, int]]:
@@ -51,9 +56,9 @@ def count_below(keyed: DataFrame, bounds: list[int]) -> list[tuple[int, int, int
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         edges = _bytes(bounds)
         rows, size = np.zeros(len(bounds) + 1, np.int64), np.zeros(len(bounds) + 1, np.int64)
-        least, most = np.full(len(bounds) + 1, b"\xff" * 16, "S16"), np.full(len(bounds) + 1, b"", "S16")
+        least, most = np.full(len(bounds) + 1, b"\xff" * _WIDTH, _KIND), np.full(len(bounds) + 1, b"", _KIND)
         for batch in batches:
-            keys = _keys(*(batch.column(c).to_numpy() for c in ("text_hash", "id_order")))
+            keys = _keys(*(batch.column(c).to_numpy() for c in _KEY))
             order = np.argsort(keys, kind="stable")
             keys, of = keys[order], batch.column("size").to_numpy()[order]
             cut = np.r_[0, np.searchsorted(keys, edges, "left"), len(keys)]
@@ -65,13 +70,13 @@ def count_below(keyed: DataFrame, bounds: list[int]) -> list[tuple[int, int, int
             for i in some:
                 least[i], most[i] = min(least[i], keys[cut[i]]), max(most[i], keys[cut[i + 1] - 1])
         some = np.flatnonzero(rows)
-        pad = lambda x: [k.ljust(16, b"\0") for k in x[some].tolist()]
+        pad = lambda x: [k.ljust(_WIDTH, b"\0") for k in x[some].tolist()]
         yield pa.record_batch(
             [pa.array(some.astype(np.int32)), pa.array(rows[some]), pa.array(size[some]), pa.array(pad(least), pa.binary()), pa.array(pad(most), pa.binary())],
             names=["at", "n", "bytes", "least", "most"],
         )
 
-    counts = keyed.select("text_hash", "id_order", "size").mapInArrow(count, "at int, n long, bytes long, least binary, most binary")
+    counts = keyed.select(*_KEY, "size").mapInArrow(count, "at int, n long, bytes long, least binary, most binary")
     got = counts.groupBy("at").agg(F.sum("n"), F.sum("bytes"), F.min("least"), F.max("most")).collect()
     out = [(0, 0, 0, 0)] * (len(bounds) + 1)
     for at, n, size, least, most in got:
@@ -81,7 +86,7 @@ def count_below(keyed: DataFrame, bounds: list[int]) -> list[tuple[int, int, int
 
 def splitters(keyed: DataFrame, shards: int = SHARDS, tolerance: float = TOLERANCE) -> tuple[list[int], list[int]]:
     """Ascending keys: shard s takes the keys from splitter s - 1 on and below splitter s. Also those between ranges."""
-    top = 1 << 128
+    top = 1 << (8 * _WIDTH)
     total = keyed.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
     per = max(RANGES, -(-total // (shards * RANGE_BYTES)))
     parts = shards * per
@@ -115,21 +120,22 @@ def splitters(keyed: DataFrame, shards: int = SHARDS, tolerance: float = TOLERAN
 
 
 def _own(docs: DataFrame):
-    """The key and size of a row."""
+    """The key, size and checksum of a row; the running number holds once it is written."""
     text = F.coalesce(F.col("text"), F.lit(""))
     return F.struct(
         F.xxhash64(text).alias("text_hash"),
         F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1)).alias("id_order"),
+        F.monotonically_increasing_id().alias("row_no"),
         (F.octet_length(text) + OVERHEAD).cast("long").alias("size"),
         F.crc32(text).alias("text_crc32"),
     )
 
 
-def _placed(docs: DataFrame, shards: int, tolerance: float) -> tuple[DataFrame, str]:
-    """The rows of ``docs`` exchanged by range, with a struct of key, size, text_crc32, shard and slot, and its name."""
-    name, place = free_name(docs, "own"), free_name(docs, "place")
-    with_own = docs.withColumn(name, _own(docs))
-    keyed = written(docs.select(_own(docs).alias("own")).select("own.text_hash", "own.id_order", "own.size"), "shard-keys")
+def _placed(docs: DataFrame, columns: list[str], shards: int, tolerance: float) -> tuple[DataFrame, str]:
+    """``columns`` of the rows exchanged by range, with a struct of size, text_crc32, shard and slot, and its name."""
+    name, place, part = (free_name(docs, c) for c in ("own", "place", "range"))
+    rows = written(docs.select(*columns, _own(docs).alias(name)), "shard-rows")
+    keyed = rows.select(*(f"{name}.{c}" for c in (*_KEY, "size")))
     split, bounds = splitters(keyed, shards, tolerance)
     edges = _bytes(bounds)
     shard = np.searchsorted(_bytes(split), _bytes([0, *bounds]), "right").astype(np.int32)
@@ -137,35 +143,40 @@ def _placed(docs: DataFrame, shards: int, tolerance: float) -> tuple[DataFrame,
     first = first - first[np.searchsorted(shard, shard)]  # rows of the same shard in the ranges before
 
     @F.arrow_udf("struct<range: int, shard: int, first: long>")
-    def place_of(text_hash: pa.Array, id_order: pa.Array) -> pa.Array:
-        at = np.searchsorted(edges, _keys(text_hash.to_numpy(), id_order.to_numpy()), "right").astype(np.int32)
+    def place_of(text_hash: pa.Array, id_order: pa.Array, row_no: pa.Array) -> pa.Array:
+        at = np.searchsorted(edges, _keys(*(c.to_numpy() for c in (text_hash, id_order, row_no))), "right").astype(np.int32)
         return pa.StructArray.from_arrays([pa.array(at), pa.array(shard[at]), pa.array(first[at])], ["range", "shard", "first"])
 
-    placed = with_own.withColumn(place, place_of(F.col(f"{name}.text_hash"), F.col(f"{name}.id_order")))
-    order = Window.partitionBy(F.col(place)["range"]).orderBy(*(F.col(name)[c] for c in ("text_hash", "id_order", "size", "text_crc32")))
+    placed = rows.withColumn(place, place_of(*(F.col(f"{name}.{c}") for c in _KEY))).withColumn(part, F.col(place)["range"])
+    # a partition a range, in their order: the window below takes the rows as they lie
+    placed = placed.repartitionByRange(len(bounds) + 1, part)
+    order = Window.partitionBy(part).orderBy(*(F.col(name)[c] for c in _KEY))
     slot = F.col(place)["first"] + F.row_number().over(order) - 1
-    found = F.struct(f"{name}.*", F.col(place)["shard"].alias("shard"), slot.alias("slot"))
-    return placed.select(*docs.columns, found.alias(place)), place
+    found = F.struct(f"{name}.size", f"{name}.text_crc32", F.col(place)["shard"].alias("shard"), slot.alias("slot"))
+    return placed.select(*columns, found.alias(place)), place
 
 
 def shard_keys(docs: DataFrame, shards: int = SHARDS, tolerance: float = TOLERANCE) -> DataFrame:
     """One row per row of ``docs``: doc_id, size, text_crc32, shard, slot (gapless from 0 in each shard); other columns are not moved."""
-    placed, place = _placed(docs, shards, tolerance)
+    placed, place = _placed(docs, ["doc_id"], shards, tolerance)
     return placed.select(F.col("doc_id").cast("long").alias("doc_id"), *(f"{place}.{c}" for c in ("size", "text_crc32", "shard", "slot")))
 
 
-def shard(docs: DataFrame, shards: int = SHARDS, tolerance: float = TOLERANCE) -> DataFrame:
-    """The rows of ``docs``, all columns, with their shard and slot (``_shard``, ``_slot`` if there are such columns), exchanged once by range of keys."""
-    placed, place = _placed(docs, shards, tolerance)
-    return placed.select(*docs.columns, *(F.col(place)[c].alias(free_name(docs, c)) for c in ("shard", "slot")))
+def shard(docs: DataFrame, shards: int = SHARDS, tolerance: float = TOLERANCE, added: tuple[str, ...] = ("shard", "slot")) -> DataFrame:
+    """The rows of ``docs``, all columns, exchanged once by range of keys, with their shard and slot.
+
+    added may name size and text_crc32 as well; what is added has a ``_`` before its name if there is such a column.
+    """
+    placed, place = _placed(docs, docs.columns, shards, tolerance)
+    return placed.select(*docs.columns, *(F.col(place)[c].alias(free_name(docs, c)) for c in added))
 
 
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest(shard_keys(table(spark, sf_dir, "documents")))
 
 
-def digest(placed: DataFrame) -> DataFrame:
-    return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+def digest(placed: DataFrame, *more: str) -> DataFrame:
+    return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), *more)
 
 
 QUERIES = {"op8_sharding": op8_sharding}
