@@ -9,7 +9,7 @@ return the columns of ``documents``:
 3. ``decontamination``: documents in which a benchmark item is found go.
 4. ``mixing``: documents become what the mix takes of them, a row for each epoch that takes any; sources
    approach their targets. Documents of which the mix takes nothing go.
-5. ``sharding``: every row gets a shard, a slot in it, and its digest columns.
+5. ``sharding``: every row, with its text, gets a shard, a slot in it, and its digest columns.
 
 Nulls, empty and very long texts, ties, repeated rows, empty tables and extra columns are handled as
 the operators document.
@@ -48,7 +48,11 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def sharding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return shards.digest(shards.shard_keys(docs))
+    """doc_id, the digest columns, and the other columns of the documents that are not named like those."""
+    added = ("size", "text_crc32", "shard", "slot")
+    kept = [c for c in docs.columns if c.lower() not in (*added, "law", "grown_shard")]
+    placed = shards.shard(docs.select(*kept), added=added)
+    return shards.digest(placed, *(c for c in kept if c.lower() != "doc_id"))
 
 
 STAGES: list[tuple[str, Stage]] = [
