@@ -1,12 +1,13 @@
 import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from transitloom.config import ConfigError, Limits, RunConfig, parse_types, resolve_city
 from transitloom.functions import geo, text
-from transitloom.operators import generate, geometry, network, overlap, raster
+from transitloom.operators import corridor, generate, geometry, network, overlap, raster
 from transitloom.plans import batch
 from transitloom.plans.network import Network
 from transitloom.sources import files, payloads
@@ -94,6 +95,26 @@ def test_removals_against_greedy_loop(spark, kinds):
     assert [(r.node, r.partners, r.representative) for r in got.orderBy("step").collect()] == greedy(edges, volume, 0.4)
 
 
+@pytest.mark.parametrize("grouped, rounds", [(0, 40), (0, 2), (40, 40)])
+def test_tied_removals_in_rounds(spark, monkeypatch, grouped, rounds):
+    """The order of the loop, whether ties go in rounds, by components, or first in rounds and then by components."""
+    monkeypatch.setattr(overlap, "GROUPED_EDGES", grouped)
+    monkeypatch.setattr(overlap, "ROUNDS", rounds)
+    rng = random.Random(grouped + rounds)
+    edges = [(a, b, rng.choice([0.5, 0.6, 0.7])) for a in range(40) for b in range(a + 1, 40) if rng.random() < 0.12]
+    edges += [(100 + n, 101 + n, 0.9) for n in range(12)]  # a chain that goes one by one
+    volume = {n: float(rng.randrange(3)) for n in range(30)}
+    got = overlap.removals(spark.createDataFrame(edges, "x long, y long, kmax double"), spark.createDataFrame(list(volume.items()), "node long, volume double"), 0.4)
+    assert [(r.node, r.partners, r.representative) for r in got.orderBy("step").collect()] == greedy(edges, volume, 0.4)
+
+
+def test_equal_volumes_without_an_edge_go_by_their_edges(spark):
+    edges = [(1, 10, 0.6), (2, 11, 0.9)]
+    volumes = spark.createDataFrame([(1, 1.0), (2, 1.0), (10, 5.0), (11, 6.0)], "node long, volume double")
+    got = overlap.removals(spark.createDataFrame(edges, "x long, y long, kmax double"), volumes, 0.4)
+    assert [r.node for r in got.orderBy("step").collect()] == [n for n, *_ in greedy(edges, {1: 1.0, 2: 1.0, 10: 5.0, 11: 6.0}, 0.4)] == [2, 1]
+
+
 def test_removal_examples(spark):
     frame = lambda rows, schema: spark.createDataFrame(rows, schema)
     edges, volumes = "x long, y long, kmax double", "node long, volume double"
@@ -358,7 +379,7 @@ def test_union_of_overlapping_stretches(spark):
     for k in range(40):
         line = rng.randrange(3)
         a, b = sorted(rng.sample(range(0, 1000), 2))
-        at = {0: lambda t: (t, 7.0), 1: lambda t: (3.0 * t / 5, 4.0 * t / 5), 2: lambda t: (50.0, -t)}[line]
+        at = {0: lambda t: (float(t), 7.0), 1: lambda t: (3.0 * t / 5, 4.0 * t / 5), 2: lambda t: (50.0, -float(t))}[line]
         rows.append((line, float(a), float(b), *(at(a) + at(b) if k % 2 else at(b) + at(a))))
     frame = spark.createDataFrame([(x1, y1, x2, y2, math.dist((x1, y1), (x2, y2))) for _, _, _, x1, y1, x2, y2 in rows], "x1 double, y1 double, x2 double, y2 double, metres double")
     covered = sum(len({t for line, a, b, *_ in rows if line == n for t in range(int(a), int(b))}) for n in range(3))
@@ -429,3 +450,77 @@ def test_summary_of_a_network(spark):
     want |= {"Поездов": 0, "Трамваев": 1, "Автобусов": 0, "GHS: суммарный объём, тыс. м³": 8, "POI: суммарное value": 2000, "Маршрутный коэффициент Км": 1.5}
     assert {k: got[k] for k in want} == want
     assert got["Дедупликация: Км до"] is None and got["Плотность сети, км/км²"] == pytest.approx(got["Длина уникальной сети, км"] / (0.1 * 111 * 0.2 * 111 * math.cos(math.radians(51.65))), abs=2e-3)
+
+
+def sampled_area(segments, radius, cells=1200):
+    xs, ys = [x for s in segments for x in (s[0], s[2])], [y for s in segments for y in (s[1], s[3])]
+    step = max(max(xs) - min(xs), max(ys) - min(ys), radius) / cells + 2 * radius / cells
+    x, y = np.meshgrid(np.arange(min(xs) - radius + step / 2, max(xs) + radius, step), np.arange(min(ys) - radius + step / 2, max(ys) + radius, step))
+    inside = np.zeros(x.shape, bool)
+    for x1, y1, x2, y2 in segments:
+        vx, vy = x2 - x1, y2 - y1
+        t = np.clip(((x - x1) * vx + (y - y1) * vy) / (vx * vx + vy * vy), 0, 1)
+        inside |= np.hypot(x - x1 - t * vx, y - y1 - t * vy) <= radius
+    return inside.sum() * step * step
+
+
+def test_corridor_areas(spark):
+    """Crossing lines, streets passed twice and in part, bends, segments far shorter than the radius; of a straight one the exact area."""
+    rng = random.Random(2)
+    wave = [(500_000 + 20 * i + rng.uniform(-8, 8), 5_700_000 + rng.uniform(-8, 8) + 300 * math.sin(i / 9)) for i in range(120)]
+    lines = {
+        0: [[(0, 0), (1000, 0)]],
+        1: [[(0, 0), (1000, 0), (500, 0), (1500, 0), (0, 0)]],
+        2: [[(0, 0), (1000, 1000), (1000, 0), (0, 1000)], [(1000, 1000), (0, 0)]],
+        3: [wave + wave[::-1]],
+        4: [[(0, 0), (10, 0), (20, 1)], [(0, 0), (10, 0), (5, 5)], [(7, 7), (7, 7)]],
+        5: [[(9, 9), (9, 9)]],
+        **{n: [[(rng.uniform(0, 3000), rng.uniform(0, 3000)) for _ in range(12)]] for n in range(6, 10)},
+    }
+    points = [(n, k, i, float(x), float(y)) for n, ls in lines.items() for k, ps in enumerate(ls) for i, (x, y) in enumerate(ps)]
+    segments = overlap.node_segments(spark.createDataFrame(points, "node long, line int, seq long, x double, y double"))
+    got = {r.node: r.corridor_m2 for r in corridor.corridor_areas(segments, 100.0).collect()}
+    assert got.keys() == lines.keys() - {5}
+    assert got[0] == pytest.approx(200 * 1000 + math.pi * 10_000, rel=1e-7) and got[1] == pytest.approx(200 * 1500 + math.pi * 10_000, rel=1e-7)
+    by_node = {}
+    for r in segments.collect():
+        by_node.setdefault(r.node, []).append((r.x1, r.y1, r.x2, r.y2))
+    for node, area in got.items():
+        assert area == pytest.approx(sampled_area(by_node[node], 100.0), rel=2e-3)
+    with pytest.raises(ValueError):
+        corridor.corridor_areas(segments, 0.0)
+    assert corridor.corridor_areas(segments.where("false"), 5.0).count() == 0
+
+
+def test_windows_of_a_sparse_raster(spark):
+    """Pixels far apart take as many rows as their blocks; windows over many blocks, at their borders, beyond the raster and below zero."""
+    rng = random.Random(6)
+    pixels = {(r0 + rng.randrange(40), c0 + rng.randrange(70)): float(rng.randrange(1, 9)) for r0, c0 in ((-50, -40), (0, 0), (5000, 90_000), (3_000_000, 7)) for _ in range(60)}
+    pixels[2_000, 2_000] = 4294967295.0
+    frame = spark.createDataFrame([(0, r, c, v) for (r, c), v in pixels.items()], "tile_id int, row_no long, col_no long, raw_value double")
+    inner, blocks = raster.block_sums(frame)
+    assert inner.count() == 1024 * len({(r // 32, c // 32) for r, c in pixels}) and blocks.count() <= 6 * len(pixels)
+    windows = [(-(10**7), 10**7, -(10**7), 10**7), (0, 31, 0, 31), (32, 63, 0, 31), (31, 32, 31, 64), (5, 4, 0, 9), (10**8, 10**9, 0, 5), (4990, 5100, 80_000, 99_999), (-50, 5020, -40, 90_050), (7, 7, 7, 7)]
+    for _ in range(150):
+        (r, c), side = rng.choice(list(pixels)), rng.choice([1, 3, 30, 64, 300, 5000])
+        a, b = r - rng.randrange(side), c - rng.randrange(side)
+        windows.append((a, a + rng.randrange(side), b, b + rng.randrange(side)))
+    asked = spark.createDataFrame([(n, *w) for n, w in enumerate(windows)], "w long, row_lo long, row_hi long, col_lo long, col_hi long")
+    got = {r.w: r.volume for r in raster.window_sums(frame, asked, "w").collect()}
+    value = {k: v for k, v in pixels.items() if v <= 1e5}
+    assert got == {n: sum(v for (r, c), v in value.items() if r0 <= r <= r1 and c0 <= c <= c1) for n, (r0, r1, c0, c1) in enumerate(windows)}
+    assert [r.volume for r in raster.window_sums(frame.where("false"), asked.limit(1), "w").collect()] == [0.0]
+
+
+def test_pyramid_keeps_the_sum(spark):
+    rng = random.Random(8)
+    frame = spark.createDataFrame([(0, r, c, float(rng.randrange(9))) for r in range(70) for c in range(90) if rng.random() < 0.8], "tile_id int, row_no long, col_no long, raw_value double")
+    boxes = [("all", -9, 999, -9, 999), ("small", 3, 12, 5, 14), ("line", 0, 69, 4, 4), ("out", 500, 600, 0, 9)]
+    rows = raster.pyramid(frame, spark.createDataFrame(boxes, "b string, row_lo long, row_hi long, col_lo long, col_hi long"), "b", 100).collect()
+    pixels = frame.collect()
+    levels = {r.b: r.level for r in rows}
+    assert levels == {"all": 4, "small": 0, "line": 0} and all(r.scale == 2**r.level for r in rows)
+    for name, r0, r1, c0, c1 in boxes:
+        own = [r for r in rows if r.b == name]
+        assert len(own) <= 100 and len({(r.row_no, r.col_no) for r in own}) == len(own)
+        assert sum(r.raw_value for r in own) == sum(p.raw_value for p in pixels if r0 <= p.row_no <= r1 and c0 <= p.col_no <= c1)

@@ -1,19 +1,20 @@
 """Overlap of directions, and which to remove.
 
 points: ``(node, line, seq, x, y)`` in metres; a node is what is compared (a direction, or a whole route
-with its directions as lines). All of it is grid joins, windows and grouped sums; only ties in the
-removal order need a loop, one per tied value.
+with its directions as lines). All of it is grid joins, windows and grouped sums; ties in the removal order take rounds.
 """
 
 from __future__ import annotations
 
 import heapq
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..tables import numbered
+from ..tables import numbered, written
+from .graph import components
 
 #: Metres between the cells of the candidate grid, in buffers; cells that a piece of a segment may be long.
 CELL_BUFFERS, PIECE_CELLS = 2.0, 16
@@ -142,19 +143,18 @@ def clean_edges(edges: DataFrame, k_del: float, active: DataFrame | None = None)
     return one.select("x", "y", "kmax")
 
 
-_RECORD = "volume double, node long, other long, kmax double, step long"
+#: Edges between equal volumes that are left to groups, a component each; more are worked off in rounds first, at most so many.
+GROUPED_EDGES, ROUNDS = 100_000, 40
 
 
 def _remove_tied(rows: pd.DataFrame) -> pd.DataFrame:
-    """Of one tied volume: removes nodes by largest live edge, then id, while they have edges; a row an edge closed."""
-    import heapq
-
+    """Of one component of one volume: removes nodes by largest live edge, then id, while they have edges; a row an edge closed."""
     live: dict = {}
     for node, other, k in zip(rows["node"], rows["other"], rows["kmax"], strict=True):
         live.setdefault(node, {})[other] = k
     queue = [(-max(e.values()), node) for node, e in live.items()]
     heapq.heapify(queue)
-    out, step = [], 0
+    out = []
     while queue:
         k, node = heapq.heappop(queue)
         edges = live.get(node)
@@ -164,12 +164,40 @@ def _remove_tied(rows: pd.DataFrame) -> pd.DataFrame:
             heapq.heappush(queue, (-max(edges.values()), node))
             continue
         for other, kmax in edges.items():
-            out.append((node, other, kmax, step))
+            out.append((node, other, kmax))
             if other in live:
                 live[other].pop(node, None)
         live.pop(node)
-        step += 1
-    return pd.DataFrame(out, columns=["node", "other", "kmax", "step"]).assign(volume=float(rows["volume"].iloc[0]) if len(rows) else 0.0)[["volume", "node", "other", "kmax", "step"]]
+    return pd.DataFrame(out, columns=["node", "other", "kmax"])
+
+
+def _closed_in_ties(upward: DataFrame) -> DataFrame:
+    """node, other, kmax of the edges that close with their node, of nodes that have an edge to one of the same volume.
+
+    upward: ``(node, other, kmax, tied)``, every edge from such a node to one of no less volume. A node's order is that of its largest live
+    edge, then its id, and can only fall back as edges close. So whoever comes before all its neighbours goes before them in any
+    case: all such nodes go at once, in rounds over the edge table. What a long chain of dependencies leaves is
+    run through the rule itself, a group per component.
+    """
+    live, closed = written(upward, "tied-edges"), None
+    for _ in range(ROUNDS):
+        if live.where("tied").count() <= GROUPED_EDGES:
+            break
+        best = live.groupBy("node").agg(F.max("kmax").alias("best"))
+        tied = live.where("tied").select("node", "other").join(best, "node").join(best.select(F.col("node").alias("other"), F.col("best").alias("other_best")), "other")
+        after = (F.col("other_best") > F.col("best")) | ((F.col("other_best") == F.col("best")) & (F.col("other") < F.col("node")))
+        waiting = tied.where(after).select("node").distinct()
+        first = written(live.select("node").distinct().join(waiting, "node", "left_anti"), "tied-first")
+        gone = live.join(first, "node", "left_semi").select("node", "other", "kmax")
+        closed = gone if closed is None else closed.union(gone)
+        left = live.join(first, "node", "left_anti").join(first.withColumnRenamed("node", "other").withColumn("gone", F.lit(True)), "other", "left")
+        live = written(left.where("NOT tied OR gone IS NULL").select("node", "other", "kmax", "tied"), "tied-edges")
+    alone = live.groupBy("node").agg(F.bool_or("tied").alias("any")).where("NOT any")
+    parts = [live.join(alone, "node", "left_semi").select("node", "other", "kmax"), *([] if closed is None else [closed])]
+    if not live.where("tied").isEmpty():
+        clusters = components(live.where("tied").select(F.col("node").alias("a"), F.col("other").alias("b")), "tied-components")
+        parts.append(live.join(clusters, "node").groupBy("comp").applyInPandas(_remove_tied, "node long, other long, kmax double"))
+    return reduce(DataFrame.union, parts)
 
 
 def removals(edges: DataFrame, volumes: DataFrame, k_del: float, active: DataFrame | None = None) -> DataFrame:
@@ -179,26 +207,27 @@ def removals(edges: DataFrame, volumes: DataFrame, k_del: float, active: DataFra
     goes (of equals, the one with the largest edge, then the least id), and its edges with it. A
     node is therefore there until all of less volume are gone, and goes exactly if it has an edge
     to a node of more volume that far: with distinct volumes that is a join and a rank. Nodes of equal
-    volume with an edge between them are run through the rule itself, a group per volume, over
-    their edges to nodes of no less volume. A missing volume is 0.
+    volume with an edge between them go in rounds, see ``_closed_in_ties``. As a node's order can only fall back, the
+    order of the removals is that of volume, largest edge closed and id. A missing volume is 0.
     """
     both = both_ways(clean_edges(edges, k_del, active))
     vol = volumes.groupBy("node").agg(F.coalesce(F.max(F.when(~F.isnan("volume"), F.col("volume"))), F.lit(0.0)).alias("volume"))
     valued = both.join(vol, "node", "left").join(vol.withColumnsRenamed({"node": "other", "volume": "other_volume"}), "other", "left")
     valued = valued.select("node", "other", "kmax", F.coalesce("volume", F.lit(0.0)).alias("volume"), F.coalesce("other_volume", F.lit(0.0)).alias("other_volume"))
-    upward = valued.where("other_volume >= volume")
-    tied = upward.where("other_volume = volume").select("volume").distinct()
-    plain = upward.join(tied, "volume", "left_anti").select("volume", "node", "other", "kmax", F.lit(0).cast("bigint").alias("step"))
-    simulated = upward.join(tied, "volume", "left_semi").select("volume", "node", "other", "kmax").groupBy("volume").applyInPandas(_remove_tied, _RECORD)
-    closed = plain.unionByName(simulated)
+    upward = valued.where("other_volume >= volume").withColumn("tied", F.col("other_volume") == F.col("volume"))
+    tied = written(upward.groupBy("node").agg(F.bool_or("tied").alias("tied")).where("tied").select("node"), "tied-nodes")
+    closed = upward.select("node", "other", "kmax") if tied.isEmpty() else upward.join(tied, "node", "left_anti").select("node", "other", "kmax").union(
+        _closed_in_ties(upward.join(tied, "node", "left_semi").select("node", "other", "kmax", "tied"))
+    )
+    closed = closed.join(vol, "node", "left").withColumn("volume", F.coalesce("volume", F.lit(0.0)))
     strongest = F.struct(F.col("kmax").alias("k"), (-F.col("other")).alias("id"))
     ranked = F.array_sort(F.collect_list(F.struct((-F.col("kmax")).alias("k"), F.col("other").alias("id"))))
-    victims = closed.groupBy("volume", "step", "node").agg(
+    victims = closed.groupBy("volume", "node").agg(
         F.count("*").alias("partners"), (-F.max(strongest)["id"]).alias("representative"), F.max("kmax").alias("best"), ranked.alias("ranked")
     )
     text = F.array_join(F.transform("ranked", lambda p: F.concat(p["id"].cast("string"), F.lit(" ("), F.format_string("%.3f", -p["k"]), F.lit(")"))), ", ")
-    victims = victims.select(F.col("step").alias("round"), "node", "volume", "partners", "representative", "best", text.alias("closed"))
-    return numbered(victims, "step", "volume", "round", "node").select("step", "node", "volume", "partners", "representative", "best", "closed")
+    victims = victims.select("node", "volume", "partners", "representative", "best", text.alias("closed"))
+    return numbered(victims, "step", F.col("volume"), F.desc("best"), F.col("node")).select("step", "node", "volume", "partners", "representative", "best", "closed")
 
 
 def survivors(nodes: DataFrame, removed: DataFrame) -> DataFrame:

@@ -42,25 +42,108 @@ def prefix_sums(pixels: DataFrame) -> DataFrame:
     return filled.withColumn("along", F.sum("value").over(along)).withColumn("total", F.sum("along").over(down)).select("row_no", "col_no", "total")
 
 
+#: Rows and columns of a block of pixels; the blocks of a level are so many times as wide as those of the level below, up to so many levels.
+BLOCK, FANOUT, LEVELS = 32, 8, 6
+
+
+def block_sums(pixels: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """A summed-area table in blocks: (row_no, col_no, total) and (level, i, j, total).
+
+    The first holds, for every cell of a block that has pixels, the sum of the block's values at or before its row and column; the second
+    the sums of whole blocks, of ``BLOCK * FANOUT ** level`` rows and columns. Rows are in proportion to the blocks that have pixels.
+    """
+    cells = pixels.groupBy("row_no", "col_no").agg(F.sum(clean_value(F.col("raw_value"))).alias("value"))
+    cells = cells.withColumns({"i": F.floor(F.col("row_no") / BLOCK), "j": F.floor(F.col("col_no") / BLOCK)})
+    steps = F.sequence(F.lit(0), F.lit(BLOCK - 1))
+    grid = cells.select("i", "j").distinct().withColumn("r", F.explode(steps)).withColumn("c", F.explode(steps))
+    grid = grid.select("i", "j", (F.col("i") * BLOCK + F.col("r")).alias("row_no"), (F.col("j") * BLOCK + F.col("c")).alias("col_no"))
+    filled = grid.join(cells, ["i", "j", "row_no", "col_no"], "left").fillna(0.0, ["value"])
+    along = Window.partitionBy("i", "j", "row_no").orderBy("col_no").rowsBetween(Window.unboundedPreceding, 0)
+    down = Window.partitionBy("i", "j", "col_no").orderBy("row_no").rowsBetween(Window.unboundedPreceding, 0)
+    inner = filled.withColumn("along", F.sum("value").over(along)).select("row_no", "col_no", F.sum("along").over(down).alias("total"))
+    lowest = cells.groupBy("i", "j").agg(F.sum("value").alias("total"))
+    level = F.explode(F.sequence(F.lit(0), F.lit(LEVELS - 1)))
+    width = F.pow(F.lit(FANOUT), F.col("level"))
+    up = lowest.withColumn("level", level).select("level", *(F.floor(F.col(c) / width).alias(c) for c in "ij"), "total")
+    return inner, up.groupBy("level", "i", "j").agg(F.sum("total").alias("total"))
+
+
+def _around(by: str, squares: DataFrame, outer: tuple[Column, ...], inner: tuple[Column, ...], *more: str) -> DataFrame:
+    """by, i, j of the cells from outer = (i_lo, i_hi, j_lo, j_hi) that are not in inner; along its edges, so to say."""
+    i_lo, i_hi, j_lo, j_hi, p_lo, p_hi, q_lo, q_hi = (F.col(c) for c in ("o0", "o1", "o2", "o3", "p0", "p1", "p2", "p3"))
+    named = squares.withColumns({f"{k}{n}": c for k, cs in (("o", outer), ("p", inner)) for n, c in enumerate(cs)})
+    rows = named.where((i_lo <= i_hi) & (j_lo <= j_hi)).withColumn("i", F.explode(F.sequence(i_lo, i_hi)))
+    none = F.array().cast("array<bigint>")
+    some = lambda lo, hi: F.when(lo <= hi, F.sequence(lo, hi)).otherwise(none)
+    beside = F.col("i").between(p_lo, p_hi) & (q_lo <= q_hi)
+    columns = F.when(beside, F.concat(some(j_lo, q_lo - 1), some(q_hi + 1, j_hi))).otherwise(some(j_lo, j_hi))
+    return rows.withColumn("j", F.explode(columns)).select(by, *more, "i", "j")
+
+
 def window_sums(pixels: DataFrame, squares: DataFrame, by: str) -> DataFrame:
     """Sum of the values in each square ``(by, row_lo, row_hi, col_lo, col_hi)``, ends included; 0 outside the raster.
 
-    A square looks up its four corners, moved to the raster's extents, in the prefix sums.
+    A square, cut at the raster's extents, is covered by the largest blocks that lie in it, whose sums are looked up, and by parts of the blocks
+    along its edge, of which the four corners are. The lookups of a square grow with its edge, not with its area.
     """
     ends = F.broadcast(extents(pixels).select(*(F.col(c).alias(f"raster_{c}") for c in ("row_lo", "row_hi", "col_lo", "col_hi"))))  # one row
+    cut = {c: (F.greatest if c.endswith("lo") else F.least)(F.col(c), F.col(f"raster_{c}")).cast("bigint") for c in ("row_lo", "row_hi", "col_lo", "col_hi")}
+    asked = squares.select(by, "row_lo", "row_hi", "col_lo", "col_hi").join(ends).withColumns(cut).where("row_lo <= row_hi AND col_lo <= col_hi")
+    asked = asked.select(by, "row_lo", "row_hi", "col_lo", "col_hi")
+
+    def inside(width: Column) -> tuple[Column, ...]:
+        """The blocks that lie in the square."""
+        spans = ((F.ceil(F.col(f"{c}_lo") / width), F.floor((F.col(f"{c}_hi") + 1) / width) - 1) for c in ("row", "col"))
+        return tuple(x.cast("bigint") for span in spans for x in span)
+
+    touched = tuple(F.floor(F.col(c) / BLOCK).cast("bigint") for c in ("row_lo", "row_hi", "col_lo", "col_hi"))
+    edge = _around(by, asked, touched, inside(F.lit(BLOCK)), "row_lo", "row_hi", "col_lo", "col_hi")
+    parts = edge.select(
+        by,
+        *(f(F.col(f"{c}_{e}"), F.col(k) * BLOCK + add).alias(f"{c}_{e}") for c, k in (("row", "i"), ("col", "j")) for e, f, add in (("lo", F.greatest, 0), ("hi", F.least, BLOCK - 1))),
+        (F.col("i") * BLOCK).alias("top"),
+        (F.col("j") * BLOCK).alias("left"),
+    )
     corners = F.array(
         *[
-            F.struct(F.least(r, "raster_row_hi").alias("row_no"), F.least(c, "raster_col_hi").alias("col_no"), F.lit(sign).alias("sign"))
+            F.struct(r.alias("row_no"), c.alias("col_no"), F.lit(row_sign * col_sign).alias("sign"))
             for r, row_sign in ((F.col("row_hi"), 1.0), (F.col("row_lo") - 1, -1.0))
             for c, col_sign in ((F.col("col_hi"), 1.0), (F.col("col_lo") - 1, -1.0))
-            for sign in (row_sign * col_sign,)
         ]
     )
-    asked = squares.where("row_lo <= row_hi AND col_lo <= col_hi").join(ends).select(by, F.explode(corners).alias("corner")).select(by, "corner.*")
-    found = asked.join(prefix_sums(pixels), ["row_no", "col_no"]).groupBy(by).agg(F.sum(F.col("sign") * F.col("total")).alias("volume"))
+    looked = parts.select(by, "top", "left", F.explode(corners).alias("corner")).select(by, "top", "left", "corner.*").where("row_no >= top AND col_no >= left")
+    width = F.pow(F.lit(FANOUT), F.col("level")).cast("bigint") * BLOCK
+    above = tuple(F.when(F.col("level") < LEVELS - 1, x * FANOUT + add).otherwise(bound) for x, add, bound in zip(inside(width * FANOUT), (0, FANOUT - 1) * 2, (1, 0) * 2, strict=True))
+    levels = asked.withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(LEVELS - 1))))
+    whole = _around(by, levels, inside(width), above, "level")
+    inner, blocks = block_sums(pixels)
+    found = looked.join(inner, ["row_no", "col_no"]).select(by, (F.col("sign") * F.col("total")).alias("part"))
+    found = found.union(whole.join(blocks, ["level", "i", "j"]).select(by, "total")).groupBy(by).agg(F.sum("part").alias("volume"))
     return squares.select(by).join(found, by, "left").select(by, F.coalesce("volume", F.lit(0.0)).alias("volume"))
 
 
+def pyramid(pixels: DataFrame, boxes: DataFrame, by: str, most: int = 2048 * 2048) -> DataFrame:
+    """by, level, scale, row_no, col_no, raw_value: the part of the raster in each box ``(by, row_lo, row_hi, col_lo, col_hi)``, as fine as ``most`` cells allow.
+
+    A box is cut at the raster's extents. Its level is the least whose cells, ``scale = 2 ** level`` pixels wide and counted from the box's corner,
+    are ``most`` at most; a cell has the sum of its pixels, so that a box's sum is the same at every level. Cells without pixels are left out,
+    boxes without any, too.
+    """
+    ends = F.broadcast(extents(pixels).select(*(F.col(c).alias(f"raster_{c}") for c in ("row_lo", "row_hi", "col_lo", "col_hi"))))  # one row
+    cut = {c: (F.greatest if c.endswith("lo") else F.least)(F.col(c), F.col(f"raster_{c}")).cast("bigint") for c in ("row_lo", "row_hi", "col_lo", "col_hi")}
+    own = boxes.select(by, "row_lo", "row_hi", "col_lo", "col_hi").join(ends).withColumns(cut).where("row_lo <= row_hi AND col_lo <= col_hi")
+    high, wide = F.col("row_hi") - F.col("row_lo") + 1, F.col("col_hi") - F.col("col_lo") + 1
+    fits = lambda k: F.ceil(high / F.pow(F.lit(2), k)) * F.ceil(wide / F.pow(F.lit(2), k)) <= most
+    level = F.element_at(F.filter(F.sequence(F.lit(0), F.lit(62)), fits), 1)
+    own = own.withColumn("level", level).withColumn("scale", F.pow(F.lit(2), F.col("level")).cast("bigint"))
+    reach = lambda lo, hi: F.explode(F.sequence(F.floor(F.col(lo) / BLOCK), F.floor(F.col(hi) / BLOCK)))
+    spread = own.withColumn("i", reach("row_lo", "row_hi")).withColumn("j", reach("col_lo", "col_hi"))
+    cells = pixels.select(F.floor(F.col("row_no") / BLOCK).alias("i"), F.floor(F.col("col_no") / BLOCK).alias("j"), "row_no", "col_no", clean_value(F.col("raw_value")).alias("value"))
+    met = cells.join(spread, ["i", "j"]).where("row_no BETWEEN row_lo AND row_hi AND col_no BETWEEN col_lo AND col_hi")
+    coarse = [F.floor((F.col(f"{c}_no") - F.col(f"{c}_lo")) / F.col("scale")).cast("bigint").alias(f"{c}_no") for c in ("row", "col")]
+    return met.groupBy(by, "level", "scale", *coarse).agg(F.sum("value").alias("raw_value"))
+
+
 def point_squares(points: DataFrame, by: str, half: int, north: float = 51.66, west: float = 39.10, step: float = 0.001) -> DataFrame:
     """The squares of ``2 half + 1`` pixels around points; a point without coordinates has none."""
     row, col = F.rint((F.lit(north) - F.col("lat")) / step).cast("bigint"), F.rint((F.col("lon") - F.lit(west)) / step).cast("bigint")

@@ -8,7 +8,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import RunConfig
-from ..operators import geometry, nearby, network, overlap, raster
+from ..operators import corridor, geometry, nearby, network, overlap, raster
+
+
+def _flat(points: DataFrame) -> DataFrame:
+    """The points in metres, by node ``route_id * 2**16 + di``."""
+    node = (F.col("route_id") * (1 << 16) + F.col("di")).alias("node")
+    return geometry.without_repeats(geometry.projected(points)).select(node, F.lit(0).alias("line"), "seq", "x", "y")
 
 
 class Network:
@@ -53,14 +59,18 @@ class Network:
 
     @cached_property
     def corridors(self) -> DataFrame:
-        return self._keep(raster.corridor_sums(self.kept_points, self.pixels, self.config.volume_buffer_m))
+        """Volume, pixels and tiles within the buffer of each direction that has any, and the area within it."""
+        sums = raster.corridor_sums(self.kept_points, self.pixels, self.config.volume_buffer_m)
+        if self.config.volume_buffer_m <= 0:
+            return self._keep(sums.withColumn("corridor_m2", F.lit(0.0)))
+        areas = corridor.corridor_areas(overlap.node_segments(_flat(self.kept_points)), self.config.volume_buffer_m)
+        areas = areas.select(F.expr(f"node div {1 << 16}").alias("route_id"), F.expr(f"int(node % {1 << 16})").alias("di"), "corridor_m2")
+        return self._keep(sums.join(areas, ["route_id", "di"], "left"))
 
     @cached_property
     def overlaps(self) -> DataFrame:
         """Pairs of overlapping directions; a node is ``route_id * 2**16 + di``."""
-        node = F.col("route_id") * (1 << 16) + F.col("di")
-        points = geometry.without_repeats(geometry.projected(self.kept_points)).select(node.alias("node"), F.lit(0).alias("line"), "seq", "x", "y")
-        return self._keep(overlap.overlap_pairs(overlap.node_segments(self._keep(points)), self.config.dedup_buffer_m, self.config.dedup_threshold))
+        return self._keep(overlap.overlap_pairs(overlap.node_segments(self._keep(_flat(self.kept_points))), self.config.dedup_buffer_m, self.config.dedup_threshold))
 
     @cached_property
     def removed(self) -> DataFrame:
@@ -106,9 +116,7 @@ class Network:
 
     def lengths(self, points: DataFrame) -> DataFrame:
         """total_km, unique_km and coefficient of a network's lines."""
-        node = (F.col("route_id") * (1 << 16) + F.col("di")).alias("node")
-        flat = geometry.without_repeats(geometry.projected(points)).select(node, F.lit(0).alias("line"), "seq", "x", "y")
-        return overlap.network_km(overlap.node_segments(flat))
+        return overlap.network_km(overlap.node_segments(_flat(points)))
 
     def sheets(self) -> dict[str, DataFrame]:
         """The results as tables by name; those of removals only where they are asked for."""

@@ -67,17 +67,17 @@ def _(v: Views) -> DataFrame:
     return v.routes.select("route_id", text.type_label(F.col("route_type")).alias("label"))
 
 
-_BOX = (51.6, 39.1, 51.63, 39.13)
+_TRAINS_BOX = (51.6, 39.1, 51.63, 39.13)
 
 
 @REGISTER(
     "snk4_type_counts",
     f"""WITH {_STATE}, t(title, kind) AS (VALUES ('Поездов', 'train'), ('Троллейбусов', 'trolleybus'), ('Трамваев', 'tram'), ('Автобусов', 'bus'), ('Маршруток', 'minibus'), ('Водных маршрутов', 'water')),
-whole AS (SELECT route_id FROM v_points GROUP BY ALL HAVING bool_and(lat BETWEEN {_BOX[0]} AND {_BOX[2]} AND lon BETWEEN {_BOX[1]} AND {_BOX[3]}))
+whole AS (SELECT route_id FROM v_points GROUP BY ALL HAVING bool_and(lat BETWEEN {_TRAINS_BOX[0]} AND {_TRAINS_BOX[2]} AND lon BETWEEN {_TRAINS_BOX[1]} AND {_TRAINS_BOX[3]}))
 SELECT title, count(st.route_id) AS routes FROM t LEFT JOIN st ON st.route_type = kind AND state = 'ok' AND (kind <> 'train' OR st.route_id IN (SELECT route_id FROM whole)) GROUP BY ALL""",
 )
 def _(v: Views) -> DataFrame:
-    return network.type_counts(network.route_state(v.routes, v.points).where("state = 'ok'"), v.points, _BOX)
+    return network.type_counts(network.route_state(v.routes, v.points).where("state = 'ok'"), v.points, _TRAINS_BOX)
 
 
 @REGISTER("snk8_errors", "SELECT route_id, name, error FROM v_routes WHERE error IS NOT NULL")
@@ -201,18 +201,18 @@ def _(v: Views) -> DataFrame:
 
 
 _SHIFT = lambda c, s: f"round_even(({c} - ({s})[CAST(seq % 8 AS INTEGER) + 1]) * 1e7, 0) / 1e7"
-_BOX = (51.6, 39.1, 51.7, 39.2)
+_SHIFT_BOX = (51.6, 39.1, 51.7, 39.2)
 
 
 @REGISTER(
     "m9_fixed_coordinates",
     f"""WITH c AS (SELECT route_id, di, seq, lat, lon, {_SHIFT('lat', network.LAT_SHIFT)} AS la, {_SHIFT('lon', network.LON_SHIFT)} AS lo FROM v_stops_seq),
-d AS (SELECT *, CASE WHEN lat BETWEEN {_BOX[0]} AND {_BOX[2]} AND lon BETWEEN {_BOX[1]} AND {_BOX[3]} THEN 0
+d AS (SELECT *, CASE WHEN lat BETWEEN {_SHIFT_BOX[0]} AND {_SHIFT_BOX[2]} AND lon BETWEEN {_SHIFT_BOX[1]} AND {_SHIFT_BOX[3]} THEN 0
  WHEN la BETWEEN -90 AND 90 AND lo BETWEEN -180 AND 180 THEN 1 WHEN lat BETWEEN -90 AND 90 THEN 0 END AS k FROM c)
 SELECT route_id, di, seq, CASE k WHEN 0 THEN lat WHEN 1 THEN la END AS lat, CASE k WHEN 0 THEN lon WHEN 1 THEN lo END AS lon FROM d""",
 )
 def _(v: Views) -> DataFrame:
-    at = network.fixed_coordinate(F.col("lat"), F.col("lon"), F.col("seq"), _BOX)
+    at = network.fixed_coordinate(F.col("lat"), F.col("lon"), F.col("seq"), _SHIFT_BOX)
     return v.stops_seq.select("route_id", "di", "seq", at.alias("at")).select("route_id", "di", "seq", "at.lat", "at.lon")
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import heat_color
-from ..operators import network, raster
+from ..operators import corridor, network, overlap, raster
 from ..tables import numbered
 from .network_queries import _STOPS
 from .register import Register
@@ -88,6 +88,49 @@ def _(v: Views) -> DataFrame:
     return raster.corridor_sums(v.points, v.pixels, 400.0).select("route_id", "di", "pixels")
 
 
+@REGISTER(
+    "r1_corridor_areas",
+    """WITH x AS (SELECT route_id, di, (max(lon) - min(lon)) * 69000 AS metres FROM v_points GROUP BY ALL)
+SELECT route_id, di, CAST(round((800 * metres + pi() * 160000) / 1000) AS BIGINT) AS thousand_m2 FROM x WHERE metres > 0""",
+)
+def _(v: Views) -> DataFrame:
+    node = (F.col("route_id") * (1 << 16) + F.col("di")).alias("node")
+    flat = v.points.select(node, F.lit(0).alias("line"), "seq", (F.col("lon") * 69000).alias("x"), (F.col("lat") * 111000).alias("y"))
+    areas = corridor.corridor_areas(overlap.node_segments(flat), 400.0)
+    return areas.select(F.expr(f"node div {1 << 16}").alias("route_id"), F.expr(f"int(node % {1 << 16})").alias("di"), F.round(F.col("corridor_m2") / 1000).cast("bigint").alias("thousand_m2"))
+
+
+@REGISTER(
+    "r1_crossing_areas",
+    """WITH h AS (SELECT l_orderkey AS node, 1000.0 + 10 * (l_orderkey % 200) AS half FROM lineitem GROUP BY ALL)
+SELECT node, CAST(round((2 * (400 * half + pi() * 10000) - 40000) / 1000) AS BIGINT) AS thousand_m2 FROM h""",
+)
+def _(v: Views) -> DataFrame:
+    """Crosses whose one arm is passed three times, in part and both ways."""
+    half = 1000.0 + 10 * (F.col("l_orderkey") % 200)
+    stops = [(-half, 0 * half), (half, 0 * half), (half / 2, 0 * half), (0 * half, 0 * half), (0 * half, half), (0 * half, -half)]
+    way = F.array(*[F.struct(F.lit(i).cast("bigint").alias("seq"), x.alias("x"), (y + 5_700_000.0).alias("y")) for i, (x, y) in enumerate(stops)])
+    points = v.lineitem.select("l_orderkey").distinct().select(F.col("l_orderkey").alias("node"), F.lit(0).alias("line"), F.inline(way))
+    areas = corridor.corridor_areas(overlap.node_segments(points), 100.0)
+    return areas.select("node", F.round(F.col("corridor_m2") / 1000).cast("bigint").alias("thousand_m2"))
+
+
+@REGISTER(
+    "r5_pyramid",
+    f"""WITH e AS (SELECT min(row_no) AS r0, max(row_no) AS r1, min(col_no) AS c0, max(col_no) AS c1 FROM v_pixels),
+b AS (SELECT DISTINCT s_suppkey AS box, greatest(r0, s_suppkey % 40 - 9) AS row_lo, least(r1, s_suppkey % 40 + s_suppkey * 7 % 61) AS row_hi,
+ greatest(c0, s_suppkey % 23 - 5) AS col_lo, least(c1, s_suppkey % 23 + s_suppkey * 5 % 53) AS col_hi FROM supplier, e),
+k AS (SELECT b.*, (SELECT min(n) FROM range(0, 20) AS g(n) WHERE ceil((row_hi - row_lo + 1) / pow(2, n)) * ceil((col_hi - col_lo + 1) / pow(2, n)) <= 200) AS level FROM b WHERE row_lo <= row_hi AND col_lo <= col_hi),
+w AS (SELECT *, CAST(pow(2, level) AS BIGINT) AS scale FROM k)
+SELECT box, CAST(level AS INTEGER) AS level, scale, (p.row_no - row_lo) // scale AS row_no, (p.col_no - col_lo) // scale AS col_no, sum({_VAL}) AS raw_value
+FROM w JOIN v_pixels p ON p.row_no BETWEEN row_lo AND row_hi AND p.col_no BETWEEN col_lo AND col_hi GROUP BY ALL""",
+)
+def _(v: Views) -> DataFrame:
+    key = F.col("s_suppkey")
+    boxes = v.supplier.select(key.alias("box"), (key % 40 - 9).alias("row_lo"), (key % 40 + key * 7 % 61).alias("row_hi"), (key % 23 - 5).alias("col_lo"), (key % 23 + key * 5 % 53).alias("col_hi")).distinct()
+    return raster.pyramid(v.pixels, boxes, "box", 200)
+
+
 @REGISTER("ag11_route_corridors", f"WITH {_CORR} SELECT route_id, sum(volume) AS volume, CAST(sum(pixels) AS BIGINT) AS pixels, CAST(sum(tiles) AS BIGINT) AS tiles FROM cs GROUP BY ALL")
 def _(v: Views) -> DataFrame:
     return raster.route_totals(raster.corridor_sums(v.points, v.pixels, 400.0))
