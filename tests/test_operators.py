@@ -1,5 +1,6 @@
 import math
 import random
+import re
 
 import numpy as np
 import pytest
@@ -7,7 +8,7 @@ from pyspark.sql import functions as F
 
 from transitloom.config import ConfigError, Limits, RunConfig, parse_types, resolve_city
 from transitloom.functions import geo, text
-from transitloom.operators import corridor, generate, geometry, network, overlap, raster
+from transitloom.operators import corridor, generate, geometry, mosaic, network, overlap, raster
 from transitloom.plans import batch
 from transitloom.plans.network import Network
 from transitloom.sources import files, payloads
@@ -524,3 +525,142 @@ def test_pyramid_keeps_the_sum(spark):
         own = [r for r in rows if r.b == name]
         assert len(own) <= 100 and len({(r.row_no, r.col_no) for r in own}) == len(own)
         assert sum(r.raw_value for r in own) == sum(p.raw_value for p in pixels if r0 <= p.row_no <= r1 and c0 <= p.col_no <= c1)
+
+
+def mollweide(lat, lon):
+    t = math.radians(lat)
+    for _ in range(60):
+        t -= (2 * t + math.sin(2 * t) - math.pi * math.sin(math.radians(lat))) / (2 + 2 * math.cos(2 * t))
+    return 2 * math.sqrt(2) / math.pi * 6378137.0 * math.radians(lon) * math.cos(t), math.sqrt(2) * 6378137.0 * math.sin(t)
+
+
+def test_mollweide(spark):
+    places = [(0.0, 10.0), (51.67, 39.2), (-33.0, -70.0), (84.0, 179.0), (0.0, 0.0)]
+    frame = spark.createDataFrame([(n, *p, 54009) for n, p in enumerate(places)], "n int, lat double, lon double, epsg int")
+    got = geo.with_projected_xy(frame).withColumn("back", F.struct(*geo.mollweide_degrees(F.col("x"), F.col("y")))).orderBy("n").collect()
+    for r, (lat, lon) in zip(got, places, strict=True):
+        assert (r.x, r.y) == pytest.approx(mollweide(lat, lon), abs=1e-4)
+        assert tuple(r.back) == pytest.approx((lat, lon), abs=1e-9)
+    poles = spark.createDataFrame([(90.0, 0.0, 54009), (-90.0, 5.0, 54009), (1.0, 1.0, 3857)], "lat double, lon double, epsg int")
+    ends = geo.with_projected_xy(poles).collect()
+    assert [round(r.y / (math.sqrt(2) * 6378137.0), 9) for r in ends[:2]] == [1.0, -1.0] and ends[2].x is None
+    assert spark.range(1).select(geo.mollweide_degrees(F.lit(2e7), F.lit(8e6))[1].alias("x")).first().x is None
+
+
+TILES = "tile_id int, epsg int, x0 double, y0 double, dx double, dy double, rows int, cols int"
+
+
+def network_on_tiles(spark):
+    """Four directions, one without length, over two tiles in UTM and one in Mollweide; two more tiles lie far off or nowhere."""
+    rng = random.Random(12)
+    points = [(r, d, k, 51.66 + 0.004 * r + rng.uniform(-0.004, 0.004), 39.18 + 0.012 * k) for r, d in ((1, 0), (1, 1), (2, 0)) for k in range(4)]
+    points += [(3, 0, k, 51.67, 39.2) for k in range(2)]
+    frame = spark.createDataFrame(points, "route_id long, di int, seq long, lat double, lon double")
+    flat = {e: {(r.route_id, r.di, r.seq): (r.x, r.y) for r in geo.with_projected_xy(frame.withColumn("epsg", F.lit(e))).collect()} for e in (32637, 54009)}
+    west, north = (min(p[0] for p in flat[32637].values()), max(p[1] for p in flat[32637].values()))
+    mx, my = (min(p[0] for p in flat[54009].values()), max(p[1] for p in flat[54009].values()))
+    tiles = [(1, 32637, west - 500.0, north + 500.0, 100.0, -100.0, 20, 20), (2, 32637, west + 1500.0, north + 500.0, 100.0, -100.0, 20, 30), (3, 54009, mx - 300.0, my + 300.0, 90.0, -110.0, 25, 40)]
+    tiles += [(4, 32637, 0.0, 0.0, 1.0, -1.0, 30, 30), (5, 54009, 0.0, 0.0, 100.0, -100.0, 30, 30), (6, 3857, west, north, 100.0, -100.0, 30, 30), (7, None, None, None, None, None, 9, 9)]
+    pixels = [(t, r, c, float(rng.choice([rng.randrange(900), -5.0, 4294967295.0, 2e5]))) for t, *_, rows, cols in tiles[:6] for r in range(rows) for c in range(cols)]
+    return frame, flat, tiles, pixels
+
+
+def mosaic_by_hand(flat, tiles, pixels, buffer_m):
+    lines = {}
+    for e, at in flat.items():
+        for (r, d, k), p in sorted(at.items()):
+            lines.setdefault((r, d), {}).setdefault(e, []).append(p)
+    out = {}
+    for key, of in lines.items():
+        hits = {}
+        for t, row, col, value in pixels:
+            tile = next(x for x in tiles if x[0] == t)
+            if t > 3 or not 0 <= value <= 1e5:
+                continue
+            x, y = tile[2] + (col + 0.5) * tile[4], tile[3] + (row + 0.5) * tile[5]
+            for (x1, y1), (x2, y2) in zip(of[tile[1]], of[tile[1]][1:]):
+                size = (x2 - x1) ** 2 + (y2 - y1) ** 2
+                s = max(0.0, min(1.0, ((x - x1) * (x2 - x1) + (y - y1) * (y2 - y1)) / size)) if size else None
+                if s is not None and math.hypot(x - x1 - s * (x2 - x1), y - y1 - s * (y2 - y1)) <= buffer_m:
+                    hits[t, row, col] = value
+                    break
+        if any(a != b for a, b in zip(of[32637], of[32637][1:])):
+            out[key] = (sum(hits.values()), len(hits), len({t for t, *_ in hits}), {t for t, *_ in hits})
+    return out, lines
+
+
+def test_mosaic_of_two_projections(spark, tmp_path):
+    points, flat, tiles, pixels = network_on_tiles(spark)
+    spark.createDataFrame(pixels, "tile_id int, row_no int, col_no int, raw_value double").write.partitionBy("tile_id").parquet(str(tmp_path / "pixels"))
+    catalog = spark.createDataFrame(tiles, TILES)
+    stored = spark.read.parquet(str(tmp_path / "pixels"))
+    found = mosaic.mosaic_sums(points, stored, catalog, 250.0)
+    want, lines = mosaic_by_hand(flat, tiles, pixels, 250.0)
+    got = {(r.route_id, r.di): r for r in found.collect()}
+    assert got.keys() == want.keys() == {(1, 0), (1, 1), (2, 0)}
+    for key, (volume, count, n, met) in want.items():
+        r = got[key]
+        assert (r.volume, r.pixels, r.tiles) == (volume, count, n) and n == 3
+        one = {e: sampled_area([(*a, *b) for a, b in zip(ps, ps[1:])], 250.0) for e, ps in lines[key].items()}
+        assert r.corridor_m2 == pytest.approx(sum(one[next(t for t in tiles if t[0] == m)[1]] for m in met), rel=3e-3)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    picked = re.search(r"PartitionFilters: \[[^\]]*tile_id#\d+ IN \(([^)]*)\)", plan)
+    assert sorted(picked[1].split(",")) == ["1", "2", "3"]  # files of other tiles are not read
+    single = {(r.route_id, r.di): r.corridor_m2 for r in mosaic.mosaic_sums(points, stored, catalog.where("epsg = 32637"), 250.0).collect()}
+    assert single[1, 0] == pytest.approx(got[1, 0].corridor_m2 / 3, rel=0.2)  # once, not for each tile
+    assert mosaic.mosaic_sums(points, stored, catalog.where("tile_id = 5"), 250.0).count() == 0
+    assert mosaic.mosaic_sums(points.where("false"), stored, catalog, 250.0).count() == 0
+
+
+def test_known_corridors_are_not_computed_again(spark, tmp_path, monkeypatch):
+    points, _, tiles, pixels = network_on_tiles(spark)
+    stored, catalog = spark.createDataFrame(pixels, "tile_id int, row_no int, col_no int, raw_value double"), spark.createDataFrame(tiles, TILES)
+    asked, whole = [], mosaic.mosaic_sums
+    monkeypatch.setattr(mosaic, "mosaic_sums", lambda p, *rest: asked.append(sorted({(r.route_id, r.di) for r in p.collect()})) or whole(p, *rest))
+    cache = mosaic.CorridorCache(spark, str(tmp_path / "cache"))
+    show = lambda rows: sorted((r.route_id, r.di, r.volume, r.pixels, r.tiles, round(r.corridor_m2, 3)) for r in rows.collect())
+    first = show(cache.sums(points, stored, catalog, 250.0, ["a.tif"]))
+    assert [x[:2] for x in first] == [(1, 0), (1, 1), (2, 0), (3, 0)] and first[3][2:] == (0.0, 0, 0, 0.0) and len(asked) == 1
+    assert [x for x in first if x[3]] == show(whole(points, stored, catalog, 250.0))
+    assert show(cache.sums(points, stored, catalog, 250.0, ["a.tif"])) == first and len(asked) == 1  # no pixel is read
+    moved = points.withColumn("lat", F.when(F.col("route_id") == 2, F.col("lat") + 0.001).otherwise(F.col("lat")))
+    cache.sums(moved, stored, catalog, 250.0, ["a.tif"]).collect()
+    assert asked[1:] == [[(2, 0)]]
+    cache.sums(points, stored, catalog, 250.0, ["b.tif"]).collect()
+    assert len(asked) == 3 and len(asked[2]) == 4
+    small = cache.table.compacted(str(tmp_path / "small"))
+    assert small.rows().count() == cache.table.rows().count() == 9
+
+
+def test_passes_equal_a_run_from_scratch(spark, tmp_path):
+    """Three passes: the last removes nothing, the figures of what is left are those of a network without what was removed."""
+    street = lambda r, d, lat, n: [(r, d, k, lat, 39.11 + 0.003 * k) for k in range(n)]
+    rows = street(1, 0, 51.61, 12) + street(1, 1, 51.6101, 9) + street(2, 0, 51.6102, 12) + street(3, 0, 51.65, 6) + street(3, 1, 51.65, 5) + street(4, 0, 51.63, 8)
+    points = spark.createDataFrame(rows, "route_id long, di int, seq long, lat double, lon double")
+    routes = spark.createDataFrame([(r, str(r), "bus", True, None) for r in range(1, 5)], "route_id long, name string, route_type string, active boolean, error string")
+    stops = spark.createDataFrame([], "route_id long, di int, seq long, stop_id long, stop_name string, lat double, lon double")
+    pois = spark.createDataFrame([], "poi_id long, poi_type string, name string, lat double, lon double")
+    pixels = spark.createDataFrame([(0, r, c, 51.66 - r * 0.001, 39.10 + c * 0.001, float((r * 7 + c * 3) % 50)) for r in range(60) for c in range(60)], "tile_id int, row_no long, col_no long, lat double, lon double, raw_value double")
+    config = lambda **more: RunConfig("city", limits=Limits(), volume_buffer_m=200.0, **more)
+    asked = []
+
+    class Watched(Network):
+        def _corridors(self, points):
+            asked.append(sorted({(r.route_id, r.di) for r in points.collect()}))
+            return super()._corridors(points)
+
+    run = Watched(config(dedup=True, dedup_passes=3), routes, points, stops, pois, pixels)
+    removed = [(r.step, r["pass"], r.node) for r in run.removed.orderBy("step").collect()]
+    assert [s for s, *_ in removed] == list(range(1, len(removed) + 1)) and {p for _, p, _ in removed} == {1} and len(removed) >= 2
+    once = Network(config(dedup=True), routes, points, stops, pois, pixels)
+    assert [n for *_, n in removed] == [r.node for r in once.removed.orderBy("step").collect()]
+    left = {(r.route_id, r.di) for r in run.points.select("route_id", "di").distinct().collect()}
+    show = lambda df: sorted((r.route_id, r.di, r.volume, r.pixels, round(r.corridor_m2, 2)) for r in df.collect())
+    scratch = Network(config(), routes, run.points, stops, pois, pixels)
+    assert show(run.corridors_after) == show(scratch.corridors) and {x[:2] for x in show(run.corridors_after)} == left
+    gone = {n // 65536 for *_, n in removed}
+    assert len(asked) == 2 and {r for r, _ in asked[1]} <= gone and not any(4 == r for r, _ in asked[1])
+    for one in (run, once, scratch):
+        one.close()
+    with pytest.raises(ConfigError):
+        config(dedup_passes=0)

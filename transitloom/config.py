@@ -63,6 +63,7 @@ class RunConfig:
     dedup: bool = False
     dedup_buffer_m: float = 100.0
     dedup_threshold: float = 0.7
+    dedup_passes: int = 1
     center_weight: float = 0.0
     heat_cell_km: float = 0.1
     heat_percent: float = 35.0
@@ -75,6 +76,8 @@ class RunConfig:
         for name in ("volume_buffer_m", "poi_buffer_m", "dedup_buffer_m", "generate", "most_number"):
             if getattr(self, name) < 0:
                 raise ConfigError(f"{name} must not be negative")
+        if self.dedup_passes < 1:
+            raise ConfigError("dedup_passes must be 1 at least")
         if not 0 <= self.dedup_threshold <= 1 or not 0 <= self.center_weight <= 1:
             raise ConfigError("dedup_threshold and center_weight must be from 0 to 1")
         if not 0 < self.heat_percent <= 100 or self.heat_cell_km <= 0 or self.heat_gamma <= 0:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -111,3 +113,42 @@ def with_utm_xy(points: DataFrame, epsg: str = "epsg") -> DataFrame:
     for step in steps:
         points = points.withColumns(step)
     return points.drop("utm_s", "utm_d", "utm_t", "utm_xi", "utm_eta")
+
+
+#: The code of the Mollweide projection, and steps of Newton's method for its auxiliary angle: exact to a micrometre below 85 degrees.
+MOLLWEIDE, NEWTON_STEPS = 54009, 12
+_RADIUS = 6378137.0
+
+
+def with_mollweide_xy(points: DataFrame) -> DataFrame:
+    """Points with x and y in metres of the equal-area Mollweide projection on a sphere of the ellipsoid's greater radius."""
+    # 2 t + sin 2 t = pi sin lat, solved for 2 t; at the poles the slope is 0 and t is the latitude
+    points = points.withColumns({"moll_s": F.pi() * F.sin(F.radians("lat")), "moll_t": 2 * F.radians("lat")})
+    t = F.col("moll_t")
+    for _ in range(NEWTON_STEPS):
+        slope = 1 + F.cos(t)
+        points = points.withColumn("moll_t", F.when(F.abs("lat") >= 89.9999, t).otherwise(t - (t + F.sin(t) - F.col("moll_s")) / slope))
+    x = 2 * 2**0.5 / math.pi * _RADIUS * F.radians("lon") * F.cos(t / 2)
+    return points.withColumns({"x": x, "y": 2**0.5 * _RADIUS * F.sin(t / 2)}).drop("moll_s", "moll_t")
+
+
+def mollweide_degrees(x: Column, y: Column) -> tuple[Column, Column]:
+    """lat, lon of a place in the Mollweide projection; null outside the globe."""
+    sine = y / (2**0.5 * _RADIUS)
+    t = F.asin(F.when(F.abs(sine) <= 1, sine))
+    lon = F.degrees(math.pi * x / (2 * 2**0.5 * _RADIUS * F.cos(t)))
+    return F.degrees(F.asin(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), (2 * t + F.sin(2 * t)) / math.pi)))), F.when(F.abs(lon) <= 180, lon)
+
+
+def is_utm(epsg: Column) -> Column:
+    return epsg.between(32601, 32660) | epsg.between(32701, 32760)
+
+
+def with_projected_xy(points: DataFrame, epsg: str = "epsg") -> DataFrame:
+    """Points with x and y in metres in the projection that each row names: a UTM zone or ``MOLLWEIDE``; null for any other, and for a pole in UTM."""
+    fit = is_utm(F.col(epsg)) & (F.abs("lat") < 90)
+    utm = with_utm_xy(points.withColumns({"any_lat": F.col("lat"), "lat": F.when(fit, F.col("lat"))}), epsg)
+    utm = utm.withColumnsRenamed({"x": "utm_x", "y": "utm_y"}).withColumn("lat", F.col("any_lat")).drop("any_lat")
+    both = with_mollweide_xy(utm).withColumnsRenamed({"x": "moll_x", "y": "moll_y"})
+    pick = {c: F.when(is_utm(F.col(epsg)), F.col(f"utm_{c}")).when(F.col(epsg) == MOLLWEIDE, F.col(f"moll_{c}")) for c in "xy"}
+    return both.withColumns(pick).drop("utm_x", "utm_y", "moll_x", "moll_y")

@@ -137,3 +137,10 @@ def without_repeats(points: DataFrame, eps: float = 0.01) -> DataFrame:
     finite = points.where("NOT isnan(x) AND NOT isnan(y) AND abs(x) < double('Infinity') AND abs(y) < double('Infinity')")
     cell = F.struct(F.rint(F.col("x") / eps), F.rint(F.col("y") / eps))
     return finite.withColumn("cell", cell).withColumn("last", F.lag("cell").over(order)).where(~F.col("cell").eqNullSafe(F.col("last"))).drop("cell", "last")
+
+
+def signatures(points: DataFrame) -> DataFrame:
+    """route_id, di, signature: a digest of a direction's coordinates in their order, to four decimals."""
+    point = F.concat_ws(",", *[F.format_string("%.4f", F.when(F.round(c, 4) == 0, 0.0).otherwise(F.col(c))) for c in ("lat", "lon")])
+    line = points.groupBy(*DIRECTION).agg(F.array_sort(F.collect_list(F.struct("seq", point.alias("p")))).alias("line"))
+    return line.select(*DIRECTION, F.substring(F.sha2(F.array_join(F.transform("line", lambda x: x["p"]), ";"), 256), 1, 10).alias("signature"))

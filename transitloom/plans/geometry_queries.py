@@ -210,8 +210,10 @@ def _(v: Views) -> DataFrame:
     return units.select("route_id", "di", F.concat_ws(":", "route_id", "di").alias("key"), text.unit_name(F.col("name"), F.col("di")).alias("name"), "points")
 
 
-@REGISTER("s9_geometry_signature")
+@REGISTER(
+    "s9_geometry_signature",
+    """WITH p AS (SELECT route_id, di, seq, printf('%.4f', CASE WHEN round(lat, 4) = 0 THEN 0.0 ELSE lat END) || ',' || printf('%.4f', CASE WHEN round(lon, 4) = 0 THEN 0.0 ELSE lon END) AS p FROM v_zigzag)
+SELECT route_id, di, left(sha256(string_agg(p, ';' ORDER BY seq, p)), 10) AS signature FROM p GROUP BY ALL""",
+)
 def _(v: Views) -> DataFrame:
-    point = F.concat_ws(",", *[F.format_string("%.4f", F.when(F.round(c, 4) == 0, 0.0).otherwise(F.col(c))) for c in ("lat", "lon")])
-    line = v.zigzag.groupBy("route_id", "di").agg(F.array_sort(F.collect_list(F.struct("seq", point.alias("p")))).alias("line"))
-    return line.select("route_id", "di", F.substring(F.sha2(F.array_join(F.transform("line", lambda x: x["p"]), ";"), 256), 1, 10).alias("signature"))
+    return g.signatures(v.zigzag)

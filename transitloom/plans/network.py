@@ -2,19 +2,28 @@
 
 from __future__ import annotations
 
-from functools import cached_property
+from functools import cached_property, reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import RunConfig
-from ..operators import corridor, geometry, nearby, network, overlap, raster
+from ..operators import corridor, geometry, mosaic, nearby, network, overlap, raster
+from ..tables import numbered, written
+
+
+def _node(name: str) -> Column:
+    """A direction's number, ``route_id * 2**16 + di``."""
+    return (F.col("route_id") * (1 << 16) + F.col("di")).alias(name)
+
+
+def _direction(node: str) -> tuple[Column, Column]:
+    return F.expr(f"{node} div {1 << 16}").alias("route_id"), F.expr(f"int({node} % {1 << 16})").alias("di")
 
 
 def _flat(points: DataFrame) -> DataFrame:
-    """The points in metres, by node ``route_id * 2**16 + di``."""
-    node = (F.col("route_id") * (1 << 16) + F.col("di")).alias("node")
-    return geometry.without_repeats(geometry.projected(points)).select(node, F.lit(0).alias("line"), "seq", "x", "y")
+    """The points in metres, by node."""
+    return geometry.without_repeats(geometry.projected(points)).select(_node("node"), F.lit(0).alias("line"), "seq", "x", "y")
 
 
 class Network:
@@ -26,10 +35,25 @@ class Network:
     routes: ``(route_id, name, route_type, active, error)``; points: ``(route_id, di, seq, lat, lon)``; stops:
     ``(route_id, di, seq, stop_id, stop_name, lat, lon)``; pois: ``(poi_id, poi_type, name, lat, lon)``; pixels:
     ``(tile_id, row_no, col_no, lat, lon, raw_value)``.
+
+    tiles: the catalog of rasters whose pixels have no coordinates of their own, in any of the projections that
+    ``operators.mosaic`` knows; cache: what is known of directions from earlier runs over the rasters named ``paths``.
     """
 
-    def __init__(self, config: RunConfig, routes: DataFrame, points: DataFrame, stops: DataFrame, pois: DataFrame, pixels: DataFrame):
+    def __init__(
+        self,
+        config: RunConfig,
+        routes: DataFrame,
+        points: DataFrame,
+        stops: DataFrame,
+        pois: DataFrame,
+        pixels: DataFrame,
+        tiles: DataFrame | None = None,
+        cache: mosaic.CorridorCache | None = None,
+        paths: tuple[str, ...] = (),
+    ):
         self.kept: list[DataFrame] = []
+        self.tiles, self.cache, self.paths = tiles, cache, list(paths)
         self.config, self.all_routes, self.all_points, self.all_stops, self.pois, self.pixels = config, routes, points, stops, pois, pixels
 
     def _keep(self, df: DataFrame) -> DataFrame:
@@ -57,37 +81,80 @@ class Network:
         kept = self.excluded.where("reason IS NULL").select("route_id")
         return self._keep(self.all_points.join(kept, "route_id", "left_semi"))
 
+    def _corridors(self, points: DataFrame) -> DataFrame:
+        """Volume, pixels and tiles within the buffer of each direction that has any, and the area within it."""
+        buffer_m = self.config.volume_buffer_m
+        if self.tiles is not None:
+            found = self.cache.sums(points, self.pixels, self.tiles, buffer_m, self.paths) if self.cache else mosaic.mosaic_sums(points, self.pixels, self.tiles, buffer_m)
+            return found.where("pixels > 0")
+        sums = raster.corridor_sums(points, self.pixels, buffer_m)
+        if buffer_m <= 0:
+            return sums.withColumn("corridor_m2", F.lit(0.0))
+        own = points.select(_node("node")).distinct()
+        areas = corridor.corridor_areas(overlap.node_segments(self.flat.join(own, "node", "left_semi")), buffer_m)
+        return sums.join(areas.select(*_direction("node"), "corridor_m2"), ["route_id", "di"], "left")
+
     @cached_property
     def corridors(self) -> DataFrame:
-        """Volume, pixels and tiles within the buffer of each direction that has any, and the area within it."""
-        sums = raster.corridor_sums(self.kept_points, self.pixels, self.config.volume_buffer_m)
-        if self.config.volume_buffer_m <= 0:
-            return self._keep(sums.withColumn("corridor_m2", F.lit(0.0)))
-        areas = corridor.corridor_areas(overlap.node_segments(_flat(self.kept_points)), self.config.volume_buffer_m)
-        areas = areas.select(F.expr(f"node div {1 << 16}").alias("route_id"), F.expr(f"int(node % {1 << 16})").alias("di"), "corridor_m2")
-        return self._keep(sums.join(areas, ["route_id", "di"], "left"))
+        return self._keep(self._corridors(self.kept_points))
+
+    @cached_property
+    def flat(self) -> DataFrame:
+        """The kept points in metres, by node, in one projection."""
+        return self._keep(_flat(self.kept_points))
 
     @cached_property
     def overlaps(self) -> DataFrame:
         """Pairs of overlapping directions; a node is ``route_id * 2**16 + di``."""
-        return self._keep(overlap.overlap_pairs(overlap.node_segments(self._keep(_flat(self.kept_points))), self.config.dedup_buffer_m, self.config.dedup_threshold))
+        return self._keep(overlap.overlap_pairs(overlap.node_segments(self.flat), self.config.dedup_buffer_m, self.config.dedup_threshold))
 
     @cached_property
+    def _passes(self) -> tuple[DataFrame, DataFrame]:
+        """What is removed, pass after pass, and the corridors of what is left.
+
+        Before another pass, and at the end, the directions of routes that lost some are measured again, the others' figures stay. Each pass leaves
+        its tables written; the passes end with one that removes nothing.
+        """
+        c = self.config
+        edges, stats, active, passes = self.overlaps.select("x", "y", "kmax"), self.corridors, None, []
+        names = self.kept_points.select(F.col("route_id"), F.col("di")).distinct()
+        nodes = names.select(_node("node"))
+        for number in range(1, c.dedup_passes + 1):
+            volumes = stats.select(_node("node"), "volume")
+            if c.center_weight > 0:
+                distances = geometry.network_center(self.kept_points).select(_node("node"), F.col("center_km").alias("distance"))
+                left = edges if active is None else overlap.clean_edges(edges, c.dedup_threshold, active)
+                found = overlap.removals_weighted(left, volumes, distances, c.dedup_threshold, c.center_weight)
+            else:
+                found = overlap.removals(edges, volumes, c.dedup_threshold, active)
+            found = written(found.withColumn("pass", F.lit(number)), "pass")
+            passes.append(found)
+            if found.isEmpty():
+                break
+            active = written(overlap.survivors(nodes if active is None else active, found), "pass-active")
+            routes = found.select(*_direction("node")).select("route_id").distinct()
+            touched = names.join(routes, "route_id", "left_semi")
+            kept = self.kept_points.join(active.select(*_direction("node")), ["route_id", "di"], "left_semi").join(routes, "route_id", "left_semi")
+            stats = written(overlap.merge_stats(stats, self._corridors(kept), touched, ["route_id", "di"]), "pass-corridors")
+        removed = reduce(DataFrame.unionByName, passes).withColumnRenamed("step", "step_of_pass")
+        removed = numbered(removed, "step", "pass", "step_of_pass").drop("step_of_pass")
+        return self._keep(removed), stats
+
+    @property
     def removed(self) -> DataFrame:
-        node = (F.col("route_id") * (1 << 16) + F.col("di")).alias("node")
-        volumes = self.corridors.select(node, "volume")
-        edges = self.overlaps.select("x", "y", "kmax")
-        if self.config.center_weight > 0:
-            distances = geometry.network_center(self.kept_points).select(node, F.col("center_km").alias("distance"))
-            return self._keep(overlap.removals_weighted(edges, volumes, distances, self.config.dedup_threshold, self.config.center_weight))
-        return self._keep(overlap.removals(edges, volumes, self.config.dedup_threshold))
+        return self._passes[0]
+
+    @property
+    def corridors_after(self) -> DataFrame:
+        """The corridors of the directions that are left."""
+        return self._passes[1] if self.config.dedup else self.corridors
 
     @cached_property
     def points(self) -> DataFrame:
         """What is left after removals; directions keep their numbers."""
         if not self.config.dedup:
             return self.kept_points
-        gone = self.removed.select(F.expr(f"node div {1 << 16}").alias("route_id"), F.expr(f"int(node % {1 << 16})").alias("di"))
+        gone = self.removed.select(*_direction("node"))
         return self._keep(self.kept_points.join(gone, ["route_id", "di"], "left_anti"))
 
     @cached_property

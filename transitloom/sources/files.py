@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -46,10 +46,52 @@ class JsonCache:
             if "PATH_NOT_FOUND" not in str(missing):
                 raise
             return keys.withColumn("value", F.lit(None).cast("string"))
-        last = stored.groupBy("digest").agg(F.max_by("value", "put_at").alias("value"))
+        last = stored.groupBy("digest").agg(F.max(F.struct("put_at", "value"))["value"].alias("value"))  # of two put at once the larger
         return keys.withColumn("digest", cache_key(kind, F.col("key"))).join(last, "digest", "left").drop("digest")
 
 
+    def compacted(self, folder: str, kinds: Sequence[str]) -> JsonCache:
+        """The last versions of these kinds in another folder; this one stays until its owner clears it."""
+        for kind in kinds:
+            last = self.spark.read.parquet(f"{self.folder}/kind={kind}").groupBy("digest").agg(F.max(F.struct("put_at", "value")).alias("last"))
+            last.select("digest", "last.value", "last.put_at").write.parquet(f"{folder}/kind={kind}")
+        return JsonCache(self.spark, folder)
+
+
+class ResultTable:
+    """Results under the digest of what they were made of, ``(key string, columns)``, in a Parquet folder.
+
+    A key is never made anew: whoever asks for rows names their keys, and only keys that are not there are computed. Rows
+    that two writers add at once under a key are equal, as they were made of the same, and are read once.
+    """
+
+    def __init__(self, spark: SparkSession, folder: str, schema: str):
+        self.spark, self.folder = spark, folder
+        self.schema = f"key string, {schema}"
+
+    def rows(self) -> DataFrame:
+        try:
+            stored = self.spark.read.schema(self.schema).parquet(self.folder)
+        except Exception as missing:  # nothing was added yet
+            if "PATH_NOT_FOUND" not in str(missing):
+                raise
+            stored = self.spark.createDataFrame([], self.schema)
+        return stored.dropDuplicates(["key"])
+
+    def of(self, keys: DataFrame, compute: Callable[[DataFrame], DataFrame]) -> DataFrame:
+        """``keys(key, ...)`` with the columns of the results; ``compute`` gets the rows of keys that are not there and returns ``key`` and the columns."""
+        known = self.rows()
+        unknown = written(keys.join(known.select("key"), "key", "left_anti"), "unknown-results")
+        if not unknown.isEmpty():
+            compute(unknown).select(*known.columns).dropDuplicates(["key"]).write.mode("append").parquet(self.folder)
+        return keys.join(self.rows(), "key", "left")
+
+    def compacted(self, folder: str) -> ResultTable:
+        """The same results, each once, in another folder; this one stays until its owner clears it."""
+        self.rows().repartition("key").write.parquet(folder)
+        return ResultTable(self.spark, folder, self.schema.split(", ", 1)[1])
+
+
 def batch_commands(spark: SparkSession, path: str) -> DataFrame:
     """place, command: the command lines of a batch file, each once, in order.
 
