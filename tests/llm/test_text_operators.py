@@ -275,3 +275,29 @@ def test_trees_are_as_high_as_their_archives(spark, monkeypatch):
     assert merkle_audit.audit(two, two).count() == 0
     nothing = merkle_audit.build_tree(spark.createDataFrame([], "archive long, record_id long, content string"))
     assert merkle_audit.audit(nothing, nothing).count() == 0 and merkle_audit.audit(nothing, two).count() == len(small)
+
+
+@pytest.mark.parametrize(
+    "kept",
+    [
+        '<h2 id="sharing-data">Head</h2>', '<h2 id="related-work">Head</h2>', '<h3 id="menu-design">Head</h3>', '<h2 id="code-reviews">Head</h2>', '<h2 id="comments">Head</h2>',
+        '<section id="related-work"><h2>Head</h2></section>', '<section id="discussion"><h2>Head</h2></section>', '<div class="discussion">Head</div>', '<p id="responses">Head</p>',
+        '<p class="social">Head</p>', '<div class="related">Head <a href="/x">on</a> with more words</div>', '<section id="cookie-baking">Head</section>',
+    ],
+)
+def test_article_text_with_marked_names_stays(kept):
+    page = f"<html><body><article><p>First words of it.</p>{kept}<p>Last words of it.</p></article></body></html>"
+    assert "Head" in html_extraction.text_by_path(page, None) and "First words" in html_extraction.text_by_path(page, None)
+
+
+@pytest.mark.parametrize(
+    "gone",
+    [
+        '<div id="comments"><p>Gone</p></div>', '<div id="sidebar-left">Gone</div>', '<section class="related"><a href="/x">Gone</a></section>', '<p class="social"><a href="/x">Gone</a></p>',
+        '<p>Own <span hidden>Gone</span>line</p>', '<p>Own <span style="display: none">Gone <span>Gone</span> Gone</span>line</p>', '<p>Own <span class="ad">Gone</span>line</p>',
+        '<p>Own line <b hidden>Gone</p>', '<div id="site-footer">Gone</div>', '<h2 class="comments-title">Gone</h2>',
+    ],
+)
+def test_boilerplate_goes(gone):
+    text = html_extraction.text_by_path(f"<html><body><article><p>First words of it.</p>{gone}<p>Last words of it.</p></article></body></html>", None)
+    assert "Gone" not in text and text.startswith("First words of it.") and text.endswith("Last words of it.") and ("Own" not in gone or "Own line" in text)

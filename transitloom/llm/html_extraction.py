@@ -9,7 +9,9 @@ path goes by its own best container.
 Never part of the text: scripts, styles, comments and other non-text elements, hidden elements,
 and, at any depth, elements that are menus, headers, footers, sidebars, notices, adverts, forms or
 reader comments by their tag, role, class or id (headings in a header inside an article are kept).
-A class speaks for itself: ``sidebar-content`` and ``comment-body`` are boilerplate, ``has-sidebar`` is not.
+A class speaks for itself: ``sidebar-content`` and ``comment-body`` are boilerplate, ``has-sidebar`` is not. An id counts on containers only, and not
+if it has words beyond that, as the anchors that are made of headings have (``related-work``). Words that name parts of articles as well
+(``discussion``, ``related``, ``social``) count where the element is links for the greater part. Within a line, hidden parts and adverts go.
 A form that wraps the page, and a marked element that holds the main or most of an article, stays.
 Character references are decoded, white space inside a block becomes one space, blocks are
 trimmed and joined by an empty line in page order; nothing is capped.
@@ -62,15 +64,22 @@ _SILENT = re.compile(r"<(/?)(svg|annotation|annotation-xml|object|canvas|audio|v
 _BLOCK_TAG = re.compile(rf"<(/?)({'|'.join(sorted(_BLOCKS | {'td', 'th'}, key=len, reverse=True))})\b", re.I)
 _APART_TAGS = frozenset("nav aside header footer dialog menu head".split())
 _APART_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar form".split())
-_COMMENT_WORDS = frozenset("comment comments commentlist reply replies respond responses disqus discussion reviews guestbook".split())
+_COMMENT_WORDS = frozenset("comment comments commentlist reply replies respond disqus guestbook".split())
+#: Words that name parts of articles as well: they count where an element is links for the greater part.
+_WEAK_WORDS = frozenset("discussion responses reviews social related share sharing".split())
+#: What else may stand in the id of boilerplate: an id with any other word is an anchor made of a heading.
+_ID_WORDS = frozenset("site page main global top bottom left right primary secondary box block section list bar panel inner outer container wrap wrapper area content el id the".split())
 _APART_WORDS = _COMMENT_WORDS | frozenset(
     "ad ads adv advert adverts advertisement advertising adsense banner banners sponsor sponsored promo promotion promoted "
     "sidebar sidenav rail menu nav navbar navigation topnav subnav breadcrumb breadcrumbs header masthead topbar footer foot colophon "
-    "cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup share sharing social "
-    "related recommended pagination pager widget widgets toolbar login register search form copyright disclaimer".split()
+    "cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup "
+    "recommended pagination pager widget widgets toolbar login register search form copyright disclaimer".split()
 )
 #: Words of a class that tell of the element's surroundings or subject, not of its own part.
 _ABOUT_WORDS = frozenset("has have with without no not is layout category cat tag type format status template".split())
+_AD_WORDS = frozenset("ad ads adv advert adverts advertisement advertising adsense sponsor sponsored".split())
+#: Parts of a line that may be hidden or adverts.
+_INLINE = frozenset("span a b i em strong small font label mark ins del u s sub sup code kbd q cite abbr time big tt".split())
 _WRAP_WORDS, _MAIN_WORDS = frozenset("wrap wrapper container area inner".split()), frozenset("content main article post entry story".split())
 
 
@@ -95,26 +104,46 @@ def _attributes(text: str) -> dict[str, str]:
     return {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _ATTRIBUTE.finditer(text)}
 
 
-def _marks(attributes: dict[str, str]) -> frozenset[str]:
-    """The boilerplate words of the class names and the id that speak for the element itself."""
+def _words(token: str) -> set[str]:
+    return set(re.findall(r"[a-z]+", re.sub(r"(?<=[a-z])(?=[A-Z])", " ", token).lower()))
+
+
+def _marks(attributes: dict[str, str], by_id: bool) -> frozenset[str]:
+    """The boilerplate words of the class names, and of the id, that speak for the element itself."""
     found: frozenset[str] = frozenset()
-    for token in [*attributes.get("class", "").split(), *attributes.get("id", "").split()]:
-        words = set(re.findall(r"[a-z]+", re.sub(r"(?<=[a-z])(?=[A-Z])", " ", token).lower()))
-        marks = words & _APART_WORDS
+    known = _APART_WORDS | _WEAK_WORDS
+    for token in attributes.get("class", "").split():
+        words = _words(token)
+        marks = words & known
         if marks and not words & _ABOUT_WORDS and (marks & _COMMENT_WORDS or not (words & _WRAP_WORDS and words & _MAIN_WORDS)):
             found |= marks
+    for token in attributes.get("id", "").split() if by_id else ():
+        words = _words(token)
+        if words & known and not words - known - _ID_WORDS and not (words & _WRAP_WORDS and words & _MAIN_WORDS and not words & _COMMENT_WORDS):
+            found |= words & known
     return found
 
 
+def _hidden(attributes: dict[str, str]) -> bool:
+    return "hidden" in attributes or attributes.get("aria-hidden") == "true" or bool(re.search(r"display\s*:\s*none", attributes.get("style", "")))
+
+
+def _unread(attributes: dict[str, str]) -> bool:
+    """Whether a part of a line is hidden or an advert."""
+    return _hidden(attributes) or any(_words(c) & _AD_WORDS and not _words(c) & _ABOUT_WORDS for c in attributes.get("class", "").split())
+
+
 def _apart(tag: str, attributes: dict[str, str]) -> str:
-    """"yes" for boilerplate, "header" for one whose headings may count, "form", "name" by class or id only, or ""."""
+    """"yes" for boilerplate, "header" for one whose headings may count, "form", "name" by class or id only, "weak" if it is so by its links, or ""."""
     if tag in ("html", "body"):
         return ""
-    if "hidden" in attributes or attributes.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none", attributes.get("style", "")):
+    if _hidden(attributes):
         return "yes"
     if tag in _APART_TAGS or attributes.get("role", "").lower() in _APART_ROLES:
         return "header" if tag == "header" else "yes"
-    marks = _marks(attributes)
+    marks = _marks(attributes, tag in _CONTAINERS)
+    if marks and marks <= _WEAK_WORDS:
+        return "" if tag in ("main", "article") else "weak"
     if marks & _COMMENT_WORDS:
         return "yes"
     if tag in ("main", "article"):
@@ -186,16 +215,21 @@ def parse(page: str) -> tuple[list[tuple[str, bool]], list[Container], list[tupl
     doubtful: list[list] = []
     silent = _silent(page)
     piece: list[str] = []
-    linked, link_depth, articles, heading, leaf_apart = 0, 0, 0, False, False
+    linked, link_depth, articles, heading, leaf_apart = 0, 0, 0, False, ""
+    # the hidden part of a line: its tag and how many of these are open
+    unread, unread_depth = "", 0
 
     def flush() -> None:
-        nonlocal linked
+        nonlocal linked, unread
+        unread = ""
         text = " ".join(html.unescape("".join(piece)).split())
         piece.clear()
         if text:
             _, _, _, apart, doubt = stack[-1]
             kept = not apart or apart == "header" and heading and articles
-            blocks.append(Block(text, min(linked, len(text)), bool(leaf_apart or not kept), doubt))
+            linked = min(linked, len(text))
+            own = 2 * linked > len(text) if leaf_apart == "weak" else bool(leaf_apart)
+            blocks.append(Block(text, linked, own or not kept, doubt))
         linked = 0
 
     def close() -> None:
@@ -218,6 +252,8 @@ def parse(page: str) -> tuple[list[tuple[str, bool]], list[Container], list[tupl
 
     def text_of(text: str) -> None:
         nonlocal linked
+        if unread:
+            return
         piece.append(text)
         if link_depth:
             linked += len(text)
@@ -237,6 +273,12 @@ def parse(page: str) -> tuple[list[tuple[str, bool]], list[Container], list[tupl
             link_depth = max(0, link_depth + (-1 if ends else 1))
         if tag in _SPACED:
             piece.append(" ")
+        if tag == unread:
+            unread_depth += -1 if ends else 1
+            if not unread_depth:
+                unread = ""
+        elif not unread and not ends and written and tag in _INLINE and _unread(_attributes(written)):
+            unread, unread_depth = tag, 1
         if tag in _BLOCKS:
             flush()
             link_depth = 0
@@ -245,9 +287,9 @@ def parse(page: str) -> tuple[list[tuple[str, bool]], list[Container], list[tupl
                 if tag == "h1" and not ends:
                     holds(tag)
             if tag not in _CONTAINERS:
-                leaf_apart = not ends and bool(written) and bool(_apart(tag, _attributes(written)))
+                leaf_apart = _apart(tag, _attributes(written)) if written and not ends else ""
         if tag in _CONTAINERS:
-            leaf_apart = False
+            leaf_apart = ""
             if ends:
                 if opened[tag]:
                     while stack[-1][0] != tag:
@@ -261,7 +303,7 @@ def parse(page: str) -> tuple[list[tuple[str, bool]], list[Container], list[tupl
                 if tag in ("td", "th") and kind:
                     flush()
                 _, outer, _, apart, doubt = stack[-1]
-                if kind in ("form", "name") and not apart:
+                if kind in ("form", "name", "weak") and not apart:
                     doubtful.append([doubt, kind, len(blocks), len(blocks), False, False])
                     doubt = len(doubtful) - 1
                 elif kind and not apart:
@@ -278,10 +320,11 @@ def parse(page: str) -> tuple[list[tuple[str, bool]], list[Container], list[tupl
         close()
 
     text = [0, *accumulate(0 if b.apart else len(b.text) for b in blocks)]
+    links = [0, *accumulate(0 if b.apart else b.linked for b in blocks)]
     released = []
     for outer, kind, first, last, has_main, has_article in doubtful:
         most = 2 * (text[last] - text[first]) > text[-1]
-        own = has_main or (has_article or kind == "form") and most
+        own = has_main or (has_article or kind == "form") and most or kind == "weak" and 2 * (links[last] - links[first]) <= text[last] - text[first]
         released.append(own and (outer < 0 or released[outer]))
     apart = [b.apart or b.doubtful >= 0 and not released[b.doubtful] for b in blocks]
     good = [0, *accumulate(0 if a else len(b.text) - b.linked for a, b in zip(apart, blocks))]
