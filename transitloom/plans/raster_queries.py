@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import heat_color
-from ..operators import corridor, network, overlap, raster
+from ..operators import corridor, mosaic, network, overlap, raster
 from ..tables import numbered
 from .network_queries import _STOPS
 from .register import Register
@@ -201,3 +201,16 @@ def _(v: Views) -> DataFrame:
     marks = raster.heat_placemarks(raster.heat_levels(_cells(v)), BBOX[0], BBOX[1], *_STEPS)
     second = F.regexp_extract("coordinates", r"^\S+ ([^ ]+),[^, ]+ ", 1)
     return marks.select("i", "j", "style", "extrude", "altitude_mode", F.round("altitude", 6).alias("altitude"), second.alias("second_corner"))
+
+
+@REGISTER("r2_mosaic_sums")
+def _(v: Views) -> DataFrame:
+    """Two tiles of the city's pixels in UTM and two in the Mollweide projection, a fifth one without a place."""
+    corner = "CASE WHEN tile_id < 2 THEN {} ELSE {} END"
+    tiles = v.pixels.selectExpr(
+        "tile_id", "CASE WHEN tile_id < 2 THEN 32637 WHEN tile_id < 4 THEN 54009 END AS epsg", f"double({corner.format(505000, 3320000)} + tile_id * 50) AS x0",
+        f"double({corner.format(5720000, 5990000)}) AS y0", "100.0D AS dx", "-100.0D AS dy", "64 AS rows", "64 AS cols",
+    ).distinct()
+    nowhere = tiles.limit(1).selectExpr("99L AS tile_id", "32637 AS epsg", "0.0D AS x0", "0.0D AS y0", "1.0D AS dx", "1.0D AS dy", "64 AS rows", "64 AS cols")
+    sums = mosaic.mosaic_sums(v.points, v.pixels, tiles.unionByName(nowhere), 400.0)
+    return sums.withColumn("corridor_m2", F.round("corridor_m2", 1))

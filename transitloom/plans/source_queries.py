@@ -38,6 +38,23 @@ def _(v: Views) -> DataFrame:
     return catalog.sections(catalog.page_entries(v.pages)).groupBy("section", "route_type").agg(F.count("*").alias("links"))
 
 
+# a header in a box of its own, two headers before one block, a header whose block is in another box, one without a name, one of no transport type
+_SECTIONS = """concat('<body><div class="top"><div class="x typeHeader"><span class=typeHeader-name> Автобусы </span></div><div>ad <a href="/no">no</a></div><div class="wikiCatalogFilterListItem a"><ul><li><a href="/c/', page_id,
+'">', page_id, ' &amp; co</a></li><li><a class=z>none</a></li></ul><div><a href="/c/', page_id + 1, '"><b>b</b></a></div></div><a href="/after">after</a><div class="wikiCatalogFilterListItem"><a href=''/second''>s</a></div></div>',
+'<div><div class="typeHeader"><span class="typeHeader-name">Трамваи</span></div><div class="typeHeader"><span class="typeHeader-name">Троллейбусы</span></div><div class=''wikiCatalogFilterListItem''><a href=/t/', page_id, '>t</a></div></div>',
+'<div><div class="typeHeader"><span class="typeHeader-name">Метро</span></div></div><div class="wikiCatalogFilterListItem"><a href="/m">m</a></div>',
+'<div class="typeHeader">bare</div><div class="typeHeader"><span class="typeHeader-name">Прочее</span></div><div class="wikiCatalogFilterListItem"><a href="/p">p</a></div></body>')"""
+
+
+@REGISTER(
+    "j16_section_links",
+    """SELECT page_id, 'Автобусы' AS section, '/c/' || (page_id + k) AS href, CASE k WHEN 0 THEN page_id || ' & co' ELSE 'b' END AS title FROM pages, (VALUES (0), (1)) AS v(k)
+UNION ALL SELECT page_id, s, '/t/' || page_id, 't' FROM pages, (VALUES ('Трамваи'), ('Троллейбусы')) AS w(s)""",
+)
+def _(v: Views) -> DataFrame:
+    return catalog.section_links(v.pages.select("page_id", F.expr(_SECTIONS).alias("html"))).select("page_id", "section", "href", "title")
+
+
 _HOST = "regexp_extract(url, '^[a-z]+://([^/]*)', 1)"
 _CITY = "nullif(regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]+/([^/?#]+)', 1), '')"
 
@@ -175,6 +192,17 @@ def _(v: Views) -> DataFrame:
     return out.select("n", "origin", "destination", "stops", F.round("length_km", 3).alias("length_km"), F.round("ratio", 3).alias("ratio"), "volume", "status")
 
 
+@REGISTER("g13_passes")
+def _(v: Views) -> DataFrame:
+    from ..config import Limits, RunConfig
+    from .network import Network
+
+    run = Network(RunConfig("city", dedup=True, dedup_passes=3, limits=Limits(curvilinearity=2.0)), v.routes, v.points, v.stops_seq, v.pois, v.pixels)
+    out = written(run.removed.select("step", "pass", "node", "partners", "representative", "volume"), "passes")
+    run.close()
+    return out
+
+
 @REGISTER("x1_network_report")
 def _(v: Views) -> DataFrame:
     from ..config import Limits, RunConfig
