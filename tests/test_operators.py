@@ -1,6 +1,8 @@
 import math
 import random
 import re
+import zipfile
+from xml.etree import ElementTree
 
 import numpy as np
 import pytest
@@ -11,7 +13,7 @@ from transitloom.functions import geo, text
 from transitloom.operators import corridor, generate, geometry, mosaic, network, overlap, raster
 from transitloom.plans import batch
 from transitloom.plans.network import Network
-from transitloom.sources import files, payloads
+from transitloom.sources import files, payloads, workbook
 from transitloom.tables import numbered
 
 
@@ -658,9 +660,47 @@ def test_passes_equal_a_run_from_scratch(spark, tmp_path):
     show = lambda df: sorted((r.route_id, r.di, r.volume, r.pixels, round(r.corridor_m2, 2)) for r in df.collect())
     scratch = Network(config(), routes, run.points, stops, pois, pixels)
     assert show(run.corridors_after) == show(scratch.corridors) and {x[:2] for x in show(run.corridors_after)} == left
+    titles = run.workbook(str(tmp_path / "r.xlsx"), (51.6, 39.1, 51.7, 39.3))
+    assert titles == ["Сводка", "Маршруты", "Ошибки", "Дедупликация"] and len(sheets_of(tmp_path / "r.xlsx")["Дедупликация"]) == 1 + len(removed)
     gone = {n // 65536 for *_, n in removed}
     assert len(asked) == 2 and {r for r, _ in asked[1]} <= gone and not any(4 == r for r, _ in asked[1])
     for one in (run, once, scratch):
         one.close()
     with pytest.raises(ConfigError):
         config(dedup_passes=0)
+
+
+def sheets_of(path):
+    with zipfile.ZipFile(path) as z:
+        space = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
+        titles = [s.get("name") for s in ElementTree.fromstring(z.read("xl/workbook.xml")).iter(f"{space}sheet")]
+        cell = lambda c: c.findtext(f"{space}v") or c.findtext(f"{space}is/{space}t")
+        rows = [[[cell(c) for c in r] for r in ElementTree.fromstring(z.read(f"xl/worksheets/sheet{n}.xml")).iter(f"{space}row")] for n in range(1, len(titles) + 1)]
+    return dict(zip(titles, rows, strict=True))
+
+
+def test_workbook(spark, tmp_path, monkeypatch):
+    path = tmp_path / "report.xlsx"
+    frame = spark.createDataFrame([(k, f"<{k} & \x01co>", k / 2 if k % 3 else None, k % 2 == 0) for k in range(500)], "n long, name string, half double, even boolean").repartition(7)
+    none = frame.where("false")
+    one = workbook.Sheet
+    assert workbook.write_workbook([one("Main", frame, (F.desc("n"),)), one("None", none), one("Errors", none, optional=False)], str(path)) == ["Main", "Errors"]
+    got = sheets_of(path)
+    assert list(got) == ["Main", "Errors"] and got["Errors"] == [["n", "name", "half", "even"]]
+    assert got["Main"][1:3] == [["499", "<499 & co>", "249.5", "0"], ["498", "<498 & co>", None, "1"]] and [int(r[0]) for r in got["Main"][1:]] == list(range(499, -1, -1))
+    before = path.read_bytes()
+    broken = frame.withColumn("name", F.when(F.col("n") == 250, F.raise_error(F.lit("broken"))).otherwise(F.col("name")))
+    with pytest.raises(Exception, match="broken"):
+        workbook.write_workbook([one("Main", frame), one("Other", broken)], str(path))
+    monkeypatch.setattr(workbook, "MOST_ROWS", 400)
+    with pytest.raises(ValueError, match="500 rows"):
+        workbook.write_workbook([one("Main", frame)], str(path))
+    assert path.read_bytes() == before and [p.name for p in tmp_path.iterdir()] == ["report.xlsx"]
+
+
+def test_error_block(spark):
+    rows = [(k, str(k), "tram", "bad" if k else "ok", f"e{k}") for k in range(8)]
+    states = spark.createDataFrame(rows, "route_id long, name string, route_type string, state string, error string")
+    lines = files.error_block(states).first().text.split("\n")
+    assert lines[0] == "⚠ Ошибки (7):" and len(lines) == 6 and lines[1].endswith(" 1: e1")
+    assert files.error_block(states.where("state = 'ok'")).first().text == ""

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..config import RunConfig
 from ..operators import corridor, geometry, mosaic, nearby, network, overlap, raster
+from ..sources.workbook import Sheet, write_workbook
 from ..tables import numbered, written
 
 
@@ -199,6 +200,28 @@ class Network:
         }
         return found | ({"overlaps": self.overlaps, "removed": self.removed} if self.config.dedup else {})
 
+    def workbook(self, path: str, bbox: tuple[float, float, float, float] | None = None, all_stops: bool = False, generated: DataFrame | None = None) -> list[str]:
+        """Writes the report and returns its sheets: summary and errors always, the others where they have rows, all stops where they are asked for."""
+        one = lambda title, rows, *order, optional=True: Sheet(title, rows, order, optional)
+        shown = self.points.select("route_id").distinct()
+        directions = geometry.direction_km(self.points).join(self.corridors_after, ["route_id", "di"], "left")
+        routes = directions.join(self.all_routes.select("route_id", "name", "route_type"), "route_id")
+        bad = self.states.where("state = 'bad'").select("route_id", "name", "route_type", "error")
+        # The sheets' titles.
+        sheets = [
+            one("Сводка", self.summary(bbox, generated=generated.count() if generated is not None else 0), "place", optional=False),
+            one("Маршруты", routes, "route_type", "name", "route_id", "di"),
+            one("Ошибки", bad, "route_id", optional=False),
+            one("Отфильтрованные", self.excluded.where("reason IS NOT NULL"), "route_id"),
+            one("Уникальные остановки", self.stops.select("key", "name", "lat", "lon", F.array_join(F.col("routes").cast("array<string>"), ", ").alias("routes")), "key"),
+            one("POI", self.poi_stats.drop("by_type"), "route_id", "di"),
+            *([one("Дедупликация", self.removed, "step")] if self.config.dedup else []),
+            *([one("Сгенерированные", generated, generated.columns[0])] if generated is not None else []),
+            one("Тепловая карта", self.heat, "i", "j"),
+            *([one("Остановки", self.all_stops.join(shown, "route_id", "left_semi"), "route_id", "di", "seq")] if all_stops else []),
+        ]
+        return write_workbook(sheets, path)
+
     def summary(self, bbox: tuple[float, float, float, float] | None = None, ideas: int = 0, generated: int = 0) -> DataFrame:
         """place, measure, value: the summary sheet's figures; null where a figure was not asked for or there is nothing to measure.
 

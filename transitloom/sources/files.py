@@ -179,3 +179,12 @@ def cached_or_fetched(cache: JsonCache, kind: str, tasks: DataFrame, fetch: Call
     out = written(had.unionByName(fetched.withColumn("from_cache", F.lit(False))), "loaded")  # before the cache changes
     cache.put(kind, fetched)
     return out
+
+
+def error_block(states: DataFrame, limit: int = 5) -> DataFrame:
+    """One row, text: how many routes failed and the first of them by number, a line each; empty where none did."""
+    bad = states.where("state = 'bad'")
+    first = bad.orderBy("route_id").limit(limit).agg(F.array_sort(F.collect_list(F.struct("route_id", F.concat(F.lit("    "), type_label(F.col("route_type")), F.lit(" "), "name", F.lit(": "), "error").alias("line")))).alias("l"))
+    total = bad.agg(F.count("*").alias("n"))  # a row each
+    head = F.concat(F.lit("⚠ Ошибки ("), F.col("n").cast("string"), F.lit("):"))
+    return first.join(total).select(F.when(F.col("n") == 0, "").otherwise(F.array_join(F.concat(F.array(head), F.transform("l", lambda x: x["line"])), "\n")).alias("text"))
