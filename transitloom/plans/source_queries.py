@@ -11,6 +11,7 @@ from ..functions import geo, text
 from ..operators import generate, geometry, network, raster
 from ..sources import catalog, files, payloads
 from ..tables import written
+from .network_queries import _LABEL, _STATE, _STOPS, _TERM
 from .register import Register
 from .surrogate import Views
 
@@ -167,6 +168,41 @@ def _(v: Views) -> DataFrame:
     return routes.unionByName(directions).unionByName(stops).select("measure", F.col("value").cast("double").alias("value"))
 
 
+_LEFT = "ok AS (SELECT * FROM st WHERE active AND state = 'ok'), vs AS (SELECT * FROM v_stops_seq WHERE route_id IN (SELECT route_id FROM ok))"
+
+
+@REGISTER(
+    "snk3_network_summary",
+    f"""WITH {_STATE}, {_LEFT}, {_STOPS.replace("v_stops_seq", "vs")}, {_TERM.replace("v_stops_seq", "vs")},
+whole AS (SELECT route_id FROM v_points GROUP BY ALL HAVING bool_and(lat BETWEEN 51.6 AND 51.63 AND lon BETWEEN 39.1 AND 39.13)),
+t(measure, kind) AS (VALUES ('Поездов', 'train'), ('Троллейбусов', 'trolleybus'), ('Трамваев', 'tram'), ('Автобусов', 'bus'), ('Маршруток', 'minibus'), ('Водных маршрутов', 'water'))
+SELECT 'Маршрутов в обработке' AS measure, CAST(count(*) AS DOUBLE) AS value FROM st WHERE active UNION ALL SELECT 'Успешно (в отчёте)', count(*) FROM ok
+UNION ALL SELECT 'Ошибок', count(*) FROM st WHERE active AND state = 'bad' UNION ALL SELECT 'Пропущено неактивных (--active-only)', count_if(NOT active) FROM v_routes
+UNION ALL SELECT 'Отсечено: длина', 0 UNION ALL SELECT 'Маршрутов на карте (KML)', count(*) FROM ok
+UNION ALL SELECT 'Остановок уникальных', count(*) FROM us UNION ALL SELECT 'Конечных', count(DISTINCT key) FROM x WHERE key <> ''
+UNION ALL SELECT measure, count(ok.route_id) FROM t LEFT JOIN ok ON route_type = kind AND (kind <> 'train' OR ok.route_id IN (SELECT route_id FROM whole)) GROUP BY measure""",
+)
+def _(v: Views) -> DataFrame:
+    from ..config import Limits, RunConfig
+    from .network import Network
+
+    run = Network(RunConfig("city", limits=Limits()), v.routes, v.points, v.stops_seq, v.pois, v.pixels)
+    shown = ["Маршрутов в обработке", "Успешно (в отчёте)", "Ошибок", "Пропущено неактивных (--active-only)", "Отсечено: длина", "Маршрутов на карте (KML)", "Остановок уникальных", "Конечных", *network.TYPE_TITLES]
+    out = written(run.summary((51.6, 39.1, 51.63, 39.13)).where(F.col("measure").isin(shown)).select("measure", "value"), "summary")
+    run.close()
+    return out
+
+
+@REGISTER(
+    "snk19_error_block",
+    f"""WITH {_STATE}, b AS (SELECT route_id, '    ' || {_LABEL} || ' ' || name || ': ' || error AS line FROM st WHERE state = 'bad')
+SELECT '⚠ Ошибки (' || count(*) || '):' || chr(10) || (SELECT string_agg(line, chr(10) ORDER BY route_id) FROM (SELECT * FROM b ORDER BY route_id LIMIT 5)) AS text FROM b HAVING count(*) > 0
+UNION ALL SELECT '' FROM b HAVING count(*) = 0""",
+)
+def _(v: Views) -> DataFrame:
+    return files.error_block(network.route_state(v.routes, v.points))
+
+
 def _terminals(v: Views) -> tuple[DataFrame, DataFrame]:
     stops = network.unique_stops(v.stops_seq, v.routes).where("lat IS NOT NULL AND lon IS NOT NULL")
     volumes = raster.window_sums(v.pixels, raster.point_squares(stops, "key", 2), "key")
