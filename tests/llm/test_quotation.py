@@ -116,7 +116,8 @@ def plain_words(text):
 def links_by_rule(rows):
     """How many quotes of each message link, and the turn that it replies to, with a parser and a rule of its own.
 
-    A quote is found in a message that has its words as its whole own text, as a paragraph (however wrapped), or as lines in a row.
+    A quote is found in a message that has its words as its whole own text, as a paragraph (however wrapped), or as lines in a row; one that
+    is found nowhere so, in one that has all its words, two at least, side by side.
     """
     said = {}
     for conv, turn, _, text in rows:
@@ -146,6 +147,10 @@ def links_by_rule(rows):
         in_a_row = any(lines[k : k + len(asked)] == asked for k in range(len(lines) - len(asked) + 1))
         return flat == plain_words(" ".join(own)) or flat in paragraphs or in_a_row
 
+    def inside(own, quote):
+        flat, asked = plain_words(" ".join(own)), plain_words(" ".join(quote))
+        return len(asked) > 1 and any(flat[k : k + len(asked)] == asked for k in range(len(flat) - len(asked) + 1))
+
     out = {}
     for conv, messages in said.items():
         messages.sort(key=lambda m: m[0])
@@ -154,8 +159,11 @@ def links_by_rule(rows):
             first = True
             for level, quote in quotes:
                 words = plain_words(" ".join(quote))
-                here = [m[0] for m in messages[:place] if words and holds(m[1], quote)]
-                far = len(words) >= LEAST_WORDS and any(holds(m[1], quote) for c, ms in said.items() if c != conv for m in ms)
+                for rule in (holds, inside):
+                    here = [m[0] for m in messages[:place] if words and rule(m[1], quote)]
+                    far = len(words) >= LEAST_WORDS and any(rule(m[1], quote) for c, ms in said.items() if c != conv for m in ms)
+                    if here or far:
+                        break
                 linked += bool(here or far)
                 if here and level == 1 and first:
                     parent, first = here[-1], False
@@ -198,3 +206,32 @@ def test_wrapped_and_partial_quotes_against_a_rule_of_its_own(spark):
     got = {(r.conv_id, r.turn): (r.linked, r.parent_turn) for r in link_conversations(spark.createDataFrame(rows, SCHEMA)).collect()}
     assert got == want and want[90, 0][0] == 1
     assert sum(n for n, _ in want.values()) > 60
+
+
+def test_quotes_that_mailers_made_over(spark):
+    """Wrapped anew over two paragraphs, with an omission, parts of lines, attributions of two lines, short quotes of other conversations."""
+    rng = random.Random(21)
+    rows, kinds, parents = [], {}, {}
+    for conv in range(60):
+        sentence = lambda: " ".join("".join(rng.choices("abcdefghij", k=6)) for _ in range(rng.randrange(9, 14)))
+        paragraphs = [sentence() for _ in range(4)]
+        rows += [(conv, 0, "user", f"{paragraphs[0]}\n{paragraphs[1]}.\n\n{paragraphs[2]}\n\n{paragraphs[3]}"), (conv, 1, "user", sentence()), (conv, 2, "user", sentence())]
+        kind = ("wrapped", "omission", "inside", "attribution")[conv % 4]
+        if kind == "wrapped":
+            words = " ".join(paragraphs[1:3]).split()
+            quote = "\n".join("> " + " ".join(words[k : k + 4]) for k in range(0, len(words), 4))
+        elif kind == "omission":
+            quote = f"> {paragraphs[0]}\n> [...]\n> {paragraphs[3]}"
+        elif kind == "inside":
+            quote = "> " + " ".join(paragraphs[2].split()[2:6])
+        else:
+            quote = f"On Mon, 3 Feb 2020 at 10:11, Some Body\n<some@body.example> wrote:\n> {paragraphs[3]}"
+        rows.append((conv, 3, "user", f"{quote}\n\nmy answer {conv}"))
+        kinds[conv], parents[conv] = kind, 0
+    got = {r.conv_id: r for r in quotation.link_conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).where("turn = 3").collect()}
+    assert {c: r.parent_turn for c, r in got.items()} == parents
+    assert all(r.linked == r.quotes == (2 if kinds[c] == "omission" else 1) for c, r in got.items())
+    assert all(r.text == f"my answer {c}" for c, r in got.items())
+    short = spark.createDataFrame([(1, 0, "user", "three odd words"), (2, 0, "user", "> three odd words\nyes")], "conv_id long, turn long, role string, text string")
+    linked = lambda n: {r.conv_id: r.linked for r in quotation.link_conversations(short, n).collect()}[2]
+    assert (linked(4), linked(3)) == (0, 1)

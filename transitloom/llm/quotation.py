@@ -10,8 +10,10 @@ message offers for linking its own text as a whole, each of its own paragraphs,
 consecutive own lines (lines without words do not count). Of a message's runs only those of 2, 4, 8 ... lines are
 hashed; a quote of other length meets a message where its first and its last such run stand at the right
 distance. Both sides are combined by hash before they meet, so that however often a passage is quoted or
-written, the equi-join sees a hash from each side once. A quote is linked to the latest earlier message of
-its own conversation that offers the passage, and else, if it has ``LEAST_WORDS`` words, to the earliest
+written, the equi-join sees a hash from each side once. Quotes that find nothing in this way, as those that were wrapped anew or
+begin or end within a line, are looked for once more by their words alone: of all messages the runs of as many words as such
+quotes' longest runs of 2, 4, 8 ... words have are hashed, and what is asked for stays. A quote is linked to the latest earlier message of
+its own conversation that offers the passage, and else, if it has ``LEAST_WORDS`` words (a parameter), to the earliest
 message of any other; a message's
 parent is the message that its first quote of level 1 is linked to within the conversation, and
 without one the message before it.
@@ -36,6 +38,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -44,7 +47,8 @@ from .common import table, written
 
 _LEVEL = re.compile(r"^\s{0,3}((?:>\s?)+)")
 _ATTRIBUTION = re.compile(r"^\s*(?:on\b.*\bwrote|am\b.*\bschrieb\b.*|le\b.*\ba écrit|el\b.*\bescribió)\s*:\s*$", re.I)
-#: Words that a passage must have to be linked to another conversation.
+_OMITTED = re.compile(r"\[\s*(?:\.{3}|…|snip|snipped)\s*\]|\(\s*(?:\.{3}|…)\s*\)|<snip>|^\s*(?:\.{3}|…)\s*$", re.I)
+#: Words that a passage must have to be linked to another conversation, and turns of a part.
 LEAST_WORDS, PART = 4, 4096
 
 
@@ -57,7 +61,7 @@ def parse_quotes(text: str) -> tuple[str, list[tuple[int, str]]]:
     """``(own text, [(level, passage)])``, passages in the order of the message."""
     own: list[str] = []
     quotes: list[tuple[int, list[str]]] = []
-    last = 0
+    last, cut = 0, False
     for line in text.split("\n"):
         m = _LEVEL.match(line)
         level = m[1].count(">") if m else 0
@@ -68,11 +72,17 @@ def parse_quotes(text: str) -> tuple[str, list[tuple[int, str]]]:
                 back = len(own)
                 while back and not own[back - 1].strip():
                     back -= 1
-                if back and _ATTRIBUTION.match(own[back - 1]):
-                    del own[back - 1 :]
-            if level != last or not quotes:
-                quotes.append((level, []))
-            quotes[-1][1].append(line[m.end() :])
+                for lines in (1, 2, 3):
+                    if lines <= back and _ATTRIBUTION.match(" ".join(own[back - lines : back])):
+                        del own[back - lines :]
+                        break
+            for k, piece in enumerate(_OMITTED.split(line[m.end() :])):
+                cut = cut or k > 0
+                if level != last or not quotes or cut and piece.strip():
+                    quotes.append((level, []))
+                    cut = False
+                quotes[-1][1].append(piece)
+                last = level
         last = level
     kept = re.sub(r"\n{3,}", "\n\n", "\n".join(own)).strip() if quotes else "\n".join(own)
     return kept, [(level, "\n".join(lines)) for level, lines in quotes]
@@ -101,14 +111,47 @@ def _runs(text: str) -> list[np.ndarray]:
     return out
 
 
+def _word_runs(passage: str, sizes: list[int]) -> dict[int, np.ndarray]:
+    """Hashes of the runs of so many words, powers of two, by their first word."""
+    h = np.array([xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass")) for w in passage.split()], np.uint64)
+    out, size, most = {}, 1, min(len(h), max(sizes))
+    while size <= most:
+        with np.errstate(over="ignore"):
+            if size in sizes:
+                out[size] = words.mix(h + np.uint64(size)).view(np.int64)
+            h = words.mix(words.mix(h[:-size]) * np.uint64(3) + h[size:])
+        size *= 2
+    return out
+
+
 def _asked(passage: str) -> dict:
-    """Hashes of a quote's first and last longest run, and how many lines the last begins behind the first."""
+    """Hashes of a quote's first and last longest run, and how many lines, or words, the last begins behind the first."""
     runs = _runs(passage)
-    return {"first": int(runs[-1][0]), "last": int(runs[-1][-1]), "behind": len(runs[-1]) - 1} if runs else {}
+    found = {"first": int(runs[-1][0]), "last": int(runs[-1][-1]), "behind": len(runs[-1]) - 1} if runs else {}
+    plain = normalise(passage)
+    size = 1 << max(0, plain.count(" ") + 1).bit_length() - 1 if plain else 0
+    if size > 1:
+        run = _word_runs(plain, [size])[size]
+        found |= {"word_first": int(run[0]), "word_last": int(run[-1]), "word_behind": len(run) - 1, "word_size": size}
+    return found
+
+
+def _word_reader(sizes: list[int]):
+    schema = pa.schema([("conv", pa.int64()), ("place", pa.int64()), ("line", pa.int32()), ("run", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for conv, place, own in zip(*(batch.column(c).to_pylist() for c in ("conv", "place", "own")), strict=True):
+                for h in _word_runs(normalise(own), sizes).values():
+                    n = len(h)
+                    yield pa.record_batch([pa.array(np.full(n, conv)), pa.array(np.full(n, place)), pa.array(np.arange(n, dtype=np.int32)), pa.array(h)], schema=schema)
+
+    return run, "conv long, place long, line int, run long"
 
 
 def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    quote = pa.struct([("level", pa.int32()), ("passage", pa.string()), ("first", pa.int64()), ("last", pa.int64()), ("behind", pa.int32())])
+    word = [("word_first", pa.int64()), ("word_last", pa.int64()), ("word_behind", pa.int32()), ("word_size", pa.int32())]
+    quote = pa.struct([("level", pa.int32()), ("passage", pa.string()), ("first", pa.int64()), ("last", pa.int64()), ("behind", pa.int32()), *word])
     run = pa.struct([("line", pa.int32()), ("hash", pa.int64())])
     for batch in batches:
         own, offered, runs, quotes = [], [], [], []
@@ -122,25 +165,44 @@ def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays(columns, [*batch.schema.names[:-1], "own", "offered", "runs", "quotes"])
 
 
-def _hashed(q):
-    far = F.size(F.split(q["passage"], " ")) >= LEAST_WORDS
-    hashed = F.when(q["passage"] != "", F.xxhash64(q["passage"]))
-    return F.struct(q["level"].alias("level"), hashed.alias("hash"), far.alias("far"), *[q[c].alias(c) for c in ("first", "last", "behind")])
+_ASKED = ("first", "last", "behind", "word_first", "word_last", "word_behind", "word_size")
+
+
+def _hashed(least_words: int):
+    def of(q):
+        far = F.size(F.split(q["passage"], " ")) >= least_words
+        hashed = F.when(q["passage"] != "", F.xxhash64(q["passage"]))
+        return F.struct(q["level"].alias("level"), hashed.alias("hash"), far.alias("far"), *[q[c].alias(c) for c in _ASKED])
+
+    return of
 
 
 def _offers(parsed: DataFrame, quoted: DataFrame) -> DataFrame:
     """conv, place, hash of what messages offer: passages, and runs of lines that are quoted somewhere."""
     asked = quoted.where(F.col("first").isNotNull()).select("hash", "first", "last", "behind").distinct()
-    either = asked.select(F.explode(F.array("first", "last")).alias("run")).distinct()
     runs = parsed.where(F.size("runs") > 0).select("conv", "place", F.explode("runs").alias("r")).select("conv", "place", "r.line", F.col("r.hash").alias("run"))
+    return parsed.select("conv", "place", F.explode("offered").alias("hash")).unionByName(_holding(runs, asked)).distinct()
+
+
+def _word_offers(parsed: DataFrame, quoted: DataFrame) -> DataFrame:
+    """conv, place, hash of the messages that have all words of a quote side by side."""
+    asked = quoted.select("hash", *(F.col(f"word_{c}").alias(c) for c in ("first", "last", "behind"))).distinct()
+    sizes = sorted(r.word_size for r in quoted.select("word_size").distinct().collect())  # powers of two
+    read, schema = _word_reader(sizes)
+    runs = parsed.where(F.octet_length("own") > 0).select("conv", "place", "own").mapInArrow(read, schema)
+    return _holding(runs, asked).distinct()
+
+
+def _holding(runs: DataFrame, asked: DataFrame) -> DataFrame:
+    """conv, place, hash where a message's runs have a quote's first and last one at the right distance."""
+    either = asked.select(F.explode(F.array("first", "last")).alias("run")).distinct()
     runs = written(runs.join(either.hint("merge"), "run", "left_semi"), "quoted-runs")
     begun = runs.join(asked.withColumnRenamed("first", "run").hint("merge"), "run")
     begun = begun.select("conv", "place", "hash", (F.col("line") + F.col("behind")).alias("line"), F.col("last").alias("run"))
-    whole = begun.join(runs.hint("merge"), ["conv", "place", "line", "run"], "left_semi").select("conv", "place", "hash")
-    return parsed.select("conv", "place", F.explode("offered").alias("hash")).unionByName(whole).distinct()
+    return begun.join(runs.hint("merge"), ["conv", "place", "line", "run"], "left_semi").select("conv", "place", "hash")
 
 
-def messages(conversations: DataFrame) -> DataFrame:
+def messages(conversations: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
     """Every message with its place in its conversation (0 first) and its quotes parsed."""
     columns = conversations.select(
         F.col("conv_id").cast("long").alias("conv_id"),
@@ -149,7 +211,7 @@ def messages(conversations: DataFrame) -> DataFrame:
         F.coalesce(F.col("text"), F.lit("")).alias("text"),
     )
     kinds = "conv_id long, turn long, role string, digest long, own string, offered array<string>, runs array<struct<line:int,hash:long>>, "
-    kinds += "quotes array<struct<level:int,passage:string,first:long,last:long,behind:int>>"
+    kinds += "quotes array<struct<level:int,passage:string,first:long,last:long,behind:int,word_first:long,word_last:long,word_behind:int,word_size:int>>"
     parsed = columns.select("conv_id", "turn", "role", F.xxhash64("text").alias("digest"), "text").mapInArrow(_parse, kinds)
     # passages stay behind as hashes
     hashed = parsed.select(
@@ -160,7 +222,7 @@ def messages(conversations: DataFrame) -> DataFrame:
         "own",
         F.transform("offered", lambda p: F.xxhash64(p)).alias("offered"),
         "runs",
-        F.transform("quotes", _hashed).alias("quotes"),
+        F.transform("quotes", _hashed(least_words)).alias("quotes"),
     )
     part = F.coalesce(F.expr(f"turn div {PART}"), F.lit(2**62))
     hashed = written(hashed.withColumns({"row_no": F.monotonically_increasing_id(), "conv": _conv("conv_id"), "part": part}), "messages")
@@ -175,7 +237,14 @@ def links(parsed: DataFrame) -> DataFrame:
     """conv_id, place, quote_no, level, from_conv, from_place of every quote that is found elsewhere."""
     quoted = parsed.select("conv", "place", F.posexplode("quotes").alias("quote_no", "quote")).select("conv", "place", "quote_no", "quote.*")
     quoted = quoted.where(F.col("hash").isNotNull())
-    offers = _offers(parsed, quoted)
+    found = written(_matched(quoted, _offers(parsed, quoted)), "passage-links")
+    left = quoted.join(found.select("conv", "place", "quote_no").hint("merge"), ["conv", "place", "quote_no"], "left_anti")
+    left = written(left.where(F.col("word_size").isNotNull()), "unlinked-quotes")
+    return found if left.isEmpty() else found.unionByName(_matched(left, _word_offers(parsed, left)))
+
+
+def _matched(quoted: DataFrame, offers: DataFrame) -> DataFrame:
+    """conv, place, quote_no, level, from_conv, from_place of the quotes that an offer answers."""
     # within the conversation: the latest earlier offer, by a running maximum over both in one order
     own = offers.select("conv", "hash", "place", F.col("place").alias("offer"), F.lit(None).cast("int").alias("quote_no"), F.lit(None).cast("int").alias("level"), F.lit(None).cast("boolean").alias("far"))
     asked = quoted.groupBy("conv", "hash").agg(F.first("level").alias("any")).drop("any")
@@ -204,12 +273,13 @@ def links(parsed: DataFrame) -> DataFrame:
     )
 
 
-def link_conversations(conversations: DataFrame) -> DataFrame:
+def link_conversations(conversations: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
     """One row per message: conv_id, position in reply order, turn, role, text without quotes, parent_turn, depth, quotes, linked.
 
-    depth counts the branches on the way to the message; quotes are those it has, linked those found elsewhere.
+    depth counts the branches on the way to the message; quotes are those it has, linked those found elsewhere. least_words: what a quote
+    must have to be linked to another conversation.
     """
-    parsed = messages(conversations)
+    parsed = messages(conversations, least_words)
     found = written(links(parsed), "quote-links")
     own = (F.col("level") == 1) & (F.col("from_conv") == F.col("conv"))
     per = found.groupBy("conv", "place").agg(
