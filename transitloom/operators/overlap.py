@@ -210,7 +210,7 @@ def removals(edges: DataFrame, volumes: DataFrame, k_del: float, active: DataFra
     volume with an edge between them go in rounds, see ``_closed_in_ties``. As a node's order can only fall back, the
     order of the removals is that of volume, largest edge closed and id. A missing volume is 0.
     """
-    both = both_ways(clean_edges(edges, k_del, active))
+    both = both_ways(written(clean_edges(edges, k_del, active), "clean-edges"))
     vol = volumes.groupBy("node").agg(F.coalesce(F.max(F.when(~F.isnan("volume"), F.col("volume"))), F.lit(0.0)).alias("volume"))
     valued = both.join(vol, "node", "left").join(vol.withColumnsRenamed({"node": "other", "volume": "other_volume"}), "other", "left")
     valued = valued.select("node", "other", "kmax", F.coalesce("volume", F.lit(0.0)).alias("volume"), F.coalesce("other_volume", F.lit(0.0)).alias("other_volume"))
@@ -227,7 +227,7 @@ def removals(edges: DataFrame, volumes: DataFrame, k_del: float, active: DataFra
     )
     text = F.array_join(F.transform("ranked", lambda p: F.concat(p["id"].cast("string"), F.lit(" ("), F.format_string("%.3f", -p["k"]), F.lit(")"))), ", ")
     victims = victims.select("node", "volume", "partners", "representative", "best", text.alias("closed"))
-    return numbered(victims, "step", F.col("volume"), F.desc("best"), F.col("node")).select("step", "node", "volume", "partners", "representative", "best", "closed")
+    return numbered(written(victims, "removals"), "step", F.col("volume"), F.desc("best"), F.col("node")).select("step", "node", "volume", "partners", "representative", "best", "closed")
 
 
 def survivors(nodes: DataFrame, removed: DataFrame) -> DataFrame:

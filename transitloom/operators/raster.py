@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.geo import planar_segment_km
 from ..functions.text import heat_color
-from ..tables import numbered
+from ..tables import numbered, written
 from .geometry import DIRECTION, segments
 
 # What stands for no data, and the largest value that is believed.
@@ -52,7 +52,15 @@ def block_sums(pixels: DataFrame) -> tuple[DataFrame, DataFrame]:
     The first holds, for every cell of a block that has pixels, the sum of the block's values at or before its row and column; the second
     the sums of whole blocks, of ``BLOCK * FANOUT ** level`` rows and columns. Rows are in proportion to the blocks that have pixels.
     """
-    cells = pixels.groupBy("row_no", "col_no").agg(F.sum(clean_value(F.col("raw_value"))).alias("value"))
+    return _block_sums(_cell_sums(pixels))
+
+
+def _cell_sums(pixels: DataFrame) -> DataFrame:
+    """row_no, col_no, value of every pixel's place, written: all that follows reads it several times."""
+    return written(pixels.groupBy("row_no", "col_no").agg(F.sum(clean_value(F.col("raw_value"))).alias("value")), "cell-sums")
+
+
+def _block_sums(cells: DataFrame) -> tuple[DataFrame, DataFrame]:
     cells = cells.withColumns({"i": F.floor(F.col("row_no") / BLOCK), "j": F.floor(F.col("col_no") / BLOCK)})
     steps = F.sequence(F.lit(0), F.lit(BLOCK - 1))
     grid = cells.select("i", "j").distinct().withColumn("r", F.explode(steps)).withColumn("c", F.explode(steps))
@@ -86,7 +94,8 @@ def window_sums(pixels: DataFrame, squares: DataFrame, by: str) -> DataFrame:
     A square, cut at the raster's extents, is covered by the largest blocks that lie in it, whose sums are looked up, and by parts of the blocks
     along its edge, of which the four corners are. The lookups of a square grow with its edge, not with its area.
     """
-    ends = F.broadcast(extents(pixels).select(*(F.col(c).alias(f"raster_{c}") for c in ("row_lo", "row_hi", "col_lo", "col_hi"))))  # one row
+    cells = _cell_sums(pixels)
+    ends = F.broadcast(extents(cells).select(*(F.col(c).alias(f"raster_{c}") for c in ("row_lo", "row_hi", "col_lo", "col_hi"))))  # one row
     cut = {c: (F.greatest if c.endswith("lo") else F.least)(F.col(c), F.col(f"raster_{c}")).cast("bigint") for c in ("row_lo", "row_hi", "col_lo", "col_hi")}
     asked = squares.select(by, "row_lo", "row_hi", "col_lo", "col_hi").join(ends).withColumns(cut).where("row_lo <= row_hi AND col_lo <= col_hi")
     asked = asked.select(by, "row_lo", "row_hi", "col_lo", "col_hi")
@@ -116,7 +125,7 @@ def window_sums(pixels: DataFrame, squares: DataFrame, by: str) -> DataFrame:
     above = tuple(F.when(F.col("level") < LEVELS - 1, x * FANOUT + add).otherwise(bound) for x, add, bound in zip(inside(width * FANOUT), (0, FANOUT - 1) * 2, (1, 0) * 2, strict=True))
     levels = asked.withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(LEVELS - 1))))
     whole = _around(by, levels, inside(width), above, "level")
-    inner, blocks = block_sums(pixels)
+    inner, blocks = _block_sums(cells)
     found = looked.join(inner, ["row_no", "col_no"]).select(by, (F.col("sign") * F.col("total")).alias("part"))
     found = found.union(whole.join(blocks, ["level", "i", "j"]).select(by, "total")).groupBy(by).agg(F.sum("part").alias("volume"))
     return squares.select(by).join(found, by, "left").select(by, F.coalesce("volume", F.lit(0.0)).alias("volume"))
@@ -181,6 +190,7 @@ def route_totals(directions: DataFrame) -> DataFrame:
 
 def top_share(rows: DataFrame, weight: str, key: str, percent: float) -> DataFrame:
     """The ``ceil(n * percent / 100)`` rows of most weight, one at least; ties by key."""
+    rows = written(rows, "share-of")  # counted, sampled for its ranges and exchanged
     least = F.greatest(F.lit(1), F.ceil(rows.agg(F.count("*")).scalar() * percent / 100))
     return numbered(rows, "rank_of_row", F.desc(weight), F.col(key)).where(F.col("rank_of_row") <= least).drop("rank_of_row")
 
