@@ -48,6 +48,22 @@ def test_shard_counts_add_up(quotas):
             assert abs(c - q / shards) <= 6 * (q / shards) ** 0.5 + 3
 
 
+@pytest.mark.parametrize("size, words", [(1, 4), (10, 4), (100, 16), (97, 16), (128, 128), (1000, 7)])
+def test_quotas_meet_the_target_to_the_word(size, words):
+    blocks = -(-size // words)
+    key = lambda epoch: 77 + epoch
+    orders = [mixing._permute(np.arange(blocks), blocks, key(e)).tolist() for e in range(4)]
+    for e, order in enumerate(orders):
+        assert [mixing._place_of(b, blocks, key(e)) for b in order] == list(range(blocks))
+    for target in range(3 * size + 1):
+        n, limit = mixing.quota(size, target, words, key)
+        sizes = [min(words, size - orders[k // blocks][k % blocks] * words) for k in range(n)]
+        if limit is not None:
+            assert 0 < limit < sizes[-1]
+            sizes[-1] = limit
+        assert sum(sizes) == target
+
+
 def test_shard_counts_are_multinomial():
     draws = np.array([mixing.shard_counts(1, 3, [60], seed)[0][0] for seed in range(2000)])
     assert draws.mean() == pytest.approx(20, abs=0.5) and draws.var() == pytest.approx(60 * (1 / 3) * (2 / 3), rel=0.15)
@@ -65,7 +81,7 @@ def dealt(made, words_of, block_words):
     taken, slots = {}, {}
     for r in made.slots.collect():
         stream = streams[r["rank"]]
-        words = [stream[k] for k in range(r.block * block_words, (r.block + 1) * block_words) if k in stream]
+        words = [stream[k] for k in range(r.block * block_words, (r.block + 1) * block_words) if k in stream][: r.limit]
         assert words and (r.shard, r.slot) not in slots
         slots[r.shard, r.slot] = (r["rank"], r.epoch, r.block, " ".join(w for _, w in words))
         for row, _ in words:
@@ -111,7 +127,8 @@ def test_mix_of_table(spark):
     for r in rows:
         assert r.target == pytest.approx(want[docs[r.doc_id].source]) and r.source_size == sizes[docs[r.doc_id].source]
     for s in sizes:
-        assert abs(taken[s] - want[s]) <= 2 * mixing.BLOCK_WORDS
+        assert abs(taken[s] - want[s]) <= 1
+    assert mixing.mix(spark.read.parquet(f"{sf}/documents.parquet")).slots.select("shard").distinct().count() == mixing.LEAST_SHARDS
     assert sorted(rows) == sorted(mixing.op5_mixing(spark, sf).collect())
 
 

@@ -2,8 +2,8 @@
 
 The words of each source, its documents in a fixed pseudorandom order, form one stream that is cut
 into blocks of ``BLOCK_WORDS`` words (the last may be shorter). A source's target decides how many
-block slots it gets; a slot's number runs through the source's blocks in a pseudorandom order of
-its own per epoch, so a block is used again only when all others have been used as often.
+block slots it gets, of the last of which only as many words count as are missing to the target; a slot's number runs through the
+source's blocks in a pseudorandom order of its own per epoch, so a block is used again only when all others have been used as often.
 
 Each source's slots are dealt to output shards by a multinomial draw over the shards, so that sources meet their
 targets at every size and shards come out nearly equal: halving the range of shards again and again, a half's
@@ -30,7 +30,7 @@ from . import words
 from .common import free_name, table, written
 
 WEIGHTS, REPEATS = (5, 2, 1), 3
-BLOCK_WORDS, SHARD_SLOTS, SEED = 128, 1 << 16, 20240917
+BLOCK_WORDS, SHARD_SLOTS, LEAST_SHARDS, SEED = 128, 1 << 16, 16, 20240917
 #: Parts of each source's stream whose offsets are summed first, at least, and rows for which there is one more.
 PARTS, PART_ROWS = 1024, 100_000
 
@@ -83,6 +83,40 @@ def _permute(x: np.ndarray, n: int, key: int) -> np.ndarray:
     return out.astype(np.int64)
 
 
+def _place_of(value: int, n: int, key: int) -> int:
+    """Where ``_permute`` puts a value: the network backwards, walked in the same way."""
+    half = max(1, (max(n - 1, 1).bit_length() + 1) // 2)
+    mask = (1 << half) - 1
+    keys = words.mix(np.arange(1, 7, dtype=np.uint64) + np.uint64(key & (2**63 - 1)) * np.uint64(8))
+    while True:
+        left, right = value >> half, value & mask
+        with np.errstate(over="ignore"):
+            for k in keys[::-1]:
+                left, right = right ^ (int(words.mix(np.array([left], np.uint64) + k)[0]) & mask), left
+        value = (left << half) | right
+        if value < n:
+            return value
+
+
+def quota(size: int, target: int, block_words: int, order_key) -> tuple[int, int | None]:
+    """How many slots of blocks of a source of ``size`` words have ``target`` words, and how many words of the last one count (None: all).
+
+    order_key: the key of an epoch's permutation of the blocks, which tells when the short last block comes.
+    """
+    if not size or target <= 0:
+        return 0, None
+    blocks = -(-size // block_words)
+    epochs, rest = divmod(target, size)
+    if not rest:
+        return epochs * blocks, None
+    short = blocks * block_words - size
+    behind = rest > _place_of(blocks - 1, blocks, order_key(epochs)) * block_words
+    taken = -(-(rest + (short if behind else 0)) // block_words)
+    over = taken * block_words - (short if behind else 0) - rest
+    own = block_words - (short if int(_permute(np.array([taken - 1]), blocks, order_key(epochs))[0]) == blocks - 1 else 0)
+    return epochs * blocks + taken, own - over if over else None
+
+
 def shard_counts(shard: int, shards: int, quotas: list[int], seed: int = SEED) -> tuple[list[int], list[int]]:
     """How many slots of each source the shard gets, and how many the shards before it got."""
     lo, hi, counts, before = 0, shards, list(quotas), [0] * len(quotas)
@@ -101,8 +135,8 @@ def shard_counts(shard: int, shards: int, quotas: list[int], seed: int = SEED) -
 class Mix:
     """targets: a row a source. documents: a row a document with its place in its source's stream.
 
-    slots: the mix itself, (shard, slot, rank, epoch, block). pieces: the documents' shares of blocks,
-    (rank, block, row_no, start, words); a block's words are its pieces'.
+    slots: the mix itself, (shard, slot, rank, epoch, block, limit); limit is null, or how many words of the block count in this slot. pieces: the
+    documents' shares of blocks, (rank, block, row_no, start, words, inner); a block's words are its pieces', inner those before a piece.
     """
 
     targets: DataFrame
@@ -112,7 +146,9 @@ class Mix:
 
     def taken(self) -> DataFrame:
         """``(row_no, epoch, start, words)``: every piece of a document that the mix takes, once for each time."""
-        return self.slots.select("rank", "block", "epoch").hint("merge").join(self.pieces, ["rank", "block"]).select("row_no", "epoch", "start", "words")
+        own = F.when(F.col("limit").isNull(), F.col("words")).otherwise(F.least("words", F.col("limit") - F.col("inner")))
+        met = self.slots.select("rank", "block", "epoch", "limit").hint("merge").join(self.pieces, ["rank", "block"])
+        return met.select("row_no", "epoch", "start", own.alias("words")).where("words > 0")
 
 
 def _key_columns() -> dict:
@@ -152,9 +188,11 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, repeats: int = REPE
     # one row a source: what the mix's configuration is made of
     plan = [(r.rank, r.source_size, r.target) for r in targets.orderBy("rank").collect()]
     blocks = [-(-size // block_words) for _, size, _ in plan]
-    quotas = [min(repeats * n, round(target * n / size)) if size else 0 for n, (_, size, target) in zip(blocks, plan, strict=True)]
-    shards = max(1, -(-sum(quotas) // SHARD_SLOTS))
-    slot_schema = pa.schema([("shard", pa.int64()), ("slot", pa.int64()), ("rank", pa.int32()), ("epoch", pa.int32()), ("block", pa.int64())])
+    order_key = lambda rank, epoch: seed * 1000003 + rank * 1009 + epoch
+    asked = [quota(size, min(repeats * size, round(target)), block_words, lambda e, rank=rank: order_key(rank, e)) for rank, size, target in plan]
+    quotas, limits = [n for n, _ in asked], [limit for _, limit in asked]
+    shards = max(min(LEAST_SHARDS, sum(quotas)), 1, -(-sum(quotas) // SHARD_SLOTS))
+    slot_schema = pa.schema([("shard", pa.int64()), ("slot", pa.int64()), ("rank", pa.int32()), ("epoch", pa.int32()), ("block", pa.int64()), ("limit", pa.int64())])
 
     def slots_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -169,15 +207,16 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, repeats: int = REPE
                     block = np.zeros(count, np.int64)
                     for e in np.unique(epoch):
                         at = epoch == e
-                        block[at] = _permute(n[at] % blocks[rank], blocks[rank], seed * 1000003 + rank * 1009 + int(e))
+                        block[at] = _permute(n[at] % blocks[rank], blocks[rank], order_key(rank, int(e)))
                     slot = _permute(np.arange(place, place + count), total, seed + shard)
                     place += count
+                    limit = pa.array([limits[rank] if k == quotas[rank] - 1 else None for k in n.tolist()], pa.int64()) if first + count == quotas[rank] else pa.nulls(count, pa.int64())
                     yield pa.record_batch(
-                        [pa.array(np.full(count, shard)), pa.array(slot), pa.array(np.full(count, rank, np.int32)), pa.array(epoch.astype(np.int32)), pa.array(block)],
+                        [pa.array(np.full(count, shard)), pa.array(slot), pa.array(np.full(count, rank, np.int32)), pa.array(epoch.astype(np.int32)), pa.array(block), limit],
                         schema=slot_schema,
                     )
 
-    slots = spark.range(0, shards, numPartitions=min(shards, 4096)).mapInArrow(slots_of, "shard long, slot long, rank int, epoch int, block long")
+    slots = spark.range(0, shards, numPartitions=min(shards, 4096)).mapInArrow(slots_of, "shard long, slot long, rank int, epoch int, block long, limit long")
     width = F.lit(block_words)
     last = F.expr(f"(at + size - 1) div {block_words}")
     pieces = (
@@ -189,6 +228,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, repeats: int = REPE
             "row_no",
             F.greatest(F.col("block") * width - F.col("at"), F.lit(0)).alias("start"),
             (F.least((F.col("block") + 1) * width, F.col("at") + F.col("size")) - F.greatest(F.col("block") * width, "at")).alias("words"),
+            F.greatest(F.col("at") - F.col("block") * width, F.lit(0)).alias("inner"),
         )
     )
     return Mix(targets, placed, slots, pieces)
@@ -266,19 +306,19 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def mixed_blocks(docs: DataFrame, block_words: int = BLOCK_WORDS, **options) -> DataFrame:
     """The mix as it is written out: shard, slot, rank, epoch, block and the block's words, joined by spaces.
 
-    The slots of a shard are numbered from 0 without gaps. A block has ``block_words`` words, a source's last one may have fewer.
+    The slots of a shard are numbered from 0 without gaps. A block has ``block_words`` words, a source's last one, and its last slot, may have fewer.
     """
     made = mix(docs, block_words=block_words, **options)
-    inner = F.greatest(F.col("at") - F.col("block") * block_words, F.lit(0)).alias("inner")
     keys = ["id_order", "text_hash", "source_hash", "copy"]
-    pieces = made.pieces.join(made.documents.select("row_no", "at", *keys), "row_no")
-    plan = pieces.groupBy(*keys).agg(F.collect_list(F.struct("rank", "block", inner, "start", "words")).alias("plan"))  # a document's own pieces
+    pieces = made.pieces.join(made.documents.select("row_no", *keys), "row_no")
+    plan = pieces.groupBy(*keys).agg(F.collect_list(F.struct("rank", "block", "inner", "start", "words")).alias("plan"))  # a document's own pieces
     own = docs.select("text", *[c.alias(n) for n, c in _key_columns().items()])
     own = own.withColumn("copy", F.row_number().over(Window.partitionBy(*keys[:3]).orderBy("id_order")))
     cut = own.join(plan.hint("merge"), keys).select("text", "plan").mapInArrow(_cut, "rank int, block long, inner long, words string")
     whole = cut.groupBy("rank", "block").agg(F.sort_array(F.collect_list(F.struct("inner", "words"))).alias("parts"))  # at most block_words pieces
     whole = whole.select("rank", "block", F.array_join(F.col("parts.words"), " ").alias("words"))
-    return made.slots.join(whole.hint("merge"), ["rank", "block"]).select("shard", "slot", "rank", "epoch", "block", "words")
+    own = F.when(F.col("limit").isNull(), F.col("words")).otherwise(F.array_join(F.slice(F.split("words", " "), F.lit(1), F.col("limit").cast("int")), " "))
+    return made.slots.join(whole.hint("merge"), ["rank", "block"]).select("shard", "slot", "rank", "epoch", "block", own.alias("words"))
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
