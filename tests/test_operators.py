@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from transitloom import cli
 from transitloom.config import ConfigError, Limits, RunConfig, parse_types, resolve_city
 from transitloom.functions import geo, text
 from transitloom.operators import corridor, generate, geometry, mosaic, network, overlap, raster
@@ -704,3 +705,37 @@ def test_error_block(spark):
     lines = files.error_block(states).first().text.split("\n")
     assert lines[0] == "⚠ Ошибки (7):" and len(lines) == 6 and lines[1].endswith(" 1: e1")
     assert files.error_block(states.where("state = 'ok'")).first().text == ""
+
+
+def test_command_line(spark, tmp_path, capsys):
+    with pytest.warns(DeprecationWarning):
+        args = cli.parse_arguments(["kyiv", "--clean-names", "--dedup-strategy", "old", "--type", "tram,bus", "--no-type", "train", "--dedup", "--dedup-passes", "2", "--radius", "5", "-w", "3", "--dedup-strategy=x"])
+    config = cli.configured(args)
+    assert (config.city, config.include, config.exclude, config.dedup_passes) == ("kiev", {"tram", "bus"}, {"train"}, 2)
+    assert config.limits == Limits(2.0, 0.0, 5.0) and config.limits.where is None and config.volume_buffer_m == 800.0
+    for wrong in (["--dedup-passes", "0"], ["--workers", "0"], ["--format", " , "], ["--ghs", "--ghs-buffer", "0"], ["--type", "tram", "--no-type", "tram"], ["--type", "rocket"], ["--ghs-s", "--ghs-s-max", "-1"]):
+        with pytest.raises(ConfigError):
+            cli.configured(cli.parse_arguments(["x", *wrong]))
+    with pytest.raises(SystemExit, match="tables"):
+        cli.main(["x"])
+
+
+def test_command_line_runs_a_batch(spark, tmp_path, capsys):
+    points, _, tiles, pixels = network_on_tiles(spark)
+    tables = {
+        "routes": spark.createDataFrame([(1, "1", "bus", True, None), (2, "2", "tram", True, None), (9, "9", "bus", True, "lost")], "route_id long, name string, route_type string, active boolean, error string"),
+        "points": points,
+        "stops": spark.createDataFrame([(1, 0, 0, 5, "A", 51.66, 39.18), (1, 0, 1, 6, "B", 51.67, 39.2)], "route_id long, di int, seq long, stop_id long, stop_name string, lat double, lon double"),
+        "pois": spark.createDataFrame([], "poi_id long, poi_type string, name string, lat double, lon double"),
+        "pixels": spark.createDataFrame(pixels, "tile_id int, row_no int, col_no int, raw_value double"),
+        "tiles": spark.createDataFrame(tiles, TILES),
+    }
+    for name, frame in tables.items():
+        frame.write.parquet(str(tmp_path / f"{name}.parquet"))
+    (tmp_path / "batch.txt").write_text(f"# two runs\nkiev --tables {tmp_path} --format xlsx --curv 0 --stops -o {tmp_path}/one.xlsx --cache-dir {tmp_path}/cache --ghs-buffer 250\nkiev --dedup-passes 0\n", encoding="utf-8")
+    assert cli.main(["--batch", str(tmp_path / "batch.txt")]) == 1
+    out = capsys.readouterr().out
+    assert "done: kiev --tables" in out and "failed: kiev --dedup-passes 0 (ConfigError" in out and "⚠ Ошибки (1):" in out
+    found = sheets_of(tmp_path / "one.xlsx")
+    assert list(found)[:3] == ["Сводка", "Маршруты", "Ошибки"] and "Остановки" in found and len(found["Маршруты"]) == 4
+    assert mosaic.CorridorCache(spark, str(tmp_path / "cache" / "corridors")).table.rows().count() == 3

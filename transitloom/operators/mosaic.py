@@ -96,8 +96,8 @@ class CorridorCache:
 
     COLUMNS = ("volume", "pixels", "tiles", "corridor_m2")
 
-    def __init__(self, spark: SparkSession, folder: str):
-        self.table = ResultTable(spark, folder, "volume double, pixels long, tiles long, corridor_m2 double")
+    def __init__(self, spark: SparkSession, folder: str, read: bool = True, write: bool = True):
+        self.table = ResultTable(spark, folder, "volume double, pixels long, tiles long, corridor_m2 double", read, write)
 
     def sums(self, points: DataFrame, pixels: DataFrame, tiles: DataFrame, buffer_m: float, paths: list[str]) -> DataFrame:
         """As ``mosaic_sums``; directions whose signature is known are not computed, and if all are, no pixel is read.

@@ -65,8 +65,8 @@ class ResultTable:
     that two writers add at once under a key are equal, as they were made of the same, and are read once.
     """
 
-    def __init__(self, spark: SparkSession, folder: str, schema: str):
-        self.spark, self.folder = spark, folder
+    def __init__(self, spark: SparkSession, folder: str, schema: str, read: bool = True, write: bool = True):
+        self.spark, self.folder, self.read, self.write = spark, folder, read, write
         self.schema = f"key string, {schema}"
 
     def rows(self) -> DataFrame:
@@ -80,11 +80,14 @@ class ResultTable:
 
     def of(self, keys: DataFrame, compute: Callable[[DataFrame], DataFrame]) -> DataFrame:
         """``keys(key, ...)`` with the columns of the results; ``compute`` gets the rows of keys that are not there and returns ``key`` and the columns."""
-        known = self.rows()
+        known = self.rows() if self.read else self.rows().limit(0)
         unknown = written(keys.join(known.select("key"), "key", "left_anti"), "unknown-results")
         if not unknown.isEmpty():
-            compute(unknown).select(*known.columns).dropDuplicates(["key"]).write.mode("append").parquet(self.folder)
-        return keys.join(self.rows(), "key", "left")
+            fresh = written(compute(unknown).select(*known.columns).dropDuplicates(["key"]), "fresh-results")
+            if self.write:
+                fresh.join(self.rows().select("key"), "key", "left_anti").write.mode("append").parquet(self.folder)
+            known = known.unionByName(fresh).dropDuplicates(["key"])
+        return keys.join(known, "key", "left")
 
     def compacted(self, folder: str) -> ResultTable:
         """The same results, each once, in another folder; this one stays until its owner clears it."""
