@@ -22,6 +22,7 @@ ODD = [
     (5, "Äpfel one " * 20_000, "de", "", 200_000),
     (6, "x", "de", "é", 1),
     (7, "x\ny", "de", "z", 3),
+    (8, "aaa bbb one one", "en", "a\0", 15),
     *((100 + i, f"one two number\n{i} aaa bbb " + "one " * (i % 4), "en", "abc"[i % 3], i) for i in range(60)),
 ]
 

@@ -145,7 +145,7 @@ def _whole_f(p: np.ndarray, q: np.ndarray) -> np.ndarray:
 def _shared(cells: pd.DataFrame) -> pd.DataFrame:
     """Of a block of terms: for each two sources, what terms that both hold add to the effects of each against the other's baseline."""
     cells = cells.sort_values(["term", "source"])
-    names, source = np.unique(cells["source"].to_numpy(object).astype(str), return_inverse=True)
+    names, source = np.unique(cells["source"].to_numpy(object), return_inverse=True)
     term = np.unique(cells["term"].to_numpy(object), return_inverse=True)[1]
     p, base = cells["p"].to_numpy(np.int64), cells["base"].to_numpy(np.int64)
     keys, sums = np.zeros(0, np.int64), np.zeros(0, np.int64)
