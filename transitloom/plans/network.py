@@ -28,10 +28,10 @@ def _flat(points: DataFrame) -> DataFrame:
 
 
 class Network:
-    """Results of a run by name; each is a DataFrame that is computed when it is used.
+    """Results of a run by name; each is a DataFrame that is computed when it is asked for.
 
-    What several results build on is persisted, so that it is computed once and plans stay small;
-    ``close`` lets it go.
+    What several results build on is written, so that it is computed once, survives lost executors and plans stay small; the tables
+    stay in the shared folder.
 
     routes: ``(route_id, name, route_type, active, error)``; points: ``(route_id, di, seq, lat, lon)``; stops:
     ``(route_id, di, seq, stop_id, stop_name, lat, lon)``; pois: ``(poi_id, poi_type, name, lat, lon)``; pixels:
@@ -53,17 +53,14 @@ class Network:
         cache: mosaic.CorridorCache | None = None,
         paths: tuple[str, ...] = (),
     ):
-        self.kept: list[DataFrame] = []
         self.tiles, self.cache, self.paths = tiles, cache, list(paths)
         self.config, self.all_routes, self.all_points, self.all_stops, self.pois, self.pixels = config, routes, points, stops, pois, pixels
 
     def _keep(self, df: DataFrame) -> DataFrame:
-        self.kept.append(df.persist())
-        return self.kept[-1]
+        return written(df, "network")
 
     def close(self) -> None:
-        for df in self.kept:
-            df.unpersist()
+        """Nothing is held in memory; callers that end a run say so here."""
 
     @cached_property
     def states(self) -> DataFrame:
