@@ -36,7 +36,7 @@ from .common import LOWER, UPPER, table, written
 
 MIN_DOCS, TOP, SCALE = 3, 200, 1_000_000_000
 #: Rows of counts a task holds before it hands them on, cells of a block of terms, and parts of a join that a group's cells are dealt over.
-HELD, BLOCK_CELLS, SALTS = 1_000_000, 50_000, 16
+HELD, BLOCK_CELLS, SALTS = 300_000, 50_000, 16
 
 _letter = np.zeros(256, np.uint8)
 for _b in range(256):
