@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..tables import written
+from . import shapes
 from .overlap import CELL_BUFFERS, _cells
 
 SPREAD = 1e-8
@@ -135,11 +137,18 @@ def corridor_areas(segments: DataFrame, radius_m: float) -> DataFrame:
     """
     if radius_m <= 0:
         raise ValueError("radius_m must be above 0")
+    groups = shapes.alike(segments, ["node"], ["seg"], _ENDS)
+    return shapes.for_all(written(_areas(shapes.firsts(segments, groups, ["node"]), radius_m), "areas"), groups, ["node"])
+
+
+def _areas(segments: DataFrame, radius_m: float) -> DataFrame:
+    """As ``corridor_areas``, node by node."""
     own = capsules(segments, radius_m)
     cell = radius_m * CELL_BUFFERS * 1.001  # capsules touch within two radii
     placed = _cells(own, cell, 0).select("node", "cx", "cy", *_ENDS, "r")
     near = _cells(own, cell, 1).select("node", "cx", "cy", *(F.col(c).alias(f"b_{c}") for c in [*_ENDS, "r"]))
-    pairs = placed.join(near, ["node", "cx", "cy"]).drop("cx", "cy")
+    # cells are many more than their table's size tells, so neither side is sent to every executor
+    pairs = placed.join(near.hint("merge"), ["node", "cx", "cy"]).drop("cx", "cy")
     lo, hi = lambda p, c: F.least(p + c + "1", p + c + "2"), lambda p, c: F.greatest(p + c + "1", p + c + "2")
     for c in "xy":
         pairs = pairs.where((lo("", c) <= hi("b_", c) + 2.001 * radius_m) & (lo("b_", c) <= hi("", c) + 2.001 * radius_m))
