@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.geo import planar_segment_km
 from ..functions.text import heat_color
 from ..tables import numbered, written
+from . import shapes
 from .geometry import DIRECTION, segments
 
 # What stands for no data, and the largest value that is believed.
@@ -163,8 +164,10 @@ def corridor_sums(points: DataFrame, pixels: DataFrame, buffer_m: float, north:
     """route_id, di, volume, pixels, tiles: the pixels whose centre is within the buffer of a direction, each once.
 
     A segment is cut into pieces of at most ``PIECE`` rows and columns; a piece meets the pixels of its rows and columns, a buffer wider, by an
-    equi-join, and the distance to the whole segment decides.
+    equi-join, and the distance to the whole segment decides. Directions of the same shape share their sums.
     """
+    groups = shapes.alike(points, DIRECTION, ["seq"], ["lat", "lon"])
+    points = shapes.firsts(points, groups, DIRECTION)
     high = buffer_m / 111_000.0
     reach = F.greatest(F.abs(F.col("lat2") - F.col("lat1")), F.abs(F.col("lon2") - F.col("lon1"))) / (step * PIECE)
     seg = segments(points).withColumn("pieces", F.greatest(F.ceil(reach), F.lit(1)))
@@ -178,9 +181,11 @@ def corridor_sums(points: DataFrame, pixels: DataFrame, buffer_m: float, north:
     seg = seg.withColumn("row_no", F.explode(F.sequence(rows[0], rows[1] + 1))).withColumn("col_no", F.explode(F.sequence(cols[0], cols[1] + 1)))
     cells = pixels.select("tile_id", "row_no", "col_no", "lat", "lon", clean_value(F.col("raw_value")).alias("value"))
     near = planar_segment_km(F.col("lat"), F.col("lon"), F.col("lat1"), F.col("lon1"), F.col("lat2"), F.col("lon2")) <= buffer_m / 1000
-    hits = seg.join(cells, ["row_no", "col_no"]).where(near).select(*DIRECTION, "tile_id", "row_no", "col_no", "value").distinct()
+    # rows and columns are many more than the points' size tells, so they are not sent to every executor
+    hits = seg.hint("merge").join(cells, ["row_no", "col_no"]).where(near).select(*DIRECTION, "tile_id", "row_no", "col_no", "value").distinct()
     by_tile = hits.groupBy(*DIRECTION, "tile_id").agg(F.sum("value").alias("volume"), F.count("*").alias("pixels"))
-    return by_tile.groupBy(*DIRECTION).agg(F.sum("volume").alias("volume"), F.sum("pixels").alias("pixels"), F.count("*").alias("tiles"))
+    sums = by_tile.groupBy(*DIRECTION).agg(F.sum("volume").alias("volume"), F.sum("pixels").alias("pixels"), F.count("*").alias("tiles"))
+    return shapes.for_all(written(sums, "corridor-sums"), groups, DIRECTION)
 
 
 def route_totals(directions: DataFrame) -> DataFrame:
