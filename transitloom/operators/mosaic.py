@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ..functions.geo import MOLLWEIDE, is_utm, with_projected_xy
 from ..sources.files import ResultTable, source_signature
 from ..tables import written
+from . import shapes
 from .corridor import corridor_areas
 from .geometry import DIRECTION, network_bbox, signatures
 from .overlap import CELL_BUFFERS, _cells, node_segments
@@ -55,8 +56,8 @@ def _believed(value: Column, nodata: float, greatest: float) -> Column:
 def mosaic_sums(points: DataFrame, pixels: DataFrame, tiles: DataFrame, buffer_m: float, nodata: float = NODATA, greatest: float = GREATEST) -> DataFrame:
     """route_id, di, volume, pixels, tiles, corridor_m2 of every direction ``(route_id, di, seq, lat, lon)`` that has a length.
 
-    The buffer is drawn in each tile's own projection, and a tile's pixel counts whose centre is in it. The area is that of the buffer
-    where the tiles have one projection; with several it is added up over the tiles that had a pixel, each in its own projection.
+    The buffer is drawn in each tile's own projection, and a tile's pixel counts whose centre is in it. Directions of the same shape share their
+    sums. The area is that of the buffer where the tiles have one projection; with several it is added up over the tiles that had a pixel, each in its own projection.
     """
     names = ["route_id", "di", "volume", "pixels", "tiles", "corridor_m2"]
     box = network_bbox(points).first()  # one row
@@ -70,6 +71,8 @@ def mosaic_sums(points: DataFrame, pixels: DataFrame, tiles: DataFrame, buffer_m
     ids = [r.tile_id for r in near.select("tile_id").limit(NAMED_TILES + 1).collect()]
     wanted = pixels.where(F.col("tile_id").isin(ids)) if len(ids) <= NAMED_TILES else pixels
 
+    groups = shapes.alike(points, DIRECTION, ["seq"], ["lat", "lon"])
+    points = shapes.firsts(points, groups, DIRECTION)
     flat = with_projected_xy(points.select(*DIRECTION, "seq", "lat", "lon", F.explode(F.array(*map(F.lit, epsgs))).alias("epsg")))
     node = F.struct(*DIRECTION, "epsg").alias("node")
     lines = node_segments(flat.select(node, F.lit(0).alias("line"), "seq", "x", "y"))
@@ -81,14 +84,15 @@ def mosaic_sums(points: DataFrame, pixels: DataFrame, tiles: DataFrame, buffer_m
     bx, by = F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")
     share = F.greatest(F.lit(0.0), F.least(F.lit(1.0), ((F.col("x") - F.col("x1")) * bx + (F.col("y") - F.col("y1")) * by) / (bx * bx + by * by)))
     apart = F.hypot(F.col("x") - F.col("x1") - share * bx, F.col("y") - F.col("y1") - share * by)
-    hits = placed.join(pieces, ["epsg", "cx", "cy"]).where(apart <= buffer_m).select("node", "tile_id", "row_no", "col_no", "raw_value").distinct()
+    # cells are many more than their table's size tells, so they are not sent to every executor
+    hits = placed.join(pieces.hint("merge"), ["epsg", "cx", "cy"]).where(apart <= buffer_m).select("node", "tile_id", "row_no", "col_no", "raw_value").distinct()
     by_tile = hits.groupBy("node", "tile_id").agg(F.sum("raw_value").alias("volume"), F.count("*").alias("pixels"))
     by_node = by_tile.groupBy("node").agg(F.sum("volume").alias("volume"), F.sum("pixels").alias("pixels"), F.count("*").alias("tiles"))
     areas = corridor_areas(lines, buffer_m) if buffer_m > 0 else lines.select("node").distinct().withColumn("corridor_m2", F.lit(0.0))
     both = areas.join(by_node, "node", "left").na.fill(0, ["pixels", "tiles"]).na.fill(0.0, ["volume"])
     area = F.max("corridor_m2") if len(epsgs) == 1 else F.sum(F.col("corridor_m2") * F.col("tiles"))
     sums = both.groupBy("node.route_id", "node.di").agg(F.sum("volume").alias("volume"), F.sum("pixels").alias("pixels"), F.sum("tiles").alias("tiles"), area.alias("corridor_m2"))
-    return sums.select(names)
+    return shapes.for_all(sums.select(names), groups, DIRECTION)
 
 
 class CorridorCache:
