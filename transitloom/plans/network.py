@@ -157,8 +157,7 @@ class Network:
 
     @cached_property
     def poi_stats(self) -> DataFrame:
-        hits = nearby.near_segments(self.pois.where("name IS NOT NULL"), self.points, self.config.poi_buffer_m)
-        return nearby.poi_stats(hits, nearby.poi_values(hits.select("poi_id", "poi_type").distinct()), ["route_id", "di"])
+        return nearby.near_stats(self.pois.where("name IS NOT NULL"), self.points, self.config.poi_buffer_m, ["route_id", "di"])
 
     @cached_property
     def stops(self) -> DataFrame:
