@@ -235,23 +235,29 @@ def _closed_in_ties(upward: DataFrame) -> DataFrame:
     """node, other, kmax of the edges that close with their node, of nodes that have an edge to one of the same volume.
 
     upward: ``(node, other, kmax, tied)``, every edge from such a node to one of no less volume. A node's order is that of its largest live
-    edge, then its id, and can only fall back as edges close. So whoever comes before all its neighbours goes before them in any
-    case: all such nodes go at once, in rounds over the edge table. What a long chain of dependencies leaves is
+    edge, then its id, and can only fall back as edges close. It is sure where it comes before all its neighbours, or where its largest edge leads
+    to more volume or to a later node whose largest edge it is, too, as among copies: that edge stays till the node goes. An edge whose
+    earlier end is sure closes with that end, and the other end is without it by the time that it can go. So all such edges are
+    settled at once, in rounds over the edge table. What a long chain of dependencies leaves is
     run through the rule itself, a group per component.
     """
     live, closed = written(upward, "tied-edges"), None
     for _ in range(ROUNDS):
         if live.where("tied").count() <= GROUPED_EDGES:
             break
-        best = live.groupBy("node").agg(F.max("kmax").alias("best"))
-        tied = live.where("tied").select("node", "other").join(best, "node").join(best.select(F.col("node").alias("other"), F.col("best").alias("other_best")), "other")
-        after = (F.col("other_best") > F.col("best")) | ((F.col("other_best") == F.col("best")) & (F.col("other") < F.col("node")))
-        waiting = tied.where(after).select("node").distinct()
-        first = written(live.select("node").distinct().join(waiting, "node", "left_anti"), "tied-first")
-        gone = live.join(first, "node", "left_semi").select("node", "other", "kmax")
-        closed = gone if closed is None else closed.union(gone)
-        left = live.join(first, "node", "left_anti").join(first.withColumnRenamed("node", "other").withColumn("gone", F.lit(True)), "other", "left")
-        live = written(left.where("NOT tied OR gone IS NULL").select("node", "other", "kmax", "tied"), "tied-edges")
+        best = written(live.groupBy("node").agg(F.max("kmax").alias("best"), F.bool_or("tied").alias("any")), "tied-best")
+        valued = live.join(best, "node")
+        done = valued.where("NOT any").select("node", "other", "kmax")
+        closed = done if closed is None else closed.union(done)
+        both = valued.where("any").join(best.select(F.col("node").alias("other"), F.col("best").alias("other_best")), "other", "left")
+        earlier = (F.col("other_best") > F.col("best")) | ((F.col("other_best") == F.col("best")) & (F.col("other") < F.col("node")))
+        stays = (F.col("kmax") == F.col("best")) & (~F.col("tied") | ((F.col("other_best") == F.col("best")) & (F.col("other") > F.col("node"))))
+        both = both.withColumns({"earlier": F.col("tied") & earlier, "stays": stays}).select("node", "other", "kmax", "tied", "earlier", "stays")
+        sure = both.groupBy("node").agg((F.bool_or("stays") | ~F.bool_or("earlier")).alias("sure")).where("sure")
+        sure = written(sure, "tied-sure")
+        told = both.drop("stays").join(sure, "node", "left").join(sure.withColumnsRenamed({"node": "other", "sure": "other_sure"}), "other", "left")
+        left = told.where("NOT earlier OR other_sure IS NULL")
+        live = written(left.select("node", "other", "kmax", (F.col("tied") & (F.col("earlier") | F.col("sure").isNull())).alias("tied")), "tied-edges")
     alone = live.groupBy("node").agg(F.bool_or("tied").alias("any")).where("NOT any")
     parts = [live.join(alone, "node", "left_semi").select("node", "other", "kmax"), *([] if closed is None else [closed])]
     if not live.where("tied").isEmpty():
@@ -319,6 +325,15 @@ def removals_weighted(edges: DataFrame, volumes: DataFrame, distances: DataFrame
         live: dict = {}
         for node, other, k in zip(rows["node"], rows["other"], rows["kmax"], strict=True):
             live.setdefault(node, {})[other] = k
+        # a node's neighbours by falling edges: the first that is left has the largest
+        falling = {node: sorted(edges, key=edges.__getitem__) for node, edges in live.items()}
+
+        def largest(node: int) -> float:
+            edges, others = live[node], falling[node]
+            while others[-1] not in edges:
+                others.pop()
+            return edges[others[-1]]
+
         volume = dict(zip(rows["node"], rows["volume"], strict=True))
         distance = dict(zip(rows["node"], rows["distance"], strict=True))
         ranked = [sorted(live, key=of.__getitem__) for of in (volume, distance)]
@@ -330,19 +345,19 @@ def removals_weighted(edges: DataFrame, volumes: DataFrame, distances: DataFrame
                 while nodes[-1] not in live:
                     nodes.pop()
             greatest = (volume[ranked[0][-1]] or 1.0, distance[ranked[1][-1]] or 1.0)
-            entry = lambda n: ((1 - center_weight) * volume[n] / greatest[0] - center_weight * distance[n] / greatest[1], -max(live[n].values()), n)  # noqa: E731, B023
+            entry = lambda n: ((1 - center_weight) * volume[n] / greatest[0] - center_weight * distance[n] / greatest[1], -largest(n), n)  # noqa: E731, B023
             if greatest != scale:
                 scale, heap = greatest, [entry(n) for n in live]
                 heapq.heapify(heap)
             _, strongest, node = heapq.heappop(heap)
-            if node not in live or -strongest != max(live[node].values()):
+            if node not in live or -strongest != largest(node):
                 continue  # a newer entry tells of it
             gone = live.pop(node)
             for other, k in gone.items():
                 del live[other][node]
                 if not live[other]:
                     del live[other]
-                elif k > max(live[other].values()):
+                elif k > largest(other):
                     heapq.heappush(heap, entry(other))
             out.append((len(out) + 1, node, len(gone), min(gone, key=lambda o: (-gone[o], o))))
         return pd.DataFrame(out, columns=["step", "node", "partners", "representative"])
