@@ -59,18 +59,23 @@ def _near_places(pois: DataFrame, points: DataFrame, buffer_m: float, greatest_l
     column = lambda x: F.floor(F.col(x) / wide)
     longest = F.greatest(F.abs(F.col("lat2") - F.col("lat1")) / cell, F.abs(F.col("lon2") - F.col("lon1")) / wide)
     pieces = F.greatest(F.lit(1), F.ceil(longest / PIECE_CELLS)).cast("int")
-    cut = segments(points).withColumn("pieces", pieces).withColumn("piece", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)))
+    coordinates = ["lat1", "lon1", "lat2", "lon2"]
+    passed = written(segments(points).select(*DIRECTION, *coordinates).distinct(), "passed-segments")
+    cut = passed.select(coordinates).distinct().withColumn("pieces", pieces).withColumn("piece", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)))
     for c in ("lat", "lon"):
         at = lambda k, c=c: F.col(c + "1") + (F.col(c + "2") - F.col(c + "1")) * k / F.col("pieces")
         cut = cut.withColumn(f"{c}_a", at(F.col("piece"))).withColumn(f"{c}_b", at(F.col("piece") + 1))
     span = lambda f, c: F.sequence(F.least(f(f"{c}_a"), f(f"{c}_b")) - 1, F.greatest(f(f"{c}_a"), f(f"{c}_b")) + 1)
     cells = cut.withColumn("cell_row", F.explode(span(row, "lat"))).withColumn("cell_column", F.explode(span(column, "lon")))
-    cells = cells.select(*DIRECTION, "lat1", "lon1", "lat2", "lon2", "cell_row", "cell_column").distinct()
+    cells = cells.select(*coordinates, "cell_row", "cell_column").distinct()
     placed = pois.select("lat", "lon").distinct().withColumns({"cell_row": row("lat"), "cell_column": column("lon")})
     ends = [F.col(c) for c in ("lat", "lon", "lat1", "lon1", "lat2", "lon2")]
     close = (planar_segment_km(*ends) <= 1.5 * buffer_m / 1000) & (segment_distance_km(*ends) <= buffer_m / 1000)
-    # cells are many more than the points' size tells, so they are not sent to every executor
-    return placed.join(cells.hint("merge"), ["cell_row", "cell_column"]).where(close).select("lat", "lon", *DIRECTION).distinct()
+    # cells are many more than the points' size tells, so they are not sent to every executor; distances take long for so few bytes, so tasks are not merged
+    spark = points.sparkSession
+    dealt = lambda df: df.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "cell_row", "cell_column")
+    met = dealt(placed).join(dealt(cells).hint("merge"), ["cell_row", "cell_column"]).where(close).select("lat", "lon", *coordinates)
+    return written(met, "near-segments").join(passed, coordinates).select("lat", "lon", *DIRECTION).distinct()
 
 
 def poi_values(pois: DataFrame, total: float = 1000.0) -> DataFrame:
