@@ -308,6 +308,50 @@ def test_generated_paths_equal_the_rule(spark, status):
     assert "c" not in got  # it stands at its destination
 
 
+@pytest.mark.parametrize("copies", [5, 60])
+def test_a_path_meets_places_not_stops(spark, monkeypatch, copies):
+    """Few places of many stops, and a gap before the goal: the path goes to and fro until the stops or its length run out. A task gets a row a place."""
+    spots = [(400.0, 1500.0), (800.0, 1500.0), (1200.0, 1500.0), (1200.0, 1900.0), (1600.0, 1700.0)]
+    stops = {f"s{(k * 37) % 1000:03d}": spots[k % 5] for k in range(5 * copies)}
+    ends = {"a": (0.0, 1500.0, 9.0), "b": (9000.0, 1400.0, 5.0)}
+    grid = generate.Grid(west=-500.0, north=3500.0, width=100.0, height=80.0)
+    pixels = {(r, c): float((r * 7 + c * 3) % 11) for r in range(50) for c in range(30)}
+    how = generate.Growth(first_radius=500.0, last_radius=1100.0, step=200.0, corridor_m=300.0)
+    place = lambda p: (p[0], p[1], 51 + p[1] / 111000, 39 + p[0] / 70000)
+    frame = spark.createDataFrame([(k, *place(p)) for k, p in stops.items()], "key string, x double, y double, lat double, lon double")
+    found = spark.createDataFrame([(k, *place(p), p[2]) for k, p in ends.items()], "key string, x double, y double, lat double, lon double, volume double")
+    found = numbered(found, "rank", generate.F.desc("volume"), "key")
+    cells = spark.createDataFrame([(r, c, x) for (r, c), x in pixels.items()], "row_no long, col_no long, raw_value double")
+    met, grow = spark.sparkContext.accumulator(0), generate.grow
+    monkeypatch.setattr(generate, "grow", lambda *a: (met.add(len(a[2])), grow(*a))[1])
+    row = generate.generate_routes(frame, found, cells, grid, 1, how).first()
+    path, metres, total, said = hand_path(ends["a"][:2], ends["b"][:2], stops, pixels, grid, how)
+    assert said == (generate.NO_STOPS if copies == 5 else generate.TOO_LONG) and max(path.count(k) for k in path) == 1
+    assert (row.status, row.stops, row.chain) == (said, len(path), " → ".join(["a", *path, "b"]))
+    assert row.volume == pytest.approx(total) and row.length_km * 1000 == pytest.approx(metres + math.dist(stops[path[-1]], ends["b"][:2]))
+    assert met.value == len(spots)
+
+
+def test_places_keep_the_least_keys(spark):
+    rows = spark.createDataFrame([(f"k{k}", float(k % 2), 0.0, 51.0, 39.0) for k in range(9)], "key string, x double, y double, lat double, lon double")
+    got = {r.x: r["keys"] for r in generate.places(rows, 3).collect()}
+    assert got == {0.0: ["k0", "k2", "k4"], 1.0: ["k1", "k3", "k5"]}
+    assert {len(r["keys"]) for r in generate.places(rows, None).collect()} == {4, 5}
+    assert generate.visits(generate.Growth(least_step=0.0)) is None and generate.visits(generate.Growth(longest_m=90.0, least_step=30.0)) >= 2
+
+
+def test_stop_rows_of_generated_routes_are_read_once(spark, monkeypatch):
+    from transitloom.plans import registry, surrogate
+
+    folder, read = "/root/testdata/sf0.001", spark.sparkContext.accumulator(0)
+    rows = surrogate.Views(spark, folder).stops_seq.count()
+    spark.udf.register("counted_name", lambda name: (read.add(1), name)[1])
+    text = f"SELECT route_id, di, seq, stop_id, counted_name(stop_name) AS stop_name, lat, lon FROM ({surrogate.SPARK['stops_seq']}) AS rows_of_stops"
+    monkeypatch.setitem(surrogate.SPARK, "stops_seq", text)
+    registry.QUERIES["gen5_generated_routes"](spark, folder).collect()
+    assert read.value == rows
+
+
 def test_terminals_are_matched_beyond_the_busiest(spark):
     """The best terminals lie together; a destination far away comes after all of them. Origins run out and begin again."""
     rows = [(f"t{k:02d}", float(k), 0.0, 100.0 - k) for k in range(40)] + [("z", 9000.0, 0.0, 1.0)]

@@ -1,7 +1,7 @@
 """New routes between terminals, grown stop by stop towards the most built-up corridor.
 
 Pairs of terminals are matched first; the paths of different pairs do not
-depend on one another, so each is grown in a task of its own over the stops and pixels that it can reach.
+depend on one another, so each is grown in a task of its own over the places and pixels that it can reach.
 """
 
 from __future__ import annotations
@@ -130,9 +130,27 @@ def corridor_volume(grid: Grid, total: np.ndarray, start: tuple[float, float], x
     return np.maximum(0, np.bincount(of, total[r1, c1] - total[r0, c1] - total[r1, c0] + total[r0, c0], len(x)))
 
 
-def grow(start: tuple[float, float], goal: tuple[float, float], x: np.ndarray, y: np.ndarray, volume_to, how: Growth) -> tuple[list[int], float, float, str]:
-    """``(stops, metres, volume, status)`` of one path over stops; ``volume_to(at, x, y)`` values the ways from a place."""
-    used = np.zeros(len(x), bool)
+def visits(how: Growth) -> int | None:
+    """How often a path can come to one place at most: it leaves for another one between, and each way is longer than the least; None without such a bound."""
+    return math.ceil(how.longest_m / how.least_step) // 2 + 2 if how.least_step > 0 else None
+
+
+def places(stops: DataFrame, most: int | None) -> DataFrame:
+    """x, y, lat, lon, keys: a row a place, with the ``most`` least keys of its stops in order.
+
+    Stops of one place differ in their keys alone, and a path takes these in order, so more than it has visits cannot matter.
+    """
+    place = ["x", "y", "lat", "lon"]
+    least = stops.select(*place, "key")
+    if most is not None:
+        turn = Window.partitionBy(*place).orderBy("key")
+        least = least.withColumn("turn_of_key", F.row_number().over(turn)).where(F.col("turn_of_key") <= most)
+    return least.groupBy(*place).agg(F.sort_array(F.collect_list("key")).alias("keys"))
+
+
+def grow(start: tuple[float, float], goal: tuple[float, float], x: np.ndarray, y: np.ndarray, keys: list, volume_to, how: Growth) -> tuple[list[tuple[int, str]], float, float, str]:
+    """``(stops, metres, volume, status)`` of one path over places, a stop as its place and key; ``volume_to(at, x, y)`` values the ways from a place."""
+    left, taken = np.array([len(k) for k in keys]), np.zeros(len(x), int)
     at, path, metres, volume = start, [], 0.0, 0.0
     while True:
         to_goal = math.hypot(goal[0] - at[0], goal[1] - at[1])
@@ -141,7 +159,7 @@ def grow(start: tuple[float, float], goal: tuple[float, float], x: np.ndarray, y
         if metres >= how.longest_m:
             return path, metres, volume, TOO_LONG
         away = np.hypot(x - at[0], y - at[1])
-        free = ~used & (away > how.least_step)
+        free = (left > 0) & (away > how.least_step)
         radius, near = how.first_radius, np.zeros(0, int)
         while radius <= how.last_radius and not len(near):
             near = np.flatnonzero(free & (away <= radius))
@@ -153,11 +171,12 @@ def grow(start: tuple[float, float], goal: tuple[float, float], x: np.ndarray, y
         worth = volume_to(at, x[pool], y[pool])
         if worth.max() <= 0:
             return path, metres, volume, NO_VOLUME
-        chosen = int(pool[np.argmax(worth)])
-        used[chosen] = True
+        key, chosen = min((keys[k][taken[k]], int(k)) for k in pool[worth == worth.max()])
+        left[chosen] -= 1
+        taken[chosen] += 1
         metres += float(away[chosen])
         volume += float(worth.max())
-        path.append(chosen)
+        path.append((chosen, key))
         at = (float(x[chosen]), float(y[chosen]))
 
 
@@ -171,8 +190,9 @@ def generate_routes(stops: DataFrame, found: DataFrame, pixels: DataFrame, grid:
     """n, origin, destination, stops, length_km, ratio, volume, status, chain, points; paths of under three stops are dropped, n counts the others.
 
     stops: ``(key, x, y, lat, lon)``; found: terminals with the same, volume and rank; pixels: ``(row_no, col_no, raw_value)`` on ``grid``.
-    A pair meets the stops and pixels within the greatest length and one radius of its origin: more it cannot reach. A network
-    of under ten stops or two terminals has no new routes. Of ways of equal volume that to the least key is taken.
+    A pair meets the places and pixels within the greatest length and one radius of its origin: more it cannot reach. Stops of one
+    place are one row, so a task grows with the places in reach, not with the stops. A network of under ten stops or two terminals
+    has no new routes. Of ways of equal volume that to the least key is taken.
     """
     spark = stops.sparkSession
     pairs = matched(stops, found, count) if stops.count() >= LEAST_STOPS else []
@@ -184,31 +204,32 @@ def generate_routes(stops: DataFrame, found: DataFrame, pixels: DataFrame, grid:
         side = ends.select(F.col("key").alias(name), *(F.col(c).alias(f"{name}_{c}") for c in ("x", "y", "lat", "lon")))
         table = table.join(side, name)
     table = table.persist()  # a row a pair
-    # the pairs, ``count`` at most, against all stops and all pixels
+    known = {r.n: r for r in table.collect()}
+    spots = table.select("n", "origin_x", "origin_y")
+    # the pairs, ``count`` at most, against all places and all pixels
     reach = how.longest_m + how.last_radius
     near = lambda x, y, more: F.hypot(x - F.col("origin_x"), y - F.col("origin_y")) <= reach + more
-    around = stops.select("key", "x", "y", "lat", "lon").join(F.broadcast(table), near(F.col("x"), F.col("y"), 0.0))
+    around = places(stops, visits(how)).join(F.broadcast(spots), near(F.col("x"), F.col("y"), 0.0)).drop("origin_x", "origin_y")
     px, py = grid.west + (F.col("col_no") + 0.5) * grid.width, grid.north - (F.col("row_no") + 0.5) * grid.height
     cells = pixels.groupBy("row_no", "col_no").agg(F.sum(clean_value(F.col("raw_value"))).alias("value")).where("value > 0")
     wide = how.corridor_m + 50 + math.hypot(grid.width, grid.height)
-    cells = cells.join(F.broadcast(table.select(F.col("n").alias("pair"), "origin_x", "origin_y")), near(px, py, wide)).select("pair", "row_no", "col_no", "value")
+    cells = cells.join(F.broadcast(spots.withColumnRenamed("n", "pair")), near(px, py, wide)).select("pair", "row_no", "col_no", "value")
 
     def path(rows: pd.DataFrame, ground: pd.DataFrame) -> pd.DataFrame:
         if not len(rows):
             return pd.DataFrame([], columns=COLUMNS)
-        rows = rows.sort_values("key", ignore_index=True)
-        one = rows.iloc[0]
+        one = known[int(rows.n.iloc[0])]
         own, total = integral(grid, ground.row_no.to_numpy(), ground.col_no.to_numpy(), ground.value.to_numpy())
         value = lambda at, x, y: corridor_volume(own, total, at, x, y, how.corridor_m)
         start, goal = (pd.Series({c: one[f"{e}_{c}"] for c in ("x", "y", "lat", "lon")}) for e in ("origin", "destination"))
-        picked, metres, volume, status = grow((start.x, start.y), (goal.x, goal.y), rows.x.to_numpy(), rows.y.to_numpy(), value, how)
+        picked, metres, volume, status = grow((start.x, start.y), (goal.x, goal.y), rows.x.to_numpy(), rows.y.to_numpy(), rows["keys"].tolist(), value, how)
         if len(picked) < LEAST_PATH:
             return pd.DataFrame([], columns=COLUMNS)
-        last = rows.iloc[picked[-1]]
+        last = rows.iloc[picked[-1][0]]
         length = (metres + math.hypot(last.x - goal.x, last.y - goal.y)) / 1000
         base = _great_circle_km(start, goal)
-        points = [{"lat": float(p.lat), "lon": float(p.lon)} for p in (start, *(rows.iloc[k] for k in picked), goal)]
-        names = " → ".join([one.origin, *rows.key.iloc[picked], one.destination])
+        points = [{"lat": float(p.lat), "lon": float(p.lon)} for p in (start, *(rows.iloc[k] for k, _ in picked), goal)]
+        names = " → ".join([one.origin, *(key for _, key in picked), one.destination])
         ratio = length / base if base > LEAST_BASE_KM else math.inf
         return pd.DataFrame([(one.n, one.origin, one.destination, len(picked), length, ratio, volume, status, names, points)], columns=COLUMNS)
 

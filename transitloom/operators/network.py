@@ -78,15 +78,15 @@ def unique_stops(stops: DataFrame, routes: DataFrame) -> DataFrame:
     order = F.struct("route_id", "di", "seq")
     placed = F.col("lat").isNotNull() & F.col("lon").isNotNull()
     keyed = stops.join(routes.where("error IS NULL").select("route_id", "route_type"), "route_id").withColumn("key", stop_key(F.col("stop_id"), F.col("stop_name")))
-    return keyed.groupBy("key").agg(
+    # coordinates together: a struct as order makes each aggregate one more that is sorted
+    found = keyed.groupBy("key").agg(
         F.min_by("stop_id", order).alias("stop_id"),
         F.min_by(text.squeeze(F.col("stop_name")), order).alias("name"),
-        F.min_by("lat", F.when(placed, order)).alias("lat"),
-        F.min_by("lon", F.when(placed, order)).alias("lon"),
-        F.min_by("seq", F.when(placed, order)).alias("idx"),
+        F.min_by(F.struct("lat", "lon", "seq"), F.when(placed, order)).alias("at"),
         F.sort_array(F.collect_set("route_type")).alias("types"),
         F.sort_array(F.collect_set("route_id")).alias("routes"),
     )
+    return found.select("key", "stop_id", "name", "at.lat", "at.lon", F.col("at.seq").alias("idx"), "types", "routes")
 
 
 def endpoints(stops: DataFrame) -> DataFrame:

@@ -132,6 +132,14 @@ def window_sums(pixels: DataFrame, squares: DataFrame, by: str) -> DataFrame:
     return squares.select(by).join(found, by, "left").select(by, F.coalesce("volume", F.lit(0.0)).alias("volume"))
 
 
+def shared_window_sums(pixels: DataFrame, squares: DataFrame, by: str) -> DataFrame:
+    """``window_sums`` where many squares are equal, as those of stops at one place are: each is summed once."""
+    edges = ["row_lo", "row_hi", "col_lo", "col_hi"]
+    square = F.struct(*edges).alias("square")
+    sums = written(window_sums(pixels, squares.select(*edges).distinct().select(square, *edges), "square"), "square-sums")
+    return squares.select(by, square).join(sums, "square").select(by, "volume")
+
+
 def pyramid(pixels: DataFrame, boxes: DataFrame, by: str, most: int = 2048 * 2048) -> DataFrame:
     """by, level, scale, row_no, col_no, raw_value: the part of the raster in each box ``(by, row_lo, row_hi, col_lo, col_hi)``, as fine as ``most`` cells allow.
 

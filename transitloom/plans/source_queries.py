@@ -203,28 +203,33 @@ def _(v: Views) -> DataFrame:
     return files.error_block(network.route_state(v.routes, v.points))
 
 
-def _terminals(v: Views) -> tuple[DataFrame, DataFrame]:
-    stops = network.unique_stops(v.stops_seq, v.routes).where("lat IS NOT NULL AND lon IS NOT NULL")
-    volumes = raster.window_sums(v.pixels, raster.point_squares(stops, "key", 2), "key")
-    flat = geometry.local_xy(stops, 51.6, 39.1).join(volumes, "key").select("key", "x", "y", "lat", "lon", "volume")
+def _terminals(v: Views, pixels: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The stops and the terminals. The rows of stops, the stops and both results are written, as each is read several times."""
+    rows = written(v.stops_seq.select("route_id", "di", "seq", "stop_id", "stop_name", "lat", "lon"), "stop-rows")
+    stops = written(network.unique_stops(rows, v.routes).where("lat IS NOT NULL AND lon IS NOT NULL").select("key", "lat", "lon"), "stops")
+    volumes = raster.shared_window_sums(pixels, raster.point_squares(stops, "key", 2), "key")
+    flat = written(geometry.local_xy(stops, 51.6, 39.1).join(volumes, "key").select("key", "x", "y", "lat", "lon", "volume"), "stop-volumes")
     # the stops of the streets stand at their routes' terminals
-    ends = v.stops_seq.withColumn("key", network.stop_key(F.col("stop_id"), F.col("stop_name"))).groupBy("route_id", "di").agg(F.min_by("key", "seq").alias("a"), F.max_by("key", "seq").alias("b"))
-    ends = ends.select("route_id", "di", F.explode(F.array("a", "b")).alias("key")).join(flat.select("key", "x", "y", "lat", "lon"), "key")
-    return flat, generate.terminals(ends, flat)
+    stop = F.struct("stop_id", "stop_name")
+    ends = rows.groupBy("route_id", "di").agg(F.min_by(stop, "seq").alias("a"), F.max_by(stop, "seq").alias("b"))
+    ends = ends.select("route_id", "di", F.explode(F.array("a", "b")).alias("stop")).where("stop IS NOT NULL").withColumn("key", network.stop_key(F.col("stop.stop_id"), F.col("stop.stop_name")))
+    ends = ends.select("route_id", "di", "key").join(flat.select("key", "x", "y", "lat", "lon"), "key")
+    return flat, written(generate.terminals(ends, flat), "terminals")
 
 
 @REGISTER("gen1_terminals")
 def _(v: Views) -> DataFrame:
-    return _terminals(v)[1].select("key", F.round("x", 3).alias("x"), F.round("y", 3).alias("y"), "volume", F.col("rank").cast("bigint").alias("rank"))
+    return _terminals(v, v.pixels)[1].select("key", F.round("x", 3).alias("x"), F.round("y", 3).alias("y"), "volume", F.col("rank").cast("bigint").alias("rank"))
 
 
 @REGISTER("gen5_generated_routes")
 def _(v: Views) -> DataFrame:
-    stops, found = _terminals(v)
+    pixels = written(v.pixels, "pixels")
+    stops, found = _terminals(v, pixels)
     # the pixels' centres lie a thousandth of a degree apart, the first at 51.66, 39.10
     high, wide = geo.METRES_PER_DEGREE * 0.001, geo.METRES_PER_DEGREE * 0.001 * math.cos(math.radians(51.6))
     grid = generate.Grid(west=-0.5 * wide, north=60.5 * high, width=wide, height=high)
-    out = generate.generate_routes(stops, found, v.pixels, grid, 5)
+    out = generate.generate_routes(stops, found, pixels, grid, 5)
     return out.select("n", "origin", "destination", "stops", F.round("length_km", 3).alias("length_km"), F.round("ratio", 3).alias("ratio"), "volume", "status")
 
 
