@@ -141,7 +141,7 @@ def _covered(segments: DataFrame, buffer_m: float) -> DataFrame:
     return fresh.groupBy("node", F.col("b_node").alias("other")).agg(F.sum("fresh").alias("covered"))
 
 
-def _shape_overlaps(segments: DataFrame, buffer_m: float, threshold: float) -> tuple[DataFrame, DataFrame]:
+def shape_overlaps(segments: DataFrame, buffer_m: float, threshold: float) -> tuple[DataFrame, DataFrame]:
     """As ``overlap_pairs``, of shapes (x <= y; x = y where one has several nodes), and the blocks of their nodes."""
     if buffer_m < 0 or not 0 <= threshold <= 1:
         raise ValueError("buffer_m must not be negative and threshold must be from 0 to 1")
@@ -162,7 +162,11 @@ def _shape_overlaps(segments: DataFrame, buffer_m: float, threshold: float) -> t
 
 def overlap_pairs(segments: DataFrame, buffer_m: float, threshold: float = 0.7) -> DataFrame:
     """x, y (x < y), len_x, len_y, k_xy, k_yx, kmax, excess, status: pairs of nodes that cover one another in part."""
-    found, blocks = _shape_overlaps(segments, buffer_m, threshold)
+    return pairs_of_nodes(*shape_overlaps(segments, buffer_m, threshold))
+
+
+def pairs_of_nodes(found: DataFrame, blocks: DataFrame) -> DataFrame:
+    """The overlaps of shapes as those of their nodes, a row a pair."""
     pairs = _of_nodes(found.withColumn("one", F.col("x") == F.col("y")), "x", "y", blocks).where("x < y OR NOT one")
     turned = F.col("x") > F.col("y")
     swapped = {a: F.when(turned, F.col(b)).otherwise(F.col(a)) for a, b in (("x", "y"), ("y", "x"), ("len_x", "len_y"), ("len_y", "len_x"), ("k_xy", "k_yx"), ("k_yx", "k_xy"))}
@@ -171,7 +175,11 @@ def overlap_pairs(segments: DataFrame, buffer_m: float, threshold: float = 0.7)
 
 def overlap_summary(segments: DataFrame, buffer_m: float, threshold: float = 0.7) -> DataFrame:
     """One row: how many pairs of nodes cover one another in part, and how many of them in excess."""
-    found, blocks = _shape_overlaps(segments, buffer_m, threshold)
+    return count_pairs(*shape_overlaps(segments, buffer_m, threshold))
+
+
+def count_pairs(found: DataFrame, blocks: DataFrame) -> DataFrame:
+    """As ``overlap_summary``, from the overlaps of shapes and how many nodes each has."""
     sizes = blocks.select("node", "of_shape").distinct()
     for side in "xy":
         found = found.join(sizes.select(F.col("node").alias(side), F.col("of_shape").alias(f"of_{side}")), side)
@@ -277,23 +285,119 @@ def removals(edges: DataFrame, volumes: DataFrame, k_del: float, active: DataFra
     order of the removals is that of volume, largest edge closed and id. A missing volume is 0.
     """
     both = both_ways(written(clean_edges(edges, k_del, active), "clean-edges"))
-    vol = volumes.groupBy("node").agg(F.coalesce(F.max(F.when(~F.isnan("volume"), F.col("volume"))), F.lit(0.0)).alias("volume"))
+    vol = _volumes(volumes)
     valued = both.join(vol, "node", "left").join(vol.withColumnsRenamed({"node": "other", "volume": "other_volume"}), "other", "left")
     valued = valued.select("node", "other", "kmax", F.coalesce("volume", F.lit(0.0)).alias("volume"), F.coalesce("other_volume", F.lit(0.0)).alias("other_volume"))
     upward = valued.where("other_volume >= volume").withColumn("tied", F.col("other_volume") == F.col("volume"))
+    closed = _closed(upward).join(vol, "node", "left").withColumn("volume", F.coalesce("volume", F.lit(0.0)))
+    victims = closed.groupBy("volume", "node").agg(F.count("*").alias("partners"), *_strongest(), _told())
+    return _in_order(victims).select("step", "node", "volume", "partners", "representative", "best", "closed")
+
+
+def _volumes(volumes: DataFrame) -> DataFrame:
+    return volumes.groupBy("node").agg(F.coalesce(F.max(F.when(~F.isnan("volume"), F.col("volume"))), F.lit(0.0)).alias("volume"))
+
+
+def _closed(upward: DataFrame) -> DataFrame:
+    """node, other, kmax of the edges that close with their node, of ``(node, other, kmax, tied)``: the edges to no less volume."""
     tied = written(upward.groupBy("node").agg(F.bool_or("tied").alias("tied")).where("tied").select("node"), "tied-nodes")
-    closed = upward.select("node", "other", "kmax") if tied.isEmpty() else upward.join(tied, "node", "left_anti").select("node", "other", "kmax").union(
-        _closed_in_ties(upward.join(tied, "node", "left_semi").select("node", "other", "kmax", "tied"))
-    )
-    closed = closed.join(vol, "node", "left").withColumn("volume", F.coalesce("volume", F.lit(0.0)))
+    if tied.isEmpty():
+        return upward.select("node", "other", "kmax")
+    alone = upward.join(tied, "node", "left_anti").select("node", "other", "kmax")
+    return alone.union(_closed_in_ties(upward.join(tied, "node", "left_semi").select("node", "other", "kmax", "tied")))
+
+
+def _strongest() -> tuple[Column, Column]:
+    """representative and best of a node's closed edges."""
     strongest = F.struct(F.col("kmax").alias("k"), (-F.col("other")).alias("id"))
+    return (-F.max(strongest)["id"]).alias("representative"), F.max("kmax").alias("best")
+
+
+def _told() -> Column:
+    """closed: a node's closed edges as text, the strongest first."""
     ranked = F.array_sort(F.collect_list(F.struct((-F.col("kmax")).alias("k"), F.col("other").alias("id"))))
-    victims = closed.groupBy("volume", "node").agg(
-        F.count("*").alias("partners"), (-F.max(strongest)["id"]).alias("representative"), F.max("kmax").alias("best"), ranked.alias("ranked")
-    )
-    text = F.array_join(F.transform("ranked", lambda p: F.concat(p["id"].cast("string"), F.lit(" ("), F.format_string("%.3f", -p["k"]), F.lit(")"))), ", ")
-    victims = victims.select("node", "volume", "partners", "representative", "best", text.alias("closed"))
-    return numbered(written(victims, "removals"), "step", F.col("volume"), F.desc("best"), F.col("node")).select("step", "node", "volume", "partners", "representative", "best", "closed")
+    one = lambda p: F.concat(p["id"].cast("string"), F.lit(" ("), F.format_string("%.3f", -p["k"]), F.lit(")"))
+    return F.array_join(F.transform(ranked, one), ", ").alias("closed")
+
+
+def _in_order(victims: DataFrame) -> DataFrame:
+    return numbered(written(victims, "removals"), "step", F.col("volume"), F.desc("best"), F.col("node"))
+
+
+def removals_alike(edges: DataFrame, members: DataFrame, volumes: DataFrame, k_del: float, active: DataFrame | None = None) -> DataFrame:
+    """As ``removals`` without the text, of nodes that ``members (node, shape)`` tells the shapes of; edges are those of shapes, as ``shape_overlaps`` finds them.
+
+    Nodes of one shape and volume are a class: they have the same edges, and those among themselves are 1 but for rounding, so few values are
+    above. A value at a time from the greatest down, of a volume's nodes those go, by id, that have an edge of that value to a node of more volume,
+    or of the same that is left and has a greater id: an edge to a lesser id that was passed would have taken that one. So what is left of a class is
+    its nodes from an id on, which rounds over the pairs of classes find; in the end its greatest node at most. These go
+    by ``_closed``, with a row a class of more volume. No pair of nodes is made: rows are the pairs of classes, and for each pair of one volume the nodes of one of them.
+    """
+    if not 0 <= k_del <= 1:
+        raise ValueError("k_del must be from 0 to 1")
+    one = edges.where("NOT isnan(kmax)").groupBy(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).agg(F.max("kmax").alias("kmax"))
+    one = written(one.where(F.col("kmax") > k_del), "clean-edges")
+    own = one.where("x = y").select(F.col("x").alias("shape"), F.col("y").alias("other_shape"), "kmax")
+    nodes = members if active is None else members.join(active.select("node").distinct(), "node", "left_semi")
+    # nodes of a shape without edges among themselves are a class each
+    nodes = nodes.join(_volumes(volumes), "node", "left").join(own.select("shape", F.lit(0).alias("of")), "shape", "left")
+    nodes = written(nodes.select("node", "shape", F.coalesce("volume", F.lit(0.0)).alias("volume"), F.coalesce("of", "node").alias("of")), "nodes-of-shapes")
+    classes = nodes.groupBy("shape", "volume", "of").agg(F.min("node").alias("class"), F.count("*").alias("size"), F.max("node").alias("greatest"))
+    classes = written(classes, "classes")
+    nodes = written(nodes.join(classes, ["shape", "volume", "of"]).select("class", "node", "volume"), "nodes-of-classes")
+    met = both_ways(one.where("x <> y")).select(F.col("node").alias("shape"), F.col("other").alias("other_shape"), "kmax").unionByName(own)
+    others = classes.select(*(F.col(c).alias(f"other_{c}") for c in ("shape", "volume", "class", "size", "greatest")))
+    pairs = classes.join(met, "shape").join(others, "other_shape").where("other_volume >= volume AND (class <> other_class OR size > 1)")
+    pairs = pairs.select("class", "other_class", "kmax", (F.col("other_volume") == F.col("volume")).alias("tied"), "other_size", "other_greatest")
+    pairs = written(pairs, "pairs-of-classes")
+    # what is left of each class that has edges: its nodes from an id on
+    left = pairs.select("class").distinct().join(classes.select("class", "greatest"), "class").withColumn("from", F.col("class"))
+    least = pairs.where("class = other_class").agg(F.min("kmax")).first()[0]
+    gone = []
+    for k in [] if least is None else sorted((r.kmax for r in pairs.where(F.col("kmax") >= least).select("kmax").distinct().collect()), reverse=True):
+        there = left.where("from <= greatest").select(F.col("class").alias("other_class"), F.lit(True).alias("there"))
+        seen = pairs.where(F.col("kmax") == k).join(there, "other_class", "left").where("NOT tied OR there")
+        till = seen.groupBy("class").agg(F.max(F.when(F.col("tied"), F.col("other_greatest"))).alias("till"), F.bool_or(~F.col("tied")).alias("all"))
+        now = left.join(till, "class", "left").withColumn("to", F.when(F.col("all"), F.col("greatest") + 1).otherwise(F.greatest("from", "till")))
+        now = written(now.select("class", "greatest", "from", "to"), "left-of-classes")
+        gone.append(now.where("from < to").select("class", "from", "to", F.lit(k).alias("best")))
+        left = now.select("class", "greatest", F.col("to").alias("from"))
+    last = left.where("from <= greatest").select("class", F.col("greatest").alias("last"))
+    nodes = nodes.join(pairs.select("class").union(pairs.where("tied").select(F.col("other_class").alias("class"))).distinct(), "class", "left_semi")
+    if gone:
+        spans = reduce(DataFrame.union, gone).groupBy("class").agg(F.collect_list(F.struct("from", "to", "best")).alias("spans"))
+        own_span = F.filter("spans", lambda s: (s["from"] <= F.col("node")) & (F.col("node") < s["to"]))
+        nodes = nodes.join(spans, "class", "left").select("class", "node", "volume", F.get(own_span, 0)["best"].alias("best"))
+    else:
+        nodes = nodes.withColumn("best", F.lit(None).cast("double"))
+    nodes = written(nodes, "nodes-in-turn")
+    # a class's nodes among those of the classes of its volume that it has edges to, its own among them; which of them go later
+    beside = pairs.where("tied AND class <> other_class").select("class", F.col("other_class").alias("of"), "kmax").join(nodes.select(F.col("class").alias("of"), "node", "best"), "of")
+    within = nodes.where("best IS NOT NULL").select("class").distinct()
+    mine = nodes.join(pairs.where("class = other_class").select("class", "kmax"), "class", "left")
+    rows = beside.select("class", "node", "best", "kmax", F.lit(None).cast("double").alias("volume")).unionByName(mine.select("class", "node", "best", "kmax", "volume"))
+    later = Window.partitionBy("class").orderBy(F.asc_nulls_first("best"), F.desc("node")).rowsBetween(Window.unboundedPreceding, -1)
+    edge = F.when(F.col("kmax").isNotNull(), F.struct(F.col("kmax").alias("k"), (-F.col("node")).alias("id")))
+    told = rows.join(within, "class", "left_semi").select("class", "node", "best", "volume", F.count("kmax").over(later).alias("later"), F.max(edge).over(later).alias("edge"))
+    above = pairs.where("NOT tied").groupBy("class").agg(F.sum("other_size").alias("above"), F.max(F.struct(F.col("kmax").alias("k"), (-F.col("other_class")).alias("id"))).alias("edge_above"))
+    first = told.where("volume IS NOT NULL AND best IS NOT NULL").join(above, "class", "left")
+    strongest = -F.greatest("edge", "edge_above")["id"]
+    first = first.select("volume", "node", (F.coalesce("above", F.lit(0)) + F.col("later")).alias("partners"), strongest.alias("representative"), "best")
+    # what is left of the classes, a node each
+    upward = pairs.where("class <> other_class").join(last.withColumnRenamed("last", "node"), "class").join(last.withColumnRenamed("class", "other_class"), "other_class", "left")
+    upward = upward.where("NOT tied OR last IS NOT NULL")
+    upward = upward.select("node", F.when(F.col("tied"), F.col("last")).otherwise(F.col("other_class")).alias("other"), "kmax", "tied", F.when(F.col("tied"), 1).otherwise(F.col("other_size")).alias("size"))
+    upward = written(upward, "upward-of-classes")
+    closed = _closed(upward.drop("size")).join(upward.select("node", "other", "size"), ["node", "other"])
+    then = closed.groupBy("node").agg(F.sum("size").alias("partners"), *_strongest()).join(nodes.select("node", "volume"), "node")
+    return _in_order(first.unionByName(then)).select("step", "node", "volume", "partners", "representative", "best")
+
+
+def closed_with(edges: DataFrame, removed: DataFrame, k_del: float) -> DataFrame:
+    """node, closed: the edges that closed with each node of ``removed (step, node)``, as text; as many are read as there are pairs."""
+    steps = removed.select("node", "step")
+    pairs = both_ways(edges.where((F.col("kmax") > k_del) & ~F.isnan("kmax"))).join(steps, "node").join(steps.withColumnsRenamed({"node": "other", "step": "other_step"}), "other", "left")
+    return pairs.where("other_step IS NULL OR other_step > step").groupBy("node").agg(_told())
 
 
 def survivors(nodes: DataFrame, removed: DataFrame) -> DataFrame:

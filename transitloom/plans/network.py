@@ -101,10 +101,15 @@ class Network:
         """The kept points in metres, by node, in one projection."""
         return self._keep(_flat(self.kept_points))
 
+    @cached_property
+    def _shapes(self) -> tuple[DataFrame, DataFrame]:
+        """The overlaps of the shapes of directions, and the directions of each; both are written."""
+        return overlap.shape_overlaps(overlap.node_segments(self.flat), self.config.dedup_buffer_m, self.config.dedup_threshold)
+
     @cached_property
     def overlaps(self) -> DataFrame:
-        """Pairs of overlapping directions; a node is ``route_id * 2**16 + di``."""
-        return self._keep(overlap.overlap_pairs(overlap.node_segments(self.flat), self.config.dedup_buffer_m, self.config.dedup_threshold))
+        """Pairs of overlapping directions; a node is ``route_id * 2**16 + di``. They grow with the square of the directions of a shape, so they are made when asked for."""
+        return overlap.pairs_of_nodes(*self._shapes)
 
     @cached_property
     def _passes(self) -> tuple[DataFrame, DataFrame]:
@@ -114,17 +119,20 @@ class Network:
         its tables written; the passes end with one that removes nothing.
         """
         c = self.config
-        edges, stats, active, passes = self.overlaps.select("x", "y", "kmax"), self.corridors, None, []
+        stats, active, passes = self.corridors, None, []
+        shapes, blocks = self._shapes
+        members = blocks.select(F.explode("nodes").alias("node"), F.col("node").alias("shape"))
         names = self.kept_points.select(F.col("route_id"), F.col("di")).distinct()
         nodes = names.select(_node("node"))
         for number in range(1, c.dedup_passes + 1):
             volumes = stats.select(_node("node"), "volume")
             if c.center_weight > 0:
                 distances = geometry.network_center(self.kept_points).select(_node("node"), F.col("center_km").alias("distance"))
+                edges = self.overlaps.select("x", "y", "kmax")
                 left = edges if active is None else overlap.clean_edges(edges, c.dedup_threshold, active)
                 found = overlap.removals_weighted(left, volumes, distances, c.dedup_threshold, c.center_weight)
             else:
-                found = overlap.removals(edges, volumes, c.dedup_threshold, active)
+                found = overlap.removals_alike(shapes.select("x", "y", "kmax"), members, volumes, c.dedup_threshold, active)
             found = written(found.withColumn("pass", F.lit(number)), "pass")
             passes.append(found)
             if found.isEmpty():
@@ -140,7 +148,12 @@ class Network:
 
     @property
     def removed(self) -> DataFrame:
-        return self._passes[0]
+        """What is removed; the text of the edges that close with a node is made where it is asked for."""
+        removed = self._passes[0]
+        if self.config.center_weight > 0:
+            return removed
+        closed = overlap.closed_with(self.overlaps, removed, self.config.dedup_threshold)
+        return removed.join(closed, "node", "left").select("node", "volume", "partners", "representative", "best", "closed", "pass", "step")
 
     @property
     def corridors_after(self) -> DataFrame:
@@ -152,7 +165,7 @@ class Network:
         """What is left after removals; directions keep their numbers."""
         if not self.config.dedup:
             return self.kept_points
-        gone = self.removed.select(*_direction("node"))
+        gone = self._passes[0].select(*_direction("node"))
         return self._keep(self.kept_points.join(gone, ["route_id", "di"], "left_anti"))
 
     @cached_property
@@ -196,6 +209,16 @@ class Network:
         }
         return found | ({"overlaps": self.overlaps, "removed": self.removed} if self.config.dedup else {})
 
+    def sizes(self) -> DataFrame:
+        """measure, value: the number of rows of each of the sheets. Pairs and removals are counted without their making."""
+        counted = self.sheets()
+        if self.config.dedup:
+            counted |= {"removed": self._passes[0]}
+        named = {name: rows.agg(F.count("*").alias("value")) for name, rows in counted.items() if name != "overlaps"}
+        if self.config.dedup:
+            named |= {"overlaps": overlap.count_pairs(*self._shapes).select(F.col("pairs").alias("value"))}
+        return reduce(DataFrame.unionByName, (df.select(F.lit(name).alias("measure"), F.col("value").cast("double").alias("value")) for name, df in named.items()))
+
     def workbook(self, path: str, bbox: tuple[float, float, float, float] | None = None, all_stops: bool = False, generated: DataFrame | None = None) -> list[str]:
         """Writes the report and returns its sheets: summary and errors always, the others where they have rows, all stops where they are asked for."""
         one = lambda title, rows, *order, optional=True: Sheet(title, rows, order, optional)
@@ -243,7 +266,7 @@ class Network:
             one(types, *(F.max(F.when(F.col("title") == t, F.col("routes"))).alias(f"type_{k}") for t, k in network.TYPE_TITLES.items())),
         ]
         if c.dedup:
-            parts.append(one(self.removed, count("removed")))
+            parts.append(one(self._passes[0], count("removed")))
         row = parts[0]
         for more in parts[1:]:
             row = row.join(more)  # a row each
