@@ -250,10 +250,6 @@ def _(v: Views) -> DataFrame:
     from .network import Network
 
     run = Network(RunConfig("city", dedup=True, limits=Limits(curvilinearity=2.0)), v.routes, v.points, v.stops_seq, v.pois, v.pixels)
-    sizes = [rows.agg(F.lit(name).alias("measure"), F.count("*").cast("double").alias("value")) for name, rows in run.sheets().items()]
-    out = run.summary((51.6, 39.1, 51.8, 39.3)).select("measure", "value")
-    for more in sizes:
-        out = out.unionByName(more)
-    out = written(out, "report")
+    out = written(run.summary((51.6, 39.1, 51.8, 39.3)).select("measure", "value").unionByName(run.sizes()), "report")
     run.close()
     return out
