@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from transitloom.operators import corridor, nearby, overlap, raster, shapes
+from transitloom.plans import registry
 
 COPIES = 5
 
@@ -83,3 +84,41 @@ def test_shapes_differ_by_their_order(spark):
     rows = [(1, 0, 1.0), (1, 1, 2.0), (2, 5, 1.0), (2, 9, 2.0), (3, 0, 2.0), (3, 1, 1.0), (4, 0, 1.0)]
     groups = shapes.alike(spark.createDataFrame(rows, "node long, seq long, x double"), ["node"], ["seq"], ["x"])
     assert {r.node: r.first.node for r in groups.collect()} == {1: 1, 2: 1, 3: 3, 4: 4}
+
+
+def supplier_copies(folder, spark, suppliers):
+    """Suppliers whose directions are of two shapes, and as many customers in five places beside them."""
+    columns = "id * 180 AS s_suppkey, 1L AS s_nationkey, 1D AS s_acctbal"
+    spark.range(suppliers).selectExpr(*columns.split(", ")).write.parquet(f"{folder}/supplier.parquet")
+    spark.range(suppliers).selectExpr("id * 5600 * 9 + element_at(array(595, 742, 921, 1474, 1621), int(id % 5) + 1) AS c_custkey", "'a' AS c_mktsegment", "'b' AS c_name").write.parquet(f"{folder}/customer.parquet")
+    return str(folder)
+
+
+@pytest.mark.parametrize("name, bytes_a_row", [("g10_matrix", 1.0), ("j8_candidates", 0.6), ("j7_pois_near_directions", 1.0)])
+def test_rows_of_pairs_come_in_runs(spark, tmp_path, name, bytes_a_row):
+    """All columns but one stay the same for a run, and the runs repeat, so that files of very many pairs stay small."""
+    made = registry.QUERIES[name](spark, supplier_copies(tmp_path / "in", spark, 300))
+    made.write.parquet(str(tmp_path / "out"))
+    files = list((tmp_path / "out").glob("*.parquet"))
+    rows = spark.read.parquet(str(tmp_path / "out"))
+    assert rows.count() == rows.distinct().count() >= 90_000
+    assert sum(f.stat().st_size for f in files) < bytes_a_row * rows.count()
+
+
+@pytest.mark.parametrize("name", ["g2_overlap_pairs", "g3_route_overlap", "g10_matrix", "j10_covered_lengths"])
+def test_figures_are_computed_before_pairs_are_made(spark, tmp_path, name):
+    plan = registry.QUERIES[name](spark, supplier_copies(tmp_path / "in", spark, 10))._jdf.queryExecution().optimizedPlan().toString()  # noqa: SLF001
+    above = plan[: plan.index("Generate")]
+    assert "round(" not in above and "CASE" not in above
+
+
+@pytest.mark.parametrize("blocks, runs", [(3, 2), (2048, 256)])
+def test_all_members_meet_across_blocks_and_runs(spark, monkeypatch, blocks, runs):
+    monkeypatch.setattr(shapes, "BLOCK", blocks)
+    monkeypatch.setattr(shapes, "RUN", runs)
+    pairs = [(r.x, r.y) for r in overlap.overlap_pairs(segments(spark), 100.0).collect()]
+    groups = ([n + s * 100 for s in range(2) for n in range(COPIES)], [200 + n for n in range(COPIES)])
+    assert sorted(pairs) == sorted((a, b) for g in groups for a in g for b in g if a < b)
+    pois = spark.createDataFrame([(n, 51.6001, 39.101) for n in range(7)], "poi_id long, lat double, lon double")
+    hits = [(r.poi_id, r.route_id) for r in nearby.near_segments(pois, lines(spark), 100.0).collect()]
+    assert sorted(hits) == sorted((p, r) for p in range(7) for r in groups[0])
